@@ -1,0 +1,13 @@
+"""Size checks in front of a broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast ``df`` when it has at most ``max_rows`` rows; otherwise leave the join to Spark.
+
+    The check is one job that stops after ``max_rows + 1`` rows.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
