@@ -60,7 +60,7 @@ def fold_bucket(value: str | Column, per_octave: int = 256) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    method: str = "linear", name: str = "q") -> DataFrame:
+                    method: str = "linear", name: str = "q", frequency: str | None = None) -> DataFrame:
     """Exact quantiles per group, without gathering a group in one task.
 
     1. Equal values are counted per (by, value) with a map-side combine.
@@ -70,12 +70,14 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
 
     ``method``: ``linear`` interpolates between the two neighbours (type 7),
     ``disc`` returns the smallest value whose cumulative share reaches the
-    probability.  Output: (by, ``prob``, ``name``).  NULL and NaN values are skipped.
+    probability.  ``frequency`` names a column of row multiplicities.
+    Output: (by, ``prob``, ``name``).  NULL and NaN values are skipped.
     """
     by = list(by)
     x = F.col(value).cast("double")
     counts = (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias("_x"))
-              .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", fold_bucket("_x")))
+              .agg((F.sum(frequency) if frequency else F.count(F.lit(1))).alias("_c"))
+              .withColumn("_b", fold_bucket("_x")))
     groups = by or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
@@ -126,6 +128,7 @@ def percentile_interval(df: DataFrame, by: Sequence[str], columns: Sequence[str]
     return df.groupBy(*by).agg(*aggs)
 
 
-def median_disc(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+def median_disc(df: DataFrame, by: Sequence[str], value: str, name: str = "median",
+                frequency: str | None = None) -> DataFrame:
     """Discrete median per group: the lower of the two middle values."""
-    return exact_quantiles(df, by, value, [0.5], "disc", name).drop("prob")
+    return exact_quantiles(df, by, value, [0.5], "disc", name, frequency).drop("prob")

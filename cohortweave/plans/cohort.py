@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortweave.functions.dates import fiscal_quarter, fiscal_year, month_boundaries
+from cohortweave.functions.dates import fiscal_quarter, fiscal_year, month_boundaries, usable_from
 from cohortweave.functions.rows import censor_after, plausible, plausible_pressure
 from cohortweave.operators.asof import asof_by_period, asof_latest, asof_latest_wide, asof_nearest
 from cohortweave.operators.device import device_monthly
@@ -104,11 +104,9 @@ def baseline(index: DataFrame, src: Sources, study: Study) -> DataFrame:
     weight = asof_latest(index, weights_in_range(src, study), PERSON, START, "ts", ["value"]).select(
         *INDEX, F.col("value").alias("weight_bl"), F.col("ts").cast("date").alias("weight_bl_dt"))
     tall = src.vitals.where((F.lower("kind") == "height") & plausible("value", low, high))
-    tall = (tall.groupBy(PERSON, "value", F.col("ts").cast("timestamp_ntz").alias("_ts")).count()
-            .join(index.select(*INDEX).distinct(), PERSON)
-            .where(F.col("_ts") <= F.col(START).cast("timestamp_ntz"))
-            .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("count")))))
-    height = median_disc(tall, INDEX, "value", "height_bl")
+    tall = (tall.groupBy(PERSON, "value", usable_from("ts").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+            .join(index.select(*INDEX).distinct(), PERSON).where(F.col("_day") <= F.col(START)))
+    height = median_disc(tall, INDEX, "value", "height_bl", frequency="_n")
     pressure = asof_latest(index, pressures(src), PERSON, START, "ts", ["systolic", "diastolic"]).select(
         *INDEX, F.col("systolic").alias("sbp_bl"), F.col("diastolic").alias("dbp_bl"))
     ef = daily_mean(src.ejection, [PERSON], "ts", "value", name="ef")
