@@ -1,6 +1,6 @@
 """Registered queries on the given tables, each beside the SQL that checks it."""
 
-from cohortweave.catalog import relational
+from cohortweave.catalog import cohorts, models, relational
+from cohortweave.catalog.registry import QUERIES, SQL
 
-QUERIES = {**relational.QUERIES}
-SQL = {**relational.SQL}
+__all__ = ["QUERIES", "SQL", "cohorts", "models", "relational"]

@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortweave.catalog.registry import check
 from cohortweave.catalog.roles import CONDITION_RULES, CUTOFF, HF_RULE, STUDY, Roles, with_roles
 from cohortweave.functions import dates as D, rows as R, text as T
 from cohortweave.operators import asof, codes, intervals, labs as L, persons, phenotype, reshape, summaries as S
 from cohortweave.plans.cohort import area_index, pressures, weights_in_range
 from cohortweave.sources import expect
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def check(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function name, with the SQL that checks it."""
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
-        return fn
-    return add
-
-
 # ---- projection, scalars ---------------------------------------------------------
 
 @check("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) + 30 AS plus_days,

@@ -49,13 +49,13 @@ def treatment_episodes(fills: DataFrame, keys: Sequence[str], start: str = "star
     w = Window.partitionBy(*keys).orderBy(start)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     s = F.unix_date(F.col(start))
-    steps = (daily.withColumn("_D", F.sum("_d").over(run))
-             .withColumn("_E", F.col("_D") + F.max(s - (F.col("_D") - F.col("_d"))).over(run)))
-    opens = F.when(s > F.lag("_E").over(w) + grace, 1).otherwise(0)
+    steps = (daily.withColumn("_total", F.sum("_d").over(run))
+             .withColumn("_covered", F.col("_total") + F.max(s - (F.col("_total") - F.col("_d"))).over(run)))
+    opens = F.when(s > F.lag("_covered").over(w) + grace, 1).otherwise(0)
     marked = steps.withColumn("_open", opens).withColumn("_ep", F.sum("_open").over(run))
     return marked.groupBy(*keys, "_ep").agg(
         F.min(start).alias("start_date"),
-        F.date_from_unix_date(F.max("_E").cast("int")).alias("end_date"),
+        F.date_from_unix_date(F.max("_covered").cast("int")).alias("end_date"),
         F.sum("_d").alias("days_total")).drop("_ep")
 
 

@@ -43,7 +43,7 @@ def death_date(crosswalk: DataFrame, master: DataFrame, later: Sequence[tuple[st
     date in the master's first column.  One row per distinct (person, date, source).
     """
     last = F.max(F.col(master_dates[0][1]))
-    linked = crosswalk.select(person, key).join(master, key, "left")
+    linked = crosswalk.select(*dict.fromkeys([person, key])).distinct().join(master, key, "left")
     linked = with_scalar(linked, master, last, "_last")
     sources = [(label, F.col(col)) for label, col in master_dates]
     for i, (label, frame, col) in enumerate(later):
