@@ -1 +1,328 @@
-"""Checks of weights, balance, outcome models, bootstrap and boosting."""
+"""Checks of features, weights, balance, outcome models, bootstrap and boosting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cohortweave.catalog.registry import check
+from cohortweave.catalog.roles import Roles, with_roles
+from cohortweave.operators.reshape import grid
+from cohortweave.operators.summaries import percentile_interval
+from cohortweave.stats import balance as B, boosting as G, bootstrap as BS, features as X, outcome as O, weights as W
+
+TERMS = [
+    X.Term("trial_num", "spline"), X.Term("balance", "spline"), X.Term("prior_stays", "numeric"),
+    X.Term("segment", "category", ref="BUILDING"), X.Term("zone", "category", ref="0"),
+]
+GBT_TERMS = [X.Term("trial_num"), X.Term("balance"), X.Term("prior_stays"), X.Term("segment", "category"),
+             X.Term("zone", "category")]
+# A reduced setting: tree count and rate scale together, so the fit stays comparable.
+GBT_PARAMS = {"trees": 12, "depth": 2, "shrinkage": 0.15, "min_node": 20}
+# Replicates shown by the registered query; the study default is 500.
+REPLICATES = 40
+
+
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+
+
+# ---- features -------------------------------------------------------------------------
+
+@check("""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate, ROUND(age, 9) AS age, ROUND(bmi, 9) AS bmi,
+    CASE WHEN bmi < 18.5 THEN 'under' WHEN bmi < 25 THEN 'normal' WHEN bmi < 30 THEN 'over' ELSE 'obese' END AS bmi_cat,
+    ROUND(142 * POW(LEAST(cr / k, 1), a) * POW(GREATEST(cr / k, 1), -1.2) * POW(0.9938, age) * f, 6) AS egfr,
+    returned, CAST(trial_num AS BIGINT) AS trial_num, year_index FROM (
+    SELECT *, date_diff('day', DATE '1950-03-01', CAST(l_shipdate AS DATE)) / 365.25 AS age,
+      (l_extendedprice / 250) * 703 / POW(58 + l_linenumber * 2, 2) AS bmi, l_quantity / 10 AS cr,
+      CASE WHEN l_returnflag = 'A' THEN 0.7 ELSE 0.9 END AS k, CASE WHEN l_returnflag = 'A' THEN -0.241 ELSE -0.302 END AS a,
+      CASE WHEN l_returnflag = 'A' THEN 1.012 ELSE 1 END AS f, CASE WHEN l_discount > 0.05 THEN 'Yes' ELSE 'No' END AS returned,
+      date_diff('month', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS trial_num,
+      CAST(YEAR(l_shipdate) AS BIGINT) AS year_index FROM lineitem)""")
+def baseline_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = Roles(spark, sf).table("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate",
+                                  "l_extendedprice", "l_quantity", "l_returnflag", "l_discount").withColumns({
+        "start": F.col("l_shipdate").cast("date"), "birth": F.lit("1950-03-01").cast("date"),
+        "study_start": F.lit("1995-01-01").cast("date"), "weight": F.col("l_extendedprice") / 250,
+        "height": 58 + F.col("l_linenumber") * 2, "creatinine": F.col("l_quantity") / 10,
+        "flag_dt": F.when(F.col("l_discount") > 0.05, F.col("l_shipdate"))})
+    out = X.baseline_features(rows, {
+        "age": X.age_years("birth", "start"), "bmi": X.body_mass_index("weight", "height"),
+        "bmi_cat": X.cut("bmi", [18.5, 25, 30], ["under", "normal", "over", "obese"]),
+        "egfr": X.egfr_2021("creatinine", "age", F.col("l_returnflag") == "A"), "returned": X.known_flag("flag_dt"),
+        "trial_num": X.months_to("study_start", "start").cast("long"), "year_index": F.year("start").cast("long")})
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", F.round("age", 9).alias("age"),
+                      F.round("bmi", 9).alias("bmi"), "bmi_cat", F.round("egfr", 6).alias("egfr"), "returned",
+                      "trial_num", "year_index")
+
+
+@check("""SELECT o_orderkey, COALESCE(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, (SELECT
+    quantile_cont(o_totalprice, 0.5) FROM orders WHERE o_orderstatus <> 'P')) AS price FROM orders""")
+def median_impute(spark: SparkSession, sf: str) -> DataFrame:
+    orders = Roles(spark, sf).table("orders", "o_orderkey", "o_orderstatus", "o_totalprice").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"))
+    return X.median_impute(orders, ["price"])
+
+
+@check("""SELECT c_custkey, CAST(c_mktsegment = 'AUTOMOBILE' AS INT)::DOUBLE AS automobile,
+    CAST(c_mktsegment = 'FURNITURE' AS INT)::DOUBLE AS furniture, CAST(c_mktsegment = 'HOUSEHOLD' AS INT)::DOUBLE
+    AS household, CAST(c_mktsegment = 'MACHINERY' AS INT)::DOUBLE AS machinery FROM customer""")
+def encode_levels(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).table("customer", "c_custkey", "c_mktsegment")
+    d = X.design(df, [X.Term("c_mktsegment", "category", ref="BUILDING")])
+    return df.select("c_custkey", *[c.alias(n.split("=")[1].lower()) for n, c in zip(d.names, d.columns)])
+
+
+_CUBE = "POW(GREATEST({u} - {k}, 0), 3)"
+
+
+def _bend(k: str) -> str:
+    return f"(({_CUBE.format(u='u', k=k)} - {_CUBE.format(u='u', k='1')}) / (1 - {k}))"
+
+
+@check(f"""WITH q AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, quantile_cont(o_totalprice, 1/3) AS a,
+    quantile_cont(o_totalprice, 2/3) AS b FROM orders), z AS (SELECT o_orderkey, (o_totalprice - lo) / (hi - lo) AS u,
+    (a - lo) / (hi - lo) AS za, (b - lo) / (hi - lo) AS zb FROM orders, q)
+    SELECT o_orderkey, ROUND(u, 8) AS s1, ROUND({_bend('0')} - {_bend('zb')}, 8) AS s2,
+    ROUND({_bend('za')} - {_bend('zb')}, 8) AS s3 FROM z""")
+def ns_basis(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).table("orders", "o_orderkey", "o_totalprice")
+    d = X.design(df, [X.Term("o_totalprice", "spline", df=3)])
+    return df.select("o_orderkey", *[F.round(c, 8).alias(f"s{i + 1}") for i, c in enumerate(d.columns)])
+
+
+# ---- balance -------------------------------------------------------------------------------
+
+_T1 = {
+    "s": "SELECT arm AS stratum, balance, periods, segment, zone FROM ana UNION ALL "
+         "SELECT 'Overall', balance, periods, segment, zone FROM ana",
+    "num": """SELECT stratum, COUNT(*) AS n, AVG(balance) AS mean, STDDEV_SAMP(balance) AS sd, quantile_cont(periods, 0.25) AS q1,
+        quantile_cont(periods, 0.5) AS median, quantile_cont(periods, 0.75) AS q3 FROM s GROUP BY 1""",
+    "cat": """SELECT variable, level, stratum, COUNT(*)::DOUBLE AS n, SUM(COUNT(*)) OVER (PARTITION BY variable, stratum)
+        AS total FROM (SELECT stratum, 'segment' AS variable, segment AS level FROM s UNION ALL
+        SELECT stratum, 'zone', zone FROM s) GROUP BY 1, 2, 3""",
+}
+
+
+@check(with_roles(["ana"], """SELECT variable, level, stratum, stat, ROUND(value, 6) AS value FROM (
+    SELECT 'balance' AS variable, '' AS level, stratum, 'mean' AS stat, mean AS value FROM num
+    UNION ALL SELECT 'balance', '', stratum, 'sd', sd FROM num UNION ALL SELECT 'balance', '', stratum, 'n', n FROM num
+    UNION ALL SELECT 'balance', '', stratum, 'missing_pct', 0 FROM num
+    UNION ALL SELECT 'periods', '', stratum, 'n', n FROM num UNION ALL SELECT 'periods', '', stratum, 'missing_pct', 0 FROM num
+    UNION ALL SELECT 'periods', '', stratum, 'q1', q1 FROM num UNION ALL SELECT 'periods', '', stratum, 'median', median
+    FROM num UNION ALL SELECT 'periods', '', stratum, 'q3', q3 FROM num
+    UNION ALL SELECT variable, level, stratum, 'count', n FROM cat
+    UNION ALL SELECT variable, level, stratum, 'percent', 100.0 * n / total FROM cat)""", _T1))
+def table_one(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(B.table_one(Roles(spark, sf).analysis, "arm", ["balance"], ["periods"], ["segment", "zone"]), 6)
+
+
+_PS = {
+    "ps": """SELECT a.*, AVG(exp) OVER (PARTITION BY segment, zone) AS pd, AVG(exp) OVER () AS pn FROM ana a""",
+    "wt": "SELECT *, CASE WHEN exp = 1 THEN pn / pd ELSE (1 - pn) / (1 - pd) END AS iptw FROM ps",
+}
+
+
+def _weighted(r: Roles) -> DataFrame:
+    return W.iptw(W.ps_saturated(r.analysis, "exp", ["segment", "zone"]), "exp")
+
+
+@check(with_roles(["ana"], "SELECT row_key, ROUND(pd, 9) AS pd FROM ps", _PS))
+def ps_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(W.ps_saturated(Roles(spark, sf).analysis, "exp", ["segment", "zone"]).select("row_key", "pd"))
+
+
+@check(with_roles(["ana"], "SELECT row_key, ROUND(pn, 9) AS pn, ROUND(pd, 9) AS pd, ROUND(iptw, 9) AS iptw FROM wt", _PS))
+def iptw(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_weighted(Roles(spark, sf)).select("row_key", "pn", "pd", "iptw"))
+
+
+@check(with_roles(["ana"], """SELECT arm, CAST(FLOOR(pd / 0.025) AS BIGINT) AS bin, COUNT(*) AS n,
+    ROUND(FLOOR(pd / 0.025) * 0.025, 6) AS bin_start FROM ps GROUP BY 1, 2, 4""", _PS))
+def ps_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    ps = W.ps_saturated(Roles(spark, sf).analysis, "exp", ["segment", "zone"])
+    return _rounded(B.histogram(ps, "pd", 0.025, ["arm"]), 6)
+
+
+def _smd_sql(w: str) -> str:
+    def moments(col: str) -> str:
+        return f"""SELECT '{col}' AS variable, exp, SUM({w} * {col}) / SUM({w}) AS m,
+            (SUM({w} * {col} * {col}) / SUM({w}) - POW(SUM({w} * {col}) / SUM({w}), 2)) * COUNT(*) / (COUNT(*) - 1) AS v
+            FROM wt GROUP BY exp"""
+    return f"""SELECT variable, ROUND(ABS(m1 - m0) / SQRT((v1 + v0) / 2), 6) AS smd FROM (
+        SELECT variable, MAX(CASE WHEN exp = 1 THEN m END) AS m1, MAX(CASE WHEN exp = 0 THEN m END) AS m0,
+        MAX(CASE WHEN exp = 1 THEN v END) AS v1, MAX(CASE WHEN exp = 0 THEN v END) AS v0 FROM (
+        {moments('balance')} UNION ALL {moments('prior_stays')} UNION ALL {moments('trial_num')}
+        UNION ALL SELECT 'built', exp, p, p * (1 - p) FROM (SELECT exp, SUM(CASE WHEN segment = 'BUILDING' THEN {w} ELSE 0 END)
+            / SUM({w}) AS p FROM wt GROUP BY exp)) GROUP BY variable)"""
+
+
+_NUMERIC = ["balance", "prior_stays", "trial_num"]
+
+
+def _with_flag(df: DataFrame) -> DataFrame:
+    return df.withColumn("built", F.when(F.col("segment") == "BUILDING", "Yes").otherwise("No"))
+
+
+@check(with_roles(["ana"], _smd_sql("1.0::DOUBLE"), _PS))
+def smd_unweighted(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(B.smd(_with_flag(Roles(spark, sf).analysis), "exp", _NUMERIC, ["built"]), 6)
+
+
+@check(with_roles(["ana"], _smd_sql("iptw"), _PS))
+def smd_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(B.smd(_with_flag(_weighted(Roles(spark, sf))), "exp", _NUMERIC, ["built"], "iptw"), 6)
+
+
+@check(with_roles(["ana"], f"""SELECT variable, 'unadjusted' AS method, smd FROM ({_smd_sql('1.0::DOUBLE')})
+    UNION ALL SELECT variable, 'weighted', smd FROM ({_smd_sql('iptw')})""", _PS))
+def smd_long(spark: SparkSession, sf: str) -> DataFrame:
+    df = _with_flag(_weighted(Roles(spark, sf)))
+    return _rounded(B.smd_long({"unadjusted": B.smd(df, "exp", _NUMERIC, ["built"]),
+                                "weighted": B.smd(df, "exp", _NUMERIC, ["built"], "iptw")}), 6)
+
+
+@check()
+def smd_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Mahalanobis form for variables with several levels (a matrix inverse)."""
+    return B.smd(_weighted(Roles(spark, sf)), "exp", (), ["segment", "zone"], "iptw")
+
+
+# ---- scores and outcome ----------------------------------------------------------------------
+
+@check()
+def ps_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).analysis
+    return W.iptw(W.ps_logistic(df, "exp", X.design(df, TERMS)), "exp").select("row_key", "exp", "pn", "pd", "iptw")
+
+
+_MONTHS = {
+    **_PS,
+    "mt": """SELECT exp, time, COUNT(*) AS n_risk, SUM(iptw) AS w_risk, SUM(CASE WHEN time + 1 = periods AND event_itt = 1
+        THEN 1 ELSE 0 END) AS n_event, SUM(CASE WHEN time + 1 = periods AND event_itt = 1 THEN iptw ELSE 0 END) AS w_event
+        FROM (SELECT *, UNNEST(range(periods)) AS time FROM wt) GROUP BY 1, 2""",
+    "hz": """SELECT *, w_event / w_risk AS hazard, CASE WHEN MIN(1 - w_event / w_risk) OVER (PARTITION BY exp ORDER BY time)
+        <= 0 THEN 0 ELSE EXP(SUM(LN(GREATEST(1 - w_event / w_risk, 1e-300))) OVER (PARTITION BY exp ORDER BY time)) END
+        AS survival FROM mt""",
+}
+
+
+def _cells(r: Roles) -> DataFrame:
+    return O.outcome_cells(_weighted(r), "exp", "periods", "event_itt", "iptw")
+
+
+@check(with_roles(["ana"], """SELECT CAST(exp AS BIGINT) AS exp, CAST(time AS BIGINT) AS time, CAST(n_risk AS BIGINT) AS n_risk,
+    CAST(n_event AS BIGINT) AS n_event, ROUND(w_risk, 6) AS w_risk, ROUND(w_event, 6) AS w_event,
+    ROUND(hazard, 8) AS hazard, ROUND(survival, 8) AS survival FROM hz""", _MONTHS))
+def weighted_hazards(spark: SparkSession, sf: str) -> DataFrame:
+    h = O.weighted_hazards(O.month_table(_cells(Roles(spark, sf))))
+    return h.select(*[F.col(c).cast("long").alias(c) for c in ("exp", "time", "n_risk", "n_event")],
+                    F.round("w_risk", 6).alias("w_risk"), F.round("w_event", 6).alias("w_event"),
+                    F.round("hazard", 8).alias("hazard"), F.round("survival", 8).alias("survival"))
+
+
+@check(with_roles(["ana"], """SELECT CAST(time AS BIGINT) AS time, CAST(events_0 AS BIGINT) AS events_0,
+    CAST(events_1 AS BIGINT) AS events_1, ROUND(c0, 8) AS cuminc_0, ROUND(c1, 8) AS cuminc_1, ROUND(c1 - c0, 8) AS rd,
+    ROUND(c1 / c0, 8) AS rr FROM (SELECT time, MAX(CASE WHEN exp = 0 THEN ev END) AS events_0,
+    MAX(CASE WHEN exp = 1 THEN ev END) AS events_1, MAX(CASE WHEN exp = 0 THEN 1 - survival END) AS c0,
+    MAX(CASE WHEN exp = 1 THEN 1 - survival END) AS c1 FROM (SELECT *, SUM(n_event) OVER (PARTITION BY exp ORDER BY time)
+    AS ev FROM hz) GROUP BY time)""", _MONTHS))
+def risk_curves_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    out = O.risk_curves_saturated(O.month_table(_cells(Roles(spark, sf))))
+    return _rounded(out.withColumn("time", F.col("time").cast("long")), 8)
+
+
+@check()
+def pooled_hr(spark: SparkSession, sf: str) -> DataFrame:
+    return O.pooled_hr(_cells(Roles(spark, sf)))
+
+
+@check()
+def risk_curves(spark: SparkSession, sf: str) -> DataFrame:
+    return O.risk_curves(_cells(Roles(spark, sf)))
+
+
+@check()
+def risk_curves_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    df = _weighted(Roles(spark, sf))
+    longest = df.agg(F.max("periods")).first()[0]
+    covariates = X.design(df, [X.Term("segment", "category", ref="BUILDING"), X.Term("trial_num")])
+    return O.risk_curves_adjusted(df, "exp", "periods", "event_itt", "iptw", covariates,
+                                  {"segment": "MACHINERY", "trial_num": 24}, longest)
+
+
+@check(with_roles(["ana"], """SELECT arm, CAST(b AS BIGINT) AS time, CAST(SUM(CASE WHEN periods >= b THEN 1 ELSE 0 END) AS BIGINT)
+    AS n_risk FROM ana, (SELECT UNNEST([0, 6, 12, 18, 24, 30, 36, 42]) AS b) GROUP BY 1, 2"""))
+def at_risk(spark: SparkSession, sf: str) -> DataFrame:
+    return O.at_risk(Roles(spark, sf).analysis, "arm", "periods").withColumn("time", F.col("time").cast("long"))
+
+
+@check(with_roles(["ana"], """SELECT arm, time, n_risk, n_event, ROUND(s, 8) AS survival, ROUND(1 - s, 8) AS cuminc FROM (
+    SELECT *, CASE WHEN MIN(1 - n_event / n_risk) OVER (PARTITION BY arm ORDER BY time) <= 0 THEN 0
+      ELSE EXP(SUM(LN(GREATEST(1 - n_event / n_risk, 1e-300))) OVER (PARTITION BY arm ORDER BY time)) END AS s FROM (
+      SELECT arm, CAST(periods AS BIGINT) AS time, CAST(SUM(COUNT(*)) OVER (PARTITION BY arm ORDER BY periods DESC) AS BIGINT)
+      AS n_risk, CAST(SUM(event_itt) AS BIGINT) AS n_event FROM ana GROUP BY arm, periods))"""))
+def kaplan_meier(spark: SparkSession, sf: str) -> DataFrame:
+    out = O.kaplan_meier(Roles(spark, sf).analysis, "arm", "periods", "event_itt")
+    return _rounded(out.withColumns({c: F.col(c).cast("long") for c in ("time", "n_risk", "n_event")}), 8)
+
+
+# ---- bootstrap -----------------------------------------------------------------------------------
+
+@check("""SELECT l_suppkey, ROUND(quantile_cont(l_discount, 0.025), 9) AS l_discount_lcl,
+    ROUND(quantile_cont(l_discount, 0.975), 9) AS l_discount_ucl, ROUND(quantile_cont(l_tax, 0.025), 9) AS l_tax_lcl,
+    ROUND(quantile_cont(l_tax, 0.975), 9) AS l_tax_ucl FROM lineitem GROUP BY 1""")
+def bootstrap_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).table("lineitem", "l_suppkey", "l_discount", "l_tax")
+    return _rounded(percentile_interval(df, ["l_suppkey"], ["l_discount", "l_tax"]))
+
+
+@check()
+def bootstrap_curves(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).analysis
+    return BS.bootstrap_curves(df, "exp", "periods", "event_itt", X.design(df, TERMS), "row_key", REPLICATES, 7)
+
+
+@check()
+def bootstrap_curves_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The n-of-n resampling scheme, as plot rows per arm."""
+    df = Roles(spark, sf).analysis
+    curves = BS.bootstrap_curves(df, "exp", "periods", "event_itt", X.design(df, TERMS), "row_key", REPLICATES, 7,
+                                 "multinomial")
+    return O.curve_long(curves, ["A", "B"])
+
+
+# ---- boosting --------------------------------------------------------------------------------------
+
+@check()
+def ps_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).analysis
+    scored, _ = G.ps_gbt(df, "exp", X.design(df, GBT_TERMS), GBT_PARAMS)
+    return W.iptw(scored, "exp").select("row_key", "exp", "pn", "pd", "iptw")
+
+
+@check()
+def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).analysis
+    d = X.design(df, GBT_TERMS)
+    return G.importance(df, G.fit_gbt(df, "exp", d, GBT_PARAMS), d, {"trial_num": "Month of baseline"})
+
+
+@check()
+def tune_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """Learning rate first, then depth and node size at the best rate (reduced lists)."""
+    df = Roles(spark, sf).analysis
+    d = X.design(df, GBT_TERMS)
+    rates = grid(trees=[8], depth=[2], shrinkage=[0.3, 0.1], min_node=[20])
+    first = G.tune_gbt(df, "exp", d, rates, "row_key", folds=3)
+    best = G.best_params(first)
+    second = G.tune_gbt(df, "exp", d, grid(trees=[8], depth=[1, 3], shrinkage=[best["shrinkage"]], min_node=[50]),
+                        "row_key", folds=3)
+    rows = [(r["shrinkage"], int(r["depth"]), int(r["min_node"]), int(r["best_trees"]), float(r["score"]))
+            for r in [*first, *second]]
+    return spark.createDataFrame(rows, "shrinkage double, depth int, min_node int, best_trees int, score double")
+
+
+@check()
+def bootstrap_curves_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    df = Roles(spark, sf).analysis
+    return BS.bootstrap_curves_gbt(df, "exp", "periods", "event_itt", X.design(df, GBT_TERMS), "row_key", GBT_PARAMS, n=2)
