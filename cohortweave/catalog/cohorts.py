@@ -11,6 +11,7 @@ from cohortweave.operators import device as dev, episodes as E, phenotype as P,
 from cohortweave.operators.asof import asof_by_period
 from cohortweave.operators.intervals import overlap_count, overlap_pivot
 from cohortweave.plans import cohort as plan
+from cohortweave.session import staged
 
 ROW = plan.ROW
 EXPOSURE = "person_id, arm, release_ts, days_supply, start_date, end_date, drug_name"
@@ -60,7 +61,7 @@ def _index(r: Roles) -> DataFrame:
 
 
 def _user_type(r: Roles, index: DataFrame) -> DataFrame:
-    prior = r.rx_all.where("arm = 'A'") if hasattr(r, "rx_all") else r.fills.where("arm = 'A'").select(
+    prior = r.fills.where("arm = 'A'").select(
         "person_id", F.col("release_ts").cast("date").alias("start_date"),
         F.date_add(F.col("release_ts").cast("date"), F.col("days_supply")).alias("end_date"))
     return E.user_type(index, prior).withColumn("gap_days", F.col("gap_days").cast("long"))
@@ -124,7 +125,7 @@ def exposure_summary(spark: SparkSession, sf: str) -> DataFrame:
 @check(with_roles(["expo"], "SELECT person_id, arm, start_date, gap_days, user_type FROM ut", FOLD))
 def user_type(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    return _user_type(r, _index(r)).select(*ROW, "gap_days", "user_type")
+    return _user_type(r, staged(_index(r))).select(*ROW, "gap_days", "user_type")
 
 
 CROSS = """SELECT i.person_id, i.arm, i.start_date, MIN(CASE WHEN e.arm = 'A' THEN e.start_date END) AS next_0,
@@ -135,8 +136,8 @@ CROSS = """SELECT i.person_id, i.arm, i.start_date, MIN(CASE WHEN e.arm = 'A' TH
 
 @check(with_roles(["expo"], CROSS, FOLD))
 def crossover_date(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf)
-    return E.crossover_date(_index(r), _episodes(r), ["A", "B"])
+    episodes = staged(_episodes(Roles(spark, sf)))
+    return E.crossover_date(E.index_episodes(episodes, ["person_id", "arm"]), episodes, ["A", "B"])
 
 
 @check(with_roles(["xw"], "SELECT * FROM dead", DEATH))
@@ -150,8 +151,9 @@ def death_cascade(spark: SparkSession, sf: str) -> DataFrame:
     LEFT JOIN dead d ON i.person_id = d.person_id WHERE hf_date IS NOT NULL""", {**FOLD, **DEATH}))
 def exposure_with_death(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    index = _index(r).join(r.eligible.select("person_id", "eligible_date", "hf_date"), "person_id")
-    return plan.exposure_with_death(index, _user_type(r, _index(r)), _deaths(r), CUTOFF, "hf_date")
+    first = staged(_index(r))
+    index = first.join(r.eligible.select("person_id", "eligible_date", "hf_date"), "person_id")
+    return plan.exposure_with_death(index, _user_type(r, first), _deaths(r), CUTOFF, "hf_date")
 
 
 # ---- baseline ------------------------------------------------------------------------------
@@ -207,7 +209,7 @@ _BASE_ROLES = ["ix", "vital", "smoke", "addr", "lab", "ef", "rec", "hf_stay", "a
 @check(with_roles(_BASE_ROLES, BASELINE, _BASE))
 def baseline_table(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    return plan.baseline(r.index, r.sources, STUDY).withColumn("lvef_bl", F.round("lvef_bl", 9))
+    return plan.baseline(staged(r.index), r.sources, STUDY).withColumn("lvef_bl", F.round("lvef_bl", 9))
 
 
 # ---- follow-up and person-months ----------------------------------------------------------------
@@ -290,11 +292,11 @@ def _long_time(df: DataFrame) -> DataFrame:
 def tv_asof(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
     month = {"start": "start_date", "periods": "periods", "ts": "ts"}
-    rounded = F.col("value").cast("decimal(10,1)").cast("double")
-    weight = asof_by_period(r.spans, plan.weights_in_range(r.sources, STUDY), "person_id", ROW, **month,
+    spans = staged(r.spans)
+    weight = asof_by_period(spans, plan.weights_in_range(r.sources, STUDY), "person_id", ROW, **month,
                             values={"weight_tv": F.col("value")}).withColumn(
         "weight_tv", F.col("weight_tv").cast("decimal(10,1)").cast("double"))
-    labs = asof_by_period(r.spans, r.labs, "person_id", ROW, **month,
+    labs = asof_by_period(spans, r.labs, "person_id", ROW, **month,
                           values={"creatinine_tv": F.col("value"), "bnp_tv": F.col("value")},
                           where={"creatinine_tv": F.col("phenotype") == "Creatinine", "bnp_tv": F.col("phenotype") == "BNP"})
     for c in ("creatinine_tv", "bnp_tv"):
@@ -306,8 +308,9 @@ def tv_asof(spark: SparkSession, sf: str) -> DataFrame:
 def tv_overlap_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
     month = {"start": "start_date", "periods": "periods", "a": "admit_ts", "d": "discharge_ts"}
-    hf = overlap_count(r.spans, r.hf_stays, "person_id", ROW, **month, name="hf_stays_tv", cumulative="hf_stays_cum")
-    every = overlap_count(r.spans, r.stays, "person_id", ROW, **month, name="stays_tv")
+    spans = staged(r.spans)
+    hf = overlap_count(spans, r.hf_stays, "person_id", ROW, **month, name="hf_stays_tv", cumulative="hf_stays_cum")
+    every = overlap_count(spans, r.stays, "person_id", ROW, **month, name="stays_tv")
     return _long_time(hf.join(every, [*ROW, "time"]))
 
 
@@ -326,7 +329,7 @@ def tv_overlap_pivot(spark: SparkSession, sf: str) -> DataFrame:
                   {**FOLD, **TV, **HOSP, **RX_TV}))
 def tv_table(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    spans = r.spans.withColumn("end_date", F.col("start_date"))
+    spans = staged(r.spans.withColumn("end_date", F.col("start_date")))
     out = plan.time_varying(spans, _episodes(r), r.sources, STUDY, ["A", "B"], RX_COLUMNS).drop("end_date")
     decimals = [f.name for f in out.schema if f.dataType.typeName() == "decimal"]
     return _long_time(out).withColumns({

@@ -8,6 +8,7 @@ from cohortweave.catalog.registry import check
 from cohortweave.catalog.roles import Roles, with_roles
 from cohortweave.operators.reshape import grid
 from cohortweave.operators.summaries import percentile_interval
+from cohortweave.session import staged
 from cohortweave.stats import balance as B, boosting as G, bootstrap as BS, features as X, outcome as O, weights as W
 
 TERMS = [
@@ -113,7 +114,7 @@ _T1 = {
     UNION ALL SELECT variable, level, stratum, 'count', n FROM cat
     UNION ALL SELECT variable, level, stratum, 'percent', 100.0 * n / total FROM cat)""", _T1))
 def table_one(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(B.table_one(Roles(spark, sf).analysis, "arm", ["balance"], ["periods"], ["segment", "zone"]), 6)
+    return _rounded(B.table_one(staged(Roles(spark, sf).analysis), "arm", ["balance"], ["periods"], ["segment", "zone"]), 6)
 
 
 _PS = {
@@ -123,12 +124,12 @@ _PS = {
 
 
 def _weighted(r: Roles) -> DataFrame:
-    return W.iptw(W.ps_saturated(r.analysis, "exp", ["segment", "zone"]), "exp")
+    return W.iptw(W.ps_saturated(staged(r.analysis), "exp", ["segment", "zone"]), "exp")
 
 
 @check(with_roles(["ana"], "SELECT row_key, ROUND(pd, 9) AS pd FROM ps", _PS))
 def ps_saturated(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(W.ps_saturated(Roles(spark, sf).analysis, "exp", ["segment", "zone"]).select("row_key", "pd"))
+    return _rounded(W.ps_saturated(staged(Roles(spark, sf).analysis), "exp", ["segment", "zone"]).select("row_key", "pd"))
 
 
 @check(with_roles(["ana"], "SELECT row_key, ROUND(pn, 9) AS pn, ROUND(pd, 9) AS pd, ROUND(iptw, 9) AS iptw FROM wt", _PS))
@@ -139,7 +140,7 @@ def iptw(spark: SparkSession, sf: str) -> DataFrame:
 @check(with_roles(["ana"], """SELECT arm, CAST(FLOOR(pd / 0.025) AS BIGINT) AS bin, COUNT(*) AS n,
     ROUND(FLOOR(pd / 0.025) * 0.025, 6) AS bin_start FROM ps GROUP BY 1, 2, 4""", _PS))
 def ps_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    ps = W.ps_saturated(Roles(spark, sf).analysis, "exp", ["segment", "zone"])
+    ps = W.ps_saturated(staged(Roles(spark, sf).analysis), "exp", ["segment", "zone"])
     return _rounded(B.histogram(ps, "pd", 0.025, ["arm"]), 6)
 
 
@@ -165,7 +166,7 @@ def _with_flag(df: DataFrame) -> DataFrame:
 
 @check(with_roles(["ana"], _smd_sql("1.0::DOUBLE"), _PS))
 def smd_unweighted(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(B.smd(_with_flag(Roles(spark, sf).analysis), "exp", _NUMERIC, ["built"]), 6)
+    return _rounded(B.smd(_with_flag(staged(Roles(spark, sf).analysis)), "exp", _NUMERIC, ["built"]), 6)
 
 
 @check(with_roles(["ana"], _smd_sql("iptw"), _PS))
@@ -191,7 +192,7 @@ def smd_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 @check()
 def ps_logistic(spark: SparkSession, sf: str) -> DataFrame:
-    df = Roles(spark, sf).analysis
+    df = staged(Roles(spark, sf).analysis)
     return W.iptw(W.ps_logistic(df, "exp", X.design(df, TERMS)), "exp").select("row_key", "exp", "pn", "pd", "iptw")
 
 
@@ -278,14 +279,14 @@ def bootstrap_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @check()
 def bootstrap_curves(spark: SparkSession, sf: str) -> DataFrame:
-    df = Roles(spark, sf).analysis
+    df = staged(Roles(spark, sf).analysis)
     return BS.bootstrap_curves(df, "exp", "periods", "event_itt", X.design(df, TERMS), "row_key", REPLICATES, 7)
 
 
 @check()
 def bootstrap_curves_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The n-of-n resampling scheme, as plot rows per arm."""
-    df = Roles(spark, sf).analysis
+    df = staged(Roles(spark, sf).analysis)
     curves = BS.bootstrap_curves(df, "exp", "periods", "event_itt", X.design(df, TERMS), "row_key", REPLICATES, 7,
                                  "multinomial")
     return O.curve_long(curves, ["A", "B"])
@@ -295,14 +296,14 @@ def bootstrap_curves_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @check()
 def ps_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    df = Roles(spark, sf).analysis
+    df = staged(Roles(spark, sf).analysis)
     scored, _ = G.ps_gbt(df, "exp", X.design(df, GBT_TERMS), GBT_PARAMS)
     return W.iptw(scored, "exp").select("row_key", "exp", "pn", "pd", "iptw")
 
 
 @check()
 def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
-    df = Roles(spark, sf).analysis
+    df = staged(Roles(spark, sf).analysis)
     d = X.design(df, GBT_TERMS)
     return G.importance(df, G.fit_gbt(df, "exp", d, GBT_PARAMS), d, {"trial_num": "Month of baseline"})
 
@@ -310,7 +311,7 @@ def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
 @check()
 def tune_gbt(spark: SparkSession, sf: str) -> DataFrame:
     """Learning rate first, then depth and node size at the best rate (reduced lists)."""
-    df = Roles(spark, sf).analysis
+    df = staged(Roles(spark, sf).analysis)
     d = X.design(df, GBT_TERMS)
     rates = grid(trees=[8], depth=[2], shrinkage=[0.3, 0.1], min_node=[20])
     first = G.tune_gbt(df, "exp", d, rates, "row_key", folds=3)
@@ -324,5 +325,5 @@ def tune_gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 @check()
 def bootstrap_curves_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    df = Roles(spark, sf).analysis
+    df = staged(Roles(spark, sf).analysis)
     return BS.bootstrap_curves_gbt(df, "exp", "periods", "event_itt", X.design(df, GBT_TERMS), "row_key", GBT_PARAMS, n=2)

@@ -41,9 +41,12 @@ class Roles:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = tune(spark), folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str, *columns: str) -> DataFrame:
-        return load(self.spark, self.folder, name, columns or None)
+        if name not in self._tables:
+            self._tables[name] = load(self.spark, self.folder, name)
+        return self._tables[name].select(*columns) if columns else self._tables[name]
 
     @cached_property
     def crosswalk(self) -> DataFrame:
@@ -90,9 +93,9 @@ class Roles:
 
     @cached_property
     def first_hf(self) -> DataFrame:
-        hf = self.diagnoses.where(match_patterns("code", HF_RULE.include))
-        inpatient, outpatient = hf.where("is_inpatient"), hf.where(~F.col("is_inpatient"))
-        return first_dates([(inpatient, "ts"), (outpatient, "visit_ts")], name="hf_date")
+        hf = self.diagnoses.where(match_patterns("code", HF_RULE.include)).withColumn(
+            "day", F.when(F.col("is_inpatient"), F.col("ts")).otherwise(F.col("visit_ts")))
+        return first_dates([(hf, "day")], name="hf_date")
 
     @cached_property
     def implants(self) -> DataFrame:

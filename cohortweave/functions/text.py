@@ -14,8 +14,12 @@ def _c(col: str | Column) -> Column:
 
 
 def wildcard_to_regex(pattern: str) -> str:
-    """Anchored regex of a wildcard pattern: ``%``, ``_``, ``[set]`` and ``[^set]``."""
-    parts = re.split(r"(\[[^\]]*\]|%|_)", pattern)
+    """Regex of a wildcard pattern: ``%``, ``_``, ``[set]`` and ``[^set]``.
+
+    A ``%`` at either end becomes a missing anchor, which spares the matcher a scan.
+    """
+    core = pattern.strip("%")
+    parts = re.split(r"(\[[^\]]*\]|%|_)", core)
     out = []
     for part in parts:
         if part == "%":
@@ -28,7 +32,9 @@ def wildcard_to_regex(pattern: str) -> str:
             out.append("[" + negate + (body if is_range else re.sub(r"([^\w ])", r"\\\1", body)) + "]")
         else:
             out.append(re.sub(r"([^\w ])", r"\\\1", part))
-    return "^" + "".join(out) + "$"
+    start = "" if pattern.startswith("%") else "^"
+    end = "" if pattern.endswith("%") else "$"
+    return start + "".join(out) + end
 
 
 def any_pattern(patterns: Sequence[str]) -> str:
@@ -57,6 +63,11 @@ def match_patterns(col: str | Column, include: Sequence[str] = (), exclude: Sequ
     return keep
 
 
+def none_of(col: str | Column, patterns: Sequence[str]) -> Column:
+    """No pattern matches; NULL stays NULL."""
+    return ~_c(col).rlike(any_pattern(patterns))
+
+
 def strip_chars(col: str | Column, chars: str) -> Column:
     """Remove any of ``chars`` from both ends."""
     return F.btrim(_c(col), F.lit(chars))

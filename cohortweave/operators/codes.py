@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortweave.functions.text import match_patterns, without_dots
+from cohortweave.functions.text import match_patterns, none_of, without_dots
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def drug_class_set(classes: DataFrame, national: DataFrame, drug_id: str, drug_c
     ``national`` the same columns but the class.
     """
     listed = classes.where(F.col(drug_class).isin(list(wanted))
-                           & match_patterns(name, include=["%"], exclude=excluded_names))
+                           & none_of(name, excluded_names))
     named = (national.where(by_name.test(name_with_dose) & ~F.col(form).isin(list(excluded_forms)))
              .withColumn(drug_class, F.lit(by_name.concept)))
     cols = [drug_id, drug_class, name, name_with_dose, form]

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortweave.functions.dates import first_period_ending_after, last_period_opening_by
 from cohortweave.functions.text import flag_or_null, number_or_null
-from cohortweave.operators.summaries import window_summary
 from cohortweave.sources.tables import harmonise
 
 # Sums, means and extremes of the monthly device summary.
@@ -66,11 +65,17 @@ def device_monthly(spans: DataFrame, daily: DataFrame, by: str, row_id: Sequence
     A day lies in one window, or in two where month lengths make windows overlap;
     the windows are found by arithmetic, so the join does not multiply by periods.
     """
+    # Totals per device day first: a device with very many rows brings one row per day.
+    measures = list(dict.fromkeys(c for c, _, _ in spec))
+    totals = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+    by_day = daily.groupBy(by, serial, day).agg(*[
+        f(c).alias(f"{n}:{c}") for c in measures for n, f in totals.items()])
     lo = F.greatest(F.lit(0), first_period_ending_after(start, day))
     hi = F.least(F.col(periods) - 1, last_period_opening_by(start, day))
-    measures = list(dict.fromkeys(c for c, _, _ in spec))
-    rows = (spans.select(*dict.fromkeys([by, *row_id, start, periods]))
-            .join(daily.select(by, serial, day, *measures), by)
+    rows = (spans.select(*dict.fromkeys([by, *row_id, start, periods])).join(by_day, by)
             .withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_lo") <= F.col("_hi"))
             .withColumn("time", F.explode(F.sequence("_lo", "_hi"))))
-    return window_summary(rows, [*row_id, serial, "time"], spec)
+    mean = lambda c: F.sum(f"sum:{c}") / F.sum(f"count:{c}")
+    over = {"sum": lambda c: F.sum(f"sum:{c}"), "max": lambda c: F.max(f"max:{c}"),
+            "min": lambda c: F.min(f"min:{c}"), "count": lambda c: F.sum(f"count:{c}"), "mean": mean}
+    return rows.groupBy(*row_id, serial, "time").agg(*[over[f](c).alias(n) for c, f, n in spec])

@@ -19,17 +19,20 @@ def exposure_fills(fills: DataFrame, eligible: DataFrame, exposed: str, comparat
     eligibility date.  Comparator arm: fills released at or after it.  Fills equal in
     all listed columns count once.
     """
-    dated = (fills.where(F.col(release).isNotNull() & F.col(days).isNotNull())
-             .withColumn("start_date", F.col(release).cast("date"))
-             .withColumn("end_date", F.date_add(F.col("start_date"), F.col(days).cast("int")))
-             .select(person, arm, release, days, "start_date", "end_date", *columns)
-             .distinct().join(eligible.select(person, eligible_date), person))
-    first = (dated.where(F.col(arm) == exposed).groupBy(person, eligible_date)
-             .agg(F.min("start_date").alias("_first")).where(F.col("_first") >= F.col(eligible_date)))
-    new_users = dated.where(F.col(arm) == exposed).join(first.select(person), person, "left_semi")
-    others = dated.where((F.col(arm) == comparator)
-                         & (F.col(release) >= F.col(eligible_date).cast("timestamp_ntz")))
-    return new_users.unionByName(others)
+    start = F.col(release).cast("date")
+    known = (fills.where(F.col(release).isNotNull() & F.col(days).isNotNull())
+             .select(person, arm, start.alias("start_date"), release, days, *columns))
+    # The rule only looks at days, so it is decided on one row per (person, arm, day);
+    # the fills then meet their day, which spreads a person with very many fills.
+    by_day = known.select(person, arm, "start_date").distinct()
+    first = by_day.where(F.col(arm) == exposed).groupBy(person).agg(F.min("start_date").alias("_first"))
+    people = eligible.select(person, eligible_date).join(first, person, "left")
+    opens = F.when(F.col(arm) == exposed, F.col("_first") >= F.col(eligible_date)).when(
+        F.col(arm) == comparator, F.col("start_date") >= F.col(eligible_date))
+    open_days = by_day.join(people, person).where(opens).drop("_first")
+    return (known.join(open_days, [person, arm, "start_date"])
+            .withColumn("end_date", F.date_add(F.col("start_date"), F.col(days).cast("int")))
+            .select(person, arm, release, days, "start_date", "end_date", eligible_date, *columns).distinct())
 
 
 def treatment_episodes(fills: DataFrame, keys: Sequence[str], start: str = "start_date",

@@ -61,7 +61,15 @@ def overlaps(windows: DataFrame, intervals: DataFrame, by: str | Sequence[str],
     """
     S, E, A, D = (F.col(c) for c in (s, e, a, d))
     hit = ((S <= A) & (A < E)) | ((S <= D) & (D < E)) | ((E >= A) & (E <= D))
-    return windows.join(intervals, _list(by)).where(hit)
+    month = lambda x: F.year(x) * 12 + F.month(x)
+    # Both sides are laid out by calendar month.  A pair that touches shares the later
+    # of the two first months, and is emitted there only.
+    spread = lambda df, lo, hi, first: df.withColumn(first, month(lo)).withColumn(
+        "_month", F.explode(F.sequence(F.col(first), month(hi))))
+    left = spread(windows, S, E, "_w0")
+    right = spread(intervals.where(A.isNotNull() | D.isNotNull()), F.least(A, D), F.greatest(A, D), "_i0")
+    return (left.join(right, [*_list(by), "_month"])
+            .where(hit & (F.col("_month") == F.greatest("_w0", "_i0"))).drop("_month", "_w0", "_i0"))
 
 
 def _runs(start: str, a: Column, a_up: Column, d: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortweave.functions.text import match_patterns, same_text, strip_chars, text_in
+from cohortweave.functions.text import none_of, same_text, strip_chars, text_in
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,7 @@ def _number(dtype: str) -> Callable[[Callable[[str], Column]], Column]:
 
 DEFAULT_LAB_RULES = [
     LabRule("Creatinine",
-            lambda c: (c("result_number").isNotNull() & match_patterns(c("test_name"), ["%"], ["%URINE%"])
+            lambda c: (c("result_number").isNotNull() & none_of(c("test_name"), ["%URINE%"])
                        & (c("result_number") <= CREATININE_MAX) & c("ref_high").isNotNull()
                        & _excluded(c("units"), CREATININE_UNITS_EXCLUDED)),
             _number("decimal(8,2)")),
@@ -88,14 +88,14 @@ DEFAULT_LAB_RULES = [
             lambda c: parse_result(c("result_number"), c("result_text"), ["<", ">", "Hh", " "], "decimal(14,2)")),
     LabRule("potassium",
             lambda c: (_excluded(c("ref_low"), POTASSIUM_REF_LOW_EXCLUDED)
-                       & match_patterns(c("units"), ["%"], ["%/24h"])
+                       & none_of(c("units"), ["%/24h"])
                        & (c("ref_low").isNotNull() | (c("result_number") <= POTASSIUM_MAX))),
             _number("decimal(14,2)")),
     LabRule("Albumin",
             lambda c: (text_in(c("units"), ALBUMIN_UNITS) & c("ref_high").isNotNull()
                        & _excluded(c("ref_high"), ALBUMIN_REF_HIGH_EXCLUDED)),
             _number("decimal(14,2)")),
-    LabRule("Hemoglobin", lambda c: match_patterns(c("test_name"), ["%"], ["%SERUM%", "%PLASMA%"]),
+    LabRule("Hemoglobin", lambda c: none_of(c("test_name"), ["%SERUM%", "%PLASMA%"]),
             _number("decimal(14,2)")),
 ]
 
@@ -105,7 +105,7 @@ def admissible_labs(labs: DataFrame, end: str, specimen_ts: str = "specimen_ts")
     return labs.where(
         F.col(specimen_ts).isNotNull() & (F.col(specimen_ts) <= F.lit(end).cast("timestamp_ntz"))
         & F.col("result_text").isNotNull() & _excluded(F.col("result_text"), RESULT_SENTINELS)
-        & match_patterns("units", ["%"], UNIT_PATTERNS_EXCLUDED))
+        & none_of("units", UNIT_PATTERNS_EXCLUDED))
 
 
 def clean_labs(labs: DataFrame, rules: Sequence[LabRule] = tuple(DEFAULT_LAB_RULES), phenotype: str = "phenotype",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings.  A forced skew split lets AQE cut a hot join key even when
 # the join's output partitioning is used again by a later aggregate.
@@ -54,3 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = shared or tempfile.mkdtemp(prefix="cohortweave-ckpt-")
     sc.setCheckpointDir(target)
     return target
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the checkpoint folder.
+
+    For frames that several later passes read: it survives lost executors and cuts
+    the lineage of iterative fits.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -38,7 +38,11 @@ def fit_gbt(df: DataFrame, treat: str, design: Design, params: Mapping[str, floa
             seed: int = 13) -> GBTClassificationModel:
     ensure_checkpoint_dir(df.sparkSession)
     extra = [F.col(weight).cast("double").alias(weight)] if weight else []
-    return _classifier(params, weight, seed).fit(_training(df, treat, design, extra))
+    data = _training(df, treat, design, extra).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _classifier(params, weight, seed).fit(data)
+    finally:
+        data.unpersist()
 
 
 def ps_gbt(df: DataFrame, treat: str, design: Design, params: Mapping[str, float], name: str = "pd",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,7 +29,11 @@ def fit_logistic(df: DataFrame, treat: str, design: Design, weight: str | None =
                                       predictionCol="_p", maxIter=max_iter, tol=1e-8, regParam=0.0)
     if weight:
         glm = glm.setWeightCol("_w")
-    return glm.fit(data)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return glm.fit(data)
+    finally:
+        data.unpersist()
 
 
 def score(df: DataFrame, model: GeneralizedLinearRegressionModel, design: Design, name: str) -> DataFrame:
