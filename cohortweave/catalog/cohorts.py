@@ -53,7 +53,7 @@ DEATH = {
 
 
 def _episodes(r: Roles) -> DataFrame:
-    return E.treatment_episodes(r.exposure, ["person_id", "arm"])
+    return E.treatment_episodes(r.exposure_days, ["person_id", "arm"])
 
 
 def _index(r: Roles) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortweave.functions.dates import month_boundaries
 from cohortweave.functions.text import match_patterns
 from cohortweave.operators.codes import NameRule, code_set
-from cohortweave.operators.episodes import exposure_fills
+from cohortweave.operators.episodes import exposure_days, exposure_fills
 from cohortweave.operators.persons import to_person
 from cohortweave.operators.phenotype import eligible_date, first_dates
 from cohortweave.plans.cohort import Sources, Study, followup
@@ -110,10 +110,14 @@ class Roles:
     def exposure(self) -> DataFrame:
         return exposure_fills(self.fills, self.eligible, "B", "A", columns=["drug_name"])
 
+    @cached_property
+    def exposure_days(self) -> DataFrame:
+        return exposure_days(self.fills, self.eligible, "B", "A", columns=["drug_name"])
+
     @cached_property
     def index(self) -> DataFrame:
         """First exposure day per (person, arm)."""
-        return self.exposure.groupBy("person_id", "arm").agg(F.min("start_date").alias("start_date"))
+        return self.exposure_days.groupBy("person_id", "arm").agg(F.min("start_date").alias("start_date"))
 
     @cached_property
     def stays(self) -> DataFrame:

@@ -10,6 +10,21 @@ from cohortweave.operators.asof import asof_latest
 from cohortweave.operators.reshape import pivot_dates
 
 
+def _open_days(by_day: DataFrame, eligible: DataFrame, exposed: str, comparator: str, person: str, arm: str,
+               eligible_date: str) -> DataFrame:
+    """Rows of one (person, arm, day) each that pass the rule of their arm."""
+    first = by_day.where(F.col(arm) == exposed).groupBy(person).agg(F.min("start_date").alias("_first"))
+    people = eligible.select(person, eligible_date).join(first, person, "left")
+    opens = F.when(F.col(arm) == exposed, F.col("_first") >= F.col(eligible_date)).when(
+        F.col(arm) == comparator, F.col("start_date") >= F.col(eligible_date))
+    return by_day.join(people, person).where(opens).drop("_first")
+
+
+def _known(fills: DataFrame, person: str, arm: str, release: str, days: str, columns: Sequence[str]) -> DataFrame:
+    return (fills.where(F.col(release).isNotNull() & F.col(days).isNotNull())
+            .select(person, arm, F.col(release).cast("date").alias("start_date"), release, days, *columns))
+
+
 def exposure_fills(fills: DataFrame, eligible: DataFrame, exposed: str, comparator: str, person: str = "person_id",
                    arm: str = "arm", release: str = "release_ts", days: str = "days_supply",
                    eligible_date: str = "eligible_date", columns: Sequence[str] = ()) -> DataFrame:
@@ -18,23 +33,31 @@ def exposure_fills(fills: DataFrame, eligible: DataFrame, exposed: str, comparat
     Exposed arm: all fills of persons whose first fill of that arm is not before the
     eligibility date.  Comparator arm: fills released at or after it.  Fills equal in
     all listed columns count once.
+
+    The rule only looks at days, so it is decided on one row per (person, arm, day);
+    the fills then meet their day, which spreads a person with very many fills.
     """
-    start = F.col(release).cast("date")
-    known = (fills.where(F.col(release).isNotNull() & F.col(days).isNotNull())
-             .select(person, arm, start.alias("start_date"), release, days, *columns))
-    # The rule only looks at days, so it is decided on one row per (person, arm, day);
-    # the fills then meet their day, which spreads a person with very many fills.
+    known = _known(fills, person, arm, release, days, columns)
     by_day = known.select(person, arm, "start_date").distinct()
-    first = by_day.where(F.col(arm) == exposed).groupBy(person).agg(F.min("start_date").alias("_first"))
-    people = eligible.select(person, eligible_date).join(first, person, "left")
-    opens = F.when(F.col(arm) == exposed, F.col("_first") >= F.col(eligible_date)).when(
-        F.col(arm) == comparator, F.col("start_date") >= F.col(eligible_date))
-    open_days = by_day.join(people, person).where(opens).drop("_first")
+    open_days = _open_days(by_day, eligible, exposed, comparator, person, arm, eligible_date)
     return (known.join(open_days, [person, arm, "start_date"])
             .withColumn("end_date", F.date_add(F.col("start_date"), F.col(days).cast("int")))
             .select(person, arm, release, days, "start_date", "end_date", eligible_date, *columns).distinct())
 
 
+def exposure_days(fills: DataFrame, eligible: DataFrame, exposed: str, comparator: str, person: str = "person_id",
+                  arm: str = "arm", release: str = "release_ts", days: str = "days_supply",
+                  eligible_date: str = "eligible_date", columns: Sequence[str] = ()) -> DataFrame:
+    """Days of supply per (person, arm, start day) of the fills in ``exposure_fills``.
+
+    This is all that episodes need: fills are summed per day before they meet the
+    person, and what follows keeps the placement by person.
+    """
+    unique = _known(fills, person, arm, release, days, columns).distinct()
+    by_day = unique.groupBy(person, arm, "start_date").agg(F.sum(F.col(days).cast("long")).alias(days))
+    return _open_days(by_day, eligible, exposed, comparator, person, arm, eligible_date)
+
+
 def treatment_episodes(fills: DataFrame, keys: Sequence[str], start: str = "start_date",
                        days: str = "days_supply", grace: int = 30) -> DataFrame:
     """Episodes of continuous treatment with a grace gap and stockpiling.

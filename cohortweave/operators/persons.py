@@ -14,9 +14,9 @@ def to_person(fact: DataFrame, crosswalk: DataFrame, cohort: DataFrame | None =
     The crosswalk is cut to the cohort first, so the fact table meets the smallest
     possible side; the fact side stays the probe side, which AQE can split when one
     site id is hot.  No size is assumed: Spark picks broadcast or shuffle by
-    measured size.
+    measured size.  The crosswalk has one row per site id.
     """
-    links = crosswalk.select(site, person).distinct()
+    links = crosswalk.select(site, person)
     if cohort is not None:
         links = links.join(cohort.select(person), person, "left_semi")
     return fact.join(links, site, "inner").drop(site)
