@@ -214,8 +214,8 @@ def risk_curves_adjusted(df: DataFrame, treat: str, periods: str, event: str, we
                          profile: dict[str, object], max_periods: int, horizon: int = HORIZON) -> DataFrame:
     """Risk curves of an outcome model that also carries covariates, at one covariate profile.
 
-    Rows that agree in all model columns are summed before the fit, which leaves the
-    likelihood unchanged.
+    Rows that agree in all model columns become one row with the weighted share of
+    events before the fit, which leaves the likelihood unchanged.
     """
     from cohortweave.stats.features import Term, ns_basis
 
@@ -224,7 +224,9 @@ def risk_curves_adjusted(df: DataFrame, treat: str, periods: str, event: str, we
     long = expand_periods(df.select(F.col(treat).cast("int").alias("exp"), periods, event,
                                     F.col(weight).cast("double").alias("_weight"), *names), periods, event=event,
                           flag="_event")
-    grouped = long.groupBy("exp", "time", "_event", *names).agg(F.sum("_weight").alias("_weight"))
+    total = F.sum("_weight")
+    grouped = long.groupBy("exp", "time", *names).agg(
+        (F.sum(F.col("_weight") * F.col("_event")) / total).alias("_event"), total.alias("_weight"))
     knots = [0.0, *[k for k in INNER_KNOTS if k < max_periods - 1], float(max_periods - 1)]
     basis = ns_basis("time", knots)
     full = Design([Term("exp"), *covariates.terms])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -31,7 +32,10 @@ def fit_logistic(df: DataFrame, treat: str, design: Design, weight: str | None =
         glm = glm.setWeightCol("_w")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return glm.fit(data)
+        model = glm.fit(data)
+        if model.summary.numIterations >= max_iter:
+            warnings.warn(f"logistic fit of {treat} did not converge in {max_iter} steps (separated groups?)", stacklevel=2)
+        return model
     finally:
         data.unpersist()
 
