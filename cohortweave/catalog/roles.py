@@ -23,6 +23,19 @@ from cohortweave.sources import load
 CUTOFF = "2001-08-01"
 FLOOR = "1996-01-01"
 
+# Declared schemas of the given tables: no footer is read to plan a query.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
 HF_RULE = NameRule("HF", include=["brand#2_"])
 CONDITION_RULES = [
     NameRule("C_low", include=["Brand#_"], exclude=["%#[7-9]"]),
@@ -45,7 +58,7 @@ class Roles:
 
     def table(self, name: str, *columns: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = load(self.spark, self.folder, name)
+            self._tables[name] = load(self.spark, self.folder, name, schema=SCHEMAS.get(name))
         return self._tables[name].select(*columns) if columns else self._tables[name]
 
     @cached_property
