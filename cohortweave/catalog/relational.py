@@ -159,6 +159,18 @@ def plausible_values(spark: SparkSession, sf: str) -> DataFrame:
     return weights_in_range(src, STUDY).unionByName(tall).unionByName(pressures(src))
 
 
+@check(f"""SELECT l_suppkey, l_linestatus, COUNT(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag IN ('A', 'N')
+    AND l_linenumber NOT IN (6, 7) AND l_shipdate IS NOT NULL AND l_shipdate >= TIMESTAMP '1996-01-01'
+    AND l_shipdate <= TIMESTAMP '{CUTOFF}' GROUP BY 1, 2""")
+def flagged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    ship = F.col("l_shipdate")
+    rows = Roles(spark, sf).table("lineitem", "l_suppkey", "l_linestatus", "l_returnflag", "l_linenumber", "l_shipdate")
+    return rows.where((F.col("l_linestatus") == "O") & F.col("l_returnflag").isin("A", "N")
+                      & ~F.col("l_linenumber").isin(6, 7) & ship.isNotNull()
+                      & (ship >= D.midnight(F.lit("1996-01-01"))) & (ship <= D.midnight(F.lit(CUTOFF)))).groupBy(
+        "l_suppkey", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("""SELECT failed_checks, COUNT(*) AS n FROM (SELECT CASE WHEN l_quantity > 25 THEN '' ELSE 'quantity;' END ||
     CASE WHEN l_discount < 0.08 THEN '' ELSE 'discount;' END AS failed_checks FROM lineitem) GROUP BY 1""")
 def expect_checks(spark: SparkSession, sf: str) -> DataFrame:

@@ -31,6 +31,7 @@ def build_local(cores: str | int = "*", memory: str = "8g", partitions: int = 8,
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in RUNTIME_CONF.items():
