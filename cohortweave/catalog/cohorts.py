@@ -293,7 +293,7 @@ def tv_asof(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
     month = {"start": "start_date", "periods": "periods", "ts": "ts"}
     spans = staged(r.spans)
-    weight = asof_by_period(spans, plan.weights_in_range(r.sources, STUDY), "person_id", ROW, **month,
+    weight = asof_by_period(spans, r.vitals.where(plan.is_weight(STUDY)), "person_id", ROW, **month,
                             values={"weight_tv": F.col("value")}).withColumn(
         "weight_tv", F.col("weight_tv").cast("decimal(10,1)").cast("double"))
     labs = asof_by_period(spans, r.labs, "person_id", ROW, **month,

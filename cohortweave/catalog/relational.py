@@ -8,7 +8,7 @@ from cohortweave.catalog.registry import check
 from cohortweave.catalog.roles import CONDITION_RULES, CUTOFF, HF_RULE, STUDY, Roles, with_roles
 from cohortweave.functions import dates as D, rows as R, text as T
 from cohortweave.operators import asof, codes, intervals, labs as L, persons, phenotype, reshape, summaries as S
-from cohortweave.plans.cohort import area_index, pressures, weights_in_range
+from cohortweave.plans.cohort import area_index, is_height, is_pressure, is_weight
 from cohortweave.session import staged
 from cohortweave.sources import expect
 
@@ -154,9 +154,7 @@ def median_window(spark: SparkSession, sf: str) -> DataFrame:
     (kind = 'WEIGHT' AND value > 75 AND value < 700) OR (kind = 'HEIGHT' AND value > 48 AND value < 84)
     OR (kind = 'BLOOD PRESSURE' AND systolic <> 0 AND diastolic <> 0 AND systolic > diastolic)"""))
 def plausible_values(spark: SparkSession, sf: str) -> DataFrame:
-    src = Roles(spark, sf).sources
-    tall = src.vitals.where((F.lower("kind") == "height") & R.plausible("value", 48, 84))
-    return weights_in_range(src, STUDY).unionByName(tall).unionByName(pressures(src))
+    return Roles(spark, sf).vitals.where(is_weight(STUDY) | is_height(STUDY) | is_pressure())
 
 
 @check(f"""SELECT l_suppkey, l_linestatus, COUNT(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag IN ('A', 'N')
@@ -309,7 +307,7 @@ def drug_class_set(spark: SparkSession, sf: str) -> DataFrame:
     WHERE kind = 'WEIGHT' AND value > 75 AND value < 700 AND ts <= CAST(start_date AS TIMESTAMP)) WHERE rn = 1"""))
 def asof_latest(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    return asof.asof_latest(r.index, weights_in_range(r.sources, STUDY), "person_id", "start_date", "ts", ["value"])
+    return asof.asof_latest(r.index, r.vitals.where(is_weight(STUDY)), "person_id", "start_date", "ts", ["value"])
 
 
 _PURCHASE = {"pt": """SELECT user_id, ts AS index_ts FROM events WHERE event_type = 'purchase'"""}
@@ -472,7 +470,7 @@ def modal_counts(spark: SparkSession, sf: str) -> DataFrame:
 @check(with_roles(["vital"], """SELECT person_id, quantile_disc(value, 0.5) AS height FROM vital
     WHERE kind = 'HEIGHT' AND value > 48 AND value < 84 GROUP BY 1"""))
 def median_disc(spark: SparkSession, sf: str) -> DataFrame:
-    v = Roles(spark, sf).vitals.where((F.lower("kind") == "height") & R.plausible("value", 48, 84))
+    v = Roles(spark, sf).vitals.where(is_height(STUDY))
     return S.median_disc(v, ["person_id"], "value", "height")
 
 

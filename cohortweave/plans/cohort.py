@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortweave.functions.dates import fiscal_quarter, fiscal_year, month_boundaries, usable_from
 from cohortweave.functions.rows import censor_after, plausible, plausible_pressure
@@ -77,13 +77,16 @@ def exposure_with_death(index: DataFrame, types: DataFrame, deaths: DataFrame, c
             .withColumn("death_date", censor_after("death_date", cutoff)).distinct())
 
 
-def weights_in_range(src: Sources, study: Study) -> DataFrame:
-    low, high = study.weight_range
-    return src.vitals.where((F.lower("kind") == "weight") & plausible("value", low, high))
+def is_weight(study: Study) -> Column:
+    return (F.lower("kind") == "weight") & plausible("value", *study.weight_range)
 
 
-def pressures(src: Sources) -> DataFrame:
-    return src.vitals.where((F.lower("kind") == "blood pressure") & plausible_pressure("systolic", "diastolic"))
+def is_height(study: Study) -> Column:
+    return (F.lower("kind") == "height") & plausible("value", *study.height_range)
+
+
+def is_pressure() -> Column:
+    return (F.lower("kind") == "blood pressure") & plausible_pressure("systolic", "diastolic")
 
 
 def area_index(index: DataFrame, area: DataFrame) -> DataFrame:
@@ -100,20 +103,21 @@ def baseline(index: DataFrame, src: Sources, study: Study) -> DataFrame:
     Each covariate is grouped by (person, start date), so the merges share one
     placement of the rows.
     """
-    low, high = study.height_range
-    weight = asof_latest(index, weights_in_range(src, study), PERSON, START, "ts", ["value"]).select(
-        *INDEX, F.col("value").alias("weight_bl"), F.col("ts").cast("date").alias("weight_bl_dt"))
-    tall = src.vitals.where((F.lower("kind") == "height") & plausible("value", low, high))
+    # Weight and pressure share one pass over the vitals; their value is one struct.
+    reading = F.struct(F.when(is_weight(study), F.col("value")).alias("value"), "systolic", "diastolic")
+    vitals = asof_latest_wide(
+        index, src.vitals.where(is_weight(study) | is_pressure()).withColumn("_v", reading), PERSON, START, "ts", "kind",
+        "_v", {"weight": "_w", "blood pressure": "_bp"}).select(
+        *INDEX, F.col("_w.value").alias("weight_bl"), F.col("_w_dt").cast("date").alias("weight_bl_dt"),
+        F.col("_bp.systolic").alias("sbp_bl"), F.col("_bp.diastolic").alias("dbp_bl"))
+    tall = src.vitals.where(is_height(study))
     tall = (tall.groupBy(PERSON, "value", usable_from("ts").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
             .join(index.select(*INDEX).distinct(), PERSON).where(F.col("_day") <= F.col(START)))
     height = median_disc(tall, INDEX, "value", "height_bl", frequency="_n")
-    pressure = asof_latest(index, pressures(src), PERSON, START, "ts", ["systolic", "diastolic"]).select(
-        *INDEX, F.col("systolic").alias("sbp_bl"), F.col("diastolic").alias("dbp_bl"))
     ef = daily_mean(src.ejection, [PERSON], "ts", "value", name="ef")
     frames = {
-        "weight": weight,
+        "vitals": vitals,
         "height": height,
-        "pressure": pressure,
         "smoking": modal_category(index, src.smoking, PERSON, START, "ts", "status", study.smoking_codes, "smoking"),
         "address": asof_nearest(index, src.addresses, PERSON, START, "updated", ["zip", "urh"]).select(
             *INDEX, "zip", "urh"),
@@ -152,11 +156,11 @@ def time_varying(spans: DataFrame, episodes: DataFrame, src: Sources, study: Stu
     labs = {k: study.lab_columns[k] for k in study.lab_columns if k not in ("Albumin", "Hemoglobin")}
     lab_label = F.lower(F.col("phenotype"))
     frames: dict[str, DataFrame] = {
-        "weight": asof_by_period(spans, weights_in_range(src, study), PERSON, ROW, **month, ts="ts",
-                                 values={"weight_tv": F.col("value")}),
-        "pressure": asof_by_period(spans, pressures(src), PERSON, ROW, **month, ts="ts",
-                                   values={"_bp": F.struct("systolic", "diastolic")}).select(
-            *period_keys, F.col("_bp.systolic").alias("sbp_tv"), F.col("_bp.diastolic").alias("dbp_tv")),
+        "vitals": asof_by_period(
+            spans, src.vitals.where(is_weight(study) | is_pressure()), PERSON, ROW, **month, ts="ts",
+            values={"weight_tv": F.col("value"), "_bp": F.struct("systolic", "diastolic")},
+            where={"weight_tv": is_weight(study), "_bp": is_pressure()}).select(
+            *period_keys, "weight_tv", F.col("_bp.systolic").alias("sbp_tv"), F.col("_bp.diastolic").alias("dbp_tv")),
         "ejection": asof_by_period(spans, daily_mean(src.ejection, [PERSON], "ts", "value", name="ef"), PERSON, ROW,
                                    **month, ts="day", values={"lvef_tv": F.col("ef")}),
         "labs": asof_by_period(

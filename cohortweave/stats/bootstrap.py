@@ -127,7 +127,7 @@ def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_iter: int = 12,
-                   tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+                   tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Logistic coefficients of all replicates (n x p) and their treated shares.
 
     Newton steps from the full-data fit; one pass over the data per step, and only
@@ -154,7 +154,7 @@ def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_it
             moves[r["replicate"]] = r["move"]
             share[r["replicate"]] = r["treated"] / r["size"] if r["size"] else np.nan
         betas = betas + moves
-        if np.max(np.abs(moves)) < tol:
+        if np.max(np.abs(moves) / (1 + np.abs(betas))) < tol:
             break
     return betas, share
 

@@ -20,14 +20,14 @@ def ps_saturated(df: DataFrame, treat: str, by: Sequence[str], name: str = "pd")
 
 
 def fit_logistic(df: DataFrame, treat: str, design: Design, weight: str | None = None,
-                 max_iter: int = 50) -> GeneralizedLinearRegressionModel:
+                 max_iter: int = 25) -> GeneralizedLinearRegressionModel:
     """Unpenalised binomial regression; the Gram matrices are summed on the executors."""
     cols = [F.col(treat).cast("double").alias("_y"), design.vector().alias("_x")]
     if weight:
         cols.append(F.col(weight).cast("double").alias("_w"))
     data = df.select(*cols)
     glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="_y", featuresCol="_x",
-                                      predictionCol="_p", maxIter=max_iter, tol=1e-8, regParam=0.0)
+                                      predictionCol="_p", maxIter=max_iter, tol=1e-5, regParam=0.0)
     if weight:
         glm = glm.setWeightCol("_w")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
