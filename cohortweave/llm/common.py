@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -76,6 +76,8 @@ def text_steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tup
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_BREAK = _SPACE.copy()
+_BREAK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -107,24 +109,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool, punctuation: bool = True, cuts: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` in order, and the offset of each text's first word.
 
     The hash of a word is the difference of two prefix sums of byte * base**position, shifted back to
-    position 0: no Python work per word.  ``lower`` folds A-Z.
+    position 0: no Python work per word.  ``lower`` folds A-Z; without ``punctuation``, ASCII punctuation ends words as well.
+    With ``cuts``, further rows hold the hashes of each word's first so many bytes.
     """
     data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes)))
     if lower:
         data = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~(_SPACE if punctuation else _BREAK)[data]
     edge = np.diff(word.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power_table(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def until(stops: np.ndarray) -> np.ndarray:
+        return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    hashes = until(ends)
+    if cuts:
+        hashes = np.stack([hashes, *(until(np.minimum(ends, starts + n)) for n in cuts)])
     return hashes, np.searchsorted(starts, begins)
 
 
@@ -142,16 +151,33 @@ def long_text_pieces(text: bytes, limit: int = 4 * STEP_BYTES) -> list[bytes]:
     return out
 
 
-def each_word_hashes(texts: list[str | None], lower: bool) -> Iterator[tuple[int, np.ndarray]]:
+def each_word_hashes(texts: list[str | None], lower: bool, punctuation: bool = True, cuts: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
     """(index, word hashes) of every whole text, worked on in bounded steps."""
     for first, last in text_steps(texts):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[first:last]]
         if last - first == 1 and len(raw[0]) > 4 * STEP_BYTES:
-            yield first, np.concatenate([word_hashes([piece], lower)[0] for piece in long_text_pieces(raw[0])])
+            yield first, np.concatenate([word_hashes([piece], lower, punctuation, cuts)[0] for piece in long_text_pieces(raw[0])], axis=-1)
             continue
-        hashes, offsets = word_hashes(raw, lower)
+        hashes, offsets = word_hashes(raw, lower, punctuation, cuts)
         for i in range(last - first):
-            yield first + i, hashes[offsets[i]:offsets[i + 1]]
+            yield first + i, hashes[..., offsets[i]:offsets[i + 1]]
+
+
+def sample_labels(labels: DataFrame, column: str, held_out: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label) of at most ``per_class`` rows of each class, least by a hash, and the rows of each class.
+
+    Rows that are held out, or lack an id or a label of 0 or 1, are not read.  An id with both labels counts as 1.
+    """
+    known = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out)
+             .groupBy("doc_id").agg(F.max(column).cast("int").alias("label")))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    return staged(parts[0].union(parts[1])), counts
+
+
+def crc_remainder(modulus: int, of: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``modulus``; null without an id."""
+    return F.pmod(F.crc32(F.col(of).cast("string").cast("binary")), F.lit(modulus))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortweave.llm.common import text_steps
+from cohortweave.llm.common import crc_remainder, text_steps
 
 BUCKETS = 1 << 16
 BLOCK = 256
@@ -298,9 +298,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def is_held_out(doc_id: str = "doc_id") -> Column:
+def is_held_out() -> Column:
     """Rows that are not learned from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    return F.coalesce(crc_remainder(4) == 2, F.lit(False))
 
 
 def predict(docs: DataFrame) -> DataFrame:
