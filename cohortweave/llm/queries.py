@@ -62,3 +62,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm import minhash
 
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    from cohortweave.llm import toxicity
+
+    return toxicity.predict(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    from cohortweave.llm import quality
+
+    return quality.predict(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
