@@ -130,7 +130,7 @@ def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MA
               hashed.groupBy("key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("s")).collect()}
     flows = route({k: s for k, s in totals.values()}, {s: round(t) for s, t in targets.items()}, repeats)
     whole = spark.createDataFrame([(k, s) for k, (_, s) in totals.items()], "key string, whole long")
-    hashed = hashed.join(whole, "key").withColumn("is_large", F.col("size") * LARGE > F.col("whole"))
+    hashed = hashed.join(F.broadcast(whole), "key")  # one row for each pattern, as the driver holds them.withColumn("is_large", F.col("size") * LARGE > F.col("whole"))
     big: dict[str, list[tuple]] = {}
     for r in hashed.where("is_large").groupBy("key", "doc_id", "size", "h").agg(F.count(F.lit(1)).alias("n")).collect():
         big.setdefault(r["key"], []).append((r["size"] * r["n"], r["h"], r["doc_id"], r["size"]))
@@ -162,7 +162,7 @@ def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MA
 
     high = high.select("key", "hi", F.coalesce(F.sum("s").over(before(["key"], "hi")), F.lit(0)).alias("from_hi"))
     middle = middle.select("key", "hi", "mid", F.coalesce(F.sum("s").over(before(["key", "hi"], "mid")), F.lit(0)).alias("from_mid"))
-    starts = middle.join(high, ["key", "hi"]).join(cuts, "key", "left")
+    starts = middle.join(high, ["key", "hi"]).join(F.broadcast(cuts), "key", "left")
     placed = (small.withColumn("own", F.coalesce(F.sum("size").over(before(["key", "hi", "mid"], "h", "doc_id", "size")), F.lit(0)))
               .join(starts, ["key", "hi", "mid"]))
     point = F.col("from_hi") + F.col("from_mid") + F.col("own") + F.col("size") / 2
@@ -195,7 +195,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 7,
     base = staged(sized(docs))
     placed, facts = _planned(base, weights, seed, repeats)
     out = placed.select("doc_id", "size", F.col("pattern")[0].alias("source"), (_repetitions() * F.col("size")).alias("taken"))
-    return (out.join(facts, out["source"].eqNullSafe(facts["source"]))
+    return (out.join(F.broadcast(facts), out["source"].eqNullSafe(facts["source"]))
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
