@@ -78,3 +78,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm import quality
 
     return quality.predict(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    from cohortweave.llm import embed_dedup
+
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    from pyspark.sql import functions as F
+
+    from cohortweave.llm import topk
+
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
