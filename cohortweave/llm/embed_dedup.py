@@ -96,7 +96,7 @@ def _placed(x: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
         lines = np.rint(_lines(dim, p.cells + 1, 1000 + t).astype(np.float64) * 2 ** 12)
         h = x @ lines / 2.0 ** 32
         cell = np.floor((h[:, :-1] + rng.random(p.cells) * width) / width).astype(np.int64)
-        key = np.full(len(x), dim * 1_000_003 + t, dtype=np.uint64)
+        key = np.full(len(x), np.random.default_rng([5, dim, t]).integers(1 << 62), dtype=np.uint64)
         for c in cell.T:
             key = (key ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
