@@ -96,3 +96,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortweave.llm import topk
 
     return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    from cohortweave.llm import html_extract
+
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
