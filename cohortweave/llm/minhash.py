@@ -1,15 +1,16 @@
 """MinHash near-duplicates with sequential Bayesian verification (operator 10).
 
 1. Every whole text becomes the set of its distinct shingles (64-bit hashes), one key of that set, and a signature of
-   ``HASHES`` minima, cut to 16 bits each.  Equal sets meet by key: the smallest id stands for them from then on.
+   ``HASHES`` minima, cut to 8 bits each.  Equal sets meet by key: the smallest id stands for them from then on.
 2. Banding: ``ROWS`` minima make a band; at the similarity asked for a pair shares no band with a chance below 2e-4.
    Each bucket's smallest id is its hub; (member, hub) are the first candidates, so a bucket of n gives n - 1 pairs.
 3. Sequential verification compares the signatures of a pair in batches and stops as soon as the posterior chance of a
    similarity at or above the threshold, under a uniform prior, is below ``miss``.  Survivors are verified exactly on
    the full sets, read again from the texts.
 4. Verified links join ids to components.  A bucket whose members then still lie in several components may hide links
-   between members other than the hub: the members outside its largest component are compared with all its members in
-   blocks of bounded size, by signature inside the task, and again only survivors are verified exactly.
+   between members other than the hub: the members outside its largest component are compared with all its members by
+   signature, inside tasks of bounded blocks, which name the components that may be linked.  Such components are compared
+   member by member in blocks that hold each text once, by signature and then exactly; pairs are never written out.
 
 A link is lost only if no band meets or the sequential test errs; none is made up.  Large groups of near copies fall into
 one component in step 3 and cost nothing in step 4.
@@ -54,7 +55,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def signature(shingle: np.ndarray) -> np.ndarray:
-    """``HASHES`` minima over 32-bit hashes, cut to their upper mixed 16 bits."""
+    """``HASHES`` minima over 32-bit hashes, cut to their upper mixed 8 bits."""
     x = (shingle >> np.uint64(32)).astype(np.uint32) ^ shingle.astype(np.uint32)
     least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     for a in range(0, len(x), 2048):  # blocks that stay in the cache
@@ -64,7 +65,7 @@ def signature(shingle: np.ndarray) -> np.ndarray:
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             np.minimum(least[b:b + 16], h.min(axis=1), out=least[b:b + 16])
-    return ((least * np.uint32(0x297A2D39)) >> np.uint32(16)).astype(np.uint16)
+    return ((least * np.uint32(0x297A2D39)) >> np.uint32(24)).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -93,9 +94,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 def least_matches(threshold: float, miss: float) -> np.ndarray:
     """For each batch end, the fewest equal minima with which a pair goes on.
 
-    With a uniform prior, P(similarity >= t | m of n equal) = P(Binomial(n + 1, t) <= m).
+    With a uniform prior, P(similarity >= t | m of n equal) = P(Binomial(n + 1, t) <= m).  Different minima are equal
+    after the cut to 8 bits with chance 1/256, which moves t up.
     """
-    out = []
+    out, threshold = [], threshold + (1 - threshold) / 256
     for n in range(BATCH, HASHES + 1, BATCH):
         total, m = 0.0, -1
         while total < miss:
@@ -121,7 +123,7 @@ def survive(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _matrix(sigs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(len(sigs), HASHES)
+    return np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), HASHES)
 
 
 def plausible(pairs: DataFrame, sigs: DataFrame, least: np.ndarray) -> DataFrame:
@@ -136,12 +138,13 @@ def plausible(pairs: DataFrame, sigs: DataFrame, least: np.ndarray) -> DataFrame
     return both.mapInPandas(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * common >= percent * union shingles, by their whole texts."""
-    pairs = staged(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = staged(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("k")).agg(F.first("text").alias("text")).drop("k"))
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * common >= percent * (len(s) + len(t) - common)
 
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * common >= percent * union shingles, by their whole texts (id, text)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
         for x in batches:
@@ -152,18 +155,16 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             held.update((new[i], shingles(w, width)) for i, w in each_word_hashes(new, lower=True))
             keep = []
             for (_, w), hub in zip(each_word_hashes(x["ta"].tolist(), lower=True), hubs, strict=True):
-                s, t = shingles(w, width), held[hub]
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+                keep.append(_similar(shingles(w, width), held[hub], percent))
             yield x.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
+    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
     return both.mapInPandas(run, "a long, b long").distinct()
 
 
 def _split_buckets(members: DataFrame, sigs: DataFrame, roots: DataFrame, least: np.ndarray) -> DataFrame:
-    """Plausible pairs between components inside the buckets that still hold several of them."""
+    """(a, b): components of which a bucket holds members whose signatures pass the sequential test."""
     m = members.join(roots, members["id"] == roots["rid"], "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi AND c > 2")
     m = staged(m.join(mixed.select("bucket", "c"), "bucket"))
@@ -184,17 +185,58 @@ def _split_buckets(members: DataFrame, sigs: DataFrame, roots: DataFrame, least:
         a, b = x[x["side"] == 0], x[x["side"] == 1]
         out = []
         if len(a) and len(b):
-            sa, sb, ia, ib = _matrix(a["sig"]), _matrix(b["sig"]), a["id"].to_numpy(), b["id"].to_numpy()
-            ra, rb = a["root"].to_numpy(), b["root"].to_numpy()
+            sa, sb, ra, rb = _matrix(a["sig"]), _matrix(b["sig"]), a["root"].to_numpy(), b["root"].to_numpy()
             for k in range(len(a)):
                 other = np.flatnonzero(rb != ra[k])
                 hit = other[survive(np.broadcast_to(sa[k], (len(other), HASHES)), sb[other], least)]
-                out += [(max(ia[k], v), min(ia[k], v)) for v in ib[hit]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out += [(max(ra[k], v), min(ra[k], v)) for v in np.unique(rb[hit])]
+        return pd.DataFrame(list(set(out)), columns=["a", "b"], dtype="int64")
 
     return both.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def _between(joined: DataFrame, texts: DataFrame, sigs: DataFrame, roots: DataFrame, least: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of the components ``joined`` (a, b).
+
+    The larger component of a pair is cut into blocks, and so are the members of all its partners; a task holds one block
+    of each, every text once.  Members that a task has linked already are not compared again.
+    """
+    named = joined.select(F.col("a").alias("root")).union(joined.select(F.col("b").alias("root"))).distinct()
+    m = staged(named.join(roots, "root", "left").select("root", F.coalesce("rid", "root").alias("id")))
+    sizes = m.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sized = joined.join(sizes.select(F.col("root").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("root").alias("b"), F.col("n").alias("nb")), "b")
+    larger = F.col("na") > F.col("nb")
+    sized = staged(sized.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"),
+                                F.greatest("na", "nb").alias("n"), F.least("na", "nb").alias("partner")))
+    split = sized.groupBy("big").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.sum("partner") / BLOCK).cast("int").alias("cols"))
+    h = F.xxhash64("id")
+    left = (split.join(m, F.col("big") == F.col("root")).withColumn("i", F.pmod(h, F.col("rows")).cast("int"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("side", F.lit(0)))
+    right = (sized.select("big", "small").join(split, "big").join(m, F.col("small") == F.col("root")).withColumn("j", F.pmod(h, F.col("cols")).cast("int"))
+             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("side", F.lit(1)))
+    keep = ["big", "i", "j", "side", "root", "id"]
+    both = left.select(*keep).union(right.select(*keep)).join(sigs.select("id", "sig"), "id").join(texts, "id")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        a, b = x[x["side"] == 0], x[x["side"] == 1]
+        out, done = [], set()
+        if len(a) and len(b):
+            sa, sb, ia, ib, rb = _matrix(a["sig"]), _matrix(b["sig"]), a["id"].to_numpy(), b["id"].to_numpy(), b["root"].to_numpy()
+            sets = [shingles(w, width) for _, w in each_word_hashes(a["text"].tolist(), lower=True)]
+            for k, (_, words) in enumerate(each_word_hashes(b["text"].tolist(), lower=True)):
+                if rb[k] in done:  # its whole component is joined already
+                    continue
+                own = shingles(words, width)
+                for v in np.flatnonzero(survive(sa, np.broadcast_to(sb[k], sa.shape), least)):
+                    if _similar(sets[v], own, percent):
+                        out.append((max(ia[v], ib[k]), min(ia[v], ib[k])))
+                        done.add(rb[k])
+                        break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return both.groupBy("big", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reached by links), kept (is that id) of every row."""
     least = least_matches(percent / 100, miss)
@@ -204,15 +246,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss:
     # Ids with equal sets are linked; an id that repeats with other texts links those texts' groups as well.
     owned = sets.join(same, ["k1", "k2", "n"])
     copies = owned.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    sigs = staged(owned.where("doc_id = rep").select(F.col("doc_id").alias("id"), "sig").distinct())
-    band = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, k * {2 * ROWS} + 1, {2 * ROWS})))")
+    sigs = staged(owned.where("doc_id = rep").select(F.col("doc_id").alias("id"), "sig"))
+    band = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, k * {ROWS} + 1, {ROWS})))")
     buckets = sigs.select("id", F.explode(band).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     members = staged(buckets.join(hubs.select("bucket", "hub"), "bucket"))
     pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = staged(verified(plausible(pairs, sigs, least), docs, width, percent))
+    ids = members.select("id").distinct()
+    texts = staged(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"))
+    links = staged(verified(plausible(pairs, sigs, least), texts, width, percent))
     roots = components(links).select(F.col("id").alias("rid"), "root")
-    more = verified(_split_buckets(members.select("bucket", "id"), sigs, roots, least), docs, width, percent)
+    more = _between(staged(_split_buckets(members.select("bucket", "id"), sigs, roots, least)), texts, sigs, roots, least, width, percent)
     groups = components(links.union(more).union(copies))
     out = every.join(groups, every["doc_id"] == groups["id"], "left")
     root = F.coalesce("root", "doc_id")
