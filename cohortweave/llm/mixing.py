@@ -130,7 +130,8 @@ def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MA
               hashed.groupBy("key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("s")).collect()}
     flows = route({k: s for k, s in totals.values()}, {s: round(t) for s, t in targets.items()}, repeats)
     whole = spark.createDataFrame([(k, s) for k, (_, s) in totals.items()], "key string, whole long")
-    hashed = hashed.join(F.broadcast(whole), "key")  # one row for each pattern, as the driver holds them.withColumn("is_large", F.col("size") * LARGE > F.col("whole"))
+    # The broadcast tables have a row for each pattern or flow, as the driver holds them.
+    hashed = hashed.join(F.broadcast(whole), "key").withColumn("is_large", F.col("size") * LARGE > F.col("whole"))
     big: dict[str, list[tuple]] = {}
     for r in hashed.where("is_large").groupBy("key", "doc_id", "size", "h").agg(F.count(F.lit(1)).alias("n")).collect():
         big.setdefault(r["key"], []).append((r["size"] * r["n"], r["h"], r["doc_id"], r["size"]))
