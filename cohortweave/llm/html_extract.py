@@ -309,8 +309,9 @@ def train(pages: list[list[Block]], *, rounds: int = 260, size: int = 24, seed:
 
 def fit(pages: DataFrame, *, sample: int = SAMPLE, longest: int = 60_000) -> Labeller | None:
     """Learn from the ``sample`` pages first by a hash of the url, among those of at most ``longest`` characters."""
-    named = pages.where(F.lower("html").rlike("<(article|main)[ >]") & (F.length("html") <= longest))
-    rows = named.select("html", F.xxhash64("url", "html").alias("h")).orderBy("h", "html").limit(sample).select("html").collect()
+    named = pages.where(F.lower("html").rlike("<(article|main)[ >]") & (F.length("html") <= longest)).select("html", F.xxhash64("url", "html").alias("h"))
+    least = [r["h"] for r in named.select("h").orderBy("h").limit(sample).collect()]  # hashes first: no html but the sample's is sent
+    rows = named.where(F.col("h") <= F.lit(least[-1])).orderBy("h", "html").limit(sample).select("html").collect() if least else []
     return train([page_blocks(r["html"]) for r in rows])
 
 
