@@ -22,7 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from cohortweave.llm.common import text_steps
 
 MAX_RANK_BYTES = 64 << 20
 PART_CHARS = 1 << 16
@@ -89,16 +92,27 @@ def read_ranks(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs`` but one named as ``ids``, and ``ids``: array<int>."""
+    """All columns of ``docs`` but one named as ``ids``, and ``ids``: array<int>.
+
+    Rows leave a task in batches of about a million characters, so a batch of long texts needs little memory.
+    """
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     kept = [c for c in docs.columns if c != ids]
+    fields = [docs.schema[c] for c in kept]
 
-    @F.pandas_udf("array<int>")
-    def to_ids(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value, pattern)
-        return pd.Series([np.concatenate([np.zeros(0, np.int32), *(np.asarray(p, dtype=np.int32) for p in codec.ids(t))]) for t in texts])
-
-    return docs.select(*[F.col(f"`{c}`") for c in kept], to_ids(F.coalesce(F.col(text), F.lit(""))).alias(ids))
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            for a, b in text_steps(texts):
+                parts = [np.concatenate([np.zeros(0, np.int32), *(np.asarray(p, dtype=np.int32) for p in codec.ids(t))]) for t in texts[a:b]]
+                offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+                columns = [batch.column(k).slice(a, b - a) for k in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*kept, ids])
+
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    return source.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str, *, ids: str = "ids", out: str = "bytes") -> DataFrame:
