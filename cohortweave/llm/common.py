@@ -59,13 +59,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def steps(sizes: Iterable[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to ``limit`` at most, or that hold one larger item."""
-    first, total, i = 0, 0, 0
+    first, total, i = 0, 0, -1
     for i, n in enumerate(sizes):
         if i > first and total + n > limit:
             yield first, i
             first, total = i, 0
         total += n
-    if i + 1 > first and total >= 0:
+    if i + 1 > first:
         yield first, i + 1
 
 

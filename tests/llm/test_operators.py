@@ -1,0 +1,344 @@
+"""Each dealt operator against brute force, and on odd and empty tables."""
+
+import collections
+import hashlib
+import html
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def table(spark, name, folder=SMALL):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+# 1, embeddings
+
+def brute_links(pdf):
+    x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    return near.sum(axis=1) - 1
+
+
+def test_embedding_links(llm):
+    from cohortweave.llm import embed_dedup
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 16))
+    rows = [(int(i), [float(v) for v in base[i % 60] + rng.normal(size=16) * (0.02 + 0.1 * (i % 3))], 1) for i in range(400)]
+    rows += [(900, rows[0][1], 1), (901, [2 * v for v in rows[0][1]], 1)]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>, n long")
+    got = embed_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    want = brute_links(df.toPandas().sort_values("vec_id"))
+    assert got["n_links"].sum() >= 0.98 * want.sum() and (got["n_links"].to_numpy() <= want).all()
+    assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
+
+
+def test_embedding_odd_rows(llm):
+    from cohortweave.llm import embed_dedup
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]),
+            (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [0.999, 0.01])]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 10: (2, 1)} | {k: (0, k) for k in (3, 4, 5, 6, 7, 8, 9)}
+    assert embed_dedup.near_duplicates(df.where("vec_id > 99")).count() == 0
+
+
+# 2, secrets
+
+BASE = (("assign", r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
+
+
+def brute_spans(text):
+    found = sorted((m.start(), k, m.end()) for k, (_, rx, g, least) in enumerate(BASE) for m in re.finditer(rx, text or "") if len(m[g]) >= least)
+    return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in found)
+
+
+@pytest.mark.parametrize("which", ["given", "odd"])
+def test_secrets(llm, odd_docs, which):
+    from cohortweave.llm import secret_scan
+
+    docs = odd_docs if which == "odd" else table(llm, "documents")
+    got = sorted((str(r["doc_id"]), r["base_sha256"]) for r in secret_scan.digests(docs).collect())
+    want = sorted((str(r["doc_id"]), hashlib.sha256(brute_spans(r["text"]).encode()).hexdigest()) for r in docs.collect())
+    assert got == want
+    masked = secret_scan.redacted(docs)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert not any(brute_spans(r["text"].replace("[secret]", " ")) for r in masked.collect() if r["text"])
+
+
+def test_trigram_queries():
+    from cohortweave.llm.secret_scan import RULES, trigram_query
+
+    assert trigram_query("[0-9a-f]{24,}") is None and trigram_query("ab|cdef") is None
+    assert trigram_query("abcd") == [frozenset({"abc", "bcd"})]
+    assert trigram_query("(abc|xyz)[0-9]+") == [frozenset({"abc"}), frozenset({"xyz"})]
+    assert len(trigram_query(RULES[0].regex)) == 6
+
+
+# 3, language
+
+def test_language(llm, odd_docs):
+    from cohortweave.llm import language_id
+
+    docs = table(llm, "documents", "/root/testdata/sf0.01")
+    got = language_id.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+    odd = {r["doc_id"]: r for r in language_id.predict(odd_docs).where("doc_id IS NOT NULL").collect()}
+    assert [odd[k]["lang_pred"] for k in (3, 4, 5, 8)] == ["und"] * 4 and odd[3]["score"] == 0
+    assert language_id.predict(odd_docs).count() == odd_docs.count()
+    assert language_id.identified(odd_docs, language_id.fit(odd_docs)).columns == odd_docs.columns
+
+
+def test_language_spans(llm):
+    from cohortweave.llm import language_id
+
+    docs = table(llm, "documents", "/root/testdata/sf0.01")
+    model = language_id.fit(docs)
+    en, fr = (docs.where(f"lang = '{k}' AND n_chars > 1000").orderBy("doc_id").first()["text"][:600] for k in ("en", "fr"))
+    spans = language_id.label(llm.createDataFrame([(1, en + "\n" + fr)], "doc_id long, text string"), model).first()["spans"]
+    assert {s["lang"] for s in spans} == {"en", "fr"} and abs(spans[0]["end"] - 600) < 60
+
+
+# 4 and 6, classifiers
+
+def test_toxicity(llm, odd_docs):
+    from cohortweave.llm import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(llm, "documents", folder), table(llm, "labels", folder)
+    got = toxicity.predict(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("toxic", "predicted").toPandas()
+    assert (got["predicted"] == 1)[got["toxic"] == 1].mean() > 0.75
+    assert (got["toxic"] == 1)[got["predicted"] == 1].mean() > 0.95
+    for l in (labels, labels.limit(0)):
+        out = toxicity.predict(odd_docs, l)
+        assert out.count() == odd_docs.count() and out.where("score IS NULL OR score < 0 OR score > 1 OR predicted IS NULL").count() == 0
+
+
+def test_quality(llm, odd_docs):
+    from cohortweave.llm import quality
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(llm, "documents", folder), table(llm, "labels", folder)
+    got = quality.predict(docs, labels).join(labels, "doc_id").where("held_out").select("quality", "predicted").toPandas()
+    assert (got["quality"] == got["predicted"]).mean() > 0.94
+    for l in (labels, labels.limit(0)):
+        out = quality.predict(odd_docs, l)
+        assert out.count() == odd_docs.count() and out.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
+# 5, top-k
+
+def brute_best(rows, k, scale=64):
+    whole = {i: [int(np.floor(scale * c)) for c in v] for i, v in rows}
+    out = []
+    for q in sorted(i for i in whole if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return out
+
+
+def test_topk(llm):
+    from cohortweave.llm import topk
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(c) for c in np.round(rng.normal(size=6), 1)]) for i in range(300)]
+    rows += [(400 + i, rows[20][1]) for i in range(60)]  # ties over the boundary
+    odd = [(500, None), (520, []), (540, [float("nan")] * 6), (None, rows[0][1]), (560, [1.0, 2.0])]
+    df = llm.createDataFrame(rows + [rows[40]] + odd, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(df, F.col("id") % 20 == 0).collect())
+    assert got == sorted(brute_best(rows, 20))
+    big = [(i, [c * 1e7 for c in v]) for i, v in rows[:50]]  # beyond the bitmaps, within the long range
+    got = sorted(tuple(r) for r in topk.search(llm.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect())
+    assert got == sorted(brute_best(big, 20))
+    assert topk.search(df.where("vec_id > 9999"), F.col("id") % 20 == 0).count() == 0
+
+
+# 7, tokens
+
+def test_bpe(llm, odd_docs):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from cohortweave.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for docs in (table(llm, "documents"), odd_docs):
+        got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, path, public_tokenizers.PATTERN).collect())
+        want = []
+        for r in docs.collect():
+            ids = library.encode_ordinary(r["text"] or "")
+            want.append((str(r["doc_id"]), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+        assert got == sorted(want)
+    encoded = bpe.encode(odd_docs, path, public_tokenizers.PATTERN)
+    back = bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    assert back.where("coalesce(cast(text AS binary), cast('' AS binary)) <> bytes").count() == 0
+
+
+def test_bpe_cuts_are_exact():
+    import public_tokenizers
+
+    from cohortweave.llm import bpe
+
+    codec = bpe._codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    text = ("don't stop 123\t  end.\n\n  " + " " * 1500 + "next  word\r\n") * 30
+    old = bpe.PART_CHARS
+    try:
+        whole = codec.encoding.encode_ordinary(text)
+        bpe.PART_CHARS = 50
+        assert [i for part in codec.ids(text) for i in part] == whole
+    finally:
+        bpe.PART_CHARS = old
+    long_run = " " * 300_000 + "x"  # more than the library's regex can take
+    assert b"".join(codec.encoding.decode_bytes(p) for p in codec.ids(long_run)) == long_run.encode()
+
+
+# 8, mixing
+
+def test_mixing(llm, odd_docs, no_docs):
+    from cohortweave.llm import mixing
+
+    for docs in (table(llm, "documents", "/root/testdata/sf0.01"), odd_docs):
+        got, again = mixing.mix(docs).toPandas(), mixing.mix(docs.repartition(3)).toPandas()
+        key = ["doc_id", "size", "target", "taken"]
+        assert got.sort_values(key)[key].reset_index(drop=True).equals(again.sort_values(key)[key].reset_index(drop=True))
+        source = docs.select("doc_id", "source", "text").toPandas()
+        assert len(got) == len(source) and (got["taken"] <= 3 * got["size"]).all()
+        assert sorted(got["size"]) == sorted(len(words_of(t)) for t in source["text"])
+    docs = table(llm, "documents", "/root/testdata/sf0.01")
+    got = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).toPandas()
+    assert (abs(got["t"] - got["g"]) <= 0.02 * got["g"] + 50).all()
+    assert mixing.mix(no_docs).count() == 0
+
+
+def test_targets_and_flow():
+    from cohortweave.llm.mixing import route, source_targets
+
+    assert source_targets([100, 100, 100], [1, 1, 1]) == [100.0, 100.0, 100.0]
+    assert source_targets([10, 100, 100], [5, 2, 1])[0] == 30.0 and abs(sum(source_targets([10, 100, 100], [5, 2, 1])) - 210) < 1e-9
+    assert source_targets([0, 5], [5, 2]) == [0.0, 5.0] and source_targets([], []) == []
+    flows = route({("a",): 10, ("a", "b"): 10, ("b",): 1}, {"a": 12, "b": 9})
+    assert sum(f.get("a", 0) for f in flows.values()) == 12 and sum(f.get("b", 0) for f in flows.values()) == 9
+    assert sum(flows["a",].values()) <= 10 and sum(flows["a", "b"].values()) <= 10  # no repeat where none is needed
+
+
+# 9, pages
+
+def test_pages(llm):
+    from cohortweave.llm import html_extract
+
+    pages = table(llm, "pages", "/root/testdata/sf0.01")
+    net = html_extract.fit(pages)
+    for r in html_extract.extract(pages, net).join(pages.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " ")))).strip() for p in re.split(r"</?(?:p|h1)>", article))
+        assert r["text"] == "\n".join(p for p in parts if p)
+    odd = llm.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<p>a &amp; b<p>c"), (2, "u", "<p>a &amp; b<p>c"), (3, "u", "</div></p><script>x<p>"),
+                               (4, "u", "<article>" + "<p>long text here, again.</p>" * 20_000)], "page_id long, url string, html string")
+    out = html_extract.extract(odd, net).collect()
+    assert len(out) == 6 and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert html_extract.fit(odd.limit(0)) is None and html_extract.extract(odd, None).where("page_id = 2").first()["text"] == "a & b\nc"
+
+
+# 10, near duplicates
+
+def brute_components(rows, width, percent):
+    sets = {}
+    for i, text in rows:
+        w = words_of(text)
+        sets[i] = frozenset(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = collections.defaultdict(list)
+    for i in sorted(sets):
+        for s in sets[i]:
+            by[s].append(i)
+    common = collections.Counter((a, b) for ids in by.values() for k, a in enumerate(ids) for b in ids[k + 1:])
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_minhash(llm, width):
+    from cohortweave.llm import minhash
+
+    rng = np.random.default_rng(10)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = []
+    for g in range(40):
+        base = list(rng.choice(vocabulary, rng.integers(1, 120)))
+        for c in range(int(rng.integers(1, 9))):
+            text = [w if rng.random() > 0.02 * c else str(rng.choice(vocabulary)) for w in base]
+            rows.append((len(rows), " ".join(text)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(llm.createDataFrame(rows, "doc_id long, text string"), width=width).collect()}
+    assert got == brute_components(rows, width, 80)
+
+
+def test_minhash_odd(llm, odd_docs, no_docs):
+    from cohortweave.llm import minhash
+
+    got = minhash.near_duplicates(odd_docs, width=2).collect()
+    assert len(got) == odd_docs.count()
+    by = {r["doc_id"]: r for r in got}
+    assert by[2]["component_id"] == 1 and by[3]["n_shingles"] == 0 and by[5]["component_id"] == 5 and by[6]["n_shingles"] == 1
+    kept = minhash.representatives(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.where("doc_id IN (1, 2)").count() == 1 and kept.where("doc_id IS NULL").count() == 2
+    assert minhash.near_duplicates(no_docs).count() == 0
+
+
+def test_pipeline(llm):
+    """The rows of run() against a plain version of what each stage decides."""
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(llm, SMALL).collect()
+    docs = {r["doc_id"]: r["text"] for r in table(llm, "documents").collect()}
+    lettered = [(i, t) for i, t in docs.items() if any(c.isalpha() for c in t or "")]
+    groups = brute_components(lettered, 5, 80)
+    first = {i for i, (_, root) in groups.items() if i == root}
+    times = collections.Counter(r["doc_id"] for r in out)
+    assert set(times) <= first and max(times.values()) <= 3 and all(r["n_tokens"] == len(r["ids"]) for r in out)
+    assert abs(sum(len(words_of(docs[i])) * n for i, n in times.items()) / sum(len(words_of(docs[i])) for i in first) - 1) < 0.05
+
+
+def test_odd_pipeline(llm, odd_docs, no_docs):
+    import corpus_pipeline
+    from cohortweave.llm.common import staged
+
+    for docs in (odd_docs, no_docs):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, docs = docs, staged(stage(llm, docs, SMALL))
+            assert k == 4 or docs.columns == before.columns
+
+
+def test_word_hashes():
+    from cohortweave.llm import common
+
+    texts = ["The cat  SAT", None, "", "été \x1cfoo", "x" * 10 + "\n" + "y" * 7]
+    got = [len(w) for _, w in common.each_word_hashes(texts, True)]
+    assert got == [len(words_of(t)) for t in texts]
+    (_, a), (_, b) = common.each_word_hashes(["The end", "a the"], True)
+    assert a[0] == b[1]
