@@ -30,9 +30,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortweave.llm.common import staged
 from cohortweave.llm.embed_dedup import one_per_id
 
-ROWS = 8192
-QUERIES = 512
-STEP = 32  # queries that one set of bitmaps is worked out for
+ROWS = 32768  # bitmaps of 512 words: long enough that an operation outweighs its call
+QUERIES = 256
 SAFE = 1 << 20
 
 
@@ -167,7 +166,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_: str = "vec_id", column:
     n = max(1, -(-asked.count() // QUERIES))
     numbered = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("qb"), F.size("v").alias("dim"))
     sets = numbered.groupBy("qb", "dim").agg(F.collect_list(F.struct("id", "v")).alias("asked"))  # about QUERIES rows each
-    index = blocks(rows.repartition(F.expr("id"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    index = blocks(rows.repartition(max(1, -(-rows.count() // ROWS)))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     both = index.join(sets, ["qb", "dim"]).repartition(F.xxhash64("qb", "ids"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
