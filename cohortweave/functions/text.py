@@ -13,13 +13,17 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _literal(text: str) -> str:
+    return re.sub(r"([^\w ])", r"\\\1", text)
+
+
 def wildcard_to_regex(pattern: str) -> str:
     """Regex of a wildcard pattern: ``%``, ``_``, ``[set]`` and ``[^set]``.
 
     A ``%`` at either end becomes a missing anchor, which spares the matcher a scan.
     """
     core = pattern.strip("%")
-    parts = re.split(r"(\[[^\]]*\]|%|_)", core)
+    parts = re.split(r"(\[\^?\]?[^\]]*\]|%|_)", core)
     out = []
     for part in parts:
         if part == "%":
@@ -28,10 +32,10 @@ def wildcard_to_regex(pattern: str) -> str:
             out.append(".")
         elif len(part) > 2 and part[0] == "[" and part[-1] == "]":
             body, negate = (part[2:-1], "^") if part[1] == "^" else (part[1:-1], "")
-            is_range = re.fullmatch(r"(\w-\w)+", body)
-            out.append("[" + negate + (body if is_range else re.sub(r"([^\w ])", r"\\\1", body)) + "]")
+            members = re.findall(r".-.|.", body, re.S)
+            out.append("[" + negate + "".join("-".join(map(_literal, (m[0], m[2]))) if len(m) == 3 else _literal(m) for m in members) + "]")
         else:
-            out.append(re.sub(r"([^\w ])", r"\\\1", part))
+            out.append(_literal(part))
     start = "" if pattern.startswith("%") else "^"
     end = "" if pattern.endswith("%") else "$"
     return start + "".join(out) + end

@@ -87,15 +87,15 @@ def _numeric_smd(df: DataFrame, numeric: Sequence[str], treat: str, weight: str
     arms = shifted.groupBy("_t").agg(*aggs)
     rows = []
     for i, c in enumerate(numeric):
-        n, mean = F.col(f"n{i}"), F.col(f"s{i}") / F.col(f"w{i}")
-        var = (F.col(f"q{i}") / F.col(f"w{i}") - mean * mean) * n / (n - 1)
+        n, mean = F.col(f"n{i}"), F.try_divide(f"s{i}", f"w{i}")
+        var = F.try_divide((F.try_divide(f"q{i}", f"w{i}") - mean * mean) * n, n - 1)
         rows.append(F.struct(F.lit(c).alias("variable"), mean.alias("m"), var.alias("v")))
     long = arms.select("_t", F.explode(F.array(*rows)).alias("_r")).select("_t", "_r.*")
     side = lambda t, c: F.max(F.when(F.col("_t") == t, F.col(c)))
     both = long.groupBy("variable").agg(side(1, "m").alias("m1"), side(0, "m").alias("m0"),
                                         side(1, "v").alias("v1"), side(0, "v").alias("v0"))
     gap, spread = F.abs(F.col("m1") - F.col("m0")), F.sqrt((F.col("v1") + F.col("v0")) / 2)
-    return both.select("variable", F.when(gap == 0, 0.0).otherwise(gap / spread).alias("smd"))
+    return both.select("variable", F.when(gap == 0, 0.0).otherwise(F.try_divide(gap, spread)).alias("smd"))
 
 
 def _category_distance(pdf: pd.DataFrame) -> pd.DataFrame:

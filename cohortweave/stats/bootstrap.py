@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortweave.functions.rows import dense_ids
 from cohortweave.operators.summaries import percentile_interval
 from cohortweave.stats.features import Design
-from cohortweave.stats.outcome import HORIZON, outcome_cells, risk_curves
+from cohortweave.stats.outcome import outcome_cells, risk_curves
 from cohortweave.stats.weights import fit_logistic, iptw, score
 
 ROWS_PER_STEP = 2048
@@ -191,7 +191,7 @@ def replicate_cells(data: DataFrame, betas: np.ndarray, share: np.ndarray, seed:
 
 
 def bootstrap_replicates(df: DataFrame, treat: str, periods: str, event: str, design: Design, row_key: str, n: int,
-                         seed: int, scheme: str = "poisson", horizon: int = HORIZON) -> DataFrame:
+                         seed: int, scheme: str = "poisson", horizon: int | None = None) -> DataFrame:
     """Risk curve of every replicate: (replicate, time, ...), score model refitted per replicate."""
     cols = [F.xxhash64(row_key).alias("h"), F.col(treat).cast("double").alias("treat"),
             F.col(periods).cast("int").alias("periods"),
@@ -220,7 +220,7 @@ def with_limits(point: DataFrame, replicates: DataFrame) -> DataFrame:
 
 
 def bootstrap_curves(df: DataFrame, treat: str, periods: str, event: str, design: Design, row_key: str,
-                     n: int = 500, seed: int = 7, scheme: str = "poisson", horizon: int = HORIZON) -> DataFrame:
+                     n: int = 500, seed: int = 7, scheme: str = "poisson", horizon: int | None = None) -> DataFrame:
     """Weighted risk curves with percentile limits; logistic scores refitted in every replicate.
 
     ``scheme``: ``poisson`` draws independent counts (the default at scale),
@@ -233,7 +233,7 @@ def bootstrap_curves(df: DataFrame, treat: str, periods: str, event: str, design
 
 
 def bootstrap_curves_gbt(df: DataFrame, treat: str, periods: str, event: str, design: Design, row_key: str,
-                         params: dict, n: int = 2, seed: int = 7, horizon: int = HORIZON) -> DataFrame:
+                         params: dict, n: int = 2, seed: int = 7, horizon: int | None = None) -> DataFrame:
     """The same with boosted scores: every replicate is one weighted fit, scored on its own rows."""
     from cohortweave.stats.boosting import ps_gbt
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortweave.functions.dates import month_boundaries
 from cohortweave.operators.summaries import exact_quantiles
 
-MAX_LEVELS = 2_000
 
 
 def age_years(birth: str, at: str) -> Column:
@@ -156,10 +155,7 @@ def design(df: DataFrame, terms: Sequence[Term]) -> Design:
     levels: dict[str, list[str]] = {}
     if free:
         found = (df.select(*[F.col(c).cast("string").alias(c) for c in free])
-                 .unpivot([], free, "variable", "level").where("level is not null").distinct()
-                 .limit(MAX_LEVELS + 1).collect())
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} levels in {free}: not categories")
+                 .unpivot([], free, "variable", "level").where("level is not null").distinct().collect())
         for r in found:
             levels.setdefault(r["variable"], []).append(r["level"])
     out = Design(terms)

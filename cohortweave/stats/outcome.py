@@ -18,7 +18,6 @@ from cohortweave.stats.features import Design
 from cohortweave.stats.weights import fit_logistic
 
 INNER_KNOTS = (6.0, 12.0, 24.0)
-HORIZON = 42
 
 
 def outcome_cells(df: DataFrame, treat: str, periods: str, event: str, weight: str | Column | None = None,
@@ -57,7 +56,7 @@ def running_product(column: Column, window) -> Column:
 def weighted_hazards(months: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weighted hazard and survival per (by, exp, time), one level per month."""
     run = Window.partitionBy(*by, "exp").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    h = months.withColumn("hazard", F.col("w_event") / F.col("w_risk"))
+    h = months.withColumn("hazard", F.try_divide("w_event", "w_risk"))
     return h.withColumn("survival", running_product(F.col("hazard"), run))
 
 
@@ -70,7 +69,7 @@ def risk_curves_saturated(months: DataFrame) -> DataFrame:
         side(0, F.col("events")).cast("long").alias("events_0"), side(1, F.col("events")).cast("long").alias("events_1"),
         side(0, 1 - F.col("survival")).alias("cuminc_0"), side(1, 1 - F.col("survival")).alias("cuminc_1"))
     return wide.withColumn("rd", F.col("cuminc_1") - F.col("cuminc_0")).withColumn(
-        "rr", F.col("cuminc_1") / F.col("cuminc_0"))
+        "rr", F.try_divide("cuminc_1", "cuminc_0"))
 
 
 # ---- small fits on the cells of one replicate --------------------------------
@@ -174,10 +173,10 @@ def pooled_hr(cells: DataFrame) -> DataFrame:
 _CURVE = "time int, events_0 long, events_1 long, cuminc_0 double, cuminc_1 double, rd double, rr double"
 
 
-def curve_rows(pdf: pd.DataFrame, horizon: int) -> pd.DataFrame:
+def curve_rows(pdf: pd.DataFrame, horizon: int | None) -> pd.DataFrame:
     """Risk curve of one replicate's cells."""
     beta, _, _, cells, high = _model(pdf, interaction=True)
-    months = np.arange(min(horizon, int(high) + 1), dtype=float)
+    months = np.arange(int(high) + 1 if horizon is None else min(horizon, int(high) + 1), dtype=float)
     S = _spline(months, 0.0, high)
     one = np.ones_like(months)
     cum = []
@@ -192,7 +191,7 @@ def curve_rows(pdf: pd.DataFrame, horizon: int) -> pd.DataFrame:
                          "rd": cum[1] - cum[0], "rr": rr})
 
 
-def risk_curves(cells: DataFrame, by: str | None = None, horizon: int = HORIZON) -> DataFrame:
+def risk_curves(cells: DataFrame, by: str | None = None, horizon: int | None = None) -> DataFrame:
     """Standardised risk curves from the cells, per replicate when ``by`` is given.
 
     Model: event ~ arm * natural spline of month, weighted; survival is the running
@@ -211,7 +210,7 @@ def risk_curves(cells: DataFrame, by: str | None = None, horizon: int = HORIZON)
 
 
 def risk_curves_adjusted(df: DataFrame, treat: str, periods: str, event: str, weight: str, covariates: Design,
-                         profile: dict[str, object], max_periods: int, horizon: int = HORIZON) -> DataFrame:
+                         profile: dict[str, object], max_periods: int, horizon: int | None = None) -> DataFrame:
     """Risk curves of an outcome model that also carries covariates, at one covariate profile.
 
     Rows that agree in all model columns become one row with the weighted share of
@@ -239,13 +238,13 @@ def risk_curves_adjusted(df: DataFrame, treat: str, periods: str, event: str, we
     from cohortweave.operators.reshape import shell
     from cohortweave.stats.weights import score
 
-    points = shell(spark, (0, 1), min(horizon, max_periods)).withColumns({c: F.lit(v) for c, v in profile.items()})
+    points = shell(spark, (0, 1), max_periods if horizon is None else min(horizon, max_periods)).withColumns({c: F.lit(v) for c, v in profile.items()})
     run = Window.partitionBy("exp").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     curve = score(points, model, full, "_p").withColumn("_ci", 1 - running_product(F.col("_p"), run))
     wide = curve.groupBy("time").agg(F.max(F.when(F.col("exp") == 0, F.col("_ci"))).alias("cuminc_0"),
                                      F.max(F.when(F.col("exp") == 1, F.col("_ci"))).alias("cuminc_1"))
     return wide.withColumn("rd", F.col("cuminc_1") - F.col("cuminc_0")).withColumn(
-        "rr", F.col("cuminc_1") / F.col("cuminc_0"))
+        "rr", F.try_divide("cuminc_1", "cuminc_0"))
 
 
 # ---- unweighted survival ------------------------------------------------------
@@ -257,7 +256,7 @@ def kaplan_meier(df: DataFrame, treat: str, time: str, event: str) -> DataFrame:
     later = Window.partitionBy(treat).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
     run = Window.partitionBy(treat).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     risk = counts.withColumn("n_risk", F.sum("_n").over(later))
-    return risk.withColumn("survival", running_product(F.col("n_event") / F.col("n_risk"), run)).select(
+    return risk.withColumn("survival", running_product(F.try_divide("n_event", "n_risk"), run)).select(
         treat, "time", "n_risk", "n_event", "survival", (1 - F.col("survival")).alias("cuminc"))
 
 

@@ -9,14 +9,13 @@ from pyspark import StorageLevel
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from cohortweave.functions.size import small_side
 from cohortweave.stats.features import Design
 
 
 def ps_saturated(df: DataFrame, treat: str, by: Sequence[str], name: str = "pd") -> DataFrame:
     """Propensity score of a fully saturated category model: the group share."""
     shares = df.groupBy(*by).agg(F.avg(F.col(treat).cast("double")).alias(name))
-    return df.join(small_side(shares), list(by))
+    return df.join(shares, list(by))
 
 
 def fit_logistic(df: DataFrame, treat: str, design: Design, weight: str | None = None,

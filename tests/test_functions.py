@@ -103,3 +103,10 @@ def test_parse_result(spark):
     got = [r["x"] for r in df.select(parse_result("n", "t", ["<", ">", "Hh", " "], "decimal(14,2)", ["see comment"])
                                      .cast("double").alias("x")).collect()]
     assert got == [5.0, 70000.0, None, None, 3.0, None]
+
+
+def test_mixed_wildcard_classes(spark):
+    texts = ["5", "-", ".", "x", "]", "q"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    hits = lambda p: [t for t in texts if df.where((F.col("t") == t) & F.col("t").rlike(T.any_pattern([p]))).count()]
+    assert hits("[0-9.]") == ["5", "."] and hits("[^a-z0-9 ]") == ["-", ".", "]"] and hits("[]x]") == ["x", "]"]

@@ -236,3 +236,15 @@ def test_features(spark):
     assert pick(variable="a", stratum="z", stat="missing_pct") == 25.0
     assert pick(variable="b", stratum="Overall", stat="median") == 6.0
     assert pick(variable="b", level="NA", stratum="z", stat="count") == 2.0
+
+
+def test_ratios_without_events_or_variance(spark):
+    """No event in one arm, no variance, one row in an arm: NULL instead of a division error."""
+    from cohortweave.stats.balance import smd
+    from cohortweave.stats.outcome import month_table, outcome_cells, risk_curves_saturated
+
+    df = spark.createDataFrame([(0, 2, 0, 1.0), (0, 3, 0, 1.0), (1, 2, 1, 2.0), (1, 3, 0, 2.0)], "t int, months int, died int, x double")
+    curves = risk_curves_saturated(month_table(outcome_cells(df, "t", "months", "died"))).collect()
+    assert curves and all(r["rr"] is None for r in curves)
+    assert smd(df, "t", numeric=["x"]).first()["smd"] is None
+    assert smd(df.where("t = 0 OR died = 1"), "t", numeric=["x"]).count() == 1
