@@ -105,3 +105,46 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = read_table(spark, sf_dir, "pages")
     return html_extract.extract(pages, html_extract.fit(pages))
+
+
+SQL["op5_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+part AS (SELECT vec_id, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS d, len(x) AS dim FROM v),
+score AS (SELECT q.vec_id AS query_id, p.vec_id, sum(q.c * p.c)::BIGINT AS score
+          FROM part q JOIN part p ON q.d = p.d AND q.dim = p.dim AND q.vec_id <> p.vec_id
+          WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM score QUALIFY rank <= 20
+"""
+
+
+def _secret_sql() -> str:
+    """Spans of every rule by splitting at its matches: a match starts after all pieces and matches before it."""
+    from cohortweave.llm.secret_scan import RULES
+
+    parts = []
+    for k, rule in enumerate(RULES):
+        regex = rule.regex.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {rule.base} AS base, {rule.least} AS least,
+            regexp_extract_all(t, '{regex}', 0) AS whole, regexp_extract_all(t, '{regex}', {rule.group}) AS checked,
+            string_split_regex(t, '{regex}') AS gaps FROM d""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT doc_id, k, kind, base, least, whole, checked, gaps, unnest(range(1, len(whole) + 1)) AS i FROM m),
+s AS (SELECT doc_id, k, kind, base, length(whole[i]) AS w, length(checked[i]) >= least AS good,
+             (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: length(g))), 0))::BIGINT AS start
+      FROM e),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || (start + w), ',' ORDER BY start, k) FILTER (base) AS base,
+             string_agg(kind || ':' || start || ':' || (start + w), ',' ORDER BY start, k) AS spans
+      FROM s WHERE good GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+SQL["op2_secret_scan"] = _secret_sql()

@@ -174,7 +174,11 @@ def digests(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     base = [k for k, r in enumerate(rules) if r.base]
     rows = scan(docs, rules)
     is_base = F.filter("found", lambda s: reduce(lambda a, k: a | (s["kind"] == k), base, F.lit(False)))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{rules[k].kind}") for k in base]
     return rows.select("doc_id", *counts, F.sha2(listed(is_base, rules), 256).alias("base_sha256"), listed(F.col("found"), rules).alias("spans"))
 
 

@@ -71,8 +71,8 @@ def test_secrets(llm, odd_docs, which):
     from cohortweave.llm import secret_scan
 
     docs = odd_docs if which == "odd" else table(llm, "documents")
-    got = sorted((str(r["doc_id"]), r["base_sha256"]) for r in secret_scan.digests(docs).collect())
-    want = sorted((str(r["doc_id"]), hashlib.sha256(brute_spans(r["text"]).encode()).hexdigest()) for r in docs.collect())
+    got = sorted((str(r["doc_id"]), r["base_sha256"], r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_scan.digests(docs).collect())
+    want = sorted((str(r["doc_id"]), hashlib.sha256((s := brute_spans(r["text"])).encode()).hexdigest(), *(s.count(k + ":") for k, *_ in BASE)) for r in docs.collect())
     assert got == want
     masked = secret_scan.redacted(docs)
     assert masked.columns == docs.columns and masked.count() == docs.count()
