@@ -148,3 +148,36 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 SQL["op2_secret_scan"] = _secret_sql()
+
+
+# Components: the least id reaches a group by paths of larger ids, so only such paths are followed.
+_COMPONENTS = """
+e AS (SELECT a AS x, b AS y FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT id, id AS root FROM node UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.id WHERE reach.root < e.y),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+"""
+
+SQL["op1_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+node AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS},
+n AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM least LEFT JOIN n ON id = x
+"""
+
+SQL["op10_minhash"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+      FROM w),
+one AS (SELECT min(doc_id) AS rep, len(s) AS n, s FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+g AS (SELECT rep, n, unnest(s) AS shingle FROM one),
+near AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n + b.n) AS total, count(*) AS common FROM g a JOIN g b
+         ON a.shingle = b.shingle AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS (SELECT a, b FROM near WHERE 100 * common >= 80 * (total - common)
+         UNION ALL SELECT rep, doc_id FROM s JOIN one ON list_sort(s.s) = one.s WHERE doc_id <> rep),
+node AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON doc_id = id
+"""
