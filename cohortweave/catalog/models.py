@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortweave.catalog.registry import check
 from cohortweave.catalog.roles import Roles, with_roles
@@ -19,8 +19,7 @@ GBT_TERMS = [X.Term("trial_num"), X.Term("balance"), X.Term("prior_stays"), X.Te
              X.Term("zone", "category")]
 # A reduced setting: tree count and rate scale together, so the fit stays comparable.
 GBT_PARAMS = {"trees": 12, "depth": 2, "shrinkage": 0.15, "min_node": 20}
-# Replicates shown by the registered query; the study default is 500.
-REPLICATES = 40
+REPLICATES = 500
 
 
 def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -182,10 +181,25 @@ def smd_long(spark: SparkSession, sf: str) -> DataFrame:
                                 "weighted": B.smd(df, "exp", _NUMERIC, ["built"], "iptw")}), 6)
 
 
-@check()
+def _smd_category_sql(method: str, w: str) -> str:
+    """The covariance of level shares is a diagonal less two outer products, so its inverse is a 2 x 2 one."""
+    shares = " UNION ALL ".join(f"""SELECT '{v}' AS variable, {v} AS level, SUM(CASE WHEN exp = 1 THEN {w} ELSE 0 END) AS t1,
+        SUM(CASE WHEN exp = 0 THEN {w} ELSE 0 END) AS t0 FROM wt GROUP BY 2""" for v in ("segment", "zone"))
+    return f"""SELECT variable, '{method}' AS method, ROUND(SQRT(GREATEST(dd + (m22 * v1 * v1 - 2 * m12 * v1 * v0 + m11 * v0 * v0)
+        / (m11 * m22 - m12 * m12), 0)), 5) AS smd FROM (
+        SELECT variable, SUM((p1 - p0) * (p1 - p0) / d) AS dd, 1 - SUM(p1 * p1 / d) / 2 AS m11, -SUM(p1 * p0 / d) / 2 AS m12,
+          1 - SUM(p0 * p0 / d) / 2 AS m22, SUM(p1 * (p1 - p0) / d) / SQRT(2) AS v1, SUM(p0 * (p1 - p0) / d) / SQRT(2) AS v0
+        FROM (SELECT *, (p1 + p0) / 2 AS d FROM (SELECT variable, level, t1 / SUM(t1) OVER (PARTITION BY variable) AS p1,
+              t0 / SUM(t0) OVER (PARTITION BY variable) AS p0, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY level) AS k
+              FROM ({shares}))) WHERE k > 1 GROUP BY variable)"""
+
+
+@check(with_roles(["ana"], f"{_smd_category_sql('unadjusted', '1.0::DOUBLE')} UNION ALL {_smd_category_sql('weighted', 'iptw')}", _PS))
 def smd_categories(spark: SparkSession, sf: str) -> DataFrame:
     """Mahalanobis form for variables with several levels (a matrix inverse)."""
-    return B.smd(_weighted(Roles(spark, sf)), "exp", (), ["segment", "zone"], "iptw")
+    df, variables = _weighted(Roles(spark, sf)), ["segment", "zone"]
+    return _rounded(B.smd_long({"unadjusted": B.smd(df, "exp", (), variables),
+                                "weighted": B.smd(df, "exp", (), variables, "iptw")}), 5)
 
 
 # ---- scores and outcome ----------------------------------------------------------------------
@@ -196,6 +210,25 @@ def ps_logistic(spark: SparkSession, sf: str) -> DataFrame:
     return W.iptw(W.ps_logistic(df, "exp", X.design(df, TERMS)), "exp").select("row_key", "exp", "pn", "pd", "iptw")
 
 
+@check(with_roles(["ana"], """SELECT 'segment=' || segment AS term, ROUND(SUM(exp), 2)::DOUBLE AS total FROM ana GROUP BY 1
+    UNION ALL SELECT 'zone=' || zone, ROUND(SUM(exp), 2)::DOUBLE FROM ana GROUP BY 1
+    UNION ALL SELECT 'prior_stays', ROUND(SUM(exp * prior_stays), 2)::DOUBLE FROM ana
+    UNION ALL SELECT 'balance', ROUND(SUM(exp * balance) / 1000, 2) FROM ana
+    UNION ALL SELECT 'trial_num', ROUND(SUM(exp * trial_num), 2)::DOUBLE FROM ana"""))
+def ps_logistic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score equations of the fit: predicted and observed totals agree for every level and every number.
+
+    A natural spline holds the straight line, so they hold for the splined columns too.
+    """
+    df = staged(Roles(spark, sf).analysis)
+    ps = W.ps_logistic(df, "exp", X.design(df, TERMS))
+    terms = F.array(*[F.struct(name.alias("term"), (F.col("pd") * x).alias("x")) for name, x in (
+        (F.concat(F.lit("segment="), "segment"), F.lit(1.0)), (F.concat(F.lit("zone="), "zone"), F.lit(1.0)),
+        (F.lit("prior_stays"), F.col("prior_stays")), (F.lit("balance"), F.col("balance") / 1000),
+        (F.lit("trial_num"), F.col("trial_num")))])
+    return ps.select(F.explode(terms).alias("t")).groupBy("t.term").agg(F.round(F.sum("t.x"), 2).alias("total"))
+
+
 _MONTHS = {
     **_PS,
     "mt": """SELECT exp, time, COUNT(*) AS n_risk, SUM(iptw) AS w_risk, SUM(CASE WHEN time + 1 = periods AND event_itt = 1
@@ -242,6 +275,20 @@ def risk_curves(spark: SparkSession, sf: str) -> DataFrame:
     return O.risk_curves(_cells(Roles(spark, sf)))
 
 
+@check(with_roles(["ana"], """SELECT CAST(exp AS BIGINT) AS exp, ROUND(SUM(w_event), 4) AS events, ROUND(SUM(time * w_event), 3) AS event_months
+    FROM mt GROUP BY 1""", _MONTHS))
+def risk_curves_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score equations of the curves: per arm, predicted and observed weighted events and their months agree."""
+    cells = staged(_cells(Roles(spark, sf)))
+    cum = O.risk_curves(cells).select("time", F.explode(F.array(*[F.struct(F.lit(a).alias("exp"), F.col(f"cuminc_{a}").alias("ci"))
+                                                                   for a in (0, 1)])).alias("_r")).select("time", "_r.*")
+    before = F.coalesce(F.lag("ci").over(Window.partitionBy("exp").orderBy("time")), F.lit(0.0))
+    hazard = cum.select("exp", "time", F.try_divide(F.col("ci") - before, 1 - before).alias("hazard"))
+    expected = O.month_table(cells).join(hazard, ["exp", "time"]).withColumn("_e", F.col("w_risk") * F.col("hazard"))
+    return expected.groupBy(F.col("exp").cast("long").alias("exp")).agg(
+        F.round(F.sum("_e"), 4).alias("events"), F.round(F.sum(F.col("time") * F.col("_e")), 3).alias("event_months"))
+
+
 @check()
 def risk_curves_adjusted(spark: SparkSession, sf: str) -> DataFrame:
     df = _weighted(Roles(spark, sf))
@@ -301,6 +348,16 @@ def ps_gbt(spark: SparkSession, sf: str) -> DataFrame:
     return W.iptw(scored, "exp").select("row_key", "exp", "pn", "pd", "iptw")
 
 
+@check(with_roles(["ana"], """SELECT row_key, ROUND(1 / (1 + EXP(-2 * (2 * AVG(exp) OVER (PARTITION BY segment = 'BUILDING') - 1))), 9)
+    AS pd FROM ana"""))
+def ps_gbt_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """One tree of depth 1 on a variable of two levels, without subsampling: the boosted score has a closed form."""
+    df = _with_flag(staged(Roles(spark, sf).analysis))
+    d = X.design(df, [X.Term("built", "category", ref="No")])
+    scored, _ = G.ps_gbt(df, "exp", d, {"trees": 1, "depth": 1, "shrinkage": 0.1, "min_node": 1, "bag": 1.0})
+    return _rounded(scored.select("row_key", "pd"))
+
+
 @check()
 def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
     df = staged(Roles(spark, sf).analysis)

@@ -7,21 +7,25 @@ emits sums only.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortweave.functions.rows import dense_ids
 from cohortweave.operators.summaries import percentile_interval
+from cohortweave.session import staged
 from cohortweave.stats.features import Design
 from cohortweave.stats.outcome import outcome_cells, risk_curves
 from cohortweave.stats.weights import fit_logistic, iptw, score
 
 ROWS_PER_STEP = 2048
+# Partition results that one task adds up on the first of two levels.
+PARTS_PER_SUM = 64
 LIMITS = ("cuminc_0", "cuminc_1", "rd", "rr")
 # Cumulative probabilities of a Poisson(1) count 0, 1, 2, ...
 POISSON_CDF = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 16)])))
@@ -92,46 +96,51 @@ def _batches(batches: Iterator[pa.RecordBatch], p: int, seed: int, n: int):
             yield X[rows], treat[rows], T[rows], event[rows], counts
 
 
-_GRAM = "replicate int, gram array<double>, grad array<double>, size double, treated double"
+_SUMS = "gram array<double>, grad array<double>, deviance double, size double, treated double"
+_GRAM = f"part int, replicate int, {_SUMS}"
 
 
 def _gram_pass(data: DataFrame, betas: np.ndarray, seed: int) -> DataFrame:
-    """Per partition and replicate: information matrix (upper triangle), gradient, counts."""
+    """Per partition and replicate: information matrix (upper triangle), gradient, deviance, counts."""
     n, p = betas.shape
     upper = np.triu_indices(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, grad = np.zeros((n, len(upper[0]))), np.zeros((n, p))
-        size, treated, seen = np.zeros(n), np.zeros(n), False
+        deviance, size, treated, seen = np.zeros(n), np.zeros(n), np.zeros(n), False
         for X, treat, _, _, counts in _batches(batches, p, seed, n):
             seen = True
-            mu = 1 / (1 + np.exp(-np.clip(X @ betas.T, -500, 500)))
+            eta = np.clip(X @ betas.T, -500, 500)
+            mu = 1 / (1 + np.exp(-eta))
             gram += (counts * mu * (1 - mu)).T @ (X[:, upper[0]] * X[:, upper[1]])
             grad += (counts * (treat[:, None] - mu)).T @ X
+            deviance += 2 * (counts * (np.logaddexp(0, eta) - treat[:, None] * eta)).sum(axis=0)
             size += counts.sum(axis=0)
             treated += counts.T @ treat
         if seen:
+            part = TaskContext.get().partitionId() // PARTS_PER_SUM
             yield pa.RecordBatch.from_pydict({
-                "replicate": pa.array(np.arange(n), pa.int32()), "gram": pa.array(list(gram)),
-                "grad": pa.array(list(grad)), "size": pa.array(size), "treated": pa.array(treated)})
+                "part": pa.array(np.full(n, part), pa.int32()), "replicate": pa.array(np.arange(n), pa.int32()),
+                "gram": pa.array(list(gram)), "grad": pa.array(list(grad)), "deviance": pa.array(deviance),
+                "size": pa.array(size), "treated": pa.array(treated)})
 
     return data.mapInArrow(run, _GRAM)
 
 
 def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum of the partition results of one replicate."""
+    """Sum of some partition results of one replicate."""
     return pd.DataFrame({
         "replicate": [pdf["replicate"].iloc[0]], "gram": [np.sum(np.stack(pdf["gram"]), axis=0)],
-        "grad": [np.sum(np.stack(pdf["grad"]), axis=0)], "size": [pdf["size"].sum()],
-        "treated": [pdf["treated"].sum()]})
+        "grad": [np.sum(np.stack(pdf["grad"]), axis=0)], "deviance": [pdf["deviance"].sum()],
+        "size": [pdf["size"].sum()], "treated": [pdf["treated"].sum()]})
 
 
-def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_iter: int = 12,
-                   tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic coefficients of all replicates (n x p) and their treated shares.
+def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_iter: int = 25,
+                   tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic coefficients of all replicates (n x p), their treated shares, and which fits converged.
 
-    Newton steps from the full-data fit; one pass over the data per step, and only
-    n x p numbers per step reach the driver.
+    Newton steps from the full-data fit, halved where the deviance rises.  One pass over the data per
+    step; partition results are added up on two levels, and only n x p numbers per step reach the driver.
     """
     p = len(start)
     upper = np.triu_indices(p)
@@ -142,21 +151,30 @@ def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_it
         H[upper] = s["gram"].iloc[0]
         H = H + np.triu(H, 1).T
         move = np.linalg.pinv(H, hermitian=True) @ s["grad"].iloc[0]
-        return pd.DataFrame({"replicate": s["replicate"], "move": [move], "size": s["size"], "treated": s["treated"]})
+        return pd.DataFrame({"replicate": s["replicate"], "move": [move], "deviance": s["deviance"], "size": s["size"],
+                             "treated": s["treated"]})
 
     betas = np.tile(start, (n, 1))
-    share = np.zeros(n)
+    held, least = betas.copy(), np.full(n, np.inf)
+    share, converged = np.zeros(n), np.zeros(n, dtype=bool)
     for _ in range(max_iter):
-        rows = (_gram_pass(data, betas, seed).groupBy("replicate")
-                .applyInPandas(step, "replicate int, move array<double>, size double, treated double").collect())
+        rows = (_gram_pass(data, betas, seed).groupBy("replicate", "part")
+                .applyInPandas(_sum_parts, f"replicate int, {_SUMS}").groupBy("replicate")
+                .applyInPandas(step, "replicate int, move array<double>, deviance double, size double, treated double").collect())
         moves = np.zeros_like(betas)
         for r in rows:
-            moves[r["replicate"]] = r["move"]
-            share[r["replicate"]] = r["treated"] / r["size"] if r["size"] else np.nan
+            k = r["replicate"]
+            share[k] = r["treated"] / r["size"] if r["size"] else np.nan
+            if r["deviance"] > least[k] + 1e-9 * (1 + abs(least[k])):
+                moves[k] = (held[k] - betas[k]) / 2
+                converged[k] = False
+            else:
+                held[k], least[k], moves[k] = betas[k], r["deviance"], r["move"]
+                converged[k] = np.max(np.abs(r["move"]) / (1 + np.abs(betas[k] + r["move"]))) < tol
         betas = betas + moves
-        if np.max(np.abs(moves) / (1 + np.abs(betas))) < tol:
+        if converged.all():
             break
-    return betas, share
+    return betas, share, converged
 
 
 def replicate_cells(data: DataFrame, betas: np.ndarray, share: np.ndarray, seed: int) -> DataFrame:
@@ -192,7 +210,7 @@ def replicate_cells(data: DataFrame, betas: np.ndarray, share: np.ndarray, seed:
 
 def bootstrap_replicates(df: DataFrame, treat: str, periods: str, event: str, design: Design, row_key: str, n: int,
                          seed: int, scheme: str = "poisson", horizon: int | None = None) -> DataFrame:
-    """Risk curve of every replicate: (replicate, time, ...), score model refitted per replicate."""
+    """Risk curve of every replicate: (replicate, time, ..., converged), score model refitted per replicate."""
     cols = [F.xxhash64(row_key).alias("h"), F.col(treat).cast("double").alias("treat"),
             F.col(periods).cast("int").alias("periods"),
             F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("event"), design.array(intercept=True).alias("x")]
@@ -204,14 +222,15 @@ def bootstrap_replicates(df: DataFrame, treat: str, periods: str, event: str, de
     try:
         model = fit_logistic(df.where(F.col(periods) >= 1), treat, design)
         start = np.concatenate([[model.intercept], model.coefficients.toArray()])
-        betas, share = fit_replicates(data, start, n, seed)
-        cells = replicate_cells(data, betas, share, seed)
-        # The cells are a few hundred rows per replicate: bring them out before the cache goes.
-        found = cells.toPandas()
+        betas, share, converged = fit_replicates(data, start, n, seed)
+        # Written before the cache goes: a few hundred rows per replicate.
+        cells = staged(replicate_cells(data, betas, share, seed))
     finally:
         data.unpersist()
-    small = df.sparkSession.createDataFrame(found, cells.schema).repartition("replicate")
-    return risk_curves(small, by="replicate", horizon=horizon)
+    if not converged.all():
+        warnings.warn(f"{int((~converged).sum())} of {n} score fits did not converge", stacklevel=2)
+    curves = risk_curves(cells, by="replicate", horizon=horizon)
+    return curves.withColumn("converged", ~F.col("replicate").isin([int(k) for k in np.flatnonzero(~converged)]))
 
 
 def with_limits(point: DataFrame, replicates: DataFrame) -> DataFrame:

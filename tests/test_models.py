@@ -177,6 +177,18 @@ def test_bootstrap_interval_covers_estimate(spark, frame):
     assert inside.mean() > 0.9
 
 
+def test_replicate_fits_over_many_partitions(spark, frame):
+    _, df = frame
+    d = X.design(df, TERMS)
+    data = df.select(F.xxhash64("key").alias("h"), F.col("exp").cast("double").alias("treat"), F.col("T").cast("int").alias("periods"),
+                     F.col("event").cast("int").alias("event"), d.array(intercept=True).alias("x"))
+    start = np.zeros(len(d.columns) + 1)
+    few, share, done = BS.fit_replicates(data.repartition(2), start, 4, 7)
+    many, again, _ = BS.fit_replicates(data.repartition(130), start, 4, 7)  # three partial sums for each replicate
+    assert done.all() and np.allclose(few, many, atol=1e-6) and np.allclose(share, again)
+    assert not BS.fit_replicates(data, start, 4, 7, max_iter=1)[2].any()
+
+
 def test_poisson_column(spark):
     m = spark.range(20000).select(BS.poisson_count(F.col("id"), 3, 1).alias("c")).agg(F.avg("c"), F.variance("c")).first()
     assert abs(m[0] - 1) < 0.05 and abs(m[1] - 1) < 0.08
