@@ -10,8 +10,8 @@ variants that rename its parts the ways that pages name them (``MAIN_NAMES``, ``
 notices, adverts, forms and reader comments made of the sample's own blocks; so the labeller does not rest on one template.
 
 Edge cases: null and empty html give an empty text; tags that are never closed, and stray end tags, are taken as browsers do
-in the plain cases (a new block ends an open paragraph); repeated rows give one row each; pages without such elements are
-labelled by the same network, and with none in the whole table every block outside scripts and styles counts as main text;
+in the plain cases (a new block ends an open paragraph); a declaration of no known kind is a comment; a tag that the page
+breaks off in is text; repeated rows give one row each; pages without such elements are labelled by the same network, and with none in the whole table every block outside scripts and styles counts as main text;
 an empty table gives an empty table; other columns are not read.
 """
 
@@ -41,8 +41,12 @@ OTHER_NAMES = ("nav", "header", "footer", "aside", "form", "div.menu", "div.navb
                "section.comments", "div.comment", "ol.comment-list", "div#disqus_thread", "div.footer", "div.header", "div.widget", "div.popup", "ul.links")
 SAMPLE = 240
 VARIANTS = 3
+#: Blocks, padding included, that one step of the network reads; a longer page is a step of its own.
+PADDED = 8000
 PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN_SIZE = 64, 16, 6, 24
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
+# Open elements that a path names: the outermost and the innermost ones of a deeper nest.
+OUTER, INNER = 48, 16
 _SPACE = re.compile(r"\s+")
 
 
@@ -71,6 +75,7 @@ class Blocks(HTMLParser):
         self.in_link = 0
         self.found: list[Block] = []
         self.path: tuple[str, ...] = ()
+        self.unended = False
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -117,7 +122,22 @@ class Blocks(HTMLParser):
                 return
 
     def _set_path(self) -> None:
-        self.path = tuple(t for o in self.open for t in (o.tag, *("." + n for n in o.names)))
+        named = self.open if len(self.open) <= OUTER + INNER else self.open[:OUTER] + self.open[-INNER:]
+        self.path = tuple(t for o in named for t in (o.tag, *("." + n for n in o.names)))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """The place after a comment; the end that one comment lacks is not searched again for those after it."""
+        if self.unended:
+            return -1
+        end = super().parse_comment(i, report)
+        self.unended = end < 0
+        return end
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # the parser knows few marked sections; browsers take the others as comments
+            return self.parse_bogus_comment(i)
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -127,8 +147,10 @@ class Blocks(HTMLParser):
 
 
 def page_blocks(html: str | None) -> list[Block]:
-    parser = Blocks()
-    parser.feed(html or "")
+    parser, html = Blocks(), html or ""
+    # No tag or comment ends in the tail, and a search for its end from every "<" would take quadratic time.
+    end = html.rfind(">") + 1
+    parser.feed(html[:end] + html[end:].replace("<", "&lt;"))
     parser.close()
     parser.flush()
     return parser.found
@@ -320,12 +342,16 @@ def label(net: Labeller | None, pages: list[list[Block]]) -> list[np.ndarray]:
     out = [np.ones(len(b), dtype=bool) for b in pages]
     if net is None:
         return out
-    order = sorted((k for k, b in enumerate(pages) if b), key=lambda k: len(pages[k]))
-    for a, b in steps((max(1, len(pages[k])) for k in order), 6000):
+    order, a = sorted((k for k, b in enumerate(pages) if b), key=lambda k: len(pages[k])), 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * len(pages[order[b]]) <= PADDED:
+            b += 1
         x, mask = _padded([encode(pages[k]) for k in order[a:b]])
         p, _ = net.forward(x, mask)
         for i, k in enumerate(order[a:b]):
             out[k] = p[: len(pages[k]), i] > 0.5
+        a = b
     return out
 
 
