@@ -96,8 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", held_out:
             rows = [at.tobytes() for at in _features(x["text"].tolist())]
             yield pd.DataFrame({"order": x["order"], "label": x["label"], "at": rows})
 
-    # At most 2 * per_class rows of two numbers.
+    # At most 2 * per_class rows of two numbers; an id that repeats teaches once, with its greatest text.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
+    found = found.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
     rows = found.select(F.xxhash64("doc_id", F.lit(1)).alias("order"), "label", "text").mapInPandas(run, "order long, label int, at binary")
     rows = staged(rows.orderBy("order"))
     learner, seen = Ftrl(), {0: 0, 1: 0}
