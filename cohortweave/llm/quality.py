@@ -136,8 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, column: str
         for x in batches:
             yield pd.DataFrame({"order": x["order"], "label": x["label"], "x": list(pool(x["text"].tolist(), held.value))})
 
-    # At most 2 * per_class rows, of two numbers before and 2 * WIDTH numbers after pooling.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # At most 2 * per_class rows, of two numbers before and 2 * WIDTH numbers after pooling; an id that repeats teaches once,
+    # with its greatest text.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
     rows = (found.select(F.xxhash64("doc_id", F.lit(1)).alias("order"), "label", "text")
             .mapInPandas(run, "order long, label int, x array<double>").toPandas().sort_values(["order", "label"]))
     if not len(rows):
