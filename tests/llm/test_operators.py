@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -240,6 +241,56 @@ def test_targets_and_flow():
 
 # 9, pages
 
+@pytest.mark.parametrize("page, found", [
+    ("<![foo[x]]>y", ["y"]), ("<![ [x]]>y", ["y"]), ("<p>a<![if !IE]>b<![endif]>c", ["abc"]), ('<p>a</p><a href="x', ["a", '<a href="x']),
+    ("<p>1 < 2 &lt; 3", ["1 < 2 < 3"]), ("<!--x><!--y-->a<p>b", ["a", "b"]), ("<![", ["<!["]), ("<p>x</p", ["x</p"])])
+def test_page_markup_at_odds(page, found):
+    from cohortweave.llm.html_extract import page_blocks
+
+    assert [b.text for b in page_blocks(page)] == found
+
+
+def test_page_markup_takes_linear_time():
+    from cohortweave.llm.html_extract import INNER, OUTER, page_blocks
+
+    began = time.monotonic()
+    for part in ("<!--", "<a ", "</", "<![CDATA[", "<!--x>", "&", "<b"):
+        assert len(page_blocks(part * 60_000)) == 1
+    nested = page_blocks("<div>x" * 20_000)
+    assert len(nested) == 20_000 and len(nested[-1].path) == OUTER + INNER
+    assert time.monotonic() - began < 30
+
+
+def test_page_labels_do_not_rest_on_batches():
+    from cohortweave.llm.html_extract import Block, Labeller, label
+
+    rng, net = np.random.default_rng(0), Labeller()
+    pages = [[Block(("p",), f"{'w ' * int(rng.integers(1, 9))}{k}.") for k in range(n)] for n in (3, 9000, 0, 1, 50, 3)]
+    together, alone = label(net, pages), [label(net, [p])[0] for p in pages]
+    assert all(np.array_equal(a, b) for a, b in zip(together, alone, strict=True))
+
+
+def test_repeated_ids_teach_once(llm):
+    from cohortweave.llm import quality, toxicity
+
+    docs = llm.createDataFrame([(k % 6, f"word{k % 6} other{k % 3}") for k in range(600)], "doc_id long, text string")
+    labels = llm.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, toxic int, quality int")
+    once = docs.dropDuplicates(["doc_id"])
+    a, b = (toxicity.fit(d, labels, held_out=F.lit(False)) for d in (docs, once))
+    assert np.array_equal(a.index, b.index) and np.array_equal(a.value, b.value) and a.bias == b.bias
+    vectors = quality.word_vectors(once)
+    a, b = (quality.fit(d, labels, vectors, held_out=F.lit(False)) for d in (docs, once))
+    assert np.array_equal(a.w1, b.w1)
+
+
+def test_long_key_header(llm):
+    from cohortweave.llm import secret_scan
+
+    text = "-----BEGIN " + "AB " * 200_000 + "PRIVATE KEY----- -----BEGIN PRIVATE KEY----- -----BEGIN RSA PRIVATE KEY-----"
+    out = secret_scan.digests(llm.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out["spans"].count("private_key") == 3
+
+
 def test_pages(llm):
     from cohortweave.llm import html_extract
 
