@@ -52,6 +52,14 @@ def listed_codes(master: DataFrame, concepts: Sequence[str], concept: str = "con
     return master.where(F.col(concept).isin(list(concepts)))
 
 
+def listed_shots(shots: DataFrame, code: str, at: str, first: str, last: str,
+                 wanted: Sequence[str] | None = None) -> DataFrame:
+    """Immunisations whose code is listed (influenza by default), from day ``first`` to midnight of ``last``."""
+    listed = INFLUENZA_VACCINES if wanted is None else list(wanted)
+    return shots.where(F.trim(F.col(code).cast("string")).isin(listed)
+                       & F.col(at).between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp")))
+
+
 def numbered_codes(master: DataFrame, groups: Mapping[int, str], number: str, concept: str = "concept",
                    otherwise: str = "OTHER") -> DataFrame:
     """Rows of a numbered code table, with the concept that each number stands for."""
@@ -106,6 +114,11 @@ DRUG_NAMES_EXCLUDED = ["%AMILORIDE%", "%TRIAMTERENE%"]
 DIGOXIN = NameRule("RX_Digoxin", include=["%DIGOXIN%"])
 DIGOXIN_FORMS_EXCLUDED = ["INJ,SOLN"]
 
+# Vaccine codes that count as an influenza shot.
+INFLUENZA_VACCINES = ["15", "16", "88", "111", "125", "126", "127", "128", "135", "140", "141", "144", "149", "150", "151", "153",
+                      "155", "158", "160", "161", "166", "168", "171", "185", "186", "194", "197", "200", "201", "202", "205",
+                      "231", "320"]
+
 # Laboratory test names.
 LAB_NAME_RULES = [
     NameRule("BNP", include=["%BNP%", "%brain natriuretic peptide%", "%natriu%pept%"],

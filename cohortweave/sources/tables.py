@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,9 +27,13 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer.parquet(path)
 
 
-def save_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated text without a header row."""
+def save_tsv(df: DataFrame, path: str, day: date | None = None) -> str:
+    """Tab-separated text without a header row; with a ``day``, its ISO form follows the name.  Returns the path."""
+    if day is not None:
+        stem, ext = os.path.splitext(path)
+        path = f"{stem}_{day.isoformat()}{ext}"
     df.write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
+    return path
 
 
 def expect(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -286,7 +286,20 @@ def test_sources_round_trip(spark, tmp_path):
     save_tsv(df.orderBy("k").coalesce(1), str(tmp_path / "tsv"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "tsv").glob("part-*")))
     assert text.splitlines()[0].split("\t") == ["-1", "b"]
+    assert save_tsv(df, str(tmp_path / "table1.txt"), date(2024, 3, 5)) == str(tmp_path / "table1_2024-03-05.txt")
+    assert spark.read.csv(str(tmp_path / "table1_2024-03-05.txt"), sep="\t").count() == 3
     valid, rejected = expect(df, {"positive": F.col("k") > 0, "known": F.col("v") != "zz"})
     assert valid.count() == 2 and [r["failed_checks"] for r in rejected.collect()] == [["positive"]]
     other = df.withColumnsRenamed({"k": "Key", "v": "Value"})
     assert harmonise([df, other], [{"id": "k", "t": "v"}, {"id": "Key", "t": "Value"}]).count() == 3
+
+
+def test_influenza_shots(spark):
+    from cohortweave.operators.codes import listed_shots
+
+    rows = [(1, "140", datetime(2019, 10, 1, 9)), (2, "17", datetime(2019, 10, 1)), (3, " 88", datetime(2013, 1, 1)), (4, "150", datetime(2012, 12, 31, 23)),
+            (5, "150", datetime(2020, 9, 30)), (6, "150", datetime(2020, 9, 30, 8)), (7, None, datetime(2019, 1, 1)), (8, "15", None)]
+    shots = spark.createDataFrame(rows, "person_id int, cvx string, ts timestamp")
+    out = listed_shots(shots, "cvx", "ts", "2013-01-01", "2020-09-30")
+    assert sorted(r["person_id"] for r in out.collect()) == [1, 3, 5]
+    assert [r["person_id"] for r in listed_shots(shots, "cvx", "ts", "2013-01-01", "2020-09-30", ["17"]).collect()] == [2]
