@@ -1,8 +1,8 @@
 """Main text of web pages by a recurrent block labeller (operator 9).
 
 A page is cut into its leaf blocks: runs of text between block-level tags, with the path of open tags (names, classes, ids,
-roles).  A numpy bidirectional LSTM reads, for the whole sequence of a page, hashed vectors of the tag path and of the
-words, and a few numbers, and labels every block as main text or not.
+roles).  A numpy bidirectional LSTM reads, for the whole sequence of a page, hashed vectors of all open tags and of all
+words of a block, and a few numbers, and labels every block as main text or not.
 
 Pages carry no labels, so the labeller learns from pages whose structure names its parts: a sample of at most ``SAMPLE``
 pages with an ``article`` or ``main`` element teaches which blocks are the article.  Each sampled page is also learned in
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -43,11 +44,36 @@ SAMPLE = 240
 VARIANTS = 3
 #: Blocks, padding included, that one step of the network reads; a longer page is a step of its own.
 PADDED = 8000
-PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN_SIZE = 64, 16, 6, 24
+PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN_SIZE = 64, 64, 6, 24
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
-# Open elements that a path names: the outermost and the innermost ones of a deeper nest.
+# Open elements that a path names: the outermost and the innermost ones of a deeper nest.  ``Block.sums`` holds all of them.
 OUTER, INNER = 48, 16
+MAIN = frozenset(("article", "main"))
+OTHER = frozenset("nav header footer aside form button".split())
 _SPACE = re.compile(r"\s+")
+_slots: dict[str, tuple[int, int]] = {}
+
+
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def _slot(token: str) -> tuple[int, int]:
+    """Place and sign of a token in the vector of a path."""
+    found = _slots.get(token)
+    if found is None:
+        if len(_slots) > 20_000:
+            _slots.clear()
+        h = _crc(token)
+        found = _slots[token] = (h % PATH_SIZE, 0 if token in ("html", "body") else 1 if h & (1 << 20) else -1)
+    return found
+
+
+def _sums(tokens: tuple[str, ...] | list[str]) -> np.ndarray:
+    out = np.zeros(PATH_SIZE, dtype=np.int32)
+    for k, sign in map(_slot, tokens):
+        out[k] += sign
+    return out
 
 
 @dataclass
@@ -55,12 +81,24 @@ class Block:
     path: tuple[str, ...]
     text: str
     linked: int = 0
+    #: int32 sums of the hashed tokens of all open elements, and, inside an article, of the tags after the innermost one.
+    sums: bytes | None = None
+    tail: bytes | None = None
+
+    def __post_init__(self) -> None:
+        if self.sums is None:
+            self.sums = _sums(self.path).tobytes()
+            at = max((i for i, t in enumerate(self.path) if t in MAIN), default=None)
+            if at is not None and not OTHER & set(self.path[at:]):
+                self.tail = _sums([t for t in self.path[at + 1:] if t[0] != "."]).tobytes()
 
 
 @dataclass
 class _Open:
     tag: str
     names: tuple[str, ...] = field(default=())
+    #: In an article: the sums of the tags up to the innermost one.
+    before: np.ndarray | None = None
 
 
 class Blocks(HTMLParser):
@@ -75,12 +113,15 @@ class Blocks(HTMLParser):
         self.in_link = 0
         self.found: list[Block] = []
         self.path: tuple[str, ...] = ()
+        self.sums, self.tags = array("i", bytes(4 * PATH_SIZE)), array("i", bytes(4 * PATH_SIZE))
         self.unended = False
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.found.append(Block(self.path, text, self.linked))
+            before = self.open[-1].before if self.open else None
+            tail = None if before is None else (np.frombuffer(self.tags.tobytes(), dtype=np.int32) - before).tobytes()
+            self.found.append(Block(self.path, text, self.linked, self.sums.tobytes(), tail))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -97,7 +138,13 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         names = [v for k, v in attrs if k in ("class", "id", "role") and v]
-        self.open.append(_Open(tag, tuple(w for v in names for w in re.findall(r"[a-z0-9]+", v.lower()))))
+        opened = _Open(tag, tuple("." + w for v in names for w in re.findall(r"[a-z0-9]+", v.lower())))
+        self._count(opened, 1)
+        if tag in MAIN:
+            opened.before = np.frombuffer(self.tags.tobytes(), dtype=np.int32)
+        elif tag not in OTHER and self.open:
+            opened.before = self.open[-1].before
+        self.open.append(opened)
         self.hidden += tag in HIDDEN
         self._set_path()
 
@@ -114,6 +161,8 @@ class Blocks(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k].tag == tag:
                 self.hidden -= sum(o.tag in HIDDEN for o in self.open[k:])
+                for o in self.open[k:]:
+                    self._count(o, -1)
                 del self.open[k:]
                 self.in_link = 0
                 self._set_path()
@@ -121,9 +170,16 @@ class Blocks(HTMLParser):
             if self.open[k].tag in walls:
                 return
 
+    def _count(self, o: _Open, times: int) -> None:
+        k, sign = _slot(o.tag)
+        self.tags[k] += times * sign
+        self.sums[k] += times * sign
+        for k, sign in map(_slot, o.names):
+            self.sums[k] += times * sign
+
     def _set_path(self) -> None:
         named = self.open if len(self.open) <= OUTER + INNER else self.open[:OUTER] + self.open[-INNER:]
-        self.path = tuple(t for o in named for t in (o.tag, *("." + n for n in o.names)))
+        self.path = tuple(t for o in named for t in (o.tag, *o.names))
 
     def parse_comment(self, i: int, report: bool = True) -> int:
         """The place after a comment; the end that one comment lacks is not searched again for those after it."""
@@ -156,34 +212,31 @@ def page_blocks(html: str | None) -> list[Block]:
     return parser.found
 
 
-def _hashed(words: tuple[str, ...] | list[str], size: int) -> np.ndarray:
-    out = np.zeros(size, dtype=np.float32)
-    for w in words:
-        h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        out[h % size] += 1 if h & (1 << 20) else -1
-    return out
+_inner_vectors: dict[tuple[str, ...], np.ndarray] = {}
 
 
-_path_vectors: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    found = _path_vectors.get(path)
+def _inner_vector(path: tuple[str, ...]) -> np.ndarray:
+    """The three innermost tokens of a path once more, apart from the others."""
+    inner = path[-3:]
+    found = _inner_vectors.get(inner)
     if found is None:
-        if len(_path_vectors) > 20_000:
-            _path_vectors.clear()
-        inner = [f"<{t}" for t in path[-3:]]
-        found = _path_vectors[path] = np.clip(_hashed([t for t in path if t not in ("html", "body")] + inner, PATH_SIZE), -2, 2)
+        if len(_inner_vectors) > 20_000:
+            _inner_vectors.clear()
+        found = _inner_vectors[inner] = _sums([f"<{t}" for t in inner])
     return found
 
 
 def encode(blocks: list[Block]) -> np.ndarray:
-    """(blocks, INPUT)."""
+    """(blocks, INPUT): every open element, every word."""
     out = np.zeros((len(blocks), INPUT), dtype=np.float32)
+    if not blocks:
+        return out
+    paths = np.frombuffer(b"".join(b.sums for b in blocks), dtype=np.int32).reshape(-1, PATH_SIZE) + [_inner_vector(b.path) for b in blocks]
+    out[:, :PATH_SIZE] = np.clip(paths, -2, 2)
     for k, b in enumerate(blocks):
-        words = b.text.lower().split(" ", 12)[:12]
-        out[k, :PATH_SIZE] = _path_vector(b.path)
-        out[k, PATH_SIZE:PATH_SIZE + WORD_SIZE] = _hashed(words, WORD_SIZE) / len(words) ** 0.5
+        words = b.text.lower().split(" ")
+        h = np.fromiter(map(_crc, words), dtype=np.int64, count=len(words))
+        out[k, PATH_SIZE:PATH_SIZE + WORD_SIZE] = np.bincount(h % WORD_SIZE, np.where(h & (1 << 20), 1.0, -1.0), WORD_SIZE) / len(words) ** 0.5
         n = len(b.text)
         out[k, -NUMBERS:] = (np.log1p(n) / 8, b.linked / n, b.text[-1] in ".!?…", k / len(blocks), b.text.count(",") / (1 + n / 50), 1)
     return out
@@ -260,9 +313,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def taught(blocks: list[Block]) -> np.ndarray:
     """Which blocks the page's own elements name as the article."""
-    other = {"nav", "header", "footer", "aside", "form", "button"}
-    return np.array([bool({"article", "main"} & set(b.path)) and not other & set(b.path[max(i for i, t in enumerate(b.path) if t in ("article", "main")):])
-                     for b in blocks], dtype=bool)
+    return np.array([b.tail is not None for b in blocks], dtype=bool)
 
 
 def _renamed(name: str) -> tuple[str, ...]:
@@ -291,12 +342,14 @@ def variant(blocks: list[Block], main: np.ndarray, pool: list[Block], rng: np.ra
         if k in cuts:
             insert()
         if is_main:
-            at = max(i for i, t in enumerate(b.path) if t in ("article", "main"))
+            at = max((i for i, t in enumerate(b.path) if t in MAIN), default=-1)  # a deep nest may not name it
             tail = tuple(t for t in b.path[at + 1:] if not t.startswith("."))
-            out.append(Block(("html", "body", *own, *tail), b.text, b.linked))
+            sums = _sums(own) + np.frombuffer(b.tail, dtype=np.int32)
+            out.append(Block(("html", "body", *own, *tail), b.text, b.linked, sums.tobytes()))
         else:
             part = parts.setdefault(b.path[:3], other())
-            out.append(Block(("html", "body", *part, *b.path[3:]), b.text, b.linked))
+            sums = np.frombuffer(b.sums, dtype=np.int32) - _sums(b.path[:3]) + _sums(part)
+            out.append(Block(("html", "body", *part, *b.path[3:]), b.text, b.linked, sums.tobytes()))
         labels.append(bool(is_main))
     if len(blocks) in cuts:
         insert()

@@ -261,6 +261,41 @@ def test_page_markup_takes_linear_time():
     assert time.monotonic() - began < 30
 
 
+def test_page_words_and_paths_are_read_whole():
+    from cohortweave.llm.html_extract import INNER, OUTER, Block, Labeller, encode, label, page_blocks, taught, train, variant
+
+    opening = " ".join(f"w{k}" for k in range(12))
+    a, b = encode([Block(("p",), f"{opening} {end}.") for end in ("subscribe", "mountains")])
+    assert len(opening) and not np.array_equal(a, b)
+    depth = OUTER + INNER
+    nest = lambda middle: page_blocks("<html><body>" + "<div>" * depth + middle + "<div>" * depth + "text here")
+    plain, article, comments = nest("<div>"), nest("<article>"), nest("<div class=comments>")
+    assert len(article[0].path) == depth and taught(article).all() and not taught(plain).any() and not taught(comments).any()
+    assert not taught(nest("<article><nav>")).any() and taught(nest("<nav><article>")).all()
+    assert len({encode(x).tobytes() for x in (plain, article, comments)}) == 3
+    assert page_blocks("<div>a<article>b</article>c</div>")[2].sums == Block(("div",), "c").sums
+    blocks, main = variant(article, taught(article), plain, np.random.default_rng(0))
+    assert main.sum() == 1 and isinstance(train([article], rounds=2, size=2), Labeller) and len(label(Labeller(), [blocks])[0]) == len(blocks)
+
+
+def test_page_labels_rest_on_late_words():
+    from cohortweave.llm.html_extract import Block, label, page_blocks, train
+
+    rng, words = np.random.default_rng(1), [f"w{k}" for k in range(300)]
+
+    def page(k):
+        opening = lambda: " ".join(rng.choice(words, 14))
+        parts = [f"<article>{opening()} river mountain harvest.</article>", f"<aside>{opening()} cookies consent subscribe.</aside>"]
+        return page_blocks("".join(parts[:: 1 if k % 2 else -1]))
+
+    def alike(blocks):  # nothing but the words tells the blocks apart
+        return [Block(("div",), b.text, tail=b.tail, sums=Block(("div",), "").sums) for b in blocks]
+
+    net = train([alike(page(k)) for k in range(60)], rounds=150)
+    right = [np.array_equal(label(net, [alike(p)])[0], [x.tail is not None for x in p]) for p in map(page, range(40))]
+    assert np.mean(right) > 0.9
+
+
 def test_page_labels_do_not_rest_on_batches():
     from cohortweave.llm.html_extract import Block, Labeller, label
 
