@@ -9,7 +9,7 @@ pages with an ``article`` or ``main`` element teaches which blocks are the artic
 variants that rename its parts the ways that pages name them (``MAIN_NAMES``, ``OTHER_NAMES``) and insert further menus,
 notices, adverts, forms and reader comments made of the sample's own blocks; so the labeller does not rest on one template.
 
-Edge cases: null and empty html give an empty text; tags that are never closed, and stray end tags, are taken as browsers do
+Edge cases: null and empty html give an empty text; text, a body tag or any tag that has no place in a head ends an open head; tags that are never closed, and stray end tags, are taken as browsers do
 in the plain cases (a new block ends an open paragraph); a declaration of no known kind is a comment; a tag that the page
 breaks off in is text; repeated rows give one row each; pages without such elements are labelled by the same network, and with none in the whole table every block outside scripts and styles counts as main text;
 an empty table gives an empty table; other columns are not read.
@@ -34,6 +34,7 @@ from cohortweave.llm.common import steps
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head noscript script style svg template textarea title iframe object".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # Names that pages give to their main part, and to the others.
 MAIN_NAMES = ("article", "main", "div.content", "div.article-body", "div.post-content", "div.entry-content", "section.story", "div#main-content", "div.text")
@@ -125,6 +126,10 @@ class Blocks(HTMLParser):
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            self._close("head", HIDDEN - {"head", "noscript"})
+        elif tag not in IN_HEAD:
+            self._end_head()
         if tag in INLINE:
             self.in_link += tag == "a"
             if tag == "br":
@@ -156,6 +161,10 @@ class Blocks(HTMLParser):
         if tag not in VOID:
             self._close(tag, frozenset())
 
+    def _end_head(self) -> None:
+        if self.open and self.open[-1].tag == "head":
+            self._close("head", frozenset())
+
     def _close(self, tag: str, walls: frozenset[str] | set[str]) -> None:
         """Close the innermost open ``tag`` and what stands in it, unless a wall stands between."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -196,6 +205,8 @@ class Blocks(HTMLParser):
             return self.parse_bogus_comment(i)
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and data.strip(" \t\n\f\r"):
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
             if self.in_link:

@@ -296,6 +296,16 @@ def test_page_labels_rest_on_late_words():
     assert np.mean(right) > 0.9
 
 
+@pytest.mark.parametrize("page, found", [
+    ("<head><title>t</title><body><p>a</body>", ["a"]), ("<html><head><meta charset=x><title>t</title><style>s</style><p>a<p>b", ["a", "b"]),
+    ("<head><title>t</title><img src=x>a", ["a"]), ("<head><script>x<p></script> \n a<body>b", ["a", "b"]), ("<head><a href=x>a</a><p>b", ["a", "b"]),
+    ("<head><noscript>n<body><p>a", ["a"]), ("<head><noscript><img src=x>n</noscript><title>t</title></head>a", ["a"]), ("<head><title>t</title></head><body>a", ["a"])])
+def test_page_head_without_end(page, found):
+    from cohortweave.llm.html_extract import page_blocks
+
+    assert [b.text for b in page_blocks(page)] == found
+
+
 def test_page_labels_do_not_rest_on_batches():
     from cohortweave.llm.html_extract import Block, Labeller, label
 
