@@ -6,7 +6,9 @@ the script of a word can't label that word while another one can.  A Viterbi sea
 for each switch, labels spans; the language of most labelled letters is the prediction.
 
 The search is exact and vectorised: documents are cut into blocks of ``BLOCK`` words, each block is solved for every label
-that may stand before it, and blocks are then chained.  Long texts cost no more per word than short ones.
+that may stand before it, and blocks are then chained; with the labels at their borders known, each block is solved once more
+for its own.  Long texts cost no more per word than short ones.  Any number of languages may be learned: as many blocks are
+solved at once as ``CELLS`` numbers hold.
 
 Model: counts of n-gram buckets by language, from a sample of about ``per_language`` labelled documents of each language
 (chosen by a hash of doc_id, whole texts), summed by Spark; the table has ``BUCKETS`` rows whatever the input.
@@ -32,6 +34,8 @@ from cohortweave.llm.common import crc_remainder, text_steps
 BUCKETS = 1 << 16
 BLOCK = 256
 STEP_CHARS = 1 << 19
+# Numbers that a table of the search, or of the letters' scores, holds at once.
+CELLS = 1 << 23
 UNKNOWN = "und"
 RARE_SCRIPT = 0.005
 # First and last code points by script; letters elsewhere form the script 0.
@@ -134,8 +138,14 @@ class Model:
 
     def word_scores(self, x: Letters) -> np.ndarray:
         """(words, labels): mean score of the three n-gram orders, summed over the word."""
-        score = sum(self.weight[f] for f in features(x)) / 3
-        out = np.add.reduceat(score, x.word_first, axis=0)
+        grams, ends = features(x), np.append(x.word_first[1:], len(x.at))
+        out, a, most = np.zeros((len(ends), len(self.labels)), dtype=self.weight.dtype), 0, max(1, CELLS // len(self.labels))
+        while a < len(ends):
+            begin = x.word_first[a]
+            b = max(a + 1, int(np.searchsorted(ends, begin + most, side="right")))
+            score = sum(self.weight[f[begin:ends[b - 1]]] for f in grams) / 3
+            out[a:b] = np.add.reduceat(score, x.word_first[a:b] - begin, axis=0)
+            a = b
         allowed = self.scripts[_table("script")[x.code[x.at[x.word_first]]]]
         narrowed = allowed.any(axis=1)
         out -= out.max(axis=1, keepdims=True)
@@ -150,53 +160,69 @@ def viterbi(scores: np.ndarray, text_word: np.ndarray, switch: float) -> np.ndar
         begin += range(a, b, BLOCK)
         first += [k == a for k in range(a, b, BLOCK)]
     if not begin:
-        return np.zeros(0, dtype=np.int8)
+        return np.zeros(0, dtype=np.int32)
     begin = np.array(begin)
-    ends = np.minimum(begin + BLOCK, text_word[1:][np.searchsorted(text_word[1:], begin, side="right")])
-    size = ends - begin
+    size = np.minimum(begin + BLOCK, text_word[1:][np.searchsorted(text_word[1:], begin, side="right")]) - begin
+    # Chain the blocks of each text forward, then fix the labels at their borders backward.
+    came = np.zeros((len(begin), n_labels), dtype=np.int32)
+    entry, exit_ = np.zeros(len(begin), dtype=np.int32), np.zeros(len(begin), dtype=np.int32)
+    value, start, most = np.zeros(n_labels), 0, max(1, CELLS // n_labels ** 2)
+    for a in range(0, len(begin), most):
+        for k, best in enumerate(_solved(scores, begin[a:a + most], size[a:a + most], switch), a):
+            if first[k]:
+                value, start = np.zeros(n_labels), k  # any label may stand before a text, so its first word costs no switch
+            total = value[:, None] + best
+            came[k] = total.argmax(axis=0)
+            value = total.max(axis=0)
+            if k + 1 == len(begin) or first[k + 1]:
+                last = int(value.argmax())
+                for j in range(k, start - 1, -1):
+                    exit_[j] = last
+                    last = int(came[j, last])
+                    entry[j] = last
+    out, most = np.zeros(len(scores), dtype=np.int32), max(1, CELLS // (BLOCK * n_labels))
+    order = np.argsort(-size, kind="stable")
+    for a in range(0, len(order), most):
+        k = order[a:a + most]
+        _traced(scores, begin[k], size[k], entry[k], exit_[k], switch, out)
+    return out
+
+
+def _solved(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, switch: float) -> np.ndarray:
+    """(blocks, before, now): best sum of each block that ends in the label ``now`` with ``before`` in front of it."""
     order = np.argsort(-size, kind="stable")
     size, begin, rank = size[order], begin[order], np.argsort(order, kind="stable")
-    # best[block, before, now]; ``before`` is the label that stands in front of the block.
-    change = np.where(np.eye(n_labels, dtype=bool), 0.0, -switch)
-    best = change[None] + scores[begin][:, None, :]
-    back = np.zeros((int(size[0]), len(begin), n_labels, n_labels), dtype=np.int8)
-    live = len(begin)
+    change = np.where(np.eye(scores.shape[1], dtype=bool), 0.0, -switch)
+    best, live = change[None] + scores[begin][:, None, :], len(begin)
     for t in range(1, int(size[0])):
         while size[live - 1] <= t:
             live -= 1
         old = best[:live]
-        top = old.argmax(axis=2)
-        peak = np.take_along_axis(old, top[..., None], axis=2) - switch
-        stay = old >= peak
-        back[t, :live] = np.where(stay, np.arange(n_labels, dtype=np.int8), top[..., None].astype(np.int8))
-        best[:live] = np.maximum(old, peak) + scores[begin[:live] + t][:, None, :]
-    # Chain the blocks of each text forward, then fix the labels at their borders backward.
-    entry, exit_ = np.zeros(len(begin), dtype=np.int64), np.zeros(len(begin), dtype=np.int64)
-    value, came = np.zeros(n_labels), []
-    groups: list[list[int]] = []
-    for k, r in enumerate(rank):
-        if first[k]:
-            value = np.zeros(n_labels)  # any label may stand before a text, so its first word costs no switch
-            groups.append([])
-        total = value[:, None] + best[r]
-        came.append(total.argmax(axis=0))
-        value = total.max(axis=0)
-        groups[-1].append(k)
-        if k + 1 == len(rank) or first[k + 1]:
-            last = int(value.argmax())
-            for j in reversed(groups[-1]):
-                exit_[rank[j]] = last
-                last = int(came[j][last])
-                entry[rank[j]] = last
-    out = np.zeros(len(scores), dtype=np.int8)
+        best[:live] = np.maximum(old, old.max(axis=2, keepdims=True) - switch) + scores[begin[:live] + t][:, None, :]
+    return best[rank]
+
+
+def _traced(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray, exit_: np.ndarray, switch: float, out: np.ndarray) -> None:
+    """Write to ``out`` the labels of blocks, longest first, of which the labels in front (entry) and at the end are known."""
+    n_labels, live = scores.shape[1], len(begin)
+    labels = np.arange(n_labels, dtype=np.int32)
+    best = np.where(labels == entry[:, None], 0.0, -switch) + scores[begin]
+    back = np.zeros((int(size[0]), len(begin), n_labels), dtype=np.int32)
+    for t in range(1, int(size[0])):
+        while size[live - 1] <= t:
+            live -= 1
+        old = best[:live]
+        top = old.argmax(axis=1)[:, None]
+        peak = np.take_along_axis(old, top, axis=1) - switch
+        back[t, :live] = np.where(old >= peak, labels, top)
+        best[:live] = np.maximum(old, peak) + scores[begin[:live] + t]
     now, live = exit_.copy(), 0
     for t in range(int(size[0]) - 1, -1, -1):
         while live < len(size) and size[live] > t:
             live += 1
         out[begin[:live] + t] = now[:live]
         if t:
-            now[:live] = back[t, np.arange(live), entry[:live], now[:live]]
-    return out
+            now[:live] = back[t, np.arange(live), now[:live]]
 
 
 def _in_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[str]]]:

@@ -113,6 +113,38 @@ def test_language_spans(llm):
     assert {s["lang"] for s in spans} == {"en", "fr"} and abs(spans[0]["end"] - 600) < 60
 
 
+def test_many_languages(llm):
+    from cohortweave.llm import language_id
+
+    rng = np.random.default_rng(3)
+    names = [f"l{k:03}" for k in range(200)]
+    own = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)] for n in names}
+    rows = [(k, " ".join(rng.choice(own[n], 30)), n) for k, n in enumerate(names * 2)]
+    model = language_id.fit(llm.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [" ".join(rng.choice(own[n], 40)) for n in names] + [" ".join([*rng.choice(own["l150"], 700), *rng.choice(own["l199"], 900)])]
+    pred, _, spans = language_id._labelled(model, texts, True)
+    assert list(pred) == [*names, "l199"] and [x["lang"] for x in spans[-1]] == ["l150", "l199"]
+
+
+def test_viterbi_in_small_steps(monkeypatch):
+    from cohortweave.llm import language_id
+
+    rng = np.random.default_rng(4)
+    ends = np.cumsum([0, 3, 700, 0, 1, 256, 257, 40])
+    scores = rng.normal(size=(ends[-1], 5)).round(1) * 2
+    found = []
+    for cells in (1, 1 << 23):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        found.append(language_id.viterbi(scores, ends, 3.0))
+    assert np.array_equal(*found)
+    for a, b in zip(ends[:-1], ends[1:]):
+        best = np.zeros(5)
+        for s in scores[a:b]:
+            best = np.maximum(best, best.max() - 3) + s
+        own = found[0][a:b]
+        assert b == a or abs(scores[np.arange(a, b), own].sum() - 3 * (np.diff(own) != 0).sum() - best.max()) < 1e-6
+
+
 # 4 and 6, classifiers
 
 def test_toxicity(llm, odd_docs):
