@@ -266,7 +266,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss:
 def representatives(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns: the one of the smallest id.
 
-    Rows that repeat an id are one document, so one of them stays; rows without an id all stay.
+    Rows that repeat an id are one document: each of its texts stays once, from the row whose other columns come first as JSON;
+    rows without an id all stay.
     """
     kept = near_duplicates(docs, width=width, percent=percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min_by(F.struct(*columns), F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")).agg(first.alias("__row"))
+    return one.select("__row.*").union(docs.where("doc_id IS NULL"))

@@ -8,7 +8,7 @@ each repetition.  Only one row for each pattern and source reaches the driver; p
 so that no window holds more than 256 rows or a 65,536th of a source.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in order;
-repeated rows are separate documents at the same place of the order; an empty table gives an empty table; further columns
+repeated rows are separate documents at the same place of the order, other texts of an id, or of none, at other places; an empty table gives an empty table; further columns
 of the input are dropped.
 """
 
@@ -119,12 +119,14 @@ def fill(amounts: dict, items: list[tuple], repeats: int) -> tuple[dict, list[li
 def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MAX_REPEATS) -> DataFrame:
     """``docs`` (doc_id, size long, pattern array<string>) with ``plan``: array<struct<source, times>>.
 
-    ``targets`` gives the words wanted of each source.  A document's order key is a hash of (seed, doc_id): reruns and other
-    partitionings agree.  Documents above a ``LARGE``-th of their pattern (fewer than ``LARGE`` of each pattern) would make the
+    ``targets`` gives the words wanted of each source.  A document's order key is a hash of (seed, doc_id, content), where
+    ``content`` is a column that may be absent: reruns and other partitionings agree.  Further columns of ``docs`` stay.  Documents above a ``LARGE``-th of their pattern (fewer than ``LARGE`` of each pattern) would make the
     cut coarse: they get their share of the flow by first fit on the driver, and what they leave goes to the others.
     """
     spark = docs.sparkSession
-    hashed = staged(docs.select("doc_id", "size", "pattern", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"),
+    names = docs.columns
+    order = [F.col(c) for c in ("doc_id", "content") if c in names]
+    hashed = staged(docs.select(*names, F.xxhash64(F.lit(seed), *order).alias("h"),
                                 F.to_json(F.struct("pattern")).alias("key")))
     totals = {r["key"]: (tuple(r["pattern"]), r["s"]) for r in
               hashed.groupBy("key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("s")).collect()}
@@ -134,16 +136,16 @@ def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MA
     hashed = hashed.join(F.broadcast(whole), "key").withColumn("is_large", F.col("size") * LARGE > F.col("whole"))
     big: dict[str, list[tuple]] = {}
     for r in hashed.where("is_large").groupBy("key", "doc_id", "size", "h").agg(F.count(F.lit(1)).alias("n")).collect():
-        big.setdefault(r["key"], []).append((r["size"] * r["n"], r["h"], r["doc_id"], r["size"]))
+        big.setdefault(r["key"], []).extend((r["size"], r["h"], r["doc_id"], k + 1) for k in range(r["n"]))
     picked, rows = [], []
     by_name = lambda s: (s is None, s)
     for name, (pattern, size) in totals.items():
-        items = sorted(big.get(name, []), key=lambda x: x[1:2] + x[3:])
+        items = sorted(big.get(name, []), key=lambda x: (x[1], x[0], x[3]))
         own = sum(x[0] for x in items)
         share = {s: round(f * own / size) for s, f in flows[pattern].items()} if own else {}
         left, plans = fill(share, items, repeats)
         for item, plan in zip(items, plans, strict=True):
-            picked += [(name, item[2], item[3], [(s, plan.count(s)) for s in sorted(set(plan), key=by_name)])]
+            picked += [(name, item[2], item[0], item[1], item[3], [(s, plan.count(s)) for s in sorted(set(plan), key=by_name)])]
         at, rest = 0, size - own
         for s in sorted(flows[pattern], key=by_name):
             words = flows[pattern][s] - share.get(s, 0) + left.get(s, 0)
@@ -176,16 +178,18 @@ def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MA
     plan = F.filter(F.transform(F.coalesce("cuts", F.expr(f"CAST(array() AS array<{cut}>)")),
                                 lambda c: F.struct(c["source"].alias("source"), times(c).alias("times"))), lambda c: c["times"] > 0)
     empty = F.expr("CAST(array() AS array<struct<source:string,times:bigint>>)")
-    placed = placed.select("doc_id", "size", "pattern", F.when(F.col("size") > 0, plan).otherwise(empty).alias("plan"))
-    picks = spark.createDataFrame(picked, "key string, doc_id long, size long, plan array<struct<source:string,times:bigint>>")
-    large = hashed.where("is_large").alias("l").join(
-        picks.alias("p"), F.expr("l.key = p.key AND l.size = p.size AND l.doc_id <=> p.doc_id"))
-    return placed.unionByName(large.select("l.doc_id", "l.size", "l.pattern", "p.plan"))
+    placed = placed.select(*names, F.when(F.col("size") > 0, plan).otherwise(empty).alias("plan"))
+    picks = spark.createDataFrame(picked, "key string, doc_id long, size long, h long, k int, plan array<struct<source:string,times:bigint>>")
+    # Fewer than LARGE rows of a pattern are numbered; equal ones in any order.
+    each = F.row_number().over(Window.partitionBy("key", "doc_id", "size", "h").orderBy("h"))
+    large = hashed.where("is_large").withColumn("k", each).alias("l").join(
+        picks.alias("p"), F.expr("l.key = p.key AND l.size = p.size AND l.h = p.h AND l.k = p.k AND l.doc_id <=> p.doc_id"))
+    return placed.unionByName(large.select(*(f"l.{c}" for c in names), "p.plan"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source): the number of words of every whole text."""
-    return docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source")
+def sized(docs: DataFrame, *further: str) -> DataFrame:
+    """(doc_id, size, source, content) and ``further`` columns: the number of words and a hash of every whole text."""
+    return docs.select("doc_id", *further, F.xxhash64("text").alias("content"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source")
 
 
 def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 7, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -203,11 +207,11 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 7,
 def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 7, repeats: int = MAX_REPEATS) -> DataFrame:
     """The documents that the mix takes, each as many times as it is taken, with all their columns.
 
-    Rows that repeat an id are taken as often as the one of them taken least.
+    Every row has its own count, rows that repeat an id and rows without one included: rows are numbered as they are written.
     """
-    placed, _ = _planned(staged(sized(docs)), weights, seed, repeats)
-    times = placed.groupBy(F.col("doc_id").alias("__id")).agg(F.min(_repetitions()).alias("__times")).where("__times > 0")
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed, _ = _planned(staged(sized(rows, "__row")), weights, seed, repeats)
+    rows = rows.join(placed.select("__row", _repetitions().alias("__times")).where("__times > 0"), "__row")
     names = [F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int"))).alias("__k")).drop("__k")
 
@@ -217,7 +221,7 @@ def _repetitions():
 
 
 def _planned(base: DataFrame, weights: Sequence[float], seed: int, repeats: int) -> tuple[DataFrame, DataFrame]:
-    """The plan of every (doc_id, size, source) row, and (source, source_size, target)."""
+    """The plan of every row of ``sized``, and (source, source_size, target)."""
     spark = base.sparkSession
     # Spark orders strings by their bytes, which for UTF-8 is code point order.
     totals = [(r["source"], r["s"]) for r in

@@ -438,6 +438,29 @@ def test_minhash_odd(llm, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_mixed_counts_every_row(llm):
+    from cohortweave.llm import mixing
+
+    rows = [(None if k % 3 else k, " ".join([f"w{k}"] * (5 + k % 4)), "ab"[k % 2]) for k in range(3000)] + [(3, "same text here", "a")] * 50
+    docs = llm.createDataFrame(rows, "doc_id long, text string, source string")
+    planned, got = mixing.mix(docs).toPandas(), mixing.mixed(docs).toPandas()
+    size = got["text"].str.split().str.len()
+    for source, target in zip("ab", sorted(set(planned["target"]), reverse=True), strict=True):
+        words = size[got["source"] == source].sum()
+        assert words == planned["taken"][planned["target"] == target].sum() and abs(words - target) < 0.02 * target + 50
+    assert got["doc_id"].isna().sum() > 1000
+    few = llm.createDataFrame([(None, f"{w} b c", "a") for w in "xyz"] + [(1, "q b c", "a")] * 2, "doc_id long, text string, source string")
+    assert mixing.mixed(few).count() == 5  # large documents without an id, of one size
+
+
+def test_representatives_keep_each_text_of_an_id(llm):
+    from cohortweave.llm import minhash
+
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    docs = llm.createDataFrame([(1, one, 2), (1, two, 1), (1, one, 1), (2, one, 0)], "doc_id long, text string, n long")
+    assert sorted(tuple(r) for r in minhash.representatives(docs).collect()) == [(1, one, 1), (1, two, 1)]
+
+
 def test_pipeline(llm):
     """The rows of run() against a plain version of what each stage decides."""
     import corpus_pipeline
