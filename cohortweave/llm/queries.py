@@ -107,6 +107,30 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.fit(pages))
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    from cohortweave.llm import licenses
+
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error."""
+    from cohortweave.llm import whiten
+
+    return whiten.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    from cohortweave.llm import conversations
+
+    return conversations.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 SQL["op5_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0
@@ -181,3 +205,97 @@ link AS (SELECT a, b FROM near WHERE 100 * common >= 80 * (total - common)
 node AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON doc_id = id
 """
+
+
+def _license_sql() -> str:
+    """Word groups joined by their words, votes by diagonal, neighbouring diagonals merged, spans kept by their share of the template."""
+    from cohortweave.llm.licenses import COVER, GAP, K, SHIFT, VOTES, known
+
+    def words(of: str) -> str:
+        low = f"translate(coalesce({of}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"list_filter(regexp_split_to_array({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+    def groups(of: str) -> str:
+        run = " || ' ' || ".join(f"w[i + {j + 1}]" for j in range(K))
+        return f"SELECT *, i AS p, {run} AS g FROM (SELECT *, unnest(range(0, len(w) - {K - 1})) AS i FROM {of})"
+
+    rows = ", ".join("({}, '{}', {}, '{}')".format(i, label, phrase, text.replace("'", "''")) for i, (label, text, phrase) in enumerate(known()))
+    return f"""
+WITH known(template, label, phrase, said) AS (VALUES {rows}),
+t AS (SELECT template, label, phrase, {words("said")} AS w FROM known),
+size AS (SELECT template, label, phrase, len(w) - {K - 1} AS grams FROM t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+tg AS (SELECT template, p, g FROM ({groups("t")})), dg AS (SELECT r, p, g FROM ({groups("d")})),
+vote AS (SELECT r, template, dg.p - tg.p AS diagonal, dg.p AS pos, tg.p AS tpos FROM dg JOIN tg ON dg.g = tg.g),
+dia AS (SELECT r, template, diagonal, count(*) AS votes, min(pos) AS s, max(pos) + {K} AS e, list(tpos) AS held FROM vote GROUP BY 1, 2, 3),
+good AS (SELECT * FROM dia JOIN size USING (template) WHERE votes >= CASE WHEN phrase THEN grams ELSE least({VOTES}, grams) END),
+prior AS (SELECT *, lag(diagonal) OVER w AS before, max(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+          FROM good WINDOW w AS (PARTITION BY r, template ORDER BY s, diagonal)),
+mark AS (SELECT *, sum(CASE WHEN phrase OR before IS NULL OR abs(diagonal - before) > {SHIFT} OR s > reach + {GAP} THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY r, template ORDER BY s, diagonal) AS span FROM prior),
+span AS (SELECT r, template, label, phrase, min(s) AS s, len(list_distinct(flatten(list(held)))) / any_value(grams) AS score FROM mark GROUP BY 1, 2, 3, 4, span),
+fine AS (SELECT * FROM span WHERE score >= CASE WHEN phrase THEN 1.0 ELSE {COVER} END),
+m AS (SELECT r, count(*) FILTER (phrase) AS n_base, min(s) FILTER (phrase) AS first_word, max(s) FILTER (phrase) AS last_word,
+             array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+             max(score) AS score FROM fine GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN m USING (r)
+"""
+
+
+SQL["op11_license_scan"] = _license_sql()
+
+
+def _repair_sql() -> str:
+    """Backwards over the rows: for each state the least of (cost, audit), as text that sorts alike, with the repaired rows behind chr(1)."""
+    def then(value: str, cost: str, letter: str, line: str = "''") -> str:
+        return (f"(lpad((left({value}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || '{letter}' || substr({value}, 13, instr({value}, chr(1)) - 12)"
+                f" || {line} || substr({value}, instr({value}, chr(1)) + 1))")
+
+    line = "chr(10) || {} || ':' || {}".format
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    given = {0: "'user'", 1: "'user'", 2: "'assistant'", 3: "'user'"}
+    kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    rows = []
+    for s in range(4):
+        ways = [then(f"v{s}", "4", "D")]
+        ways += [f"CASE WHEN NOT gone AND initial = '{i}' THEN {then(f'v{to}', 'more', 'K', line('role', 'text'))} END" for i, to in kept[s].items()]
+        ways.append(f"CASE WHEN NOT gone THEN {then(f'v{after[s]}', '3 + more', 'R', line(given[s], 'text'))} END")
+        rows.append(f"least({', '.join(ways)}) AS b{s}")
+    user, reply = line("'user'", "''"), line("'assistant'", "''")
+    start = f"{then(then('b3', '3', 'I', reply), '3', 'I', user)}"
+    closed = [f"least(b0, {then('b2', '3', 'I', user)}, {start}) AS v0", f"least(b1, {then('b2', '3', 'I', user)}, {start}) AS v1",
+              f"least(b2, {then('b3', '3', 'I', reply)}) AS v2", f"least(b3, {then('b2', '3', 'I', user)}) AS v3"]
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, n)) AS tab),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+    lambda a, c: xor(tab[(xor(a, c) & 255) + 1], a >> 8), 4294967295)) % 20 AS kind FROM conversations, crc),
+left_rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM given WHERE kind <> 0),
+ordered AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    left(role, 1) AS initial, right(rtrim(text, {blank}), 1) AS ending FROM left_rows),
+faults AS (SELECT *, ending = '' AS blank, ending <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS duplicate,
+    lag(initial) OVER (PARTITION BY c ORDER BY i) AS before FROM ordered),
+marked AS (SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND ending NOT IN ('.', '!', '?') AS truncated,
+    CASE WHEN NOT blank AND NOT duplicate AND ending NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS more FROM faults),
+counts AS (SELECT c, any_value(conv_id) AS conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY c),
+back AS (SELECT c, n AS i, '000000000000' || chr(1) AS v0, '000000000006II' || chr(1) || {user} || {reply} AS v1,
+    '000000000003I' || chr(1) || {reply} AS v2, '000000000000' || chr(1) AS v3 FROM counts
+    UNION ALL SELECT c, i, {', '.join(closed)} FROM (SELECT back.c, back.i - 1 AS i, {', '.join(rows)} FROM back JOIN marked ON marked.c = back.c AND marked.i = back.i)),
+solved AS (SELECT c, left(v0, 12)::BIGINT AS cost, substr(v0, 13, instr(v0, chr(1)) - 13) AS audit, substr(v0, instr(v0, chr(1)) + 2) AS said FROM back WHERE i = 0),
+whole AS (SELECT * FROM counts JOIN solved USING (c))
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+    sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN whole ON ids.conv_id IS NOT DISTINCT FROM whole.conv_id
+"""
+
+
+SQL["op13_conversation_repair"] = _repair_sql()
