@@ -9,7 +9,7 @@ from cohortweave.catalog.roles import Roles, with_roles
 from cohortweave.operators.reshape import grid
 from cohortweave.operators.summaries import percentile_interval
 from cohortweave.session import staged
-from cohortweave.stats import balance as B, boosting as G, bootstrap as BS, features as X, outcome as O, weights as W
+from cohortweave.stats import balance as B, boosted as M, boosting as G, bootstrap as BS, features as X, outcome as O, weights as W
 
 TERMS = [
     X.Term("trial_num", "spline"), X.Term("balance", "spline"), X.Term("prior_stays", "numeric"),
@@ -17,9 +17,11 @@ TERMS = [
 ]
 GBT_TERMS = [X.Term("trial_num"), X.Term("balance"), X.Term("prior_stays"), X.Term("segment", "category"),
              X.Term("zone", "category")]
-# A reduced setting, and an underfitted one: summed steps of 1.8 against 10 in FINAL_PARAMS.
-GBT_PARAMS = {"trees": 12, "depth": 2, "shrinkage": 0.15, "min_node": 20}
-REPLICATES = 500
+# The final fit in tenth the trees with ten times the step: summed steps of 10 as in FINAL_PARAMS.
+GBT_PARAMS = {**G.FINAL_PARAMS, "trees": G.FINAL_PARAMS["trees"] // 10, "shrinkage": G.FINAL_PARAMS["shrinkage"] * 10}
+# Trees that a search may grow, and the trees without gain after which it ends.
+TUNE_TREES, TUNE_PATIENCE = 150, 15
+REPLICATES, BOOSTED_REPLICATES = 500, 50
 
 
 def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -344,7 +346,7 @@ def bootstrap_curves_exact(spark: SparkSession, sf: str) -> DataFrame:
 @check()
 def ps_gbt(spark: SparkSession, sf: str) -> DataFrame:
     df = staged(Roles(spark, sf).analysis)
-    scored, _ = G.ps_gbt(df, "exp", X.design(df, GBT_TERMS), GBT_PARAMS)
+    scored, _ = M.ps_boosted(df, "exp", X.design(df, GBT_TERMS), "row_key", GBT_PARAMS)
     return W.iptw(scored, "exp").select("row_key", "exp", "pn", "pd", "iptw")
 
 
@@ -358,29 +360,79 @@ def ps_gbt_stump(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scored.select("row_key", "pd"))
 
 
+def _stumps_sql(lanes: list[tuple[int, float, int]], trees: int, least: int) -> dict[str, str]:
+    """Boosted one-split trees in SQL, on cells of equal category levels: lanes are (id, step, held-out fold)."""
+    flags = [f"CAST(segment = '{v}' AS INT)" for v in ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")]
+    flags += [f"CAST(zone = '{v}' AS INT)" for v in "1234"]
+    p = "(1 / (1 + EXP(-f)))"
+    parts = {
+        "cell": f"""SELECT segment, zone, exp AS y, person_id % 3 AS fold, COUNT(*)::DOUBLE AS n, [{', '.join(flags)}] AS x
+            FROM ana GROUP BY ALL""",
+        "lane": f"SELECT * FROM (VALUES {', '.join(map(str, lanes))}) AS v(lane, rate, held)",
+        "lc": "SELECT *, CASE WHEN fold = held THEN 0 ELSE n END AS w FROM cell, lane",
+        "f0": "SELECT *, LN(SUM(w * y) OVER (PARTITION BY lane) / SUM(w * (1 - y)) OVER (PARTITION BY lane)) AS f FROM lc"}
+    for k in range(1, trees + 1):
+        parts[f"g{k}"] = f"""SELECT lane, any_value(rate) AS rate, q, SUM(w * x[q]) AS w1, SUM(w * (1 - x[q])) AS w0, SUM(w * x[q] * (y - {p})) AS g1,
+            SUM(w * (1 - x[q]) * (y - {p})) AS g0, SUM(w * x[q] * {p} * (1 - {p})) AS h1, SUM(w * (1 - x[q]) * {p} * (1 - {p})) AS h0
+            FROM f{k - 1}, range(1, {len(flags) + 1}) AS r(q) GROUP BY lane, q"""
+        parts[f"d{k}"] = f"""SELECT *, w0 * w1 / (w0 + w1) * POW(g0 / w0 - g1 / w1, 2) AS dropped FROM g{k}
+            WHERE w0 >= {least} AND w1 >= {least}"""
+        parts[f"b{k}"] = f"""SELECT lane, q, rate * g1 / h1 AS s1, rate * g0 / h0 AS s0 FROM (SELECT *, MAX(dropped) OVER (PARTITION BY lane)
+            AS top FROM d{k}) WHERE dropped >= top * (1 - 1e-9) QUALIFY ROW_NUMBER() OVER (PARTITION BY lane ORDER BY q) = 1"""
+        parts[f"f{k}"] = f"""SELECT a.* EXCLUDE (f), f + CASE WHEN x[q] = 1 THEN s1 ELSE s0 END AS f FROM f{k - 1} a JOIN b{k} b
+            ON a.lane = b.lane"""
+    return parts
+
+
+STUMP_TERMS = [X.Term("segment", "category", ref="BUILDING"), X.Term("zone", "category", ref="0")]
+_RATES = [0.6, 0.2, 0.05]
+_FOLD_LANES = [(3 * i + k, rate, k) for i, rate in enumerate(_RATES) for k in range(3)]
+
+
+@check(with_roles(["ana"], """SELECT row_key, ROUND(1 / (1 + EXP(-f)), 9) AS pd FROM ana a JOIN (SELECT DISTINCT segment, zone, f FROM f8) c
+    ON a.segment = c.segment AND a.zone = c.zone""", _stumps_sql([(0, 0.2, -1)], 8, 5)))
+def ps_gbt_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight one-split trees without subsampling, against the same growth in SQL."""
+    df = staged(Roles(spark, sf).analysis)
+    params = {"trees": 8, "depth": 1, "shrinkage": 0.2, "min_node": 5, "bag": 1.0}
+    scored, _ = M.ps_boosted(df, "exp", X.design(df, STUMP_TERMS), "row_key", params)
+    return _rounded(scored.select("row_key", "pd"))
+
+
+@check(with_roles(["ana"], """SELECT rate AS shrinkage, ROUND(SQRT(MIN(dev)), 7) AS score, CAST(arg_min(k, dev) AS BIGINT) AS best_trees FROM (
+    SELECT k, rate, SUM(loss) / SUM(n) AS dev FROM (""" + " UNION ALL ".join(
+        f"SELECT {k} AS k, rate, n, 2 * n * (LN(1 + EXP(f)) - y * f) AS loss FROM f{k} WHERE fold = held" for k in range(1, 9)) + """)
+    GROUP BY k, rate) GROUP BY rate""", _stumps_sql(_FOLD_LANES, 8, 5)))
+def tune_gbt_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-validated deviance of three rates on a shared fold column, against the same search in SQL."""
+    df = staged(Roles(spark, sf).analysis)
+    grid_ = grid(shrinkage=_RATES, depth=[1], min_node=[5], bag=[1.0])
+    rows = M.cross_validated(df, "exp", X.design(df, STUMP_TERMS), "row_key", grid_, 8, 3, F.col("person_id") % 3, patience=None)
+    return _rounded(spark.createDataFrame([(r["shrinkage"], r["score"], r["best_trees"]) for r in rows], "shrinkage double, score double, best_trees long"), 7)
+
+
 @check()
 def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
     df = staged(Roles(spark, sf).analysis)
-    d = X.design(df, GBT_TERMS)
-    return G.importance(df, G.fit_gbt(df, "exp", d, GBT_PARAMS), d, {"trial_num": "Month of baseline"})
+    rows = M.matrix(df, "exp", X.design(df, GBT_TERMS), "row_key", 1)
+    fit = M.boost(rows, [M.Lane.of(GBT_PARAMS)], GBT_PARAMS["trees"])
+    return M.relative_influence(df, fit, labels={"trial_num": "Month of baseline"})
 
 
 @check()
 def tune_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    """Learning rate first, then depth and node size at the best rate (reduced lists)."""
+    """Ten-fold search: learning rate first, then depth and node size at the best rate."""
     df = staged(Roles(spark, sf).analysis)
     d = X.design(df, GBT_TERMS)
-    rates = grid(trees=[8], depth=[2], shrinkage=[0.3, 0.1], min_node=[20])
-    first = G.tune_gbt(df, "exp", d, rates, "row_key", folds=3)
-    best = G.best_params(first)
-    second = G.tune_gbt(df, "exp", d, grid(trees=[8], depth=[1, 3], shrinkage=[best["shrinkage"]], min_node=[50]),
-                        "row_key", folds=3)
-    rows = [(r["shrinkage"], int(r["depth"]), int(r["min_node"]), int(r["best_trees"]), float(r["score"]))
+    first = M.cross_validated(df, "exp", d, "row_key", grid(shrinkage=G.LEARNING_RATES, depth=[3], min_node=[10]), TUNE_TREES, patience=TUNE_PATIENCE)
+    rate = G.best_params(first)["shrinkage"]
+    second = M.cross_validated(df, "exp", d, "row_key", grid(shrinkage=[rate], depth=G.DEPTHS, min_node=G.NODE_SIZES), TUNE_TREES, patience=TUNE_PATIENCE)
+    rows = [(r["shrinkage"], int(r["depth"]), int(r["min_node"]), int(r["best_trees"]), float(r["score"]), bool(r["at_limit"]))
             for r in [*first, *second]]
-    return spark.createDataFrame(rows, "shrinkage double, depth int, min_node int, best_trees int, score double")
+    return spark.createDataFrame(rows, "shrinkage double, depth int, min_node int, best_trees int, score double, at_limit boolean")
 
 
 @check()
 def bootstrap_curves_gbt(spark: SparkSession, sf: str) -> DataFrame:
     df = staged(Roles(spark, sf).analysis)
-    return BS.bootstrap_curves_gbt(df, "exp", "periods", "event_itt", X.design(df, GBT_TERMS), "row_key", GBT_PARAMS, n=2)
+    return BS.bootstrap_curves_gbt(df, "exp", "periods", "event_itt", X.design(df, GBT_TERMS), "row_key", GBT_PARAMS, BOOSTED_REPLICATES)

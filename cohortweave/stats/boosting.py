@@ -90,7 +90,7 @@ def tune_gbt(df: DataFrame, treat: str, design: Design, grid: Sequence[Mapping[s
 def best_params(results: Sequence[Mapping[str, float]]) -> dict:
     """Lowest score; ties go to the fewest trees."""
     best = min(results, key=lambda r: (r["score"], r["best_trees"]))
-    return {**{k: v for k, v in best.items() if k not in ("score", "best_trees", "seconds")},
+    return {**{k: v for k, v in best.items() if k not in ("score", "best_trees", "seconds", "at_limit")},
             "trees": best["best_trees"]}
 
 

@@ -31,7 +31,7 @@ LIMITS = ("cuminc_0", "cuminc_1", "rd", "rr")
 POISSON_CDF = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 16)])))
 
 
-def _scramble(z: np.ndarray) -> np.ndarray:
+def scramble(z: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64), element-wise."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -41,9 +41,9 @@ def _scramble(z: np.ndarray) -> np.ndarray:
 def poisson_counts(row_hash: np.ndarray, seed: int, n: int) -> np.ndarray:
     """Counts (rows x replicates) that depend on (seed, replicate, row) alone."""
     with np.errstate(over="ignore"):
-        key = _scramble((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003))
+        key = scramble((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003))
                         * np.uint64(0x9E3779B97F4A7C15))
-        z = _scramble(row_hash.astype(np.int64).view(np.uint64)[:, None] ^ key[None, :])
+        z = scramble(row_hash.astype(np.int64).view(np.uint64)[:, None] ^ key[None, :])
     u = (z >> np.uint64(11)).astype(float) * 2.0 ** -53
     return np.searchsorted(POISSON_CDF, u.ravel(), side="right").reshape(u.shape).astype(float)
 
@@ -177,6 +177,30 @@ def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_it
     return betas, share, converged
 
 
+def cell_sums(sums: dict[tuple[int, int, int], np.ndarray], treat: np.ndarray, periods: np.ndarray, event: np.ndarray,
+              counts: np.ndarray, w: np.ndarray) -> None:
+    """Add a block's (n, w, w2) per (arm, periods, event) and replicate; ``counts`` and ``w`` are rows x replicates."""
+    key = np.stack([treat.astype(int), periods.astype(int), event.astype(int)], axis=1)
+    cells, where = np.unique(key, axis=0, return_inverse=True)
+    order = np.argsort(where.ravel(), kind="stable")
+    cut = np.searchsorted(where.ravel()[order], np.arange(len(cells)))
+    stacked = [np.add.reduceat(v[order], cut, axis=0) for v in (counts, counts * w, counts * w * w)]
+    for i, cell in enumerate(map(tuple, cells)):
+        add = np.stack([s[i] for s in stacked])
+        sums[cell] = sums[cell] + add if cell in sums else add
+
+
+def cell_rows(sums: dict[tuple[int, int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The cells of each replicate that has rows in them."""
+    for (arm, periods, event), v in sums.items():
+        keep = np.flatnonzero(v[0])
+        yield pa.RecordBatch.from_pydict({
+            "replicate": pa.array(keep, pa.int32()), "exp": pa.array(np.full(len(keep), arm), pa.int32()),
+            "periods": pa.array(np.full(len(keep), periods), pa.int32()),
+            "event": pa.array(np.full(len(keep), event), pa.int32()),
+            "n": pa.array(v[0][keep]), "w": pa.array(v[1][keep]), "w2": pa.array(v[2][keep])})
+
+
 def replicate_cells(data: DataFrame, betas: np.ndarray, share: np.ndarray, seed: int) -> DataFrame:
     """Outcome cells (n, w, w2) per replicate with its own stabilised weights."""
     n, p = betas.shape
@@ -187,21 +211,8 @@ def replicate_cells(data: DataFrame, betas: np.ndarray, share: np.ndarray, seed:
             pd_ = 1 / (1 + np.exp(-np.clip(X @ betas.T, -500, 500)))
             on = treat[:, None] == 1
             w = np.where(on, share / pd_, (1 - share) / (1 - pd_))
-            key = np.stack([treat.astype(int), T.astype(int), event.astype(int)], axis=1)
-            cells, where = np.unique(key, axis=0, return_inverse=True)
-            order = np.argsort(where.ravel(), kind="stable")
-            cut = np.searchsorted(where.ravel()[order], np.arange(len(cells)))
-            stacked = [np.add.reduceat(v[order], cut, axis=0) for v in (counts, counts * w, counts * w * w)]
-            for i, cell in enumerate(map(tuple, cells)):
-                add = np.stack([s[i] for s in stacked])
-                sums[cell] = sums[cell] + add if cell in sums else add
-        for (arm, periods, event), v in sums.items():
-            keep = np.flatnonzero(v[0])
-            yield pa.RecordBatch.from_pydict({
-                "replicate": pa.array(keep, pa.int32()), "exp": pa.array(np.full(len(keep), arm), pa.int32()),
-                "periods": pa.array(np.full(len(keep), periods), pa.int32()),
-                "event": pa.array(np.full(len(keep), event), pa.int32()),
-                "n": pa.array(v[0][keep]), "w": pa.array(v[1][keep]), "w2": pa.array(v[2][keep])})
+            cell_sums(sums, treat, T, event, counts, w)
+        yield from cell_rows(sums)
 
     parts = data.mapInArrow(run, "replicate int, exp int, periods int, event int, n double, w double, w2 double")
     return parts.groupBy("replicate", "exp", "periods", "event").agg(
@@ -253,28 +264,19 @@ def bootstrap_curves(df: DataFrame, treat: str, periods: str, event: str, design
 
 def bootstrap_curves_gbt(df: DataFrame, treat: str, periods: str, event: str, design: Design, row_key: str,
                          params: dict, n: int = 2, seed: int = 7, horizon: int | None = None) -> DataFrame:
-    """The same with boosted scores: every replicate is one weighted fit, scored on its own rows."""
-    from cohortweave.stats.boosting import ps_gbt
-
-    def curves(frame: DataFrame, count: Column, weight: str | None) -> DataFrame:
-        scored = ps_gbt(frame.withColumn("_count", count), treat, design, params, weight=weight)[0]
-        share = scored.agg((F.sum(F.col("_count") * F.col(treat)) / F.sum("_count")).alias("pn"))
-        w = iptw(scored.crossJoin(F.broadcast(share)), treat, "pd", "pn")
-        cells = (w.where(F.col(periods) >= 1).groupBy(
-            F.col(treat).cast("int").alias("exp"), F.col(periods).cast("int").alias("periods"),
-            F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("event")).agg(
-            F.sum("_count").alias("n"), F.sum(F.col("_count") * F.col("iptw")).alias("w"),
-            F.sum(F.col("_count") * F.col("iptw") * F.col("iptw")).alias("w2")))
-        return risk_curves(cells, horizon=horizon)
-
-    point = curves(df, F.lit(1), None)
-    replicates = None
-    for b in range(n):
-        count = poisson_count(F.col(row_key), seed, b)
-        one = curves(df.withColumn("_k", count).where("_k > 0"), F.col("_k"), "_count")
-        replicates = one if replicates is None else replicates.unionByName(one)
-    return with_limits(point, replicates)
+    """The same with boosted scores, fitted on each resample and scored on its rows.
+
+    The point estimate and all replicates are lanes of one boosted fit, so the number of passes and the plan do not grow with ``n``.
+    """
+    from cohortweave.stats import boosted as B
+
+    lanes = [B.Lane.of(params), *[B.Lane.of(params, replicate=b) for b in range(n)]]
+    extra = {"periods": F.col(periods), "event": F.coalesce(F.col(event).cast("int"), F.lit(0))}
+    rows = B.matrix(df.where(F.col(periods) >= 1), treat, design, row_key, len(lanes), replicates=n, seed=seed, extra=extra)
+    cells = staged(B.boosted_cells(B.boost(rows, lanes, int(params["trees"]))))
+    point = risk_curves(cells.where("replicate = 0").drop("replicate"), horizon=horizon)
+    return with_limits(point, risk_curves(cells.where("replicate > 0"), by="replicate", horizon=horizon))
 
 
 __all__: Sequence[str] = ("bootstrap_curves", "bootstrap_curves_gbt", "bootstrap_replicates", "fit_replicates",
-                          "poisson_count", "poisson_counts", "replicate_cells", "resample_counts", "with_limits")
+                          "cell_rows", "cell_sums", "poisson_count", "poisson_counts", "scramble", "replicate_cells", "resample_counts", "with_limits")
