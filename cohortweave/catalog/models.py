@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortweave.catalog.registry import check
 from cohortweave.catalog.roles import Roles, with_roles
-from cohortweave.operators.reshape import grid
+from cohortweave.functions.rows import inverse_logit
+from cohortweave.operators.reshape import expand_periods, grid
 from cohortweave.operators.summaries import percentile_interval
 from cohortweave.session import staged
 from cohortweave.stats import balance as B, boosted as M, boosting as G, bootstrap as BS, features as X, outcome as O, weights as W
@@ -291,13 +292,46 @@ def risk_curves_scores(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.sum("_e"), 4).alias("events"), F.round(F.sum(F.col("time") * F.col("_e")), 3).alias("event_months"))
 
 
+def _adjustment(df: DataFrame) -> X.Design:
+    return X.design(df, [X.Term("segment", "category", ref="BUILDING"), X.Term("trial_num")])
+
+
 @check()
 def risk_curves_adjusted(spark: SparkSession, sf: str) -> DataFrame:
-    df = _weighted(Roles(spark, sf))
-    longest = df.agg(F.max("periods")).first()[0]
-    covariates = X.design(df, [X.Term("segment", "category", ref="BUILDING"), X.Term("trial_num")])
-    return O.risk_curves_adjusted(df, "exp", "periods", "event_itt", "iptw", covariates,
-                                  {"segment": "MACHINERY", "trial_num": 24}, longest)
+    df = staged(_weighted(Roles(spark, sf)))
+    return O.risk_curves_adjusted(df, "exp", "periods", "event_itt", "iptw", _adjustment(df), {"segment": "MACHINERY", "trial_num": 24})
+
+
+@check()
+def pooled_hr_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    df = staged(_weighted(Roles(spark, sf)))
+    return O.pooled_hr_adjusted(df, "exp", "periods", "event_itt", "iptw", _adjustment(df))
+
+
+@check(with_roles(["ana"], """SELECT term, ROUND(SUM(iptw), 3) AS total, CAST(COUNT(*) AS BIGINT) AS n FROM (
+    SELECT 'arm=' || exp AS term, iptw, event_itt FROM wt UNION ALL SELECT 'segment=' || segment, iptw, event_itt FROM wt
+    UNION ALL SELECT 'trial_num', iptw * trial_num / 10, event_itt FROM wt
+    UNION ALL SELECT 'month, arm=' || exp, iptw * (periods - 1) / 10, event_itt FROM wt) WHERE event_itt = 1 GROUP BY 1""", _PS))
+def outcome_adjusted_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score equations of the outcome model with covariates: weighted events that the model expects, against those seen."""
+    df = staged(_weighted(Roles(spark, sf)))
+    fit = O.fit_adjusted(df, "exp", "periods", "event_itt", "iptw", _adjustment(df))
+    parts = dict(zip(fit.names, fit.beta))
+    row = F.lit(float(parts["intercept"])) + F.lit(float(parts["exp"])) * F.col("exp")
+    for name, column in zip(fit.covariates.names, fit.covariates.columns):
+        row = row + F.lit(float(parts[name])) * column
+    long = expand_periods(df, "periods")
+    knots = [0.0, *[k for k in O.INNER_KNOTS if k < fit.high], fit.high]
+    for i, basis in enumerate(X.ns_basis("time", knots)):
+        row = row + (F.lit(float(parts[f"time~{i}"])) + F.lit(float(parts[f"exp:time~{i}"])) * F.col("exp")) * basis
+    expected = long.withColumn("e", F.col("iptw") * inverse_logit(row))
+    terms = F.array(*[F.struct(name.alias("term"), (F.col("e") * by).alias("x")) for name, by in (
+        (F.concat(F.lit("arm="), F.col("exp").cast("string")), F.lit(1.0)), (F.concat(F.lit("segment="), "segment"), F.lit(1.0)),
+        (F.lit("trial_num"), F.col("trial_num") / 10), (F.concat(F.lit("month, arm="), F.col("exp").cast("string")), F.col("time") / 10))])
+    totals = expected.select(F.explode(terms).alias("t")).groupBy("t.term").agg(F.round(F.sum("t.x"), 3).alias("total"))
+    seen = df.where("event_itt = 1").select(F.explode(F.array(F.concat(F.lit("arm="), F.col("exp").cast("string")), F.concat(F.lit("segment="), "segment"),
+                                                              F.lit("trial_num"), F.concat(F.lit("month, arm="), F.col("exp").cast("string")))).alias("term"))
+    return totals.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term")
 
 
 @check(with_roles(["ana"], """SELECT arm, CAST(b AS BIGINT) AS time, CAST(SUM(CASE WHEN periods >= b THEN 1 ELSE 0 END) AS BIGINT)

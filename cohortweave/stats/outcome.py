@@ -7,15 +7,17 @@ aggregate; everything after it has at most a few hundred rows per replicate.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortweave.operators.reshape import expand_periods
+from cohortweave.session import staged
 from cohortweave.stats.features import Design
-from cohortweave.stats.weights import fit_logistic
+from cohortweave.stats.sums import summed
 
 INNER_KNOTS = (6.0, 12.0, 24.0)
 
@@ -209,42 +211,166 @@ def risk_curves(cells: DataFrame, by: str | None = None, horizon: int | None = N
     return cells.groupBy(F.lit(0).alias("_r")).applyInPandas(fit, _CURVE)
 
 
-def risk_curves_adjusted(df: DataFrame, treat: str, periods: str, event: str, weight: str, covariates: Design,
-                         profile: dict[str, object], max_periods: int, horizon: int | None = None) -> DataFrame:
-    """Risk curves of an outcome model that also carries covariates, at one covariate profile.
+# ---- outcome models with covariates ---------------------------------------------
+
+ROWS_PER_WALK = 4096
+
+
+@dataclass
+class AdjustedFit:
+    """A fitted outcome model: event ~ arm + covariates + spline of month (+ arm x spline)."""
+
+    names: list[str]
+    beta: np.ndarray
+    inverse: np.ndarray
+    robust: np.ndarray
+    covariates: Design
+    high: float
+    interaction: bool
+    converged: bool
+
+    def basis(self, months: np.ndarray) -> np.ndarray:
+        return _spline(months, 0.0, self.high)
+
+    def log_odds(self, arm: float, months: np.ndarray, covariates: np.ndarray) -> np.ndarray:
+        """Log odds of an event in each month for one covariate row."""
+        S = self.basis(months)
+        k = S.shape[1]
+        fixed = np.concatenate([[1.0, arm], covariates])
+        out = np.full(len(months), fixed @ self.beta[:len(fixed)]) + S @ self.beta[len(fixed):len(fixed) + k]
+        return out + (arm * S @ self.beta[len(fixed) + k:] if self.interaction else 0.0)
 
-    Rows that agree in all model columns become one row with the weighted share of
-    events before the fit, which leaves the likelihood unchanged.
+
+def _walk(batch, beta: np.ndarray, p: int, S: np.ndarray, interaction: bool, squares: bool) -> np.ndarray:
+    """Gradient, information (or the scores' squares) and deviance of a batch, month by month.
+
+    A row's months share its covariates: its monthly residuals and curvatures are summed per row first, and meet the spline
+    of the month in products of the covariate width, so no person-month row exists.
+    """
+    k = S.shape[1]
+    width = p + k * (2 if interaction else 1)
+    gradient, square, deviance = np.zeros(width), np.zeros((width, width)), 0.0
+    X = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, p)
+    T, event, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("periods", "event", "w"))
+    for at in range(0, len(X), ROWS_PER_WALK):
+        rows = slice(at, at + ROWS_PER_WALK)
+        order = np.argsort(-T[rows], kind="stable")  # rows still followed stand in front
+        x, t, e, v = X[rows][order], T[rows][order], event[rows][order], w[rows][order]
+        arm = x[:, 1]
+        fixed = x @ beta[:p]
+        pull, bend = np.zeros(len(x)), np.zeros(len(x))
+        for month in range(int(t[0])):
+            n = int(np.searchsorted(-t, -month, side="left"))  # rows with t > month
+            line = S[month] @ beta[p:p + k]
+            eta = fixed[:n] + line
+            if interaction:
+                eta = eta + arm[:n] * (S[month] @ beta[p + k:])
+            eta = np.clip(eta, -500, 500)
+            mu = 1 / (1 + np.exp(-eta))
+            hit = (t[:n] == month + 1) * e[:n]
+            r = v[:n] * (hit - mu)
+            h = r * r if squares else v[:n] * mu * (1 - mu)
+            deviance += 2 * float(np.sum(v[:n] * (np.logaddexp(0, eta) - hit * eta)))
+            pull[:n] += r
+            bend[:n] += h
+            spline = S[month]
+            sides = [(slice(p, p + k), None)] + ([(slice(p + k, width), arm[:n])] if interaction else [])
+            for where, scale in sides:
+                rs, hs = (r, h) if scale is None else (r * scale, h * scale)
+                gradient[where] += rs.sum() * spline
+                square[:p, where] += np.outer(x[:n].T @ hs, spline)
+                for other, second in sides:
+                    square[where, other] += (hs if second is None else hs * second).sum() * np.outer(spline, spline)
+        gradient[:p] += x.T @ pull
+        square[:p, :p] += (x * bend[:, None]).T @ x
+    square[p:, :p] = square[:p, p:].T
+    return np.concatenate([gradient, square.ravel(), [deviance]])
+
+
+def fit_adjusted(df: DataFrame, treat: str, periods: str, event: str, weight: str | None, covariates: Design,
+                 interaction: bool = True, max_iter: int = 50) -> AdjustedFit:
+    """Weighted pooled logistic fit with covariates, by Newton steps whose sums are made without expanding rows.
+
+    Each step is one pass over the person rows; a step that raises the deviance is halved.  ``robust`` is the HC0 sandwich
+    over person-months.
     """
-    from cohortweave.stats.features import Term, ns_basis
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = df.where(F.col(periods) >= 1).select(
+        F.array(F.lit(1.0), F.col(treat).cast("double"), *[c.cast("double") for c in covariates.columns]).alias("x"),
+        F.col(periods).cast("int").alias("periods"), F.coalesce(F.col(event).cast("double"), F.lit(0.0)).alias("event"), w.alias("w"))
+    rows = staged(rows)
+    facts = rows.agg(F.max("periods").alias("last"), F.sum(F.col("w") * F.col("periods")).alias("months"), F.sum(F.col("w") * F.col("event")).alias("events")).first()
+    if facts["last"] is None:
+        raise ValueError("no row with a period of follow-up")
+    high = float(facts["last"] - 1)
+    S = _spline(np.arange(facts["last"], dtype=float), 0.0, high)
+    p, k = 2 + len(covariates.columns), S.shape[1]
+    width = p + k * (2 if interaction else 1)
+
+    def sums(beta: np.ndarray, squares: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+        flat = summed(rows, width + width * width + 1, lambda b: _walk(b, beta, p, S, interaction, squares))
+        return flat[:width], flat[width:-1].reshape(width, width), float(flat[-1])
+
+    beta = np.zeros(width)
+    share = min(max(facts["events"] / facts["months"], 1e-12), 1 - 1e-12)
+    beta[0] = np.log(share / (1 - share))
+    gradient, information, deviance = sums(beta)
+    converged = False
+    for _ in range(max_iter):
+        step = np.linalg.pinv(information, hermitian=True) @ gradient
+        scale = 1.0
+        while True:
+            trial = sums(beta + scale * step)
+            if trial[2] <= deviance + 1e-9 * abs(deviance) or scale < 1e-4:
+                break
+            scale /= 2
+        change, last = np.max(np.abs(scale * step) / (1 + np.abs(beta))), deviance
+        beta, (gradient, information, deviance) = beta + scale * step, trial
+        if change < 1e-9 or abs(last - deviance) < 1e-13 * (abs(deviance) + 1e-12):
+            converged = True
+            break
+    if not converged:
+        warnings.warn(f"outcome fit did not converge in {max_iter} steps (separated groups?)", stacklevel=2)
+    inverse = np.linalg.pinv(information, hermitian=True)
+    robust = inverse @ sums(beta, squares=True)[1] @ inverse
+    names = ["intercept", "exp", *covariates.names, *[f"time~{i}" for i in range(k)], *([f"exp:time~{i}" for i in range(k)] if interaction else [])]
+    return AdjustedFit(names, beta, inverse, robust, covariates, high, interaction, converged)
 
+
+def pooled_hr_adjusted(df: DataFrame, treat: str, periods: str, event: str, weight: str | None, covariates: Design) -> DataFrame:
+    """Log hazard ratios of the arm and of every covariate column, with robust errors, intervals and p-values."""
+    from math import erfc, sqrt
+
+    fit = fit_adjusted(df, treat, periods, event, weight, covariates, interaction=False)
+    z, rows = 1.959963984540054, []
+    for i in range(1, 2 + len(covariates.columns)):
+        est, se = float(fit.beta[i]), float(np.sqrt(max(fit.robust[i, i], 0.0)))
+        rows.append((fit.names[i], est, se, est - z * se, est + z * se, erfc(abs(est / se) / sqrt(2)) if se > 0 else None))
+    return df.sparkSession.createDataFrame(rows, _HR_SCHEMA)
+
+
+def risk_curves_adjusted(df: DataFrame, treat: str, periods: str, event: str, weight: str, covariates: Design,
+                         profile: dict[str, object], horizon: int | None = None) -> DataFrame:
+    """Risk curves of an outcome model that also carries covariates, at one covariate profile, with events so far.
+
+    ``events_0``/``events_1`` count events up to a month, ``w_events_0``/``w_events_1`` their weights.
+    """
     spark = df.sparkSession
-    names = list(dict.fromkeys(t.column for t in covariates.terms))
-    long = expand_periods(df.select(F.col(treat).cast("int").alias("exp"), periods, event,
-                                    F.col(weight).cast("double").alias("_weight"), *names), periods, event=event,
-                          flag="_event")
-    total = F.sum("_weight")
-    grouped = long.groupBy("exp", "time", *names).agg(
-        (F.sum(F.col("_weight") * F.col("_event")) / total).alias("_event"), total.alias("_weight"))
-    knots = [0.0, *[k for k in INNER_KNOTS if k < max_periods - 1], float(max_periods - 1)]
-    basis = ns_basis("time", knots)
-    full = Design([Term("exp"), *covariates.terms])
-    full.add("exp", {"exp": F.col("exp").cast("double")})
-    full.add("time", {f"time~{i}": b for i, b in enumerate(basis)})
-    full.add("exp:time", {f"exp:time~{i}": b * F.col("exp") for i, b in enumerate(basis)})
-    for var, name, col in zip(covariates.variables, covariates.names, covariates.columns):
-        full.add(var, {name: col})
-    model = fit_logistic(grouped, "_event", full, "_weight")
-    from cohortweave.operators.reshape import shell
-    from cohortweave.stats.weights import score
-
-    points = shell(spark, (0, 1), max_periods if horizon is None else min(horizon, max_periods)).withColumns({c: F.lit(v) for c, v in profile.items()})
+    fit = fit_adjusted(df, treat, periods, event, weight, covariates)
+    point = spark.range(1).select(*[F.lit(v).alias(c) for c, v in profile.items()])
+    x = np.array(point.select(F.array(*[c.cast("double") for c in covariates.columns]).alias("x")).first()["x"], dtype=float) \
+        if covariates.columns else np.zeros(0)
+    months = np.arange(int(fit.high) + 1 if horizon is None else min(horizon, int(fit.high) + 1), dtype=float)
+    cum = [1 - np.cumprod(1 - 1 / (1 + np.exp(-np.clip(fit.log_odds(arm, months, x), -500, 500)))) for arm in (0.0, 1.0)]
+    rows = [(int(t), float(a), float(b), float(b - a), float(b / a) if a > 0 else None) for t, a, b in zip(months, *cum)]
+    curves = spark.createDataFrame(rows, "time int, cuminc_0 double, cuminc_1 double, rd double, rr double")
     run = Window.partitionBy("exp").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    curve = score(points, model, full, "_p").withColumn("_ci", 1 - running_product(F.col("_p"), run))
-    wide = curve.groupBy("time").agg(F.max(F.when(F.col("exp") == 0, F.col("_ci"))).alias("cuminc_0"),
-                                     F.max(F.when(F.col("exp") == 1, F.col("_ci"))).alias("cuminc_1"))
-    return wide.withColumn("rd", F.col("cuminc_1") - F.col("cuminc_0")).withColumn(
-        "rr", F.try_divide("cuminc_1", "cuminc_0"))
+    counts = month_table(outcome_cells(df, treat, periods, event, weight)).select(
+        "exp", "time", F.sum("n_event").over(run).alias("n"), F.sum("w_event").over(run).alias("w"))
+    side = lambda arm, c: F.max(F.when(F.col("exp") == arm, F.col(c)))
+    events = counts.groupBy("time").agg(side(0, "n").cast("long").alias("events_0"), side(1, "n").cast("long").alias("events_1"),
+                                        side(0, "w").alias("w_events_0"), side(1, "w").alias("w_events_1"))
+    return curves.join(events, "time", "left").select("time", "events_0", "events_1", "w_events_0", "w_events_1", "cuminc_0", "cuminc_1", "rd", "rr")
 
 
 # ---- unweighted survival ------------------------------------------------------
@@ -277,5 +403,3 @@ def curve_long(curves: DataFrame, arms: Sequence[str], percent: bool = True) ->
     if percent:
         stacked = stacked.withColumns({c: F.col(c) * 100 for c in ("cuminc", "lcl", "ucl")})
     return stacked.withColumn("arm", F.when(F.col("exp") == 0, arms[0]).otherwise(arms[1])).distinct()
-
-

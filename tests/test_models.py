@@ -170,6 +170,39 @@ def test_bootstrap_is_stable_and_matches_refits(spark, frame, scheme):
     assert np.allclose(a[a["replicate"] == 2]["cuminc_1"], ci, atol=1e-6)
 
 
+def test_adjusted_outcome_equals_expanded_fit(spark, frame, monkeypatch):
+    """Sums per row and month give the coefficients, robust errors and curves of the person-month table."""
+    pdf, df = frame
+    monkeypatch.setattr(O, "ROWS_PER_WALK", 37)
+    weights = 0.5 + (np.arange(len(pdf)) % 7) / 5
+    df = spark.createDataFrame(pdf.assign(w=weights)).repartition(5)
+    d = X.design(df, [X.Term("x"), X.Term("g", "category")])
+    exp, t, ev, wl = expanded(pdf, weights)
+    rows = np.repeat(np.arange(len(pdf)), pdf["T"].to_numpy())
+    cov = np.column_stack([pdf["x"].to_numpy(), *[(pdf["g"] == lv).to_numpy(float) for lv in sorted(pdf["g"].unique())[1:]]])
+    S = ns(t, [0, 6, 12, 24, t.max()])
+    for interaction in (False, True):
+        fit = O.fit_adjusted(df, "exp", "T", "event", "w", d, interaction)
+        full = np.column_stack([np.ones(len(t)), exp, cov[rows], S, *([S * exp[:, None]] if interaction else [])])
+        beta, _ = newton(full, ev, wl)
+        p = 1 / (1 + np.exp(-full @ beta))
+        assert fit.converged and np.allclose(1 / (1 + np.exp(-full @ fit.beta)), p, atol=1e-7)
+        bread = np.linalg.pinv((full * (wl * p * (1 - p))[:, None]).T @ full)
+        r = wl * (ev - p)
+        robust = bread @ (full * (r * r)[:, None]).T @ full @ bread
+        assert np.allclose(fit.beta[1:2 + cov.shape[1]], beta[1:2 + cov.shape[1]], atol=1e-6)
+        assert np.allclose(np.diag(fit.robust)[1:2 + cov.shape[1]], np.diag(robust)[1:2 + cov.shape[1]], rtol=1e-5)
+    ratios = O.pooled_hr_adjusted(df, "exp", "T", "event", "w", d).toPandas()
+    assert list(ratios["term"]) == ["exp", *d.names] and (ratios["lower"] < ratios["estimate"]).all()
+    curves = O.risk_curves_adjusted(df, "exp", "T", "event", "w", d, {"x": 0.5, "g": sorted(pdf["g"].unique())[0]}, horizon=20).toPandas().sort_values("time")
+    months = np.arange(20.0)
+    Sm = ns(months, [0, 6, 12, 24, t.max()])
+    one = np.column_stack([np.ones(20), np.ones(20), np.full(20, 0.5), np.zeros((20, cov.shape[1] - 1)), Sm, Sm])
+    assert np.allclose(curves["cuminc_1"], 1 - np.cumprod(1 - 1 / (1 + np.exp(-one @ beta))), atol=1e-6)
+    hits = (pdf["exp"] == 1) & (pdf["event"] == 1) & (pdf["T"] <= 20)
+    assert curves["events_1"].iloc[-1] == hits.sum() and curves["w_events_1"].iloc[-1] == pytest.approx(weights[hits].sum())
+
+
 def test_bootstrap_interval_covers_estimate(spark, frame):
     _, df = frame
     out = BS.bootstrap_curves(df, "exp", "T", "event", X.design(df, TERMS), "key", 30, 7).toPandas()
