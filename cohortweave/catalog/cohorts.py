@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortweave.catalog.registry import check
 from cohortweave.catalog.relational import AREA, LABS_WIDE, MODE, ONSET
 from cohortweave.catalog.roles import CUTOFF, FLOOR, STUDY, Roles, with_roles
 from cohortweave.operators import device as dev, episodes as E, phenotype as P, reshape
-from cohortweave.operators.asof import asof_by_period
-from cohortweave.operators.intervals import overlap_count, overlap_pivot
+from cohortweave.operators.intervals import overlap_pivot
+from cohortweave.operators.timeline import Latest, Touching, timeline
 from cohortweave.plans import cohort as plan
 from cohortweave.session import staged
 
@@ -262,7 +264,8 @@ TV = {
                 "ts DESC, systolic DESC, diastolic DESC", "systolic AS sbp_tv, diastolic AS dbp_tv"),
     "t_ef": _tv("ef", "TRUE", "CAST(day AS TIMESTAMP)", "day DESC", "ROUND(ef, 9) AS lvef_tv"),
     **{f"t_{s}": _tv("lab", f"phenotype = '{p}'", "ts", "ts DESC, value DESC",
-                     f"CAST(CAST(value AS DECIMAL(10,1)) AS DOUBLE) AS {s}_tv") for s, p in _TV_LABS.items()},
+                     f"CAST(CAST(value AS DECIMAL(10,1)) AS DOUBLE) AS {s}_tv"
+                     + (f", CAST(ts AS DATE) AS {s}_tv_dt" if p in plan.DATED_LABS else "")) for s, p in _TV_LABS.items()},
 }
 HOSP = {
     "t_hf0": _count("hf_stay", "hf_stays_tv"),
@@ -291,27 +294,19 @@ def _long_time(df: DataFrame) -> DataFrame:
 @check(with_roles(["per", "vital", "lab", "ef"], _merge(["t_weight", "t_creatinine", "t_bnp"]), TV))
 def tv_asof(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    month = {"start": "start_date", "periods": "periods", "ts": "ts"}
-    spans = staged(r.spans)
-    weight = asof_by_period(spans, r.vitals.where(plan.is_weight(STUDY)), "person_id", ROW, **month,
-                            values={"weight_tv": F.col("value")}).withColumn(
-        "weight_tv", F.col("weight_tv").cast("decimal(10,1)").cast("double"))
-    labs = asof_by_period(spans, r.labs, "person_id", ROW, **month,
-                          values={"creatinine_tv": F.col("value"), "bnp_tv": F.col("value")},
-                          where={"creatinine_tv": F.col("phenotype") == "Creatinine", "bnp_tv": F.col("phenotype") == "BNP"})
-    for c in ("creatinine_tv", "bnp_tv"):
-        labs = labs.withColumn(c, F.col(c).cast("decimal(10,1)").cast("double"))
-    return _long_time(weight.join(labs, [*ROW, "time"]))
+    labs = Latest(r.labs, "ts", {"creatinine_tv": F.col("value"), "bnp_tv": F.col("value")},
+                  {"creatinine_tv": F.col("phenotype") == "Creatinine", "bnp_tv": F.col("phenotype") == "BNP"}, dates=["bnp_tv"])
+    weight = Latest(r.vitals.where(plan.is_weight(STUDY)), "ts", {"weight_tv": F.col("value")})
+    out = timeline(staged(r.spans), [weight, labs], "person_id", ROW, "start_date", "periods")
+    return _long_time(out).withColumns({c: F.col(c).cast("decimal(10,1)").cast("double") for c in ("weight_tv", "creatinine_tv", "bnp_tv")})
 
 
 @check(with_roles(["per", "stay", "hf_stay"], _merge(["t_hf", "t_stay"]), HOSP))
 def tv_overlap_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    month = {"start": "start_date", "periods": "periods", "a": "admit_ts", "d": "discharge_ts"}
-    spans = staged(r.spans)
-    hf = overlap_count(spans, r.hf_stays, "person_id", ROW, **month, name="hf_stays_tv", cumulative="hf_stays_cum")
-    every = overlap_count(spans, r.stays, "person_id", ROW, **month, name="stays_tv")
-    return _long_time(hf.join(every, [*ROW, "time"]))
+    hf = Touching(r.hf_stays, "admit_ts", "discharge_ts", "hf_stays_tv", "hf_stays_cum")
+    every = Touching(r.stays, "admit_ts", "discharge_ts", "stays_tv")
+    return _long_time(timeline(staged(r.spans), [hf, every], "person_id", ROW, "start_date", "periods"))
 
 
 @check(with_roles(["per", "fill"], "SELECT person_id, arm, start_date, CAST(time AS BIGINT) AS time, rx_standard_tvdt, "
@@ -322,21 +317,6 @@ def tv_overlap_pivot(spark: SparkSession, sf: str) -> DataFrame:
                                     "start_date", "periods", "rx_start", "end_date", "rx_class", RX_COLUMNS))
 
 
-@check(with_roles(["per", "vital", "lab", "ef", "stay", "hf_stay"], f"""SELECT q.*, c.crossover_date FROM (
-    {_merge([*TV, 't_hf', 't_stay', 't_rx'], 'p.person_id, p.arm, p.start_date, CAST(p.time AS BIGINT) AS time, '
-            'CAST(p.periods AS BIGINT) AS periods, p.e AS interval_start')}) q
-    LEFT JOIN ({CROSS}) c ON q.person_id = c.person_id AND q.arm = c.arm AND q.start_date = c.start_date""",
-                  {**FOLD, **TV, **HOSP, **RX_TV}))
-def tv_table(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf)
-    spans = staged(r.spans.withColumn("end_date", F.col("start_date")))
-    out = plan.time_varying(spans, _episodes(r), r.sources, STUDY, ["A", "B"], RX_COLUMNS).drop("end_date")
-    decimals = [f.name for f in out.schema if f.dataType.typeName() == "decimal"]
-    return _long_time(out).withColumns({
-        **{c: F.col(c).cast("double") for c in decimals}, "periods": F.col("periods").cast("long"),
-        "lvef_tv": F.round("lvef_tv", 9)})
-
-
 # ---- device feed --------------------------------------------------------------------------------
 
 # Signals: (name, text expression on value v and count k, number type).
@@ -415,3 +395,31 @@ def device_monthly(spark: SparkSession, sf: str) -> DataFrame:
     daily = daily.withColumns({c: F.col(c).cast("double") for c in _NUMBERS})
     out = dev.device_monthly(spans, daily, "person_id", ["person_id", "start_date"], "start_date", "periods")
     return _long_time(out).withColumns({n: F.round(n, 6) for _, f, n in dev.MONTHLY_SPEC if f == "mean"})
+
+
+# ---- the person-month table -------------------------------------------------------------------------
+
+# The device feed belongs to other years than the cohort: its days are moved back by 25 of them.
+DEVICE_SHIFT = 9132
+_SCALED = {n: t for n, t in plan.DEVICE_SCALES.items()}
+_MONTH_AGG = {"sum": "SUM({c})", "mean": "AVG(CAST({c} AS DOUBLE))", "max": "MAX({c})", "min": "MIN({c})"}
+DEVICE_TV = {"t_device": f"""SELECT {", ".join("p." + k for k in _K.split(", "))}, MAX(d.serial) AS serial, """ + ", ".join(
+    "CAST(" + (f"CAST({_MONTH_AGG[f].format(c=c)} AS {_SCALED[n]})" if n in _SCALED else _MONTH_AGG[f].format(c=c)) + f" AS DOUBLE) AS {n}"
+    for c, f, n in dev.MONTHLY_SPEC) + f""" FROM per p JOIN daily d ON p.person_id = d.person_id
+    AND d.trend_date - {DEVICE_SHIFT} >= p.s AND d.trend_date - {DEVICE_SHIFT} < p.e GROUP BY 1, 2, 3, 4"""}
+
+
+@check(with_roles(["per", "vital", "lab", "ef", "stay", "hf_stay"], f"""SELECT q.*, c.crossover_date FROM (
+    {_merge([*TV, 't_hf', 't_stay', 't_rx', 't_device'], 'p.person_id, p.arm, p.start_date, CAST(p.time AS BIGINT) AS time, '
+            'CAST(p.periods AS BIGINT) AS periods, p.e AS interval_start')}) q
+    LEFT JOIN ({CROSS}) c ON q.person_id = c.person_id AND q.arm = c.arm AND q.start_date = c.start_date""",
+                  {**FOLD, **TV, **HOSP, **RX_TV, **_DEVICE_SQL, **DEVICE_TV}))
+def tv_table(spark: SparkSession, sf: str) -> DataFrame:
+    r = Roles(spark, sf)
+    spans = staged(r.spans.withColumn("end_date", F.col("start_date")))
+    daily = _device(r).withColumns({c: F.col(c).cast("double") for c in _NUMBERS}).withColumn("trend_date", F.date_sub("trend_date", DEVICE_SHIFT))
+    out = plan.time_varying(spans, _episodes(r), replace(r.sources, device=daily), STUDY, ["A", "B"], RX_COLUMNS).drop("end_date")
+    decimals = [f.name for f in out.schema if f.dataType.typeName() == "decimal"]
+    return _long_time(out).withColumns({
+        **{c: F.col(c).cast("double") for c in decimals}, "periods": F.col("periods").cast("long"),
+        "lvef_tv": F.round("lvef_tv", 9)})

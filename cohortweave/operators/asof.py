@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortweave.functions.dates import first_period_ending_from, usable_from
+from cohortweave.functions.dates import usable_from
+from cohortweave.operators.timeline import Latest, timeline
 
 
 def _list(x: str | Sequence[str]) -> list[str]:
@@ -145,29 +146,8 @@ def asof_by_period(spans: DataFrame, facts: DataFrame, by: str | Sequence[str],
     """Latest value at or before each monthly period start, several measures at once.
 
     ``spans`` holds one row per (person, arm) with its start date and number of
-    periods.  A fact goes to the first period that may use it, the latest fact per
-    period is kept by partial aggregation, and a running maximum over the at most
-    ``periods`` rows of a span carries it forward.  The cost is linear in the facts.
+    periods.  A fact goes to the first period that may use it and is carried forward
+    (``timeline``).  The cost is linear in the facts.
     """
-    by = _list(by)
-    where = where or {}
-    day = usable_from(ts)
-    picks = {name: F.struct(F.col(ts).cast("timestamp_ntz").alias("_ts"),
-                            *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)], expr.alias("_v"))
-             for name, expr in values.items()}
-    daily = (facts.where(F.col(ts).isNotNull()).groupBy(*by, day.alias("_day"))
-             .agg(*[F.max(F.when(where[n], p) if n in where else p).alias(n) for n, p in picks.items()]))
-    slot = F.greatest(F.lit(0), first_period_ending_from(start, "_day"))
-    slotted = (spans.select(*dict.fromkeys([*by, *row_id, start, periods])).join(daily, by)
-               .withColumn("time", slot).where(F.col("time") < F.col(periods))
-               .groupBy(*row_id, "time").agg(*[F.max(n).alias(n) for n in picks]))
-    grid = spans.select(*row_id, F.explode(F.sequence(F.lit(0), F.col(periods) - 1)).alias("time"))
-    run = Window.partitionBy(*row_id).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    carried = grid.join(slotted, [*row_id, "time"], "left").select(
-        *row_id, "time", *[F.max(n).over(run).alias(n) for n in picks])
-    out = []
-    for n in picks:
-        out.append(F.col(n)["_v"].alias(n))
-        if dates:
-            out.append(F.col(n)["_ts"].cast("date").alias(f"{n}_dt"))
-    return carried.select(*row_id, "time", *out)
+    latest = Latest(facts, ts, values, where, tie, tuple(values) if dates else ())
+    return timeline(spans, [latest], by, row_id, start, periods)

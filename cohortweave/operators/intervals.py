@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from cohortweave.functions.dates import (
-    first_period_ending_after, first_period_ending_from, last_period_opening_by, usable_from)
-from cohortweave.operators.reshape import pivot_dates
+from cohortweave.operators.timeline import Current, Touching, timeline
 
 
 def _list(x: str | Sequence[str]) -> list[str]:
@@ -72,47 +70,6 @@ def overlaps(windows: DataFrame, intervals: DataFrame, by: str | Sequence[str],
             .where(hit & (F.col("_month") == F.greatest("_w0", "_i0"))).drop("_month", "_w0", "_i0"))
 
 
-def _runs(start: str, a: Column, a_up: Column, d: Column) -> Column:
-    """Runs of periods that an interval touches, as an array of (lo, hi).
-
-    ``a``/``d`` are the days of both ends, ``a_up`` the first day not before the
-    start.  A proper interval touches one run; an open one the periods that contain
-    its start; one that ends before it starts the periods containing either end.
-    """
-    def containing(day: Column) -> Column:
-        return F.struct(first_period_ending_after(start, day).alias("lo"),
-                        last_period_opening_by(start, day).alias("hi"))
-
-    a_run, d_run = containing(a), containing(d)
-    whole = F.struct(first_period_ending_from(start, a_up).alias("lo"),
-                     last_period_opening_by(start, d).alias("hi"))
-    # Both runs are merged when they meet, so that no period is counted twice.
-    lo, hi = F.least(a_run["lo"], d_run["lo"]), F.greatest(a_run["hi"], d_run["hi"])
-    meet = F.greatest(a_run["lo"], d_run["lo"]) <= F.least(a_run["hi"], d_run["hi"])
-    merged = F.array(F.struct(lo.alias("lo"), hi.alias("hi")))
-    return (F.when(d.isNull(), F.array(a_run))
-            .when(F.col("_proper"), F.array(whole))
-            .when(meet, merged).otherwise(F.array(a_run, d_run)))
-
-
-def _touched(spans: DataFrame, intervals: DataFrame, by: list[str], row_id: Sequence[str], start: str,
-             periods: str, a: str, d: str, keep: Sequence[str], agg: Column) -> DataFrame:
-    """(row_id, keep, lo, hi, weight): clipped runs of periods per interval."""
-    stamp_a, stamp_d = F.col(a).cast("timestamp_ntz"), F.col(d).cast("timestamp_ntz")
-    # Window ends are midnights: the tests only see these days of each interval.
-    compact = (intervals.where(F.col(a).isNotNull() | F.col(d).isNotNull())
-               .groupBy(*by, *keep, stamp_a.cast("date").alias("_a"), usable_from(a).alias("_a_up"),
-                        stamp_d.cast("date").alias("_d"), (stamp_a <= stamp_d).alias("_proper"))
-               .agg(agg.alias("_weight")))
-    runs = (spans.select(*dict.fromkeys([*by, *row_id, start, periods])).join(compact, by)
-            .select(*row_id, *keep, periods, "_weight",
-                    F.explode(_runs(start, F.col("_a"), F.col("_a_up"), F.col("_d"))).alias("_run")))
-    lo = F.greatest(F.lit(0), F.col("_run.lo"))
-    hi = F.least(F.col(periods) - 1, F.col("_run.hi"))
-    return (runs.select(*row_id, *keep, periods, "_weight", lo.alias("_lo"), hi.alias("_hi"))
-            .where(F.col("_lo") <= F.col("_hi")))
-
-
 def overlap_count(spans: DataFrame, intervals: DataFrame, by: str | Sequence[str], row_id: Sequence[str],
                   start: str, periods: str, a: str, d: str, name: str = "n", cumulative: str | None = None) -> DataFrame:
     """Intervals touching the rolling month before each period start, for every period.
@@ -121,19 +78,7 @@ def overlap_count(spans: DataFrame, intervals: DataFrame, by: str | Sequence[str
     running sum over the periods of a span gives the count.  No (interval, period)
     pairs are made.  ``cumulative`` adds the running total of the counts.
     """
-    by, row_id = _list(by), list(row_id)
-    touched = _touched(spans, intervals, by, row_id, start, periods, a, d, [], F.count(F.lit(1)))
-    steps = touched.select(*row_id, F.explode(F.array(
-        F.struct(F.col("_lo").alias("time"), F.col("_weight").alias("_step")),
-        F.struct((F.col("_hi") + 1).alias("time"), (-F.col("_weight")).alias("_step")))).alias("_s"))
-    deltas = steps.groupBy(*row_id, F.col("_s.time").alias("time")).agg(F.sum("_s._step").alias("_step"))
-    grid = spans.select(*row_id, F.explode(F.sequence(F.lit(0), F.col(periods) - 1)).alias("time"))
-    run = Window.partitionBy(*row_id).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    out = grid.join(deltas, [*row_id, "time"], "left").select(
-        *row_id, "time", F.sum(F.coalesce("_step", F.lit(0))).over(run).cast("long").alias(name))
-    if cumulative:
-        out = out.withColumn(cumulative, F.sum(name).over(run).cast("long"))
-    return out
+    return timeline(spans, [Touching(intervals, a, d, name, cumulative)], by, row_id, start, periods)
 
 
 def overlap_pivot(spans: DataFrame, intervals: DataFrame, by: str | Sequence[str], row_id: Sequence[str],
@@ -143,10 +88,5 @@ def overlap_pivot(spans: DataFrame, intervals: DataFrame, by: str | Sequence[str
 
     ``a`` and ``d`` are dates.  Rows appear for periods with at least one interval.
     """
-    by, row_id = _list(by), list(row_id)
-    known = intervals.withColumn("_cat", F.lower(F.col(category)))
-    longest = known.groupBy(*by, "_cat", a).agg(F.max(d).alias(d))
-    touched = _touched(spans, longest, by, row_id, start, periods, a, d, ["_cat"], F.max(F.col(a)))
-    monthly = touched.select(*row_id, "_cat", F.col("_weight").alias("_start"),
-                             F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).alias("time"))
-    return pivot_dates(monthly, [*row_id, "time"], "_cat", "_start", values)
+    out = timeline(spans, [Current(intervals, a, d, category, values, "_any")], by, row_id, start, periods)
+    return out.where(F.col("_any").isNotNull()).drop("_any")

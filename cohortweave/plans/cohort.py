@@ -9,18 +9,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortweave.functions.dates import fiscal_quarter, fiscal_year, month_boundaries, usable_from
 from cohortweave.functions.rows import censor_after, plausible, plausible_pressure
-from cohortweave.operators.asof import asof_by_period, asof_latest, asof_latest_wide, asof_nearest
-from cohortweave.operators.device import device_monthly
+from cohortweave.operators.asof import asof_latest, asof_latest_wide, asof_nearest
+from cohortweave.operators.device import MONTHLY_SPEC
 from cohortweave.operators.episodes import crossover_date
-from cohortweave.operators.intervals import active_at, lookback_count, lookback_latest, overlap_count, overlap_pivot
+from cohortweave.operators.intervals import active_at, lookback_count, lookback_latest
 from cohortweave.operators.persons import merge_covariates
 from cohortweave.operators.phenotype import phenotype_onset
-from cohortweave.operators.reshape import expand_periods, pivot_dates
+from cohortweave.operators.reshape import pivot_dates
 from cohortweave.operators.summaries import daily_mean, median_disc, modal_category
+from cohortweave.operators.timeline import Current, DayTotals, Latest, Source, Touching, timeline
 
 PERSON, ARM, START = "person_id", "arm", "start_date"
 INDEX = [PERSON, START]
 ROW = [PERSON, ARM, START]
+# Labs whose day is kept per month, and the scales of the monthly device columns.
+DATED_LABS = ["BNP", "NT-proBNP"]
+DEVICE_SCALES = {
+    **dict.fromkeys(["day_hr_mean", "night_hr_mean", "hrv_mean", "fluid_index_mean", "fluid_index_max", "activity_mean", "activity_max",
+                     "activity_minimum", "at_af_mean"], "decimal(10,1)"),
+    **dict.fromkeys(["a_paced_mean", "v_paced_mean"], "decimal(10,2)"),
+    **dict.fromkeys(["vt_vf_cnt", "nst_cnt", "n_atp", "n_shocks"], "decimal(10,0)"),
+}
 
 
 @dataclass(frozen=True)
@@ -149,38 +158,34 @@ def followup(df: DataFrame, start: str, event_date: str, cutoff: str, time: str
 
 def time_varying(spans: DataFrame, episodes: DataFrame, src: Sources, study: Study, arms: Sequence[str],
                  rx_columns: Mapping[str, str]) -> DataFrame:
-    """Person-month rows with the covariates known at each interval start."""
+    """Person-month rows with the covariates known at each interval start.
+
+    All sources share one timeline: one join by person, no exchange at the grain of person-months.  A person's devices count together.
+    """
     periods = "periods"
-    period_keys = [*ROW, "time"]
-    month = {"start": START, "periods": periods}
     labs = {k: study.lab_columns[k] for k in study.lab_columns if k not in ("Albumin", "Hemoglobin")}
     lab_label = F.lower(F.col("phenotype"))
-    frames: dict[str, DataFrame] = {
-        "vitals": asof_by_period(
-            spans, src.vitals.where(is_weight(study) | is_pressure()), PERSON, ROW, **month, ts="ts",
-            values={"weight_tv": F.col("value"), "_bp": F.struct("systolic", "diastolic")},
-            where={"weight_tv": is_weight(study), "_bp": is_pressure()}).select(
-            *period_keys, "weight_tv", F.col("_bp.systolic").alias("sbp_tv"), F.col("_bp.diastolic").alias("dbp_tv")),
-        "ejection": asof_by_period(spans, daily_mean(src.ejection, [PERSON], "ts", "value", name="ef"), PERSON, ROW,
-                                   **month, ts="day", values={"lvef_tv": F.col("ef")}),
-        "labs": asof_by_period(
-            spans, src.labs.where(lab_label.isin([k.lower() for k in labs])), PERSON, ROW, **month, ts="ts",
-            values={f"{stem}_tv": F.col("value") for stem in labs.values()},
-            where={f"{stem}_tv": lab_label == text.lower() for text, stem in labs.items()}),
-        "hf_stays": overlap_count(spans, src.hf_stays, PERSON, ROW, **month, a="admit_ts", d="discharge_ts",
-                                  name="hf_stays_tv", cumulative="hf_stays_cum"),
-        "stays": overlap_count(spans, src.stays, PERSON, ROW, **month, a="admit_ts", d="discharge_ts",
-                               name="stays_tv"),
-        "drugs": overlap_pivot(spans, src.rx.withColumnRenamed(START, "_from"), PERSON, ROW, **month, a="_from",
-                               d="end_date", category="rx_class", values=rx_columns),
-    }
-    long = expand_periods(spans.select(*ROW, "end_date", periods), periods, START)
-    out = merge_covariates(long, frames, period_keys)
-    rounded = {c: F.col(c).cast("decimal(10,1)") for c in ["weight_tv", *[f"{s}_tv" for s in labs.values()]]}
-    out = out.withColumns(rounded)
+    sources: list[Source] = [
+        Latest(src.vitals.where(is_weight(study) | is_pressure()), "ts",
+               {"weight_tv": F.col("value"), "_bp": F.struct("systolic", "diastolic")}, {"weight_tv": is_weight(study), "_bp": is_pressure()}),
+        Latest(daily_mean(src.ejection, [PERSON], "ts", "value", name="ef"), "day", {"lvef_tv": F.col("ef")}),
+        Latest(src.labs.where(lab_label.isin([k.lower() for k in labs])), "ts", {f"{stem}_tv": F.col("value") for stem in labs.values()},
+               {f"{stem}_tv": lab_label == text.lower() for text, stem in labs.items()},
+               dates=[f"{labs[k]}_tv" for k in DATED_LABS if k in labs]),
+        Touching(src.hf_stays, "admit_ts", "discharge_ts", "hf_stays_tv", "hf_stays_cum"),
+        Touching(src.stays, "admit_ts", "discharge_ts", "stays_tv"),
+        Current(src.rx.withColumnRenamed(START, "_from"), "_from", "end_date", "rx_class", rx_columns),
+    ]
     if src.device is not None:
-        # A person may carry several devices, so these rows are merged without the uniqueness check.
-        out = out.join(device_monthly(spans, src.device, PERSON, ROW, START, periods), period_keys, "left")
-    switch = crossover_date(spans.select(*ROW), episodes, arms).select(*ROW, "crossover_date")
-    return out.join(switch, ROW, "left")
-
+        sources.append(DayTotals(src.device, "trend_date", MONTHLY_SPEC, "serial"))
+    keyed = spans.select(*ROW, periods)
+    # The crossover date belongs to the span, so it is joined to the spans and not to their months.
+    switch = crossover_date(keyed.select(*ROW), episodes, arms).select(*ROW, "crossover_date")
+    months = timeline(keyed, sources, PERSON, [*ROW, periods], START, periods)
+    marked = months.join(spans.select(*ROW, "end_date").join(switch, ROW, "left"), ROW)
+    out = marked.select(
+        *ROW, "end_date", periods, "time", F.add_months(F.col(START), F.col("time")).alias("interval_start"),
+        *[c for c in months.columns if c not in (*ROW, periods, "time", "_bp")],
+        F.col("_bp.systolic").alias("sbp_tv"), F.col("_bp.diastolic").alias("dbp_tv"), "crossover_date")
+    scales = {**dict.fromkeys(["weight_tv", *[f"{s}_tv" for s in labs.values()]], "decimal(10,1)"), **(DEVICE_SCALES if src.device is not None else {})}
+    return out.withColumns({c: F.col(c).cast(t) for c, t in scales.items()})
