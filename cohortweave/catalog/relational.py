@@ -9,6 +9,7 @@ from cohortweave.catalog.roles import CONDITION_RULES, CUTOFF, HF_RULE, STUDY, R
 from cohortweave.functions import dates as D, rows as R, text as T
 from cohortweave.operators import asof, codes, intervals, labs as L, persons, phenotype, reshape, summaries as S
 from cohortweave.plans.cohort import area_index, is_height, is_pressure, is_weight
+from cohortweave.session import staged
 from cohortweave.sources import expect
 
 # ---- projection, scalars ---------------------------------------------------------
@@ -248,7 +249,8 @@ def parse_text_result(spark: SparkSession, sf: str) -> DataFrame:
           AND ref_high IS NOT NULL AND ref_high NOT IN ('5000', '50', '5410')
         ELSE test_name NOT ILIKE '%serum%' AND test_name NOT ILIKE '%plasma%' END""", _LAB_CTE))
 def clean_labs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = L.admissible_labs(_lab_rows(Roles(spark, sf)), CUTOFF)
+    # The made-up result columns are worked out once: left in the plan, every rule would repeat them.
+    rows = staged(L.admissible_labs(_lab_rows(Roles(spark, sf)), CUTOFF))
     return L.clean_labs(rows, keep=["person_id", "phenotype", "specimen_ts", "result_text", "units"]).withColumn(
         "value", F.col("value").cast("double"))
 

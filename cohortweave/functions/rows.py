@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cohortweave.session import staged
 
 
 def _c(col: str | Column) -> Column:
@@ -70,15 +72,20 @@ def recode(col: str | Column, mapping: Mapping[str, str], default: Column | None
 def dense_ids(df: DataFrame, bucket: Sequence[str], order: Sequence[str], name: str = "id") -> DataFrame:
     """Dense row ids 1..n in (bucket, order) order, without one global sort task.
 
-    Rows are numbered inside their bucket; the running size of earlier buckets is
-    the offset.  Only the bucket sizes meet in one task: pick a bucket such as the
-    calendar day (and a key block beside it when one day may be hot).
+    The rows are range partitioned by the whole key, sorted and kept in the checkpoint folder with their place inside
+    their partition; the driver adds up one row count per partition, and a row's id is its place plus the count before its partition.
     """
-    within = Window.partitionBy(*bucket).orderBy(*order)
-    sizes = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = df.withColumn("_rn", F.row_number().over(within))
-    return (numbered.join(offsets, list(bucket))
-            .withColumn(name, (F.col("_offset") + F.col("_rn")).cast("long"))
-            .drop("_offset", "_rn"))
+    key = [*bucket, *order]
+    # The built-in id holds the partition in its upper 31 bits and the place in the lower 33.
+    ranged = staged(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = {r["_part"]: r["count"] for r in ranged.groupBy(part.alias("_part")).count().collect()}
+    before, offsets = 0, []
+    for k in sorted(sizes):
+        offsets.append((k, before))
+        before += sizes[k]
+    # One row per partition: as small as the task list of the job itself.
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _offset long"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ranged.withColumn("_part", part).join(starts, "_part")
+            .withColumn(name, F.col("_offset") + place + 1).drop("_part", "_at", "_offset"))

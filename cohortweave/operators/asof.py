@@ -58,20 +58,37 @@ def asof_latest(index: DataFrame, facts: DataFrame, by: str | Sequence[str], at:
     return out.withColumnRenamed("_ts", ts_name or ts) if (ts_name or ts) not in values else out.drop("_ts")
 
 
+def _carry(points: DataFrame, facts: DataFrame, by: list[str], block: Column | None, strict: bool, name: str) -> DataFrame:
+    """Add to each point (``_at``) the latest fact (``_when``, ``_pick``) of its block at or before it (``strict``: before).
+
+    Points and facts are one union ordered by time; the last fact is carried over the points, so no pair is made.
+    """
+    fact_first = F.lit(1 if strict else 0)
+    both = (points.withColumn("_when", F.col("_at")).withColumn("_order", F.lit(0 if strict else 1))
+            .unionByName(facts.select(*by, "_when", "_pick").withColumn("_order", fact_first), allowMissingColumns=True))
+    group = [*by] if block is None else [*by, block]
+    run = Window.partitionBy(*group).orderBy("_when", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.last("_pick", ignorenulls=True).over(run)).where(F.col("_at").isNotNull()).drop("_when", "_order", "_pick")
+
+
 def _asof_timestamp(points, facts, by, at, ts, values, tie, strict) -> DataFrame:
-    """Timestamp index: the last earlier day by interval, the same day by (person, day)."""
-    known = facts.where(F.col(ts).isNotNull())
-    stamp = F.col(ts).cast("timestamp_ntz")
-    point_day = F.col(at).cast("date")
-    daily = _daily_latest(known, by, ts, tie, values, stamp.cast("date"))
-    earlier = points.join(daily, by).where(
-        (F.col("_day") < point_day) & (F.col("_next").isNull() | (point_day <= F.col("_next"))))
-    same_day = (known.select(*by, stamp.cast("date").alias("_day"), _pick(ts, tie, values).alias("_pick"))
-                .join(points.withColumn("_day", point_day), by + ["_day"])
-                .where(F.col("_pick._ts") < F.col(at) if strict else F.col("_pick._ts") <= F.col(at)))
-    cols = [*by, at, "_pick"]
-    return (earlier.select(*cols).unionByName(same_day.select(*cols))
-            .groupBy(*by, at).agg(F.max("_pick").alias("_pick")))
+    """Timestamp index, in three levels of time blocks whose rows are bounded.
+
+    Facts of one microsecond are one row, so a second of a person holds a million rows at most: the last fact is carried over
+    the points inside it.  Each second's last fact then stands for the second inside the day (86,400 at most), and each day's for the
+    day, for the points that found nothing closer.
+    """
+    known = (facts.where(F.col(ts).isNotNull()).groupBy(*by, F.col(ts).cast("timestamp_ntz").alias("_when"))
+             .agg(F.max(_pick(ts, tie, values)).alias("_pick")))
+    second, day = F.date_trunc("second", "_when").cast("timestamp_ntz"), F.date_trunc("day", "_when").cast("timestamp_ntz")
+    seconds = known.groupBy(*by, second.alias("_when")).agg(F.max("_pick").alias("_pick"))
+    days = seconds.groupBy(*by, day.alias("_when")).agg(F.max("_pick").alias("_pick"))
+    stamp = F.col(at).cast("timestamp_ntz")
+    found = _carry(points.withColumn("_at", stamp), known, by, second, strict, "_same_second")
+    found = _carry(found.withColumn("_at", F.date_trunc("second", stamp).cast("timestamp_ntz")), seconds, by, day, True, "_same_day")
+    found = _carry(found.withColumn("_at", F.date_trunc("day", stamp).cast("timestamp_ntz")), days, by, None, True, "_earlier")
+    return (found.select(*by, at, F.coalesce("_same_second", "_same_day", "_earlier").alias("_pick"))
+            .where(F.col("_pick").isNotNull()))
 
 
 def asof_latest_wide(index: DataFrame, facts: DataFrame, by: str | Sequence[str], at: str, ts: str,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortweave.functions.dates import usable_from
 from cohortweave.functions.text import same_text
+from cohortweave.session import staged
 
 
 def daily_mean(df: DataFrame, by: Sequence[str], ts: str, value: str, extra: Sequence[str] = (),
@@ -52,21 +53,16 @@ def window_summary(df: DataFrame, keys: Sequence[str], spec: Sequence[tuple[str,
     return df.groupBy(*keys).agg(*[functions[f](c).alias(n) for c, f, n in spec])
 
 
-def fold_bucket(value: str | Column, per_octave: int = 256) -> Column:
-    """A number that rises with the value and splits its range on a logarithmic scale."""
-    x = F.col(value) if isinstance(value, str) else value
-    x = x.cast("double")
-    return (F.signum(x) * F.floor(F.log2(1.0 + F.abs(x)) * per_octave)).cast("long")
-
-
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                     method: str = "linear", name: str = "q", frequency: str | None = None) -> DataFrame:
     """Exact quantiles per group, without gathering a group in one task.
 
     1. Equal values are counted per (by, value) with a map-side combine.
-    2. Value ranges (``fold_bucket``) are counted; a running total over the few
-       ranges of a group tells which range holds each wanted rank.
-    3. Only those ranges are ordered by value.
+    2. The counts are ranged by (by, value) at sample quantiles of their own and kept in the
+       checkpoint folder: every range fits a task, whatever the scale of the values, and the
+       input is read once.
+    3. A running total over the ranges of a group tells which range holds each wanted rank, and only
+       those are ordered by value.
 
     ``method``: ``linear`` interpolates between the two neighbours (type 7),
     ``disc`` returns the smallest value whose cumulative share reaches the
@@ -76,11 +72,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     by = list(by)
     x = F.col(value).cast("double")
     counts = (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias("_x"))
-              .agg((F.sum(frequency) if frequency else F.count(F.lit(1))).alias("_c"))
-              .withColumn("_b", fold_bucket("_x")))
+              .agg((F.sum(frequency) if frequency else F.count(F.lit(1))).alias("_c")))
     groups = by or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
+    counts = staged(counts.repartitionByRange(*groups, "_x").withColumn("_b", F.spark_partition_id()))
     ranges = counts.groupBy(*groups, "_b").agg(F.sum("_c").alias("_bc"))
     w = Window.partitionBy(*groups).orderBy("_b")
     totals = ranges.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator, Sequence
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,6 @@ import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortweave.functions.rows import dense_ids
 from cohortweave.operators.summaries import percentile_interval
 from cohortweave.session import staged
 from cohortweave.stats.features import Design
@@ -24,8 +24,8 @@ from cohortweave.stats.outcome import outcome_cells, risk_curves
 from cohortweave.stats.weights import fit_logistic, iptw, score
 
 ROWS_PER_STEP = 2048
-# Partition results that one task adds up on the first of two levels.
-PARTS_PER_SUM = 64
+# Rows of a bucket of exact resampling.
+ROWS_PER_BUCKET = 20_000
 LIMITS = ("cuminc_0", "cuminc_1", "rd", "rr")
 # Cumulative probabilities of a Poisson(1) count 0, 1, 2, ...
 POISSON_CDF = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 16)])))
@@ -60,17 +60,29 @@ def poisson_count(key: Column, seed: int, replicate: int) -> Column:
 def resample_counts(df: DataFrame, row_key: str, n: int, seed: int) -> DataFrame:
     """Exact n-of-n resampling: add ``draws``, the (replicate, count) pairs of each row.
 
-    Every replicate draws as many rows as there are; an array has at most ``n`` pairs.
+    Every replicate draws as many rows as there are.  The draws are split over hash buckets of ``ROWS_PER_BUCKET`` rows on average by one
+    multinomial draw per replicate on the driver (bucket sizes only), and over the rows of a bucket in its own task, both from
+    seeds, so a lost task draws the same again.  ``row_key`` is unique.
     """
-    rows = dense_ids(df.withColumn("_bucket", F.pmod(F.xxhash64(row_key), F.lit(4096))), ["_bucket"], [row_key], "_i")
     size = df.count()
-    spark = df.sparkSession
-    picks = spark.range(size * n).select(
-        (F.col("id") % n).cast("int").alias("replicate"),
-        (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(size)) + 1).alias("_i"))
-    pairs = (picks.groupBy("_i", "replicate").agg(F.count(F.lit(1)).cast("int").alias("count"))
-             .groupBy("_i").agg(F.collect_list(F.struct("replicate", "count")).alias("draws")))
-    return rows.join(pairs, "_i", "left").drop("_i", "_bucket")
+    buckets = max(1, -(-size // ROWS_PER_BUCKET))
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.col(row_key)), F.lit(buckets)).cast("int")
+    keys = df.select(row_key, bucket.alias("_bucket"))
+    sizes = np.zeros(buckets)
+    for r in keys.groupBy("_bucket").count().collect():
+        sizes[r["_bucket"]] = r["count"]
+    totals = np.random.default_rng([seed, 0]).multinomial(size, sizes / max(size, 1), size=n).T if size else np.zeros((buckets, n), int)
+    shares = df.sparkSession.createDataFrame([(b, [int(v) for v in totals[b]]) for b in range(buckets)], "_bucket int, _totals array<long>")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_key, ignore_index=True)
+        rng = np.random.default_rng([seed, 1, int(pdf["_bucket"].iloc[0])])
+        counts = np.stack([rng.multinomial(t, np.full(len(pdf), 1 / len(pdf))) for t in pdf["_totals"].iloc[0]], axis=1)
+        return pd.DataFrame({row_key: pdf[row_key], "draws": [[{"replicate": int(k), "count": int(row[k])} for k in np.flatnonzero(row)] for row in counts]})
+
+    kind = keys.schema[row_key].dataType.simpleString()
+    drawn = keys.join(shares, "_bucket").groupBy("_bucket").applyInPandas(draw, f"`{row_key}` {kind}, draws array<struct<replicate:int,count:int>>")
+    return df.join(drawn, row_key, "left")
 
 
 def _batches(batches: Iterator[pa.RecordBatch], p: int, seed: int, n: int):
@@ -100,8 +112,11 @@ _SUMS = "gram array<double>, grad array<double>, deviance double, size double, t
 _GRAM = f"part int, replicate int, {_SUMS}"
 
 
-def _gram_pass(data: DataFrame, betas: np.ndarray, seed: int) -> DataFrame:
-    """Per partition and replicate: information matrix (upper triangle), gradient, deviance, counts."""
+def _gram_pass(data: DataFrame, betas: np.ndarray, seed: int, groups: int) -> DataFrame:
+    """Per partition and replicate: information matrix (upper triangle), gradient, deviance, counts.
+
+    ``part`` deals the partitions into ``groups`` for the first level of sums.
+    """
     n, p = betas.shape
     upper = np.triu_indices(p)
 
@@ -118,7 +133,7 @@ def _gram_pass(data: DataFrame, betas: np.ndarray, seed: int) -> DataFrame:
             size += counts.sum(axis=0)
             treated += counts.T @ treat
         if seen:
-            part = TaskContext.get().partitionId() // PARTS_PER_SUM
+            part = TaskContext.get().partitionId() % groups
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array(np.full(n, part), pa.int32()), "replicate": pa.array(np.arange(n), pa.int32()),
                 "gram": pa.array(list(gram)), "grad": pa.array(list(grad)), "deviance": pa.array(deviance),
@@ -144,6 +159,8 @@ def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_it
     """
     p = len(start)
     upper = np.triu_indices(p)
+    # Both levels add up about as many results as the square root of the number of partitions.
+    groups = max(1, ceil(sqrt(data.rdd.getNumPartitions())))
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         s = _sum_parts(pdf)
@@ -158,7 +175,7 @@ def fit_replicates(data: DataFrame, start: np.ndarray, n: int, seed: int, max_it
     held, least = betas.copy(), np.full(n, np.inf)
     share, converged = np.zeros(n), np.zeros(n, dtype=bool)
     for _ in range(max_iter):
-        rows = (_gram_pass(data, betas, seed).groupBy("replicate", "part")
+        rows = (_gram_pass(data, betas, seed, groups).groupBy("replicate", "part")
                 .applyInPandas(_sum_parts, f"replicate int, {_SUMS}").groupBy("replicate")
                 .applyInPandas(step, "replicate int, move array<double>, deviance double, size double, treated double").collect())
         moves = np.zeros_like(betas)
@@ -245,8 +262,14 @@ def bootstrap_replicates(df: DataFrame, treat: str, periods: str, event: str, de
 
 
 def with_limits(point: DataFrame, replicates: DataFrame) -> DataFrame:
-    """Point estimate joined with percentile limits per time."""
-    return point.join(percentile_interval(replicates, ["time"], LIMITS), "time")
+    """Point estimate joined with percentile limits per time.
+
+    Replicates whose score fit did not converge (column ``converged``) are left out of the limits; ``n_replicates`` says how
+    many each limit rests on.
+    """
+    used = replicates.where("converged") if "converged" in replicates.columns else replicates
+    limits = percentile_interval(used, ["time"], LIMITS)
+    return point.join(limits.join(used.groupBy("time").agg(F.count(F.lit(1)).alias("n_replicates")), "time"), "time", "left")
 
 
 def bootstrap_curves(df: DataFrame, treat: str, periods: str, event: str, design: Design, row_key: str,
