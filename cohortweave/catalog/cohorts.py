@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,8 +14,13 @@ from cohortweave.catalog.roles import CUTOFF, FLOOR, STUDY, Roles, with_roles
 from cohortweave.operators import device as dev, episodes as E, phenotype as P, reshape
 from cohortweave.operators.intervals import overlap_pivot
 from cohortweave.operators.timeline import Latest, Touching, timeline
+from cohortweave.functions.dates import month_boundaries
 from cohortweave.plans import cohort as plan
-from cohortweave.session import staged
+from cohortweave.plans.study import StudyFrames, modelling_frame, study
+from cohortweave.session import ensure_checkpoint_dir, staged
+from cohortweave.sources import load
+from cohortweave.sources.tables import save
+from cohortweave.stats.features import known_flag
 
 ROW = plan.ROW
 EXPOSURE = "person_id, arm, release_ts, days_supply, start_date, end_date, drug_name"
@@ -108,25 +115,25 @@ def exposure_fills(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(with_roles(["expo"], "SELECT * FROM ep", FOLD))
 def treatment_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _episodes(Roles(spark, sf))
+    return _episodes(Roles(spark, sf, share=True))
 
 
 @check(with_roles(["expo"], "SELECT * FROM ixe", FOLD))
 def index_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(Roles(spark, sf))
+    return _index(Roles(spark, sf, share=True))
 
 
 @check(with_roles(["expo"], """SELECT arm, COUNT(*) AS persons, ROUND(AVG(days_total), 6) AS mean_days,
     MIN(start_date) AS first_start, MAX(end_date) AS last_end FROM ixe GROUP BY arm""", FOLD))
 def exposure_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(Roles(spark, sf)).groupBy("arm").agg(
+    return _index(Roles(spark, sf, share=True)).groupBy("arm").agg(
         F.count(F.lit(1)).alias("persons"), F.round(F.avg("days_total"), 6).alias("mean_days"),
         F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end"))
 
 
 @check(with_roles(["expo"], "SELECT person_id, arm, start_date, gap_days, user_type FROM ut", FOLD))
 def user_type(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf)
+    r = Roles(spark, sf, share=True)
     return _user_type(r, staged(_index(r))).select(*ROW, "gap_days", "user_type")
 
 
@@ -138,7 +145,7 @@ CROSS = """SELECT i.person_id, i.arm, i.start_date, MIN(CASE WHEN e.arm = 'A' TH
 
 @check(with_roles(["expo"], CROSS, FOLD))
 def crossover_date(spark: SparkSession, sf: str) -> DataFrame:
-    episodes = staged(_episodes(Roles(spark, sf)))
+    episodes = staged(_episodes(Roles(spark, sf, share=True)))
     return E.crossover_date(E.index_episodes(episodes, ["person_id", "arm"]), episodes, ["A", "B"])
 
 
@@ -147,12 +154,15 @@ def death_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return _deaths(Roles(spark, sf))
 
 
-@check(with_roles(["expo", "elig", "xw"], f"""SELECT i.person_id, i.arm, i.start_date, i.end_date, i.days_total,
+WITH_DEATH = f"""SELECT i.person_id, i.arm, i.start_date, i.end_date, i.days_total,
     e.eligible_date, e.hf_date, gap_days, user_type, CASE WHEN death_date <= DATE '{CUTOFF}' THEN death_date END AS death_date
     FROM ixe i JOIN elig e ON i.person_id = e.person_id JOIN ut u ON i.person_id = u.person_id AND i.arm = u.arm
-    LEFT JOIN dead d ON i.person_id = d.person_id WHERE hf_date IS NOT NULL""", {**FOLD, **DEATH}))
+    LEFT JOIN dead d ON i.person_id = d.person_id WHERE hf_date IS NOT NULL"""
+
+
+@check(with_roles(["expo", "elig", "xw"], WITH_DEATH, {**FOLD, **DEATH}))
 def exposure_with_death(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf)
+    r = Roles(spark, sf, share=True)
     first = staged(_index(r))
     index = first.join(r.eligible.select("person_id", "eligible_date", "hf_date"), "person_id")
     return plan.exposure_with_death(index, _user_type(r, first), _deaths(r), CUTOFF, "hf_date")
@@ -202,16 +212,48 @@ _BASE = {
 _PARTS = ["weight", "height", "bp", "smoke", "addr", "lab", "ef", "dx", "rx", "hf", "flu", "area"]
 BASELINE = ("SELECT x.*, demo.* EXCLUDE (person_id), "
             + ", ".join(f"b_{p}.* EXCLUDE (person_id, start_date)" for p in _PARTS)
-            + " FROM ix x JOIN demo ON x.person_id = demo.person_id "
+            + f" FROM ({WITH_DEATH}) x JOIN demo ON x.person_id = demo.person_id "
             + " ".join(f"LEFT JOIN b_{p} ON x.person_id = b_{p}.person_id AND x.start_date = b_{p}.start_date"
                        for p in _PARTS))
-_BASE_ROLES = ["ix", "vital", "smoke", "addr", "lab", "ef", "rec", "hf_stay", "area", "demo"]
+_BASE_ROLES = ["ix", "elig", "xw", "vital", "smoke", "addr", "lab", "ef", "rec", "hf_stay", "area", "demo"]
+_STUDY_SQL = {**FOLD, **DEATH, **_BASE}
+
+
+def _study(r: Roles) -> StudyFrames:
+    prior = r.fills.where("arm = 'A'").select(
+        "person_id", F.col("release_ts").cast("date").alias("start_date"),
+        F.date_add(F.col("release_ts").cast("date"), F.col("days_supply")).alias("end_date"))
+    return study(r.exposure_days, staged(r.eligible), prior, _deaths(r), r.sources, STUDY)
 
 
-@check(with_roles(_BASE_ROLES, BASELINE, _BASE))
+@check(with_roles(_BASE_ROLES, BASELINE, _STUDY_SQL))
 def baseline_table(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf)
-    return plan.baseline(staged(r.index), r.sources, STUDY).withColumn("lvef_bl", F.round("lvef_bl", 9))
+    return _study(Roles(spark, sf, share=True)).baseline.withColumns({"lvef_bl": F.round("lvef_bl", 9), "gap_days": F.col("gap_days").cast("long")})
+
+
+# The modelling frame of the study, under the name that the model checks read.
+_FRAME_SQL = {**_STUDY_SQL, "bl": BASELINE, "frame": f"""SELECT * FROM (SELECT CAST(person_id AS VARCHAR) || '|' || arm AS row_key, person_id, arm, start_date,
+    CASE WHEN arm = 'B' THEN 1 ELSE 0 END AS exp, date_diff('month', start_date, COALESCE(death_date, DATE '{CUTOFF}')) + 1 AS periods,
+    CASE WHEN death_date IS NOT NULL THEN 1 ELSE 0 END AS event_itt, segment, zone, user_type, weight_bl, creatinine_bl,
+    CASE WHEN c_low_dt IS NOT NULL THEN 'Yes' ELSE 'No' END AS c_low, date_diff('month', hf_date, start_date) AS time_hf FROM bl) WHERE periods >= 1"""}
+_IMPUTED = ", ".join(f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM frame))::DOUBLE AS {c}" for c in ("weight_bl", "creatinine_bl"))
+
+
+def study_frame_of(r: Roles) -> DataFrame:
+    features = {"c_low": known_flag("c_low_dt"), "time_hf": month_boundaries("hf_date", "start_date")}
+    return modelling_frame(_study(r).baseline, STUDY, "B", features, ["weight_bl", "creatinine_bl"])
+
+
+@check(with_roles(_BASE_ROLES, f"""SELECT row_key, exp::BIGINT AS exp, periods::BIGINT AS periods, event_itt::BIGINT AS event_itt, segment, zone, user_type,
+    c_low, time_hf::BIGINT AS time_hf, {_IMPUTED} FROM frame""", _FRAME_SQL))
+def study_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The modelling frame from the source tables, kept as a stage table and read back."""
+    frame = study_frame_of(Roles(spark, sf, share=True))
+    path = f"{ensure_checkpoint_dir(spark)}/study-frame-{uuid.uuid4().hex}.parquet"
+    save(frame, path)
+    back = load(spark, os.path.dirname(path), os.path.basename(path).removesuffix(".parquet"))
+    return back.select("row_key", *[F.col(c).cast("long").alias(c) for c in ("exp", "periods", "event_itt", "time_hf")], "segment", "zone", "user_type",
+                       "c_low", "weight_bl", "creatinine_bl")
 
 
 # ---- follow-up and person-months ----------------------------------------------------------------
@@ -415,7 +457,7 @@ DEVICE_TV = {"t_device": f"""SELECT {", ".join("p." + k for k in _K.split(", "))
     LEFT JOIN ({CROSS}) c ON q.person_id = c.person_id AND q.arm = c.arm AND q.start_date = c.start_date""",
                   {**FOLD, **TV, **HOSP, **RX_TV, **_DEVICE_SQL, **DEVICE_TV}))
 def tv_table(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf)
+    r = Roles(spark, sf, share=True)
     spans = staged(r.spans.withColumn("end_date", F.col("start_date")))
     daily = _device(r).withColumns({c: F.col(c).cast("double") for c in _NUMBERS}).withColumn("trend_date", F.date_sub("trend_date", DEVICE_SHIFT))
     out = plan.time_varying(spans, _episodes(r), replace(r.sources, device=daily), STUDY, ["A", "B"], RX_COLUMNS).drop("end_date")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from cohortweave.catalog import cohorts as C
 from cohortweave.catalog.registry import check
 from cohortweave.catalog.roles import Roles, with_roles
 from cohortweave.functions.rows import inverse_logit
 from cohortweave.operators.reshape import expand_periods, grid
 from cohortweave.operators.summaries import percentile_interval
-from cohortweave.session import staged
+from cohortweave.session import ensure_checkpoint_dir, staged
+from cohortweave.sources.tables import save_tsv
 from cohortweave.stats import balance as B, boosted as M, boosting as G, bootstrap as BS, features as X, outcome as O, weights as W
 
 TERMS = [
@@ -75,6 +80,17 @@ def encode_levels(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("c_custkey", *[c.alias(n.split("=")[1].lower()) for n, c in zip(d.names, d.columns)])
 
 
+@check("""SELECT c_custkey, COALESCE(CAST(s = 'AUTOMOBILE' AS INT), 0)::DOUBLE AS automobile, COALESCE(CAST(s = 'MACHINERY' AS INT), 0)::DOUBLE AS machinery,
+    CAST(s IS NULL AS INT)::DOUBLE AS missing FROM (SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS s FROM customer
+    WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY'))""")
+def encode_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing categories have a column of their own beside declared levels."""
+    df = Roles(spark, sf).table("customer", "c_custkey", "c_mktsegment", "c_nationkey").where(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "MACHINERY"))
+    df = df.withColumn("s", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")))
+    d = X.design(df, [X.Term("s", "category", levels=["AUTOMOBILE", "BUILDING", "MACHINERY"], ref="BUILDING")])
+    return df.select("c_custkey", *[c.alias(n.removeprefix("s=").removeprefix("s ").lower()) for n, c in zip(d.names, d.columns)])
+
+
 _CUBE = "POW(GREATEST({u} - {k}, 0), 3)"
 
 
@@ -119,6 +135,19 @@ def table_one(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(B.table_one(staged(Roles(spark, sf).analysis), "arm", ["balance"], ["periods"], ["segment", "zone"]), 6)
 
 
+@check(with_roles(["ana"], """SELECT variable, level, stratum, stat, CAST(ROUND(value, 6) AS DOUBLE) AS value FROM (
+    SELECT 'balance' AS variable, '' AS level, stratum, 'mean' AS stat, mean AS value FROM num UNION ALL SELECT 'balance', '', stratum, 'sd', sd FROM num
+    UNION ALL SELECT 'balance', '', stratum, 'n', n FROM num UNION ALL SELECT 'balance', '', stratum, 'missing_pct', 0 FROM num
+    UNION ALL SELECT variable, level, stratum, 'count', n FROM cat UNION ALL SELECT variable, level, stratum, 'percent', 100.0 * n / total FROM cat)""", _T1))
+def table_one_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    """Table 1 written as dated tab-separated text without a header, and read back."""
+    table = _rounded(B.table_one(staged(Roles(spark, sf).analysis), "arm", ["balance"], [], ["segment", "zone"]), 6).select(
+        "variable", "level", "stratum", "stat", "value")
+    path = save_tsv(table, f"{ensure_checkpoint_dir(spark)}/table-one-{uuid.uuid4().hex}.tsv", date(2024, 1, 31))
+    back = spark.read.option("sep", "\t").schema("variable string, level string, stratum string, stat string, value double").csv(path)
+    return back.withColumn("level", F.coalesce("level", F.lit("")))
+
+
 _PS = {
     "ps": """SELECT a.*, AVG(exp) OVER (PARTITION BY segment, zone) AS pd, AVG(exp) OVER () AS pn FROM ana a""",
     "wt": "SELECT *, CASE WHEN exp = 1 THEN pn / pd ELSE (1 - pn) / (1 - pd) END AS iptw FROM ps",
@@ -350,6 +379,36 @@ def kaplan_meier(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out.withColumns({c: F.col(c).cast("long") for c in ("time", "n_risk", "n_event")}), 8)
 
 
+# ---- from the source tables to the estimates --------------------------------------------------------
+
+_STUDY_ANA = {**C._FRAME_SQL, "ana": "SELECT * FROM frame"}
+
+
+@check(with_roles(C._BASE_ROLES, """SELECT CAST(time AS BIGINT) AS time, CAST(events_0 AS BIGINT) AS events_0, CAST(events_1 AS BIGINT) AS events_1,
+    ROUND(c0, 8) AS cuminc_0, ROUND(c1, 8) AS cuminc_1, ROUND(c1 - c0, 8) AS rd, ROUND(CASE WHEN c0 <> 0 THEN c1 / c0 END, 8) AS rr FROM (
+    SELECT time, MAX(CASE WHEN exp = 0 THEN ev END) AS events_0, MAX(CASE WHEN exp = 1 THEN ev END) AS events_1,
+    MAX(CASE WHEN exp = 0 THEN 1 - survival END) AS c0, MAX(CASE WHEN exp = 1 THEN 1 - survival END) AS c1
+    FROM (SELECT *, SUM(n_event) OVER (PARTITION BY exp ORDER BY time) AS ev FROM hz) GROUP BY time)""", {**_STUDY_ANA, **_MONTHS}))
+def study_curves_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    """Source tables to risk curves: episodes, baseline, frame, category scores, weights, one level per month."""
+    frame = staged(C.study_frame_of(Roles(spark, sf, share=True)))
+    weighted = W.iptw(W.ps_saturated(frame, "exp", ["segment", "zone"]), "exp")
+    out = O.risk_curves_saturated(O.month_table(O.outcome_cells(weighted, "exp", "periods", "event_itt", "iptw")))
+    return _rounded(out.withColumn("time", F.col("time").cast("long")), 8)
+
+
+STUDY_TERMS = [X.Term("weight_bl", "spline"), X.Term("creatinine_bl"), X.Term("time_hf", "spline"), X.Term("user_type", "category", ref="New"),
+               X.Term("c_low", "category", ref="No"), X.Term("segment", "category", ref="BUILDING")]
+
+
+@check()
+def study_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Source tables to standardised risk curves with logistic scores on the study's baseline covariates."""
+    frame = staged(C.study_frame_of(Roles(spark, sf, share=True)))
+    weighted = W.iptw(W.ps_logistic(frame, "exp", X.design(frame, STUDY_TERMS)), "exp")
+    return O.risk_curves(O.outcome_cells(weighted, "exp", "periods", "event_itt", "iptw"))
+
+
 # ---- bootstrap -----------------------------------------------------------------------------------
 
 @check("""SELECT l_suppkey, ROUND(quantile_cont(l_discount, 0.025), 9) AS l_discount_lcl,

@@ -257,6 +257,40 @@ def clean_labs(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- code sets ---------------------------------------------------------------------
 
+# Codes of both vocabularies and curated labels, dealt to the parts by their key.
+_CODES_9 = ["402.11", "404.93", "404.90", "428.0", "290.1", "331.0", "331.83", "331.9", "V42.1", "285.9", "250.0"]
+_CODES_10 = ["I11.0", "I13.2", "I13.1", "I50.9", "F03", "G30.1", "G31.83", "Z94.1", "D64.9", "D65", "E11.9"]
+_CURATED = ["MI", "CMB_HTN", "Flu", "CMB_unlisted", "TIA"]
+_NUMBERS = [9901, 9907, 9910, 9999]
+
+
+def _dealt(values: list) -> str:
+    return f"[{', '.join(map(repr, values))}][1 + p_partkey % {len(values)}]"
+
+
+@check(f"""WITH d AS (SELECT {_dealt(_CODES_9)} AS c9, {_dealt(_CODES_10)} AS c10, {_dealt(_CURATED)} AS label, {_dealt(_NUMBERS)} AS number FROM part)
+    SELECT DISTINCT concept, code, vocabulary FROM (
+    SELECT 'HF' AS concept, c9 AS code, 9 AS vocabulary FROM d WHERE c9 LIKE '402._1%' OR c9 LIKE '404._1%' OR c9 LIKE '404._3%' OR c9 LIKE '428%'
+    UNION ALL SELECT 'HF', c10, 10 FROM d WHERE c10 LIKE 'I11.0%' OR c10 LIKE 'I13.0%' OR c10 LIKE 'I13.2%' OR c10 LIKE 'I50%'
+    UNION ALL SELECT 'HeartTx', c9, 9 FROM d WHERE c9 LIKE 'V42.1%' UNION ALL SELECT 'HeartTx', c10, 10 FROM d WHERE c10 LIKE 'Z94.1%'
+    UNION ALL SELECT 'Anemia', c9, 9 FROM d WHERE regexp_matches(c9, '^28[0-5]') UNION ALL SELECT 'Anemia', c10, 10 FROM d WHERE regexp_matches(c10, '^D5|^D6[0-4]')
+    UNION ALL SELECT 'Dementia', c9, 9 FROM d WHERE regexp_matches(c9, '^290|^331[.][01]|^331[.]8[23]')
+    UNION ALL SELECT 'Dementia', c10, 10 FROM d WHERE regexp_matches(c10, '^F0[0-3]|^G30|^G31[.]0|^G31[.]8[34]')
+    UNION ALL SELECT label, label, 0 FROM d WHERE label IN ('MI', 'CMB_HTN', 'Flu', 'TIA')
+    UNION ALL SELECT CASE number WHEN 9901 THEN 'LVAD' WHEN 9907 THEN 'Long_QT' ELSE 'Brugada' END, CAST(number AS VARCHAR), 0 FROM d WHERE number < 9999)""")
+def default_code_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """The default heart-failure and comorbidity lists on dimensions of both vocabularies and a curated table."""
+    dealt = lambda values: F.element_at(F.array(*map(F.lit, values)), (1 + F.col("p_partkey") % len(values)).cast("int"))
+    dim = Roles(spark, sf).table("part", "p_partkey").select(
+        dealt(_CODES_9).alias("c9"), dealt(_CODES_10).alias("c10"), dealt(_CURATED).alias("label"), dealt(_NUMBERS).alias("number")).distinct()
+    found = [codes.pattern_codes(dim, "c9", [codes.HEART_FAILURE_9, *codes.COMORBIDITY_9], 9),
+             codes.pattern_codes(dim, "c10", [codes.HEART_FAILURE_10, *codes.COMORBIDITY_10], 10)]
+    listed = codes.listed_codes(dim, codes.COMORBIDITY_LISTED, "label").select(F.col("label").alias("concept"), F.col("label").alias("code"))
+    numbered = codes.numbered_codes(dim, codes.COMORBIDITY_NUMBERED, "number").select("concept", F.col("number").cast("string").alias("code"))
+    curated = [df.withColumn("vocabulary", F.lit(0)) for df in (listed, numbered)]
+    return codes.stack_code_sets([df.select("concept", "code", "vocabulary") for df in [*found, *curated]])
+
+
 _NAME_RULES = [
     codes.NameRule("metal", include=["%bolt%", "%[^a-z]ring%"], exclude=["%red%", "%_old%"], exact=["RED BOLT"]),
     codes.NameRule("small", include=["small%", "[a-c]%"], not_exact=["Small Widget"]),
@@ -496,7 +530,7 @@ AREA = """SELECT i.person_id, i.start_date, MIN(rank) AS area_rank FROM (SELECT
 @check(with_roles(["ix", "area"], AREA))
 def fiscal_area_index(spark: SparkSession, sf: str) -> DataFrame:
     r = Roles(spark, sf)
-    return area_index(r.index, r.area)
+    return area_index(r.index, r.homes, r.area)
 
 
 @check("""SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.025), 6) AS q025,

@@ -10,15 +10,15 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortweave.functions.dates import month_boundaries
+from cohortweave.functions.dates import fiscal_quarter, fiscal_year, month_boundaries
 from cohortweave.functions.text import match_patterns
 from cohortweave.operators.codes import NameRule, code_set
 from cohortweave.operators.episodes import exposure_days, exposure_fills
-from cohortweave.operators.persons import to_person
 from cohortweave.operators.phenotype import eligible_date, first_dates
 from cohortweave.plans.cohort import Sources, Study, followup
 from cohortweave.session import tune
 from cohortweave.sources import load
+from cohortweave.sources.tables import stage_by
 
 CUTOFF = "2001-08-01"
 FLOOR = "1996-01-01"
@@ -50,10 +50,13 @@ STUDY = Study(
 
 
 class Roles:
-    """Role tables of one data folder."""
+    """Role tables of one data folder.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = tune(spark), folder
+    With ``share``, the records that several sources read are written once as a stage table laid out by person.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, share: bool = False) -> None:
+        self.spark, self.folder, self.share = tune(spark), folder, share
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str, *columns: str) -> DataFrame:
@@ -74,12 +77,15 @@ class Roles:
 
     @cached_property
     def rows(self) -> DataFrame:
-        """Site-level records: one per lineitem, with person, drug columns and timestamps."""
+        """Site-level records: one per lineitem, with person, setting, drug columns and timestamps."""
         fact = self.table("lineitem").select(
             F.col("l_orderkey").alias("site_id"), F.col("l_partkey").alias("drug_id"), "l_suppkey", "l_linenumber",
             "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
         fact = fact.withColumn("ts", F.expr("l_shipdate + make_dt_interval(0, l_linenumber - 1)"))
-        return to_person(fact, self.crosswalk).join(self.drugs, "drug_id")
+        links = self.table("orders", "o_orderkey", "o_custkey", "o_orderstatus").select(
+            F.col("o_orderkey").alias("site_id"), F.col("o_custkey").alias("person_id"), (F.col("o_orderstatus") == "F").alias("is_inpatient"))
+        out = fact.join(links, "site_id").join(self.drugs, "drug_id")
+        return stage_by(out, ["person_id"]) if self.share else out
 
     @cached_property
     def fills(self) -> DataFrame:
@@ -89,14 +95,7 @@ class Roles:
 
     @cached_property
     def diagnoses(self) -> DataFrame:
-        fact = self.table("lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_linenumber").select(
-            F.col("l_orderkey").alias("site_id"), F.col("l_partkey").alias("drug_id"), "l_shipdate", "l_linenumber",
-            F.expr("l_shipdate + make_dt_interval(0, l_linenumber - 1)").alias("ts"))
-        orders = self.table("orders", "o_orderkey", "o_custkey", "o_orderstatus").select(
-            F.col("o_orderkey").alias("site_id"), F.col("o_custkey").alias("person_id"), "o_orderstatus")
-        return fact.join(orders, "site_id").join(self.drugs.select("drug_id", "code"), "drug_id").select(
-            "site_id", "person_id", "code", "ts", F.col("l_shipdate").alias("visit_ts"), "l_linenumber",
-            (F.col("o_orderstatus") == "F").alias("is_inpatient"))
+        return self.rows.select("site_id", "person_id", "code", "ts", F.col("l_shipdate").alias("visit_ts"), "l_linenumber", "is_inpatient")
 
     @cached_property
     def codes(self) -> DataFrame:
@@ -197,16 +196,15 @@ class Roles:
         return self.rows.where(F.col("rx_class") == "ECONOMY").select("person_id", "ts")
 
     @cached_property
-    def area(self) -> DataFrame:
-        """Shipped quantity per nation, fiscal quarter and return flag, for every person of the nation."""
-        from cohortweave.functions.dates import fiscal_quarter, fiscal_year
+    def homes(self) -> DataFrame:
+        return self.table("customer", "c_custkey", "c_nationkey").select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("geo"))
 
-        nation = self.table("customer", "c_custkey", "c_nationkey").select(
-            F.col("c_custkey").alias("person_id"), "c_nationkey")
-        shipped = self.rows.join(nation, "person_id").groupBy(
-            "c_nationkey", fiscal_year("l_shipdate").alias("fiscal_year"), fiscal_quarter("l_shipdate").alias("quarter"),
-            "l_returnflag").agg(F.sum("l_quantity").alias("rank"))
-        return nation.join(shipped, "c_nationkey").select("person_id", "fiscal_year", "quarter", "rank")
+    @cached_property
+    def area(self) -> DataFrame:
+        """Shipped quantity per nation, fiscal quarter and return flag."""
+        return self.rows.join(self.homes, "person_id").groupBy(
+            "geo", fiscal_year("l_shipdate").alias("fiscal_year"), fiscal_quarter("l_shipdate").alias("quarter"),
+            "l_returnflag").agg(F.sum("l_quantity").alias("rank")).select("geo", "fiscal_year", "quarter", "rank")
 
     @cached_property
     def ejection(self) -> DataFrame:
@@ -226,7 +224,7 @@ class Roles:
             demographics=self.demographics, vitals=self.vitals, labs=self.labs, smoking=self.smoking,
             addresses=self.addresses, inpatient=records.where("is_inpatient"),
             outpatient=records.where(~F.col("is_inpatient")), rx=self.rx, stays=self.stays, hf_stays=self.hf_stays,
-            flu=self.flu, area=self.area, ejection=self.ejection)
+            flu=self.flu, homes=self.homes, area=self.area, ejection=self.ejection)
 
     @cached_property
     def spans(self) -> DataFrame:

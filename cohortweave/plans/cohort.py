@@ -22,6 +22,8 @@ from cohortweave.operators.timeline import Current, DayTotals, Latest, Source, T
 PERSON, ARM, START = "person_id", "arm", "start_date"
 INDEX = [PERSON, START]
 ROW = [PERSON, ARM, START]
+# Parts that the persons of one area and quarter are dealt over.
+AREA_SALT = 16
 # Labs whose day is kept per month, and the scales of the monthly device columns.
 DATED_LABS = ["BNP", "NT-proBNP"]
 DEVICE_SCALES = {
@@ -41,7 +43,7 @@ class Sources:
     updated, zip, urh); inpatient(person_id, concept, ts); outpatient(person_id,
     concept, ts, visit_ts); rx(person_id, rx_class, start_date, end_date);
     stays(person_id, admit_ts, discharge_ts) and hf_stays alike, one row per stay;
-    flu(person_id, ts); area(person_id, fiscal_year, quarter, rank);
+    flu(person_id, ts); homes(person_id, geo); area(geo, fiscal_year, quarter, rank);
     ejection(person_id, ts, value); device(person_id, serial, trend_date, ...).
     """
 
@@ -56,6 +58,7 @@ class Sources:
     stays: DataFrame
     hf_stays: DataFrame
     flu: DataFrame
+    homes: DataFrame
     area: DataFrame
     ejection: DataFrame
     device: DataFrame | None = None
@@ -98,12 +101,18 @@ def is_pressure() -> Column:
     return (F.lower("kind") == "blood pressure") & plausible_pressure("systolic", "diastolic")
 
 
-def area_index(index: DataFrame, area: DataFrame) -> DataFrame:
-    """Lowest area rank of the person's fiscal quarter."""
-    points = index.select(*INDEX).distinct().withColumns(
-        {"fiscal_year": fiscal_year(START), "quarter": fiscal_quarter(START)})
-    lowest = area.groupBy(PERSON, "fiscal_year", "quarter").agg(F.min("rank").alias("area_rank"))
-    return points.join(lowest, [PERSON, "fiscal_year", "quarter"]).select(*INDEX, "area_rank")
+def area_index(index: DataFrame, homes: DataFrame, area: DataFrame) -> DataFrame:
+    """Lowest area rank of the person's fiscal quarter, over the person's areas.
+
+    ``homes`` (person_id, geo) place persons, ``area`` (geo, fiscal_year, quarter, rank) ranks areas.  The persons of an area and
+    quarter are dealt over ``AREA_SALT`` parts, and the one rank of an area and quarter is repeated for each part, so an area
+    that holds a third of all persons does not meet in one task; no rank is fanned out to persons.
+    """
+    points = (index.select(*INDEX).distinct().join(homes.select(PERSON, "geo").distinct(), PERSON)
+              .withColumns({"fiscal_year": fiscal_year(START), "quarter": fiscal_quarter(START), "_part": F.pmod(F.xxhash64(*INDEX), F.lit(AREA_SALT)).cast("int")}))
+    lowest = (area.groupBy("geo", "fiscal_year", "quarter").agg(F.min("rank").alias("area_rank"))
+              .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(AREA_SALT - 1)))))
+    return points.join(lowest, ["geo", "fiscal_year", "quarter", "_part"]).groupBy(*INDEX).agg(F.min("area_rank").alias("area_rank"))
 
 
 def baseline(index: DataFrame, src: Sources, study: Study) -> DataFrame:
@@ -142,7 +151,7 @@ def baseline(index: DataFrame, src: Sources, study: Study) -> DataFrame:
                       ["rx_class"]), INDEX, "rx_class", "_from", study.rx_classes),
         "stays": lookback_count(index, src.hf_stays, PERSON, START, "discharge_ts", 12, "hf_stays_12m"),
         "flu": lookback_latest(index, src.flu, PERSON, START, "ts", 12, "flu_dt"),
-        "area": area_index(index, src.area),
+        "area": area_index(index, src.homes, src.area),
     }
     base = index.join(src.demographics, PERSON, "left")
     return merge_covariates(base, frames, INDEX)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
@@ -10,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from cohortweave.session import ensure_checkpoint_dir
+
 
 def load(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None,
          schema: StructType | str | None = None) -> DataFrame:
@@ -27,6 +30,21 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer.parquet(path)
 
 
+def stage_by(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Write a stage table laid out by ``keys`` and read it back.
+
+    The table is bucketed by the keys (as many buckets as shuffle partitions, one file each) in the checkpoint folder, so what
+    follows by these keys, joins, windows and groups by the keys and more, needs no exchange of its rows.
+    """
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stage_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *keys).write.format("parquet").option("path", f"{folder}/{name}")
+     .bucketBy(buckets, *keys).saveAsTable(name))
+    return spark.table(name)
+
+
 def save_tsv(df: DataFrame, path: str, day: date | None = None) -> str:
     """Tab-separated text without a header row; with a ``day``, its ISO form follows the name.  Returns the path."""
     if day is not None:

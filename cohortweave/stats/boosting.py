@@ -31,7 +31,7 @@ def _classifier(params: Mapping[str, float], weight: str | None, seed: int) -> G
 
 
 def _training(df: DataFrame, treat: str, design: Design, extra: Sequence[str] = ()) -> DataFrame:
-    return df.select(F.col(treat).cast("double").alias("_y"), design.vector().alias("_x"), *extra)
+    return design.rows(df).select(F.col(treat).cast("double").alias("_y"), design.vector().alias("_x"), *extra)
 
 
 def fit_gbt(df: DataFrame, treat: str, design: Design, params: Mapping[str, float], weight: str | None = None,
@@ -49,7 +49,7 @@ def ps_gbt(df: DataFrame, treat: str, design: Design, params: Mapping[str, float
            weight: str | None = None, seed: int = 13) -> tuple[DataFrame, GBTClassificationModel]:
     """Add the boosted treatment probability; returns the frame and the model."""
     model = fit_gbt(df, treat, design, params, weight, seed)
-    scored = model.transform(df.withColumn("_x", design.vector())).withColumn(
+    scored = model.transform(design.rows(df).withColumn("_x", design.vector())).withColumn(
         name, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
     return scored, model
 

@@ -242,7 +242,7 @@ def bootstrap_replicates(df: DataFrame, treat: str, periods: str, event: str, de
     cols = [F.xxhash64(row_key).alias("h"), F.col(treat).cast("double").alias("treat"),
             F.col(periods).cast("int").alias("periods"),
             F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("event"), design.array(intercept=True).alias("x")]
-    rows = df.where(F.col(periods) >= 1)
+    rows = design.rows(df).where(F.col(periods) >= 1)
     if scheme == "multinomial":
         rows = resample_counts(rows, row_key, n, seed)
         cols.append(F.coalesce("draws", F.array().cast("array<struct<replicate:int,count:int>>")).alias("draws"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortweave.functions.dates import month_boundaries
 from cohortweave.operators.summaries import exact_quantiles
 
+#: Levels that a category may have without declaring them.
+MAX_FREE_LEVELS = 500
 
 
 def age_years(birth: str, at: str) -> Column:
@@ -67,11 +70,12 @@ def median_impute(df: DataFrame, columns: Sequence[str], values: Mapping[str, fl
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(values.get(c))) for c in columns})
 
 
-def encode_levels(col: str, levels: Sequence[str], ref: str | None = None) -> dict[str, Column]:
-    """0/1 columns for every level but the reference, in the declared order."""
+def encode_levels(col: str, levels: Sequence[str], ref: str | None = None, missing: bool = False) -> dict[str, Column]:
+    """0/1 columns for every level but the reference, in the declared order; with ``missing``, one for NULL at the end."""
     ref = levels[0] if ref is None else ref
-    return {f"{col}={lv}": F.when(F.col(col).cast("string") == lv, 1.0).otherwise(0.0)
-            for lv in levels if lv != ref}
+    out = {f"{col}={lv}": F.when(F.col(col).cast("string") == lv, 1.0).otherwise(0.0)
+           for lv in levels if lv != ref}
+    return out | ({f"{col} missing": F.when(F.col(col).isNull(), 1.0).otherwise(0.0)} if missing else {})
 
 
 def ns_basis(col: str | Column, knots: Sequence[float]) -> list[Column]:
@@ -99,7 +103,11 @@ def ns_basis(col: str | Column, knots: Sequence[float]) -> list[Column]:
 
 @dataclass(frozen=True)
 class Term:
-    """One model term: ``numeric``, ``spline`` (df, or inner knots) or ``category``."""
+    """One model term: ``numeric``, ``spline`` (df, or inner knots) or ``category``.
+
+    ``missing`` says what a NULL means where the data has one: ``level`` (a category's own 0/1 column; the default for
+    categories), ``drop`` (such rows take no part in the fit and get no score) or ``error`` (the default for numbers).
+    """
 
     column: str
     kind: str = "numeric"
@@ -107,6 +115,11 @@ class Term:
     knots: Sequence[float] | None = None
     levels: Sequence[str] | None = None
     ref: str | None = None
+    missing: str | None = None
+
+    @property
+    def rule(self) -> str:
+        return self.missing or ("level" if self.kind == "category" else "error")
 
 
 @dataclass
@@ -117,6 +130,11 @@ class Design:
     names: list[str] = field(default_factory=list)
     variables: list[str] = field(default_factory=list)
     columns: list[Column] = field(default_factory=list)
+    required: list[str] = field(default_factory=list)  # columns whose NULL rows take no part
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """The rows that take part in a fit."""
+        return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in self.required])) if self.required else df
 
     def add(self, variable: str, named: Mapping[str, Column]) -> None:
         for name, col in named.items():
@@ -133,7 +151,14 @@ class Design:
 
 
 def design(df: DataFrame, terms: Sequence[Term]) -> Design:
-    """Resolve knots (exact quantiles, range) and levels of the terms on the data."""
+    """Resolve knots (exact quantiles, range) and levels of the terms on the data.
+
+    NULLs are counted first and treated by each term's rule.  A category without declared levels may have ``MAX_FREE_LEVELS``
+    of them; a value outside declared levels is an error.
+    """
+    gaps = _checked(df, terms)
+    out = Design(terms, required=[t.column for t in terms if t.rule == "drop" and gaps[t.column]])
+    df = out.rows(df)
     splines = [t for t in terms if t.kind == "spline"]
     knots: dict[str, list[float]] = {}
     if splines:
@@ -158,7 +183,6 @@ def design(df: DataFrame, terms: Sequence[Term]) -> Design:
                  .unpivot([], free, "variable", "level").where("level is not null").distinct().collect())
         for r in found:
             levels.setdefault(r["variable"], []).append(r["level"])
-    out = Design(terms)
     for t in terms:
         if t.kind == "numeric":
             out.add(t.column, {t.column: F.col(t.column).cast("double")})
@@ -167,5 +191,28 @@ def design(df: DataFrame, terms: Sequence[Term]) -> Design:
             out.add(t.column, {f"{t.column}~{i + 1}": c for i, c in enumerate(basis)})
         else:
             lv = list(t.levels) if t.levels is not None else sorted(levels.get(t.column, []))
-            out.add(t.column, encode_levels(t.column, lv, t.ref) if lv else {})
+            out.add(t.column, encode_levels(t.column, lv, t.ref, t.rule == "level" and gaps[t.column] > 0) if lv else {})
     return out
+
+
+def _checked(df: DataFrame, terms: Sequence[Term]) -> dict[str, int]:
+    """Rows without a value per column, after the checks of ``design``; one aggregate."""
+    free = [t.column for t in terms if t.kind == "category" and t.levels is None]
+    declared = [t for t in terms if t.kind == "category" and t.levels is not None]
+    columns = list(dict.fromkeys(t.column for t in terms))
+    facts = df.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"gap {c}") for c in columns],
+        *[F.approx_count_distinct(c).alias(f"levels {c}") for c in dict.fromkeys(free)],
+        *[F.count_if(F.col(t.column).isNotNull() & ~F.col(t.column).cast("string").isin(list(t.levels))).alias(f"other {t.column}") for t in declared]).first() \
+        if columns else {}
+    for t in terms:
+        if t.rule not in ("level", "drop", "error") or (t.rule == "level" and t.kind != "category"):
+            raise ValueError(f"{t.column}: unknown rule {t.missing!r} for missing values")
+        if t.rule == "error" and facts[f"gap {t.column}"]:
+            raise ValueError(f"{t.column}: {facts[f'gap {t.column}']} rows without a value; impute them or set missing='drop'")
+        if t.column in free and t.kind == "category" and facts[f"levels {t.column}"] > MAX_FREE_LEVELS:
+            raise ValueError(f"{t.column}: some {facts[f'levels {t.column}']} levels; declare the ones to use")
+    for t in declared:
+        if facts[f"other {t.column}"]:
+            raise ValueError(f"{t.column}: {facts[f'other {t.column}']} rows with a value outside the declared levels")
+    return {c: facts[f"gap {c}"] for c in columns}

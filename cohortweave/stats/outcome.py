@@ -295,7 +295,7 @@ def fit_adjusted(df: DataFrame, treat: str, periods: str, event: str, weight: st
     over person-months.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.where(F.col(periods) >= 1).select(
+    rows = covariates.rows(df).where(F.col(periods) >= 1).select(
         F.array(F.lit(1.0), F.col(treat).cast("double"), *[c.cast("double") for c in covariates.columns]).alias("x"),
         F.col(periods).cast("int").alias("periods"), F.coalesce(F.col(event).cast("double"), F.lit(0.0)).alias("event"), w.alias("w"))
     rows = staged(rows)

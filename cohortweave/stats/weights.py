@@ -24,7 +24,7 @@ def fit_logistic(df: DataFrame, treat: str, design: Design, weight: str | None =
     cols = [F.col(treat).cast("double").alias("_y"), design.vector().alias("_x")]
     if weight:
         cols.append(F.col(weight).cast("double").alias("_w"))
-    data = df.select(*cols)
+    data = design.rows(df).select(*cols)
     glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="_y", featuresCol="_x",
                                       predictionCol="_p", maxIter=max_iter, tol=1e-5, regParam=0.0)
     if weight:
@@ -40,7 +40,7 @@ def fit_logistic(df: DataFrame, treat: str, design: Design, weight: str | None =
 
 
 def score(df: DataFrame, model: GeneralizedLinearRegressionModel, design: Design, name: str) -> DataFrame:
-    return model.transform(df.withColumn("_x", design.vector())).withColumnRenamed("_p", name).drop("_x")
+    return model.transform(design.rows(df).withColumn("_x", design.vector())).withColumnRenamed("_p", name).drop("_x")
 
 
 def ps_logistic(df: DataFrame, treat: str, design: Design, name: str = "pd") -> DataFrame:
