@@ -36,6 +36,8 @@ VOTES = 3
 SHIFT, GAP = 8, 16
 CHUNK = 1 << 16
 BROADCAST = 200_000
+#: Parts that the copies of a text are dealt over when they meet its marks.
+PARTS = 16
 PIECE = 1 << 20
 
 #: A-Z to lower case; every ASCII character that is no letter or digit to a blank.
@@ -191,7 +193,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None,
     # Texts too short for a match would all meet in the key of the empty text: their keys are numbers that no digest equals.
     number = F.monotonically_increasing_id().cast("string").cast("binary")
     rows = rows.select("doc_id", "n_words", F.when(F.col("n_words") >= k, _text_key()).otherwise(number).alias("key"))
-    out = rows.join(marks, "key", "left")
+    # Copies of one marked text are dealt over parts, each with the marks of the text.
+    rows = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
+    marks = marks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    out = rows.join(marks, ["key", "part"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
                       F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
                       F.coalesce("score", F.lit(0.0)).alias("score"))

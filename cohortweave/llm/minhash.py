@@ -1,7 +1,8 @@
 """MinHash near-duplicates with sequential Bayesian verification (operator 10).
 
 1. Every whole text becomes the set of its distinct shingles (64-bit hashes), one key of that set, and a signature of
-   ``HASHES`` minima, cut to 8 bits each.  Equal sets meet by key: the smallest id stands for them from then on.
+   ``HASHES`` minima, cut to 8 bits each.  Equal sets meet by key and are one row with an id of their own from then on, however many
+   rows, ids and texts repeat; links between sets become links between their smallest ids at the end.
 2. Banding: ``ROWS`` minima make a band; at the similarity asked for a pair shares no band with a chance below 2e-4.
    Each bucket's smallest id is its hub; (member, hub) are the first candidates, so a bucket of n gives n - 1 pairs.
 3. Sequential verification compares the signatures of a pair in batches and stops as soon as the posterior chance of a
@@ -69,7 +70,7 @@ def signature(shingle: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, k1, k2, sig): set size, 128-bit key of the set, signature (null without shingles)."""
+    """(doc_id, text_key, n, k1, k2, sig): hash of the text, set size, 128-bit key of the set, signature (null without shingles)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, rows, known = batch["text"].tolist(), [], {}
@@ -84,10 +85,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 rows.append((len(s), k1, k2, known[k1, k2]))
             out = pd.DataFrame(rows, columns=["n", "k1", "k2", "sig"])
             out.insert(0, "doc_id", batch["doc_id"].array)
+            out.insert(1, "text_key", batch["text_key"].array)
             yield out
 
-    narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = narrow.mapInPandas(run, "doc_id string, n long, k1 long, k2 long, sig binary")
+    narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    out = narrow.mapInPandas(run, "doc_id string, text_key long, n long, k1 long, k2 long, sig binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -246,18 +248,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss:
     # Ids with equal sets are linked; an id that repeats with other texts links those texts' groups as well.
     owned = sets.join(same, ["k1", "k2", "n"])
     copies = owned.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    sigs = staged(owned.where("doc_id = rep").select(F.col("doc_id").alias("id"), "sig"))
+    # One row per distinct set, whatever repeats: its own id, and the (id, text) that its text is read from.
+    own = owned.where("doc_id = rep").groupBy("k1", "k2", "n", "rep").agg(F.min("text_key").alias("text_key"), F.any_value("sig").alias("sig"))
+    sigs = staged(own.select(F.xxhash64("k1", "k2", "n").alias("id"), "rep", "text_key", "sig"))
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, k * {ROWS} + 1, {ROWS})))")
     buckets = sigs.select("id", F.explode(band).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     members = staged(buckets.join(hubs.select("bucket", "hub"), "bucket"))
     pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    ids = members.select("id").distinct()
-    texts = staged(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"))
+    needed = sigs.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "text_key")
+    once = docs.groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.any_value("text").alias("text"))
+    texts = staged(once.join(needed, ["doc_id", "text_key"]).select("id", "text"))
     links = staged(verified(plausible(pairs, sigs, least), texts, width, percent))
     roots = components(links).select(F.col("id").alias("rid"), "root")
     more = _between(staged(_split_buckets(members.select("bucket", "id"), sigs, roots, least)), texts, sigs, roots, least, width, percent)
-    groups = components(links.union(more).union(copies))
+    named = sigs.select("id", "rep")
+    by_doc = (links.union(more).join(named.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a")
+              .join(named.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb"))
+    groups = components(by_doc.union(copies).toDF("a", "b"))
     out = every.join(groups, every["doc_id"] == groups["id"], "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as parser
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -124,21 +124,55 @@ def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(rule: Rule, order: int, text: Column) -> Column:
-    """array<struct<start, kind, end>> of the rule's matches in a whole text."""
+#: Items of an array that one running sum copies, and code points of a piece of text.
+RUN, PIECE = 256, 4096
+
+
+def _running(items: Column, value: Callable[[Column], Column], merge: Callable[[Column, Column], Column]) -> Column:
+    """array<struct<item, before>>: each item with the fold of ``value`` over the items before it (0 at first).
+
+    An array that grows item by item is copied each time, so the fold runs over blocks of ``RUN`` items and over the blocks.
+    ``items`` is a column, not an expression: the blocks are cut from it one by one.
+    """
+    zero, nothing = F.lit(0), F.expr("CAST(array() AS array<int>)")
+    n = F.size(items)
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda b: F.slice(items, b * RUN + 1, F.lit(RUN))))
+    totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda s, x: merge(s, value(x)).cast("int")))
+    starts = F.aggregate(totals, F.struct(zero.alias("at"), nothing.alias("out")), lambda s, t: F.struct(
+        merge(s["at"], t).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+    befores = F.zip_with(blocks, starts, lambda block, first: F.aggregate(block, F.struct(first.alias("at"), nothing.alias("out")), lambda s, x: F.struct(
+        merge(s["at"], value(x)).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"])
+    return F.zip_with(items, F.coalesce(F.flatten(befores), nothing), lambda x, at: F.struct(x.alias("item"), at.alias("before")))
+
+
+def _matches(rule: Rule, text: Column) -> Column:
+    """array<struct<w, c, g>> of the rule's matches in a whole text: lengths of the match, of its checked group and of the text before it."""
     regex = F.lit(rule.regex)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     checked = whole if rule.group == 0 else F.regexp_extract_all(text, regex, F.lit(rule.group))
-    gaps = F.split(text, rule.regex, -1)
-    found = F.zip_with(F.zip_with(whole, checked, lambda w, c: F.struct(F.length(w).alias("w"), F.length(c).alias("c"))),
-                       F.transform(gaps, lambda g: F.length(g)), lambda m, g: F.struct(m["w"].alias("w"), m["c"].alias("c"), g.alias("g")))
-    step = F.struct(F.lit(0).cast("int").alias("at"), F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)").alias("out"))
-    walked = F.aggregate(found, step, lambda s, m: F.struct(
-        (s["at"] + m["g"] + F.coalesce(m["w"], F.lit(0))).cast("int").alias("at"),
-        F.when(m["c"] >= rule.least, F.concat(s["out"], F.array(F.struct(
-            (s["at"] + m["g"]).cast("int").alias("start"), F.lit(order).alias("kind"), (s["at"] + m["g"] + m["w"]).cast("int").alias("end")))))
-        .otherwise(s["out"]).alias("out")))
-    return walked["out"]
+    # One more piece than matches: the last pair has no match and goes.
+    lengths = F.zip_with(F.zip_with(whole, checked, lambda w, c: F.struct(F.length(w).alias("w"), F.length(c).alias("c"))),
+                         F.transform(F.split(text, rule.regex, -1), lambda g: F.length(g)),
+                         lambda m, g: F.struct(m["w"].alias("w"), m["c"].alias("c"), g.alias("g")))
+    return F.filter(lengths, lambda m: m["w"].isNotNull())
+
+
+def _spans(rule: Rule, order: int, matches: Column) -> Column:
+    """array<struct<start, kind, end>> of a rule's matches, a column: a match starts after all pieces and matches before it."""
+    placed = F.filter(_running(matches, lambda m: m["g"] + m["w"], lambda a, b: a + b), lambda p: p["item"]["c"] >= rule.least)
+    return F.transform(placed, lambda p: F.struct(
+        (p["before"] + p["item"]["g"]).cast("int").alias("start"), F.lit(order).alias("kind"),
+        (p["before"] + p["item"]["g"] + p["item"]["w"]).cast("int").alias("end")))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text that is given in pieces of ``PIECE``."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    head = F.substring(F.get(pieces, first), start - first * PIECE + 1, F.lit(PIECE))
+    inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.substring(F.get(pieces, last), F.lit(1), end - last * PIECE)
+    same = F.substring(F.get(pieces, first), start - first * PIECE + 1, end - start)
+    return F.when(end <= start, F.lit("")).when(first == last, same).otherwise(F.concat(head, inner, tail))
 
 
 def _scanned(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -147,12 +181,14 @@ def _scanned(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.join(chosen, F.col("row.doc_id").eqNullSafe(chosen["doc_id"]), "left")
     rows = rows.select("row", F.coalesce("row.text", F.lit("")).alias("text"), "kinds")
-    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
-    parts = []
+    none = F.expr("CAST(array() AS array<struct<w:int,c:int,g:int>>)")
+    # The matches are columns of their own, worked out once: a lambda would work an expression out again for each item.
+    held, spans = [], []
     for order, rule in enumerate(rules):
         asked = F.array_contains("kinds", rule.kind) if trigram_query(rule.regex) else F.col("text").rlike(rule.regex)
-        parts.append(F.when(F.coalesce(asked, F.lit(False)), _spans(rule, order, F.col("text"))).otherwise(none))
-    return rows.select("row", "text", F.array_sort(F.flatten(F.array(*parts))).alias("found"))
+        held.append(F.when(F.coalesce(asked, F.lit(False)), _matches(rule, F.col("text"))).otherwise(none).alias(f"matches_{order}"))
+        spans.append(_spans(rule, order, F.col(f"matches_{order}")))
+    return rows.select("row", "text", *held).select("row", "text", F.array_sort(F.flatten(F.array(*spans))).alias("found"))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -184,12 +220,12 @@ def digests(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of every text replaced (overlapping ones once); other columns and null texts stay."""
-    rows = _scanned(docs, rules)
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("found", start, lambda s, m: F.when(m["start"] < s["at"], F.struct(
-        F.greatest(s["at"], m["end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(
-            m["end"].alias("at"),
-            F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, m["start"] - s["at"]), F.lit(mask)).alias("out"))))
-    text = F.when(F.size("found") == 0, F.col("row.text")).otherwise(
-        F.concat(masked["out"], F.substring(F.col("text"), masked["at"] + 1, F.length("text"))))
+    rows = _scanned(docs, rules).select(
+        "row", "text", "found", F.when(F.size("found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("pieces"))
+    # A span that starts before the end of an earlier one adds nothing; of the others, the text up to the span and the mask are joined.
+    reach = _running(F.col("found"), lambda m: m["end"], lambda a, b: F.greatest(a, b))
+    parts = F.transform(F.filter(reach, lambda p: (p["before"] == 0) | (p["item"]["start"] >= p["before"])),
+                        lambda p: F.concat(_cut(F.col("pieces"), p["before"], p["item"]["start"]), F.lit(mask)))
+    rest = _cut(F.col("pieces"), F.array_max(F.transform("found", lambda m: m["end"])), F.length("text"))
+    text = F.when(F.size("found") == 0, F.col("row.text")).otherwise(F.concat(F.array_join(parts, ""), rest))
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
