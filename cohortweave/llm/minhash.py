@@ -70,7 +70,7 @@ def signature(shingle: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, n, k1, k2, sig): hash of the text, set size, 128-bit key of the set, signature (null without shingles)."""
+    """(doc_id, text_key, n, k1, k2, sig, row): hash of the text, set size, 128-bit key of the set, signature (null without shingles), a number of its own."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, rows, known = batch["text"].tolist(), [], {}
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     out = narrow.mapInPandas(run, "doc_id string, text_key long, n long, k1 long, k2 long, sig binary")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
 
 
 def least_matches(threshold: float, miss: float) -> np.ndarray:
@@ -244,19 +244,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss:
     least = least_matches(percent / 100, miss)
     every = staged(signatures(docs, width))
     sets = every.where("n > 0 AND doc_id IS NOT NULL")
-    same = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    same = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("first"))
     # Ids with equal sets are linked; an id that repeats with other texts links those texts' groups as well.
     owned = sets.join(same, ["k1", "k2", "n"])
     copies = owned.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    # One row per distinct set, whatever repeats: its own id, and the (id, text) that its text is read from.
-    own = owned.where("doc_id = rep").groupBy("k1", "k2", "n", "rep").agg(F.min("text_key").alias("text_key"), F.any_value("sig").alias("sig"))
-    sigs = staged(own.select(F.xxhash64("k1", "k2", "n").alias("id"), "rep", "text_key", "sig"))
+    # One row per distinct set, whatever repeats: its first, with an id of its own and the (doc_id, text) that its text is read from.
+    sigs = staged(owned.where("row = first").select(F.xxhash64("k1", "k2", "n").alias("id"), "rep", "doc_id", "text_key", "sig"))
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, k * {ROWS} + 1, {ROWS})))")
     buckets = sigs.select("id", F.explode(band).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     members = staged(buckets.join(hubs.select("bucket", "hub"), "bucket"))
     pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    needed = sigs.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "text_key")
+    needed = sigs.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_key")
     once = docs.groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.any_value("text").alias("text"))
     texts = staged(once.join(needed, ["doc_id", "text_key"]).select("id", "text"))
     links = staged(verified(plausible(pairs, sigs, least), texts, width, percent))
