@@ -5,43 +5,44 @@ words from patterns to source quotas; each further repetition of a pattern costs
 only where a quota needs them.  A pattern's flow is then laid over its documents in seeded order: document positions are
 prefix sums of sizes in hash order, and the documents whose middle falls into a source's interval are taken for it, once in
 each repetition.  Only one row for each pattern and source reaches the driver; prefix sums use three levels of hash ranges,
-so that no window holds more than 256 rows or a 65,536th of a source.
+so that no window holds more than 256 rows or a 65,536th of a source.  No document reaches the driver.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in order;
-repeated rows are separate documents at the same place of the order, other texts of an id, or of none, at other places; an empty table gives an empty table; further columns
-of the input are dropped.
+repeated rows, and other texts of an id or of none, are separate documents at other places of the order; an empty table gives an
+empty table; further columns of the input are dropped.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Container, Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortweave.llm.common import staged
 
 MAX_REPEATS = 3
 LARGE = 200
+#: Facts of patterns and sources up to this size are broadcast.
+BROADCAST_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: Sequence[float], weights: Sequence[float], cap: float = MAX_REPEATS) -> list[float]:
-    """Shares of the total by weight; a target stops at ``cap`` times its size and the rest is shared again."""
-    left, active = float(sum(sizes)), [i for i, s in enumerate(sizes) if s > 0]
-    out = [0.0] * len(sizes)
-    while active:
-        weight = sum(weights[i] for i in active)
-        share = {i: left * weights[i] / weight for i in active}
-        full = [i for i in active if share[i] > cap * sizes[i]]
-        if not full:
-            for i in active:
-                out[i] = share[i]
+    """Shares of the total by weight; a target stops at ``cap`` times its size and the rest is shared again.
+
+    Sources reach their cap in the order of ``cap * size / weight``, so one pass in that order settles all of them.
+    """
+    left, active = float(sum(sizes)), sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: cap * sizes[i] / weights[i])
+    weight, out = sum(weights[i] for i in active), [0.0] * len(sizes)
+    for at, i in enumerate(active):
+        if left * weights[i] / weight <= cap * sizes[i]:
+            for k in active[at:]:
+                out[k] = left * weights[k] / weight
             break
-        for i in full:
-            out[i] = float(cap * sizes[i])
-            left -= out[i]
-        active = [i for i in active if i not in set(full)]
+        out[i] = float(cap * sizes[i])
+        left, weight = left - out[i], weight - weights[i]
     return out
 
 
@@ -82,25 +83,47 @@ def min_cost_flow(arcs: list[tuple[int, int, int, int]], n: int, source: int, si
     return [room[2 * i + 1] for i in range(len(arcs))]
 
 
+def linked_patterns(patterns: Iterable[tuple], sources: Container) -> list[list[tuple]]:
+    """Patterns in groups that share no source: each group's flow is a problem of its own."""
+    above: dict = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    groups: dict = {}
+    for key in patterns:
+        own = [s for s in key if s in sources]
+        for s in own[1:]:
+            above[top(s)] = top(own[0])
+    for key in patterns:
+        own = next((s for s in key if s in sources), key)
+        groups.setdefault(top(own) if own is not key else (key,), []).append(key)
+    return list(groups.values())
+
+
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = MAX_REPEATS) -> dict[tuple, dict]:
-    """Words of each membership pattern for each source: a pattern's k-th repetition costs k, a quota is never exceeded."""
-    keys, sources = list(patterns), list(quotas)
-    first, end = 1 + len(keys), 1 + len(keys) + len(sources)
-    arcs = []
-    for i, key in enumerate(keys):
-        arcs += [(0, 1 + i, patterns[key], k) for k in range(repeats)]
-    between = []
-    for i, key in enumerate(keys):
-        for j, s in enumerate(sources):
-            if s in key:
-                between.append((i, s, len(arcs)))
-                arcs.append((1 + i, first + j, repeats * patterns[key], 0))
-    arcs += [(first + j, end, int(quotas[s]), 0) for j, s in enumerate(sources)]
-    flow = min_cost_flow(arcs, end + 1, 0, end)
-    out: dict[tuple, dict] = {key: {} for key in keys}
-    for i, s, at in between:
-        if flow[at]:
-            out[keys[i]][s] = flow[at]
+    """Words of each membership pattern for each source: a pattern's k-th repetition costs k, a quota is never exceeded.
+
+    The work is that of the flows of groups of overlapping patterns, however many such groups there are.
+    """
+    out: dict[tuple, dict] = {key: {} for key in patterns}
+    for keys in linked_patterns(patterns, quotas):
+        sources = list(dict.fromkeys(s for key in keys for s in key if s in quotas))
+        place = {s: 1 + len(keys) + j for j, s in enumerate(sources)}
+        end, arcs, between = 1 + len(keys) + len(sources), [], []
+        for i, key in enumerate(keys):
+            arcs += [(0, 1 + i, patterns[key], k) for k in range(repeats)]
+        for i, key in enumerate(keys):
+            for s in dict.fromkeys(s for s in key if s in place):
+                between.append((key, s, len(arcs)))
+                arcs.append((1 + i, place[s], repeats * patterns[key], 0))
+        arcs += [(place[s], end, int(quotas[s]), 0) for s in sources]
+        flow = min_cost_flow(arcs, end + 1, 0, end)
+        for key, s, at in between:
+            if flow[at]:
+                out[key][s] = flow[at]
     return out
 
 
@@ -116,45 +139,83 @@ def fill(amounts: dict, items: list[tuple], repeats: int) -> tuple[dict, list[li
     return left, plans
 
 
+def cuts_of(flows: list[tuple], used: dict) -> tuple[list[float], list[float]]:
+    """Low and high ends of the sources' intervals of a pattern, without the words that its large documents gave."""
+    low, high, at = [], [], 0
+    for s, words in flows:
+        low.append(float(at))
+        at += words - used.get(s, 0)
+        high.append(float(at))
+    return low, high
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``h``, in place of ``same``: equal for the first of equal (same, key, size), a hash of its own for each further one.
+
+    Rows are counted within the task that reads them and start after those of the tasks before, so that equal rows never
+    meet in one task, and which hashes they take does not depend on the partitioning.
+    """
+    equal = ["same", "key", "size"]
+    at = F.row_number().over(Window.partitionBy("part", *equal).orderBy("size"))
+    within = staged(rows.withColumn("part", F.spark_partition_id()).withColumn("at", at))
+    sizes = within.groupBy(*equal, "part").agg(F.max("at").cast("long").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*equal).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    later = sizes.select(*equal, "part", before.alias("before")).where("before IS NOT NULL")
+    nth = F.coalesce("before", F.lit(0)) + F.col("at")
+    return staged(within.join(later, [*equal, "part"], "left").withColumn("h", F.when(nth == 1, F.col("same")).otherwise(F.xxhash64("same", nth)))
+                  .drop("same", "part", "at", "before"))
+
+
+def _small(table: DataFrame, size: int) -> DataFrame:
+    """``table``, broadcast if its ``size`` in bytes is known to be small; larger ones are joined by their key."""
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MAX_REPEATS) -> DataFrame:
-    """``docs`` (doc_id, size long, pattern array<string>) with ``plan``: array<struct<source, times>>.
+    """``docs`` (doc_id, size, pattern array<string>) with ``plan``: array<struct<source, times>>.
 
     ``targets`` gives the words wanted of each source.  A document's order key is a hash of (seed, doc_id, content), where
-    ``content`` is a column that may be absent: reruns and other partitionings agree.  Further columns of ``docs`` stay.  Documents above a ``LARGE``-th of their pattern (fewer than ``LARGE`` of each pattern) would make the
-    cut coarse: they get their share of the flow by first fit on the driver, and what they leave goes to the others.
+    ``content`` is a column that may be absent, and of its number among equal rows: reruns and other partitionings agree.  Further
+    columns of ``docs`` stay.  Documents above a ``LARGE``-th of their pattern (fewer than ``LARGE`` of each pattern) would make the
+    cut coarse: they get their share of the flow by first fit in a task per pattern, and what they leave goes to the others.
     """
     spark = docs.sparkSession
     names = docs.columns
     order = [F.col(c) for c in ("doc_id", "content") if c in names]
-    hashed = staged(docs.select(*names, F.xxhash64(F.lit(seed), *order).alias("h"),
-                                F.to_json(F.struct("pattern")).alias("key")))
+    hashed = numbered(docs.select(*names, F.xxhash64(F.lit(seed), *order).alias("same"), F.to_json(F.struct("pattern")).alias("key")))
     totals = {r["key"]: (tuple(r["pattern"]), r["s"]) for r in
               hashed.groupBy("key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("s")).collect()}
     flows = route({k: s for k, s in totals.values()}, {s: round(t) for s, t in targets.items()}, repeats)
-    whole = spark.createDataFrame([(k, s) for k, (_, s) in totals.items()], "key string, whole long")
-    # The broadcast tables have a row for each pattern or flow, as the driver holds them.
-    hashed = hashed.join(F.broadcast(whole), "key").withColumn("is_large", F.col("size") * LARGE > F.col("whole"))
-    big: dict[str, list[tuple]] = {}
-    for r in hashed.where("is_large").groupBy("key", "doc_id", "size", "h").agg(F.count(F.lit(1)).alias("n")).collect():
-        big.setdefault(r["key"], []).extend((r["size"], r["h"], r["doc_id"], k + 1) for k in range(r["n"]))
-    picked, rows = [], []
-    by_name = lambda s: (s is None, s)
+    rows, held = [], 0
     for name, (pattern, size) in totals.items():
-        items = sorted(big.get(name, []), key=lambda x: (x[1], x[0], x[3]))
-        own = sum(x[0] for x in items)
-        share = {s: round(f * own / size) for s, f in flows[pattern].items()} if own else {}
+        parts = sorted(flows[pattern].items(), key=lambda x: (x[0] is None, x[0]))
+        rows.append((name, size, [s for s, _ in parts], [w for _, w in parts], *cuts_of(parts, {})))
+        held += 2 * len(name) + 100 * (1 + len(parts))
+    facts = spark.createDataFrame(rows, "key string, whole long, sources array<string>, words array<long>, low array<double>, high array<double>")
+    marked = hashed.join(_small(facts.select("key", "whole"), held), "key").withColumn("is_large", F.col("size") * LARGE > F.col("whole"))
+
+    def first_fit(x: pd.DataFrame) -> pd.DataFrame:
+        """A row (h, size, sources, times) for each large document of one pattern, and one of the cuts for its other documents."""
+        x = x.sort_values(["h", "size"])
+        name, size, parts = x["key"].iloc[0], int(x["whole"].iloc[0]), [(s, int(w)) for s, w in zip(x["sources"].iloc[0], x["words"].iloc[0], strict=True)]
+        items = [(int(n), int(h)) for n, h in zip(x["size"], x["h"], strict=True)]
+        own = sum(n for n, _ in items)
+        share = {s: round(w * own / size) for s, w in parts}
         left, plans = fill(share, items, repeats)
-        for item, plan in zip(items, plans, strict=True):
-            picked += [(name, item[2], item[0], item[1], item[3], [(s, plan.count(s)) for s in sorted(set(plan), key=by_name)])]
-        at, rest = 0, size - own
-        for s in sorted(flows[pattern], key=by_name):
-            words = flows[pattern][s] - share.get(s, 0) + left.get(s, 0)
-            rows.append((name, s, float(at), float(at + words), float(rest)))
-            at += words
-    cut = "struct<low:double,high:double,source:string,total:double>"
-    cuts = (spark.createDataFrame(rows, "key string, source string, low double, high double, total double")
-            .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("low", "high", "source", "total"))).alias("cuts")))
-    small = (hashed.where("NOT is_large")
+        out = [(name, False, h, n, [s for s, _ in parts if s in plan], [plan.count(s) for s, _ in parts if s in plan], [], [], 0)
+               for (n, h), plan in zip(items, plans, strict=True)]
+        out.append((name, True, 0, 0, [], [], *cuts_of(parts, {s: share[s] - left[s] for s in share}), own))
+        return pd.DataFrame(out, columns=["key", "is_cut", "h", "size", "names", "times", "low", "high", "own"])
+
+    large = marked.where("is_large")
+    fitted = staged(large.select("key", "h", "size", "whole").join(_small(facts.select("key", "sources", "words"), held), "key").groupBy("key")
+                    .applyInPandas(first_fit, "key string, is_cut boolean, h long, size long, names array<string>, times array<long>, "
+                                              "low array<double>, high array<double>, own long"))
+    kept = fitted.where("is_cut").select("key", F.col("low").alias("l"), F.col("high").alias("g"), "own")
+    cuts = facts.join(kept, "key", "left").select(
+        "key", "sources", F.coalesce("l", "low").alias("low"), F.coalesce("g", "high").alias("high"),
+        (F.col("whole") - F.coalesce("own", F.lit(0))).cast("double").alias("total"))
+    small = (marked.where("NOT is_large").drop("whole")
              .withColumn("hi", F.pmod(F.shiftrightunsigned("h", 56), F.lit(256)).cast("int"))
              .withColumn("mid", F.pmod(F.shiftrightunsigned("h", 48), F.lit(256)).cast("int")))
     middle = small.groupBy("key", "hi", "mid").agg(F.sum("size").alias("s"))
@@ -165,26 +226,25 @@ def allocate(docs: DataFrame, targets: dict, *, seed: int = 7, repeats: int = MA
 
     high = high.select("key", "hi", F.coalesce(F.sum("s").over(before(["key"], "hi")), F.lit(0)).alias("from_hi"))
     middle = middle.select("key", "hi", "mid", F.coalesce(F.sum("s").over(before(["key", "hi"], "mid")), F.lit(0)).alias("from_mid"))
-    starts = middle.join(high, ["key", "hi"]).join(F.broadcast(cuts), "key", "left")
+    starts = middle.join(high, ["key", "hi"])
     placed = (small.withColumn("own", F.coalesce(F.sum("size").over(before(["key", "hi", "mid"], "h", "doc_id", "size")), F.lit(0)))
-              .join(starts, ["key", "hi", "mid"]))
+              .join(starts, ["key", "hi", "mid"]).join(_small(cuts, held), "key"))
     point = F.col("from_hi") + F.col("from_mid") + F.col("own") + F.col("size") / 2
 
     def times(c):
         """How many of the positions point + k * total lie in [low, high)."""
-        return sum(((point + F.lit(k) * c["total"] >= c["low"]) & (point + F.lit(k) * c["total"] < c["high"])).cast("long")
+        return sum(((point + F.lit(k) * F.col("total") >= c["low"]) & (point + F.lit(k) * F.col("total") < c["high"])).cast("long")
                    for k in range(repeats))
 
-    plan = F.filter(F.transform(F.coalesce("cuts", F.expr(f"CAST(array() AS array<{cut}>)")),
-                                lambda c: F.struct(c["source"].alias("source"), times(c).alias("times"))), lambda c: c["times"] > 0)
-    empty = F.expr("CAST(array() AS array<struct<source:string,times:bigint>>)")
-    placed = placed.select(*names, F.when(F.col("size") > 0, plan).otherwise(empty).alias("plan"))
-    picks = spark.createDataFrame(picked, "key string, doc_id long, size long, h long, k int, plan array<struct<source:string,times:bigint>>")
-    # Fewer than LARGE rows of a pattern are numbered; equal ones in any order.
-    each = F.row_number().over(Window.partitionBy("key", "doc_id", "size", "h").orderBy("h"))
-    large = hashed.where("is_large").withColumn("k", each).alias("l").join(
-        picks.alias("p"), F.expr("l.key = p.key AND l.size = p.size AND l.h = p.h AND l.k = p.k AND l.doc_id <=> p.doc_id"))
-    return placed.unionByName(large.select(*(f"l.{c}" for c in names), "p.plan"))
+    def plan(source: str, counts: Column) -> Column:
+        pairs = F.zip_with(source, counts, lambda s, n: F.struct(s.alias("source"), n.alias("times")))
+        return F.filter(pairs, lambda c: (c["times"] > 0) & (F.col("size") > 0)).alias("plan")
+
+    counts = F.zip_with("low", "high", lambda low, high: times({"low": low, "high": high}))
+    placed = placed.select(*names, plan("sources", counts))
+    picks = fitted.where("NOT is_cut").select("key", "h", "size", F.col("names").alias("__names"), F.col("times").alias("__times"))
+    picked = large.join(picks, ["key", "h", "size"]).select(*names, plan("__names", F.col("__times")))
+    return placed.unionByName(picked)
 
 
 def sized(docs: DataFrame, *further: str) -> DataFrame:
@@ -200,7 +260,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 7,
     base = staged(sized(docs))
     placed, facts = _planned(base, weights, seed, repeats)
     out = placed.select("doc_id", "size", F.col("pattern")[0].alias("source"), (_repetitions() * F.col("size")).alias("taken"))
-    return (out.join(F.broadcast(facts), out["source"].eqNullSafe(facts["source"]))
+    return (out.join(facts, out["source"].eqNullSafe(facts["source"]))
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
@@ -230,4 +290,4 @@ def _planned(base: DataFrame, weights: Sequence[float], seed: int, repeats: int)
     targets = {name: t for (name, _), t in zip(totals, wanted, strict=True)}
     placed = allocate(base.withColumn("pattern", F.array("source")).drop("source"), targets, seed=seed, repeats=repeats)
     facts = spark.createDataFrame([(n, s, t) for (n, s), t in zip(totals, wanted, strict=True)], "source string, source_size long, target double")
-    return placed, facts
+    return placed, _small(facts, sum(2 * len(n or "") + 50 for n, _ in totals))

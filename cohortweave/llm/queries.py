@@ -48,6 +48,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_mixing that SQL can express: doc_id, size, source_size, target."""
+    return op8_mixing(spark, sf_dir).drop("taken")
+
+
+# Sources reach three times their size in the order of size to weight; those that do keep it, the others share what is left.
+SQL["mixing_targets"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+w AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS LAST) AS i, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+             CAST(sum(n) OVER () AS DOUBLE) AS total FROM s),
+r AS (SELECT *, total - CAST(COALESCE(sum(3 * n) OVER (ORDER BY 3.0 * n / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS left_over,
+             CAST(sum(weight) OVER (ORDER BY 3.0 * n / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS weights
+      FROM w WHERE n > 0),
+c AS (SELECT *, left_over * weight / weights > 3 * n AS capped FROM r),
+f AS (SELECT any_value(total) - CAST(COALESCE(sum(3 * n) FILTER (WHERE capped), 0) AS DOUBLE) AS left_over,
+             CAST(sum(weight) FILTER (WHERE NOT capped) AS DOUBLE) AS weights FROM c),
+t AS (SELECT source, n, CASE WHEN capped THEN CAST(3 * n AS DOUBLE) ELSE f.left_over * weight / f.weights END AS target FROM c, f)
+SELECT d.doc_id, d.size, s.n AS source_size, COALESCE(t.target, 0.0) AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""

@@ -271,6 +271,60 @@ def test_targets_and_flow():
     assert sum(flows["a",].values()) <= 10 and sum(flows["a", "b"].values()) <= 10  # no repeat where none is needed
 
 
+def test_mixing_by_brute_force(llm):
+    """Positions of all documents in order of their hashes, one by one; repeats of one row are a third of all."""
+    from cohortweave.llm import mixing
+    from cohortweave.llm.common import staged
+
+    rows = [(k, " ".join([f"w{k}"] * (1 + k * 7 % 23)), ("a", "b", None)[k % 3 if k % 5 else 0]) for k in range(1500)]
+    rows += [(9000 + k, "long " * (300 + 10 * k), "ab"[k % 2]) for k in range(8)] + [(5, "the same words", "b")] * 800
+    docs = llm.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    base = staged(mixing.sized(docs))
+    same = F.xxhash64(F.lit(7), "doc_id", "content")
+    order = mixing.numbered(base.select("doc_id", "size", "source", same.alias("same"), F.coalesce("source", F.lit("~")).alias("key"))).collect()
+    assert len({r["h"] for r in order}) == len(rows)
+    by = {s: [r for r in order if r["source"] == s] for s in ("a", "b", None)}
+    sizes = [sum(r["size"] for r in by[s]) for s in by]
+    want = []
+    for s, target in zip(by, mixing.source_targets(sizes, (5, 2, 1)), strict=True):
+        total = sum(r["size"] for r in by[s])
+        left = flow = min(round(target), 3 * total)
+        large = sorted((r for r in by[s] if r["size"] * mixing.LARGE > total), key=lambda r: r["h"])
+        own = sum(r["size"] for r in large)
+        room, taken = round(flow * own / total), dict.fromkeys((r["h"] for r in large), 0)
+        for _ in range(3):
+            for r in large:
+                if r["size"] <= room:
+                    room, left, taken[r["h"]] = room - r["size"], left - r["size"], taken[r["h"]] + r["size"]
+        want += [(r["doc_id"], taken[r["h"]]) for r in large]
+        at = 0
+        for r in sorted((r for r in by[s] if r["h"] not in taken), key=lambda r: (r["h"] >> 48) % 65536 << 64 | (r["h"] + (1 << 63))):
+            point = at + r["size"] / 2
+            want.append((r["doc_id"], r["size"] * sum(point + k * (total - own) < left for k in range(3))))
+            at += r["size"]
+    key = lambda x: (x[0] or -1, x[1])
+    assert sorted(((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect()), key=key) == sorted(want, key=key)
+
+
+def test_mixing_many_sources(llm):
+    import time
+
+    from cohortweave.llm import mixing
+
+    start, names = time.time(), [f"site{k}" for k in range(100_000)]
+    targets = mixing.source_targets([1 + k % 97 for k in range(len(names))], [(5, 2, 1)[k % 3] for k in range(len(names))])
+    flows = mixing.route({(n,): 1 + k % 97 for k, n in enumerate(names)}, {n: round(t) for n, t in zip(names, targets, strict=True)})
+    assert time.time() - start < 60
+    assert all(flows[n,].get(n, 0) == min(round(t), 3 * (1 + k % 97)) for k, (n, t) in enumerate(zip(names, targets, strict=True)))
+    old, mixing.BROADCAST_BYTES = mixing.BROADCAST_BYTES, 0  # tables beyond the bound are joined by key
+    try:
+        docs = llm.createDataFrame([(k, "a b c", f"s{k % 60}") for k in range(600)], "doc_id long, text string, source string")
+        got = mixing.mix(docs).toPandas()
+    finally:
+        mixing.BROADCAST_BYTES = old
+    assert len(got) == 600 and (got["taken"] <= 9).all() and abs(got["taken"].sum() - 1800) < 60 * 3
+
+
 # 9, pages
 
 @pytest.mark.parametrize("page, found", [
