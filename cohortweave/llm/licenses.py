@@ -9,7 +9,7 @@ in two independent 64-bit hashes, so a span stands for the same words.
 On Spark: one pass over the texts makes the hashes; the templates are the small side of the join (their number is known on the driver, and
 beyond ``BROADCAST`` word groups an ordinary join is used), so no text and no hash without a match is shuffled.  Matches are keyed by a digest of the
 text: copies share one key, and their repeated matches fall away in the first partial aggregate.  A text's matches are bounded by its own
-length.  Long texts leave the worker in rows of ``CHUNK`` hashes.
+length.  A worker holds a step of ``PIECE`` bytes at a time, also of one very long text, and sends flat rows of hashes.
 
 Odd cases: null and empty texts, and texts of fewer than ``K`` words, have no match; a repeated row gives a row each time; rows without an
 id keep their row; a text without a span has score 0, empty labels and null words.  Further columns of the input are not read.
@@ -21,10 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cohortweave.llm.common import mix, text_steps
+from cohortweave.llm.common import mix, steps
 from cohortweave.llm.license_texts import PHRASES, TEMPLATES
 
 K = 3
@@ -34,11 +35,13 @@ COVER = 0.8
 VOTES = 3
 #: Diagonals this near, whose places are at most ``GAP`` words apart, are one span.
 SHIFT, GAP = 8, 16
-CHUNK = 1 << 16
+#: Rows of hashes after which a worker sends what it has.
+CHUNK = 1 << 15
 BROADCAST = 200_000
 #: Parts that the copies of a text are dealt over when they meet its marks.
 PARTS = 16
-PIECE = 1 << 20
+#: Bytes of text that one step works on.
+PIECE = 1 << 17
 
 #: A-Z to lower case; every ASCII character that is no letter or digit to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -80,7 +83,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         end = min(at + PIECE, len(data))
         if end < len(data):
             cut = data.rfind(b" ", at, end)
-            if cut < 0:  # a word of a megabyte and more: its place is kept by a stand-in that no template holds
+            if cut < 0:  # a word longer than a piece: its place is kept by a stand-in that no template holds
                 cut = data.find(b" ", end)
                 cut = len(data) if cut < 0 else cut
                 yield hashlib.sha256(data[at:cut]).hexdigest().encode() * 2 + b" "
@@ -91,30 +94,45 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def grams(texts: list[str | None], k: int = K) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, two rows of hashes of all runs of ``k`` words) of each text, in bounded steps."""
+def _runs(raw: list[bytes], k: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(index, number of the first word, two rows of hashes of the runs of ``k`` words from it) of texts that make one step.
+
+    A text longer than ``PIECE`` is a step of its own and comes piece by piece, the last ``k - 1`` words carried over.
+    """
     weights = [np.uint64(w) for w in np.random.default_rng(11).integers(1, 1 << 62, size=k) * 2 + 1]
-    for first, last in text_steps(texts, PIECE // 4):
-        folded = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for t in texts[first:last]]
-        if last - first == 1:
-            words = np.concatenate([np.empty((2, 0), np.uint64), *(_piece_words(p)[0] for p in _pieces(folded[0]))], axis=1)
-            begins = np.array([0, words.shape[1]])
-        else:
-            words, starts = _piece_words(b" ".join([*folded, b""]))
-            begins = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in folded]))))
+
+    def run(words: np.ndarray) -> np.ndarray:
         n = max(words.shape[1] - k + 1, 0)
-        with np.errstate(over="ignore"):
-            run = mix(sum((words[:, j:j + n] * weights[j] for j in range(k)), np.zeros((2, n), np.uint64)))
-        for i in range(last - first):
-            yield first + i, run[:, begins[i]:max(begins[i], begins[i + 1] - k + 1)].view(np.int64)
+        return mix(sum((words[:, j:j + n] * weights[j] for j in range(k)), np.zeros((2, n), np.uint64))).view(np.int64)
+
+    folded = [t.translate(_FOLD) for t in raw]
+    if len(folded) == 1:
+        at, carried = 0, np.empty((2, 0), np.uint64)
+        for piece in _pieces(folded[0]):
+            words = np.concatenate([carried, _piece_words(piece)[0]], axis=1)
+            found = run(words)
+            yield 0, at, found
+            at, carried = at + found.shape[1], words[:, found.shape[1]:]
+        return
+    words, starts = _piece_words(b" ".join([*folded, b""]))
+    begins = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in folded]))))
+    found = run(words)
+    for i in range(len(folded)):
+        yield i, 0, found[:, begins[i]:max(begins[i], begins[i + 1] - k + 1)]
+
+
+def grams(text: str, k: int = K) -> np.ndarray:
+    """Two rows of hashes of all runs of ``k`` words of a text."""
+    return np.concatenate([np.empty((2, 0), np.int64), *(found for _, _, found in _runs([text.encode("utf-8", "surrogatepass")], k))], axis=1)
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str, bool]], k: int = K) -> DataFrame:
     """(a, b, template, tpos) of every word group of the templates; each needs ``k`` words."""
     rows = []
-    for i, found in grams([text for _, text, _ in templates], k):
+    for i, (_, text, _) in enumerate(templates):
+        found = grams(text, k)
         if not found.shape[1]:
-            raise ValueError(f"template of fewer than {k} words: {templates[i][1]!r}")
+            raise ValueError(f"template of fewer than {k} words: {text!r}")
         rows += [(int(a), int(b), i, t) for t, (a, b) in enumerate(found.T)]
     df = spark.createDataFrame(rows, "a long, b long, template int, tpos int")
     return F.broadcast(df) if len(rows) <= BROADCAST else df
@@ -129,28 +147,36 @@ def _text_key():
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
+def _rows(held: list[tuple[bytes, int, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each run of words: key (32 bytes), pos, a, b."""
+    sizes = [found.shape[1] for _, _, found in held]
+    n = sum(sizes)
+    keys = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 32 * n + 1, 32, dtype=np.int32)), pa.py_buffer(b"".join(key * m for (key, _, _), m in zip(held, sizes, strict=True)))])
+    pos = np.concatenate([np.arange(at, at + m) for (_, at, _), m in zip(held, sizes, strict=True)])
+    a, b = np.concatenate([found for _, _, found in held], axis=1)
+    return pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int64()), pa.array(a), pa.array(b)], names=["key", "pos", "a", "b"])
+
+
 def matches(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None, k: int = K) -> DataFrame:
     """(key, template, pos, tpos): every word group of a text that a template holds, once for each text."""
     spark = docs.sparkSession
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out, size = batch["key"].tolist(), [], 0
-            for i, found in grams(batch["text"].tolist(), k):
-                for at in range(0, found.shape[1], CHUNK):
-                    part = found[:, at:at + CHUNK]
-                    out.append((keys[i], at, part[0], part[1]))
-                    size += part.shape[1]
-                    if size >= 4 * CHUNK:
-                        yield pd.DataFrame(out, columns=["key", "at", "a", "b"])
-                        out, size = [], 0
-            if out:
-                yield pd.DataFrame(out, columns=["key", "at", "a", "b"])
-
-    rolled = (docs.where(F.col("text").isNotNull()).select(_text_key().alias("key"), "text")
-              .mapInPandas(hashed, "key binary, at long, a array<long>, b array<long>"))
-    each = rolled.select("key", "at", F.posexplode(F.arrays_zip("a", "b")).alias("i", "h"))
-    each = each.select("key", (F.col("at") + F.col("i")).alias("pos"), F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+            texts, held, size = batch.column("text").cast(pa.binary()), [], 0
+            for first, last in steps((n + 1 for n in pc.binary_length(texts).to_pylist()), PIECE):
+                keys = batch.column("key").slice(first, last - first).to_pylist()
+                for i, at, found in _runs(texts.slice(first, last - first).to_pylist(), k):
+                    held.append((keys[i], at, found))
+                    size += found.shape[1]
+                    if size >= CHUNK:
+                        yield _rows(held)
+                        held, size = [], 0
+            if size:
+                yield _rows(held)
+
+    each = (docs.where(F.col("text").isNotNull()).select(_text_key().alias("key"), "text")
+            .mapInArrow(hashed, "key binary, pos long, a long, b long"))
     return (each.join(template_grams(spark, templates or known(), k), ["a", "b"])
             .groupBy("key", "template", "pos", "tpos").agg(F.count(F.lit(1)).alias("copies")).drop("copies"))
 
@@ -158,7 +184,7 @@ def matches(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = Non
 def spans(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None, k: int = K, cover: float = COVER) -> DataFrame:
     """(key, template, label, phrase, start, end, score): verified spans of each distinct text; key is the text's SHA-256, words count from 0."""
     templates = templates or known()
-    sizes = {i: found.shape[1] for i, found in grams([text for _, text, _ in templates], k)}
+    sizes = [grams(text, k).shape[1] for _, text, _ in templates]
     facts = docs.sparkSession.createDataFrame(
         [(i, label, phrase, sizes[i], sizes[i] if phrase else min(VOTES, sizes[i]), 1.0 if phrase else cover) for i, (label, _, phrase) in enumerate(templates)],
         "template int, label string, phrase boolean, grams int, votes_least int, cover double")
