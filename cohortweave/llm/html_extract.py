@@ -5,13 +5,16 @@ roles).  A numpy bidirectional LSTM reads, for the whole sequence of a page, has
 words of a block, and a few numbers, and labels every block as main text or not.
 
 Pages carry no labels, so the labeller learns from pages whose structure names its parts: a sample of at most ``SAMPLE``
-pages with an ``article`` or ``main`` element teaches which blocks are the article.  Each sampled page is also learned in
+pages with an ``article`` or ``main`` element, each of at most ``LONGEST`` characters, teaches which blocks are the article: those of
+an ``article`` inside ``main``, else of ``main``, else of an ``article``, and in all cases outside of elements that tag, class, id or role
+name as another part (``OTHER``, ``OTHER_WORDS``).  In a table without such pages, a sample of all pages teaches by ``shaped``.  Each sampled page is also learned in
 variants that rename its parts the ways that pages name them (``MAIN_NAMES``, ``OTHER_NAMES``) and insert further menus,
 notices, adverts, forms and reader comments made of the sample's own blocks; so the labeller does not rest on one template.
+A page of more than ``PADDED`` blocks is read in windows of that many, whose states are carried over in both directions.
 
 Edge cases: null and empty html give an empty text; text, a body tag or any tag that has no place in a head ends an open head; tags that are never closed, and stray end tags, are taken as browsers do
 in the plain cases (a new block ends an open paragraph); a declaration of no known kind is a comment; a tag that the page
-breaks off in is text; repeated rows give one row each; pages without such elements are labelled by the same network, and with none in the whole table every block outside scripts and styles counts as main text;
+breaks off in is text; repeated rows give one row each; pages without such elements are labelled by the same network; without a labeller (a sample without any prose) every block outside scripts and styles counts as main text;
 an empty table gives an empty table; other columns are not read.
 """
 
@@ -41,10 +44,16 @@ MAIN_NAMES = ("article", "main", "div.content", "div.article-body", "div.post-co
 OTHER_NAMES = ("nav", "header", "footer", "aside", "form", "div.menu", "div.navbar", "div.sidebar", "div.ad", "div.advert", "div.banner", "div.promo",
                "div.cookie-notice", "div.notice", "div.consent", "div.newsletter", "div.related", "div.share", "div.breadcrumb", "div.comments",
                "section.comments", "div.comment", "ol.comment-list", "div#disqus_thread", "div.footer", "div.header", "div.widget", "div.popup", "ul.links")
+# Further words of roles that are not main text.
+OTHER_ROLES = ("navigation", "contentinfo", "complementary", "dialog", "alertdialog")
 SAMPLE = 240
+#: Characters of the longest page that teaches.
+LONGEST = 60_000
 VARIANTS = 3
-#: Blocks, padding included, that one step of the network reads; a longer page is a step of its own.
+#: Blocks, padding included, that one step of the network reads; a longer page is read in windows of so many.
 PADDED = 8000
+#: Characters from which a block of few links is prose for ``shaped``.
+PROSE = 60
 PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN_SIZE = 64, 64, 6, 24
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
 # Open elements that a path names: the outermost and the innermost ones of a deeper nest.  ``Block.sums`` holds all of them.
@@ -52,6 +61,19 @@ OUTER, INNER = 48, 16
 MAIN = frozenset(("article", "main"))
 OTHER = frozenset("nav header footer aside form button".split())
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile(r"[a-z0-9]+")
+
+
+def _renamed(name: str) -> tuple[str, ...]:
+    """The path of an element written as in ``MAIN_NAMES``."""
+    tag, names = re.match(r"(\w+)(.*)", name).groups()
+    return (tag, *("." + w for w in _WORDS.findall(names.lower())))
+
+
+#: First words of the names of parts that are not main text.
+OTHER_WORDS = frozenset(_renamed(n)[1][1:] for n in OTHER_NAMES if len(_renamed(n)) > 1) | frozenset(OTHER_ROLES)
+_OTHER_TOKENS = OTHER | {"." + w for w in OTHER_WORDS}
+_MAIN_PATHS = tuple(map(_renamed, MAIN_NAMES))
 _slots: dict[str, tuple[int, int]] = {}
 
 
@@ -59,6 +81,12 @@ def _crc(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
+def _apart(tag: str, names: list[str]) -> bool:
+    """Whether a class, id or role says that an element is another part: by its first word or, but for a main element, its last."""
+    words = [w for v in names for n in v.lower().split() if (w := _WORDS.findall(n))]
+    return any(w[0] in OTHER_WORDS or tag not in MAIN and w[-1] in OTHER_WORDS for w in words)
+
+
 def _slot(token: str) -> tuple[int, int]:
     """Place and sign of a token in the vector of a path."""
     found = _slots.get(token)
@@ -77,7 +105,7 @@ def _sums(tokens: tuple[str, ...] | list[str]) -> np.ndarray:
     return out
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     path: tuple[str, ...]
     text: str
@@ -85,12 +113,15 @@ class Block:
     #: int32 sums of the hashed tokens of all open elements, and, inside an article, of the tags after the innermost one.
     sums: bytes | None = None
     tail: bytes | None = None
+    #: The innermost article: 1 an article, 2 main, 3 an article in main.
+    rank: int = 1
 
     def __post_init__(self) -> None:
         if self.sums is None:
             self.sums = _sums(self.path).tobytes()
             at = max((i for i, t in enumerate(self.path) if t in MAIN), default=None)
-            if at is not None and not OTHER & set(self.path[at:]):
+            if at is not None and not _OTHER_TOKENS & set(self.path[at:]):
+                self.rank = 2 if self.path[at] == "main" else 3 if "main" in self.path[:at] else 1
                 self.tail = _sums([t for t in self.path[at + 1:] if t[0] != "."]).tobytes()
 
 
@@ -100,6 +131,9 @@ class _Open:
     names: tuple[str, ...] = field(default=())
     #: In an article: the sums of the tags up to the innermost one.
     before: np.ndarray | None = None
+    rank: int = 0
+    #: Below an element that its names set apart.
+    apart: bool = False
 
 
 class Blocks(HTMLParser):
@@ -116,13 +150,20 @@ class Blocks(HTMLParser):
         self.path: tuple[str, ...] = ()
         self.sums, self.tags = array("i", bytes(4 * PATH_SIZE)), array("i", bytes(4 * PATH_SIZE))
         self.unended = False
+        self.seen: dict[bytes, bytes] = {}
+
+    def _once(self, value: bytes) -> bytes:
+        """The same object for equal values, which the blocks of a long page share."""
+        if len(self.seen) > 20_000:
+            self.seen.clear()
+        return self.seen.setdefault(value, value)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             before = self.open[-1].before if self.open else None
-            tail = None if before is None else (np.frombuffer(self.tags.tobytes(), dtype=np.int32) - before).tobytes()
-            self.found.append(Block(self.path, text, self.linked, self.sums.tobytes(), tail))
+            tail = None if before is None else self._once((np.frombuffer(self.tags.tobytes(), dtype=np.int32) - before).tobytes())
+            self.found.append(Block(self.path, text, self.linked, self._once(self.sums.tobytes()), tail, self.open[-1].rank if self.open else 0))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,10 +186,13 @@ class Blocks(HTMLParser):
         names = [v for k, v in attrs if k in ("class", "id", "role") and v]
         opened = _Open(tag, tuple("." + w for v in names for w in re.findall(r"[a-z0-9]+", v.lower())))
         self._count(opened, 1)
-        if tag in MAIN:
+        outer = self.open[-1] if self.open else _Open("")
+        opened.apart = (outer.apart and tag != "main") or _apart(tag, names)
+        opened.rank = outer.rank if tag not in MAIN else 2 if tag == "main" else 3 if outer.rank > 1 else 1
+        if tag in MAIN and not opened.apart:
             opened.before = np.frombuffer(self.tags.tobytes(), dtype=np.int32)
-        elif tag not in OTHER and self.open:
-            opened.before = self.open[-1].before
+        elif tag not in OTHER and not opened.apart:
+            opened.before = outer.before
         self.open.append(opened)
         self.hidden += tag in HIDDEN
         self._set_path()
@@ -237,8 +281,9 @@ def _inner_vector(path: tuple[str, ...]) -> np.ndarray:
     return found
 
 
-def encode(blocks: list[Block]) -> np.ndarray:
-    """(blocks, INPUT): every open element, every word."""
+def encode(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """(blocks, INPUT): every open element, every word; of the blocks from ``first`` of a page of ``total``."""
+    total = total or len(blocks)
     out = np.zeros((len(blocks), INPUT), dtype=np.float32)
     if not blocks:
         return out
@@ -249,7 +294,7 @@ def encode(blocks: list[Block]) -> np.ndarray:
         h = np.fromiter(map(_crc, words), dtype=np.int64, count=len(words))
         out[k, PATH_SIZE:PATH_SIZE + WORD_SIZE] = np.bincount(h % WORD_SIZE, np.where(h & (1 << 20), 1.0, -1.0), WORD_SIZE) / len(words) ** 0.5
         n = len(b.text)
-        out[k, -NUMBERS:] = (np.log1p(n) / 8, b.linked / n, b.text[-1] in ".!?…", k / len(blocks), b.text.count(",") / (1 + n / 50), 1)
+        out[k, -NUMBERS:] = (np.log1p(n) / 8, b.linked / n, b.text[-1] in ".!?…", (first + k) / total, b.text.count(",") / (1 + n / 50), 1)
     return out
 
 
@@ -262,10 +307,10 @@ class Labeller:
         self.b = [np.concatenate([np.ones(h), np.zeros(3 * h)]) for _ in range(2)]
         self.out, self.bias = rng.normal(0, (2 * h) ** -0.5, 2 * h), np.zeros(1)
 
-    def _direction(self, k: int, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states (time, pages, hidden) of one reading direction; states of ended pages stay."""
+    def _direction(self, k: int, x: np.ndarray, mask: np.ndarray, keep: bool, start: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """Hidden states (time, pages, hidden) of one reading direction from ``start`` on, and the last state; states of ended pages stay."""
         h = HIDDEN_SIZE
-        state, cell = np.zeros((x.shape[1], h)), np.zeros((x.shape[1], h))
+        state, cell = start or (np.zeros((x.shape[1], h)), np.zeros((x.shape[1], h)))
         outs, tape = np.zeros((*x.shape[:2], h)), []
         drive = x @ self.w[k][:INPUT] + self.b[k]
         inner = self.w[k][INPUT:]
@@ -281,14 +326,25 @@ class Labeller:
             cell = np.where(on, new, cell)
             state = np.where(on, o * squashed, state)
             outs[t] = state
-        return outs, tape
+        return outs, tape, (state, cell)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """Probabilities (time, pages) of main text."""
-        (a, ta), (b, tb) = (self._direction(k, x, mask, keep) for k in (0, 1))
+        (a, ta, _), (b, tb, _) = (self._direction(k, x, mask, keep) for k in (0, 1))
         both = np.concatenate([a, b], axis=2)
         return 1 / (1 + np.exp(-np.clip(both @ self.out + self.bias, -30, 30))), [both, ta, tb]
 
+    def long_page(self, blocks: list[Block], window: int = PADDED) -> np.ndarray:
+        """Probabilities of one page, read in windows from either end; equal to those of the page in one piece."""
+        h, found = HIDDEN_SIZE, np.full(len(blocks), self.bias[0])
+        for k in (0, 1):
+            state, begins = None, range(0, len(blocks), window)
+            for a in begins if k == 0 else reversed(begins):
+                x = encode(blocks[a:a + window], a, len(blocks))[:, None]
+                outs, _, state = self._direction(k, x, np.ones(x.shape[:2], dtype=bool), False, state)
+                found[a:a + window] += outs[:, 0] @ self.out[k * h:(k + 1) * h]
+        return 1 / (1 + np.exp(-np.clip(found, -30, 30)))
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         h = HIDDEN_SIZE
         p, (both, *tapes) = self.forward(x, mask, keep=True)
@@ -323,13 +379,24 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def taught(blocks: list[Block]) -> np.ndarray:
-    """Which blocks the page's own elements name as the article."""
-    return np.array([b.tail is not None for b in blocks], dtype=bool)
+    """Which blocks the page's own elements name as the article: those of the strongest rank that the page has."""
+    ranks = np.array([0 if b.tail is None else b.rank for b in blocks], dtype=int)
+    return (ranks > 0) & (ranks == ranks.max(initial=0))
 
 
-def _renamed(name: str) -> tuple[str, ...]:
-    tag, names = re.match(r"(\w+)(.*)", name).groups()
-    return (tag, *("." + w for w in re.findall(r"[a-z0-9]+", names.lower())))
+def shaped(blocks: list[Block]) -> np.ndarray:
+    """Which blocks look like the article of a page whose tags do not name it.
+
+    Outside of elements named as other parts: the blocks below an element of a main name, if there are any; else prose (``PROSE``
+    characters and more, at most a quarter of them linked), and the headings right before it.
+    """
+    free = np.array([not _OTHER_TOKENS & set(b.path) for b in blocks], dtype=bool)
+    named = np.array([any(b.path[i:i + len(m)] == m for m in _MAIN_PATHS for i in range(len(b.path))) for b in blocks], dtype=bool) & free
+    if named.any():
+        return named
+    prose = np.array([len(b.text) >= PROSE and 4 * b.linked <= len(b.text) for b in blocks], dtype=bool) & free
+    heading = np.array([re.fullmatch("h[1-6]", b.path[-1] if b.path else "") is not None for b in blocks], dtype=bool) & free
+    return prose | (heading & np.append(prose[1:], False))
 
 
 def variant(blocks: list[Block], main: np.ndarray, pool: list[Block], rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
@@ -352,7 +419,9 @@ def variant(blocks: list[Block], main: np.ndarray, pool: list[Block], rng: np.ra
     for k, (b, is_main) in enumerate(zip(blocks, main, strict=True)):
         if k in cuts:
             insert()
-        if is_main:
+        if is_main and b.tail is None:
+            out.append(Block(("html", "body", *own, *(t for t in b.path[-1:] if not t.startswith("."))), b.text, b.linked))
+        elif is_main:
             at = max((i for i, t in enumerate(b.path) if t in MAIN), default=-1)  # a deep nest may not name it
             tail = tuple(t for t in b.path[at + 1:] if not t.startswith("."))
             sums = _sums(own) + np.frombuffer(b.tail, dtype=np.int32)
@@ -369,7 +438,7 @@ def variant(blocks: list[Block], main: np.ndarray, pool: list[Block], rng: np.ra
 
 def train(pages: list[list[Block]], *, rounds: int = 260, size: int = 24, seed: int = 9) -> Labeller | None:
     """Adam on the log loss of all blocks of ``size`` pages a round; long pages are learned in windows of 80 blocks."""
-    pages = [(b, m) for b in pages if len(b) and (m := taught(b)).any()]
+    pages = [(b, m) for b in pages if (m := taught(b)).any()] or [(b, m) for b in pages if (m := shaped(b)).any()]
     if not pages:
         return None
     rng, net = np.random.default_rng(seed), Labeller(seed)
@@ -393,12 +462,15 @@ def train(pages: list[list[Block]], *, rounds: int = 260, size: int = 24, seed:
     return net
 
 
-def fit(pages: DataFrame, *, sample: int = SAMPLE, longest: int = 60_000) -> Labeller | None:
-    """Learn from the ``sample`` pages first by a hash of the url, among those of at most ``longest`` characters."""
-    named = pages.where(F.lower("html").rlike("<(article|main)[ >]") & (F.length("html") <= longest)).select("html", F.xxhash64("url", "html").alias("h"))
-    least = [r["h"] for r in named.select("h").orderBy("h").limit(sample).collect()]  # hashes first: no html but the sample's is sent
-    rows = named.where(F.col("h") <= F.lit(least[-1])).orderBy("h", "html").limit(sample).select("html").collect() if least else []
-    return train([page_blocks(r["html"]) for r in rows])
+def fit(pages: DataFrame, *, sample: int = SAMPLE, longest: int = LONGEST) -> Labeller | None:
+    """Learn from the ``sample`` pages first by a hash of the url, among those of at most ``longest`` characters that name their article, or of all such pages if none does."""
+    short = pages.where(F.length("html").between(1, longest)).select("html", F.xxhash64("url", "html").alias("h"))
+    for able in (short.where(F.lower("html").rlike("<(article|main)[ >]")), short):
+        least = [r["h"] for r in able.select("h").orderBy("h").limit(sample).collect()]  # hashes first: no html but the sample's is sent
+        if least:
+            rows = able.where(F.col("h") <= F.lit(least[-1])).orderBy("h", "html").limit(sample).select("html").collect()
+            return train([page_blocks(r["html"]) for r in rows])
+    return None
 
 
 def label(net: Labeller | None, pages: list[list[Block]]) -> list[np.ndarray]:
@@ -406,7 +478,10 @@ def label(net: Labeller | None, pages: list[list[Block]]) -> list[np.ndarray]:
     out = [np.ones(len(b), dtype=bool) for b in pages]
     if net is None:
         return out
-    order, a = sorted((k for k, b in enumerate(pages) if b), key=lambda k: len(pages[k])), 0
+    for k, blocks in enumerate(pages):
+        if len(blocks) > PADDED:
+            out[k] = net.long_page(blocks) > 0.5
+    order, a = sorted((k for k, b in enumerate(pages) if 0 < len(b) <= PADDED), key=lambda k: len(pages[k])), 0
     while a < len(order):
         b = a + 1
         while b < len(order) and (b + 1 - a) * len(pages[order[b]]) <= PADDED:

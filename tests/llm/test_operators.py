@@ -5,6 +5,7 @@ import hashlib
 import html
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -401,6 +402,52 @@ def test_page_labels_do_not_rest_on_batches():
     assert all(np.array_equal(a, b) for a, b in zip(together, alone, strict=True))
 
 
+@pytest.mark.parametrize("page, found", [
+    ("<main><article><p>a</article><div class=comments><p>b</div><div class=cookie-notice>c</div><p>d</main>", ["a"]),
+    ("<main><p>a<div class='reader comments'><p>b</div><div id=site-footer>c</div><p>d</main>", ["a", "d"]),
+    ("<main class=has-sidebar><p>a<div role=navigation>b</div></main><article>c</article>", ["a"]),
+    ("<article><p>a<section class=comments><article><p>b</article></section></article><article class=comment-body>c</article>", ["a"]),
+    ("<div class=menu><main>a</main></div>", ["a"]), ("<article class=promo>a</article>", []), ("", [])])
+def test_page_taught_blocks(page, found):
+    from cohortweave.llm.html_extract import page_blocks, taught
+
+    blocks = page_blocks(page)
+    assert [b.text for b, on in zip(blocks, taught(blocks), strict=True) if on] == found
+
+
+def test_long_page_in_windows():
+    from cohortweave.llm.html_extract import Labeller, encode, label, page_blocks
+
+    net = Labeller()
+    blocks = page_blocks("<article>" + "".join(f"<p>{'w ' * (k % 7)}{k}.</p>" for k in range(2000)) + "</article>")
+    whole = net.forward(encode(blocks)[:, None], np.ones((2000, 1), dtype=bool))[0][:, 0]
+    assert np.allclose(net.long_page(blocks, 300), whole, rtol=0, atol=1e-12) and np.allclose(net.long_page(blocks, 2000), whole, rtol=0, atol=1e-12)
+    tracemalloc.start()
+    many = page_blocks("<article>" + "<p>some words, here.</p>" * 60_000)
+    on = label(net, [many])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(on) == 60_000 and peak < 100e6
+
+
+def test_pages_without_named_articles(llm):
+    from cohortweave.llm import html_extract
+
+    rng, words = np.random.default_rng(5), [f"word{k}" for k in range(200)]
+    text = lambda n: " ".join(rng.choice(words, n))
+
+    def page(name):
+        own = [text(30) + "." for _ in range(4)]
+        menu = "".join(f"<li><a href=x>{text(2)}</a></li>" for _ in range(6))
+        return f"<body><ul class=menu>{menu}</ul><div class='{name}'>{''.join(f'<p>{t}</p>' for t in own)}</div><div class=footer>{text(4)}</div>", own
+
+    for name in ("post-content", "x17"):
+        made = [page(name) for _ in range(60)]
+        pages = llm.createDataFrame([(k, f"u{k}", html, "z") for k, (html, _) in enumerate(made)], "page_id long, url string, html string, text string")
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(pages, html_extract.fit(pages)).collect()}
+        assert np.mean([got[k] == "\n".join(own) for k, (_, own) in enumerate(made)]) > 0.9
+
+
 def test_repeated_ids_teach_once(llm):
     from cohortweave.llm import quality, toxicity
 
