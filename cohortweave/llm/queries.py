@@ -177,13 +177,13 @@ def _secret_sql() -> str:
         regex = rule.regex.replace("'", "''")
         parts.append(f"""SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {rule.base} AS base, {rule.least} AS least,
             regexp_extract_all(t, '{regex}', 0) AS whole, regexp_extract_all(t, '{regex}', {rule.group}) AS checked,
-            string_split_regex(t, '{regex}') AS gaps FROM d""")
+            {f"regexp_extract_all(t, '{regex}', {rule.lead})" if rule.lead else "NULL::VARCHAR[]"} AS lead, string_split_regex(t, '{regex}') AS gaps FROM d""")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(parts)}),
-e AS (SELECT doc_id, k, kind, base, least, whole, checked, gaps, unnest(range(1, len(whole) + 1)) AS i FROM m),
-s AS (SELECT doc_id, k, kind, base, length(whole[i]) AS w, length(checked[i]) >= least AS good,
-             (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: length(g))), 0))::BIGINT AS start
+e AS (SELECT doc_id, k, kind, base, least, whole, checked, lead, gaps, unnest(range(1, len(whole) + 1)) AS i FROM m),
+s AS (SELECT doc_id, k, kind, base, length(whole[i]) - coalesce(length(lead[i]), 0) AS w, length(checked[i]) >= least AS good,
+             (coalesce(length(lead[i]), 0) + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: length(g))), 0))::BIGINT AS start
       FROM e),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              string_agg(kind || ':' || start || ':' || (start + w), ',' ORDER BY start, k) FILTER (base) AS base,

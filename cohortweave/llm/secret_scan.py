@@ -29,13 +29,15 @@ MAX_STRINGS = 16
 
 @dataclass(frozen=True)
 class Rule:
-    """``group`` of a match must have ``least`` characters, or the match is dropped.  Base rules are those of the contract."""
+    """``group`` of a match must have ``least`` characters, or the match is dropped; the group ``lead`` at its start is no part of the span.
+    Base rules are those of the contract."""
 
     kind: str
     regex: str
     group: int = 0
     least: int = 1
     base: bool = False
+    lead: int = 0
 
 
 RULES = (
@@ -46,7 +48,8 @@ RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),  # one class: a repeated group would recurse in Java
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # From the start of a run only: a run of many ``eyJ`` is read once.
+    Rule("web_token", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lead=1),
 )
 
 
@@ -146,14 +149,16 @@ def _running(items: Column, value: Callable[[Column], Column], merge: Callable[[
 
 
 def _matches(rule: Rule, text: Column) -> Column:
-    """array<struct<w, c, g>> of the rule's matches in a whole text: lengths of the match, of its checked group and of the text before it."""
+    """array<struct<w, c, l, g>> of the rule's matches in a whole text: lengths of the match, of its checked group, of its lead and of the text before it."""
     regex = F.lit(rule.regex)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     checked = whole if rule.group == 0 else F.regexp_extract_all(text, regex, F.lit(rule.group))
+    sizes = F.zip_with(whole, checked, lambda w, c: F.struct(F.length(w).alias("w"), F.length(c).alias("c"), F.lit(0).alias("l")))
+    if rule.lead:
+        sizes = F.zip_with(sizes, F.regexp_extract_all(text, regex, F.lit(rule.lead)), lambda m, x: F.struct(m["w"].alias("w"), m["c"].alias("c"), F.length(x).alias("l")))
     # One more piece than matches: the last pair has no match and goes.
-    lengths = F.zip_with(F.zip_with(whole, checked, lambda w, c: F.struct(F.length(w).alias("w"), F.length(c).alias("c"))),
-                         F.transform(F.split(text, rule.regex, -1), lambda g: F.length(g)),
-                         lambda m, g: F.struct(m["w"].alias("w"), m["c"].alias("c"), g.alias("g")))
+    lengths = F.zip_with(sizes, F.transform(F.split(text, rule.regex, -1), lambda g: F.length(g)),
+                         lambda m, g: F.struct(m["w"].alias("w"), m["c"].alias("c"), m["l"].alias("l"), g.alias("g")))
     return F.filter(lengths, lambda m: m["w"].isNotNull())
 
 
@@ -161,7 +166,7 @@ def _spans(rule: Rule, order: int, matches: Column) -> Column:
     """array<struct<start, kind, end>> of a rule's matches, a column: a match starts after all pieces and matches before it."""
     placed = F.filter(_running(matches, lambda m: m["g"] + m["w"], lambda a, b: a + b), lambda p: p["item"]["c"] >= rule.least)
     return F.transform(placed, lambda p: F.struct(
-        (p["before"] + p["item"]["g"]).cast("int").alias("start"), F.lit(order).alias("kind"),
+        (p["before"] + p["item"]["g"] + p["item"]["l"]).cast("int").alias("start"), F.lit(order).alias("kind"),
         (p["before"] + p["item"]["g"] + p["item"]["w"]).cast("int").alias("end")))
 
 
@@ -181,7 +186,7 @@ def _scanned(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.join(chosen, F.col("row.doc_id").eqNullSafe(chosen["doc_id"]), "left")
     rows = rows.select("row", F.coalesce("row.text", F.lit("")).alias("text"), "kinds")
-    none = F.expr("CAST(array() AS array<struct<w:int,c:int,g:int>>)")
+    none = F.expr("CAST(array() AS array<struct<w:int,c:int,l:int,g:int>>)")
     # The matches are columns of their own, worked out once: a lambda would work an expression out again for each item.
     held, spans = [], []
     for order, rule in enumerate(rules):

@@ -610,6 +610,27 @@ def test_minhash_many_repeats(llm):
     assert time.perf_counter() - began < 60
 
 
+def test_web_tokens(llm):
+    """A megabyte of ``eyJ`` is read once; spans leave out the character before a token; the SQL agrees."""
+    import duckdb
+    from cohortweave.llm import secret_scan
+    from cohortweave.llm.queries import SQL
+
+    token = "eyJabcdefgh.eyJabcdefgh.sig_-12345"
+    texts = ["eyJ" * 400_000 + " " + token, token, f"é{token}, ({token})", f"x{token}", f"{token}.{token}", "", None]
+    docs = llm.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digests(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert time.monotonic() - began < 90
+    n = len(token)
+    assert got == {0: f"web_token:1200001:{1200001 + n}", 1: f"web_token:0:{n}", 2: f"web_token:1:{n + 1},web_token:{n + 4}:{2 * n + 4}", 3: "",
+                   4: f"web_token:0:{n},web_token:{n + 1}:{2 * n + 1}", 5: "", 6: ""}
+    assert masked[2] == "é[secret], ([secret])" and masked[4] == "[secret].[secret]" and masked[3] == texts[3] and masked[6] is None
+    documents = docs.where("doc_id > 0").toPandas()  # noqa: F841
+    assert {r[0]: r[-1] for r in duckdb.sql(SQL["op2_secret_scan"]).fetchall()} == {k: v for k, v in got.items() if k}
+
+
 def test_secrets_in_linear_time(llm):
     """100,000 secrets in one text: spans and masks as by hand; spans that overlap and pieces longer than a cut are kept whole."""
     from cohortweave.llm import secret_scan
