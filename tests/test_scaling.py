@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,20 @@ def test_exact_resampling_over_buckets(spark, monkeypatch):
     assert (drawn(df.repartition(7)) == counts).all()
 
 
+def test_packed_draws_equal_the_pairs(spark, monkeypatch):
+    """A row's draws take a byte per replicate; counts over 255 and rows of an unknown key are kept apart."""
+    monkeypatch.setattr(BS, "ROWS_PER_BUCKET", 90)
+    df = spark.range(300).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("key"))
+    pairs = {r["key"]: r["draws"] for r in BS.resample_counts(df, "key", 40, 3).collect()}
+    packed = BS.resample_counts(df, "key", 40, 3, packed=True).toArrow()
+    assert {len(v) for v in packed.column("draws").to_pylist() if v} == {40}
+    got = BS.unpack_counts(packed.column("draws").combine_chunks(), 40)
+    for key, row in zip(packed.column("key").to_pylist(), got):
+        assert {k: int(c) for k, c in enumerate(row) if c} == {d["replicate"]: d["count"] for d in pairs[key] or []}
+    wide = pa.array([np.array([300, 1], "<u8").tobytes(), None, bytes([2, 0])], pa.binary())
+    assert BS.unpack_counts(wide, 2).tolist() == [[300, 1], [0, 0], [2, 0]]
+
+
 def test_limits_leave_out_unconverged_replicates(spark):
     point = spark.createDataFrame([(0, 0.1, 0.2, 0.1, 2.0)], "time int, cuminc_0 double, cuminc_1 double, rd double, rr double")
     rows = [(k, 0, 0.1, 0.2, 0.1 * k, 2.0, k < 3) for k in range(4)]
