@@ -460,10 +460,15 @@ ONSET = """SELECT person_id, start_date, concept, MIN(ts) AS onset FROM (
         WHERE NOT is_inpatient AND visit_ts <= CAST(start_date AS TIMESTAMP))) WHERE rn = 2) GROUP BY 1, 2, 3"""
 
 
+# What index dates and onsets need of the records, written once by person.
+ONSET_COLUMNS = ["person_id", "arm", "code", "l_shipdate", "l_linenumber", "l_quantity", "is_inpatient"]
+
+
 @check(with_roles(["ix", "rec"], ONSET))
 def phenotype_onset(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf)
-    return phenotype.phenotype_onset(r.index, r.sources.inpatient, r.sources.outpatient, "person_id", "start_date")
+    r = Roles(spark, sf, share=ONSET_COLUMNS)
+    records = r.concept_records
+    return phenotype.phenotype_onset(r.index, records.where("is_inpatient"), records.where(~F.col("is_inpatient")), "person_id", "start_date")
 
 
 @check(with_roles(["ix", "rec"], """SELECT person_id, start_date,

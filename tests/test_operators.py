@@ -303,3 +303,26 @@ def test_influenza_shots(spark):
     out = listed_shots(shots, "cvx", "ts", "2013-01-01", "2020-09-30")
     assert sorted(r["person_id"] for r in out.collect()) == [1, 3, 5]
     assert [r["person_id"] for r in listed_shots(shots, "cvx", "ts", "2013-01-01", "2020-09-30", ["17"]).collect()] == [2]
+
+
+def test_onset_reads_the_records_once(spark):
+    """Index dates and both kinds of records come from one compact stage table, without an exchange of its rows by code."""
+    from cohortweave.catalog import QUERIES
+    from cohortweave.catalog.relational import ONSET_COLUMNS
+
+    plan = QUERIES["phenotype_onset"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "drug_name" not in plan and "stage_" in plan
+    assert "strategy=broadcast" in plan and len(ONSET_COLUMNS) == 7
+
+
+def test_exposure_starts_are_the_first_exposure_days(spark):
+    from cohortweave.operators.episodes import exposure_days, exposure_starts
+
+    def day(k):
+        return datetime(2000, 1, 1) + timedelta(days=k)
+    fills = [(p, a, day((p * 7 + i * 13) % 60), i % 3 or None) for p in range(9) for i, a in enumerate("ABABAA")] + [(None, "A", day(3), 1)]
+    fills = spark.createDataFrame(fills + fills[:5], "person_id int, arm string, release_ts timestamp_ntz, days_supply int")
+    eligible = spark.createDataFrame([(p, day(p * 4).date()) for p in range(8)] + [(2, day(1).date()), (None, day(1).date())], "person_id int, eligible_date date")
+    want = exposure_days(fills, eligible, "B", "A").groupBy("person_id", "arm").agg(F.min("start_date").alias("start_date"))
+    got = exposure_starts(fills, eligible, "B", "A")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
