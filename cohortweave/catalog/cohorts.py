@@ -19,7 +19,7 @@ from cohortweave.plans import cohort as plan
 from cohortweave.plans.study import StudyFrames, modelling_frame, study
 from cohortweave.session import ensure_checkpoint_dir, staged
 from cohortweave.sources import load
-from cohortweave.sources.tables import save
+from cohortweave.sources.tables import save, stage_by
 from cohortweave.stats.features import known_flag
 
 ROW = plan.ROW
@@ -441,6 +441,9 @@ def device_monthly(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- the person-month table -------------------------------------------------------------------------
 
+# Columns of the records that the sources of the table read.
+TV_RECORDS = ["site_id", "person_id", "arm", "rx_class", "drug_name", "code", "is_inpatient", "l_shipdate", "l_linenumber", "l_quantity",
+              "l_extendedprice", "l_returnflag", "l_linestatus"]
 # The device feed belongs to other years than the cohort: its days are moved back by 25 of them.
 DEVICE_SHIFT = 9132
 _SCALED = {n: t for n, t in plan.DEVICE_SCALES.items()}
@@ -457,10 +460,15 @@ DEVICE_TV = {"t_device": f"""SELECT {", ".join("p." + k for k in _K.split(", "))
     LEFT JOIN ({CROSS}) c ON q.person_id = c.person_id AND q.arm = c.arm AND q.start_date = c.start_date""",
                   {**FOLD, **TV, **HOSP, **RX_TV, **_DEVICE_SQL, **DEVICE_TV}))
 def tv_table(spark: SparkSession, sf: str) -> DataFrame:
-    r = Roles(spark, sf, share=True)
+    r = Roles(spark, sf, share=TV_RECORDS)
+    r.eligible = staged(r.eligible)
+    episodes = stage_by(_episodes(r), ["person_id"])
+    # The first day of the first episode is the first exposure day, so the starts are looked up among the episodes.
+    opened = episodes.select("person_id", "arm", F.col("start_date").alias("release_ts"), F.col("days_total").alias("days_supply"))
+    r.index = staged(E.exposure_starts(opened, r.eligible, "B", "A"))
     spans = staged(r.spans.withColumn("end_date", F.col("start_date")))
     daily = _device(r).withColumns({c: F.col(c).cast("double") for c in _NUMBERS}).withColumn("trend_date", F.date_sub("trend_date", DEVICE_SHIFT))
-    out = plan.time_varying(spans, _episodes(r), replace(r.sources, device=daily), STUDY, ["A", "B"], RX_COLUMNS).drop("end_date")
+    out = plan.time_varying(spans, episodes, replace(r.sources, device=daily), STUDY, ["A", "B"], RX_COLUMNS).drop("end_date")
     decimals = [f.name for f in out.schema if f.dataType.typeName() == "decimal"]
     return _long_time(out).withColumns({
         **{c: F.col(c).cast("double") for c in decimals}, "periods": F.col("periods").cast("long"),

@@ -1,8 +1,9 @@
 """Person-month tables in one placement: every source brings updates, one aggregate and one window carry them all.
 
 A source is reduced to at most one record per person and day (and category), says in which periods of a span its record counts, and
-how the measures carry on from there.  All records meet the spans in one join by person; what follows (the updates per period, the
-running values, the rows of quiet months) keeps that placement, so nothing is exchanged at the grain of person-months.
+how the measures carry on from there.  Each source meets the spans by person and brings one update per span and period that it changes;
+its measures travel as one struct, so a row is as wide as its own source.  The updates of all sources are placed by person once; what
+follows (the running values, the rows of quiet months) keeps that placement, so no exchange is keyed by the period.
 """
 
 from __future__ import annotations
@@ -67,21 +68,30 @@ class Latest:
     where: Mapping[str, Column] | None = None
     tie: Sequence[str] = ()
     dates: Sequence[str] = ()  # values whose day is wanted too, as <name>_dt
+    scale: str | None = None  # type of the values in the table; they are cast once picked, per change and not per month
 
     def records(self, by: list[str]) -> DataFrame:
-        where, stamp = self.where or {}, F.col(self.ts).cast("timestamp_ntz").alias("_ts")
-        picks = {n: F.struct(stamp, *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(self.tie)], v.alias("_v")) for n, v in self.values.items()}
-        return (self.facts.where(F.col(self.ts).isNotNull()).groupBy(*by, usable_from(self.ts).alias("_a"))
-                .agg(*[F.max(F.when(where[n], p) if n in where else p).alias(n) for n, p in picks.items()]))
-
-    def slots(self, start: str, periods: str) -> Column:
-        return F.array(_point(F.greatest(F.lit(0), first_period_ending_from(start, "_a"))))
+        where, ties = self.where or {}, [F.col(c).alias(f"_tie{i}") for i, c in enumerate(self.tie)]
+        # Facts of one moment first, then the last moment of the day: numbers and times alone are aggregated by hash.
+        moments = (self.facts.where(F.col(self.ts).isNotNull()).groupBy(*by, usable_from(self.ts).alias("_a"), F.col(self.ts).cast("timestamp_ntz").alias("_ts"))
+                   .agg(*[F.max(F.when(where.get(n, F.lit(True)), F.struct(*ties, v.alias("_v")) if ties else v)).alias(n) for n, v in self.values.items()],
+                        *[F.max(F.when(where[n], 1)).alias(f"{n}:seen") for n in self.values if n in where]))
+        at = {n: F.when(F.col(f"{n}:seen").isNotNull(), F.col("_ts")) if n in where else F.col("_ts") for n in self.values}
+        return moments.groupBy(*by, "_a").agg(*[c for n in self.values for c in (
+            F.max_by(F.col(n)["_v"] if ties else F.col(n), at[n]).alias(n), F.max(at[n]).alias(f"{n}:ts"))])
+
+    def placed(self, met: DataFrame, start: str, periods: str) -> DataFrame:
+        return met.withColumn("_at", F.greatest(F.lit(0), first_period_ending_from(start, "_a")).cast("int"))
 
     def updates(self) -> list[Column]:
-        return [F.max(n).alias(n) for n in self.values]
+        return [c for n in self.values for c in (F.max_by(n, f"{n}:ts").alias(n), F.max(f"{n}:ts").alias(f"{n}:ts"))]
 
-    def carried(self, run, before, length: Column) -> list[Column]:
-        return [F.max(n).over(run).alias(n) for n in self.values]
+    def carried(self, run, had: str) -> list[Column]:
+        # A later slot holds a later fact, so the last one known is the latest.
+        stamp = {n: F.col(had)[f"{n}:ts"] for n in self.values}
+        value = {n: F.col(had)[n].cast(self.scale) if self.scale else F.col(had)[n] for n in self.values}
+        return [F.last(F.when(stamp[n].isNotNull(), F.struct(stamp[n].alias("_ts"), value[n].alias("_v"))), ignorenulls=True).over(run).alias(n)
+                for n in self.values]
 
     def rows(self, age: Column) -> list[Column]:
         out = []
@@ -92,8 +102,16 @@ class Latest:
         return out
 
 
+class _Slotted:
+    """Sources whose record may count in several periods."""
+
+    def placed(self, met: DataFrame, start: str, periods: str) -> DataFrame:
+        slot = met.withColumn("_slot", F.explode(self.slots(start, periods).cast(_SLOT)))
+        return slot.withColumn("_at", F.col("_slot.time")).withColumn("_sign", F.col("_slot.sign"))
+
+
 @dataclass(frozen=True)
-class Touching:
+class Touching(_Slotted):
     """Number of intervals that touch the rolling month before each period start, and optionally its running total."""
 
     intervals: DataFrame
@@ -116,8 +134,8 @@ class Touching:
     def updates(self) -> list[Column]:
         return [F.sum(F.col(self.name) * F.col("_sign")).alias(self.name)]
 
-    def carried(self, run, before, length: Column) -> list[Column]:
-        return [F.sum(F.coalesce(self.name, F.lit(0))).over(run).cast("long").alias(self.name)]
+    def carried(self, run, had: str) -> list[Column]:
+        return [F.sum(F.coalesce(F.col(had)[self.name], F.lit(0))).over(run).cast("long").alias(self.name)]
 
     def totals(self, before) -> list[Column]:
         """Sum of the counts of all earlier months, from the months that each slot stands for."""
@@ -132,14 +150,19 @@ class Touching:
         return out
 
 
-class _Monthly:
+class _Monthly(_Slotted):
     """Measures that hold in the very months of a record only."""
 
-    def carried(self, run, before, length: Column) -> list[Column]:
-        return [F.col(n) for n in self._names()]
+    def carried(self, run, had: str) -> list[Column]:
+        fields = F.struct(F.col("_at"), *[F.col(had)[n].alias(n) for n in self._names()])
+        return [F.last(F.when(F.col(had).isNotNull(), fields), ignorenulls=True).over(run).alias(self._kept())]
+
+    def _kept(self) -> str:
+        return "_kept:" + "|".join(self._names())
 
     def rows(self, age: Column) -> list[Column]:
-        return [F.when(age == 0, F.col(n)).alias(n) for n in self._names()]
+        kept = F.col(f"`{self._kept()}`")
+        return [F.when((age == 0) & (kept["_at"] == F.col("_at")), kept[n]).alias(n) for n in self._names()]
 
 
 @dataclass(frozen=True)
@@ -213,27 +236,29 @@ def timeline(spans: DataFrame, sources: Sequence[Source], by: str | Sequence[str
     """(row_id, time, measures of all sources): one row for every period 0..periods-1 of every span."""
     by = [by] if isinstance(by, str) else list(by)
     keys = list(dict.fromkeys([*by, *row_id, start, periods]))
-    base = spans.select(*keys).where(F.col(periods) >= 1).distinct()
-    records = [base.select(*by).distinct().withColumn("_source", F.lit(-1))]
-    records += [s.records(by).withColumn("_source", F.lit(i)) for i, s in enumerate(sources)]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), records)
-    every = reduce(lambda df, c: df if c[0] in df.columns else df.withColumn(c[0], F.lit(None).cast(c[1])), (("_up", "date"), ("_d", "date"), ("_proper", "boolean"), ("_a", "date")), every)
-    # A span's first period always has a slot, so that quiet spans and months before the first fact are there.
-    where = F.when(F.col("_source") == -1, F.array(_point(F.lit(0))))
+    rest = [c for c in keys if c not in by]
+    base = spans.select(*keys).where(F.col(periods) >= 1).dropna(subset=by).distinct()
+    # A span goes by its number within the person; its own columns travel with its first period, which always has a slot, so that quiet
+    # spans and months before the first fact are there.
+    base = base.withColumn("_span", F.row_number().over(Window.partitionBy(*by).orderBy(*rest)))
+    parts = [base.select(*by, "_span", F.lit(0).alias("_at"), F.struct(*rest).alias("_row"))]
     for i, s in enumerate(sources):
-        where = where.when(F.col("_source") == i, s.slots(start, periods))
-    updates = [u for s in sources for u in s.updates()]
-    slotted = (base.join(every, by).withColumn("_slot", F.explode(where.cast(_SLOT)))
-               .withColumn("_at", F.col("_slot.time")).withColumn("_sign", F.col("_slot.sign")).where(F.col("_at") < F.col(periods))
-               .groupBy(*keys, "_at").agg(*(updates or [F.count(F.lit(1)).alias("_n")])))
-    order = Window.partitionBy(*keys).orderBy("_at")
+        # The spans are the built side: records pass by without a sort.
+        met = s.records(by).join(base.select(*dict.fromkeys([*by, "_span", start, periods])).hint("shuffle_hash"), by)
+        found = s.placed(met, start, periods).where(F.col("_at") < F.col(periods)).groupBy(*by, "_span", "_at").agg(*s.updates())
+        parts.append(found.select(*by, "_span", "_at", F.struct(*[c for c in found.columns if c not in (*by, "_span", "_at")]).alias(f"_had{i}")))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition(*by)
+    # A period may hold the updates of several sources, one row each: the last of them has seen them all and stands for the period,
+    # the others stand for no month.
+    order = Window.partitionBy(*by, "_span").orderBy("_at")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    months = F.coalesce(F.lead("_at").over(order), F.col(periods)) - F.col("_at")
-    held = slotted.select(*keys, "_at", months.cast("int").alias("_months"), *[c for s in sources for c in s.carried(run, before, months)])
+    held = every.select(*by, "_span", "_at", F.last("_row", ignorenulls=True).over(run).alias("_row"), F.lead("_at").over(order).alias("_next"),
+                        *[c for i, s in enumerate(sources) for c in s.carried(run, f"_had{i}")])
+    held = held.withColumn("_months", (F.coalesce("_next", F.col("_row")[periods]) - F.col("_at")).cast("int")).where("_months > 0")
     totals = [c for s in sources if isinstance(s, Touching) for c in s.totals(before)]
     if totals:
         held = held.select("*", *totals)
     age = F.col("time") - F.col("_at")
     rows = held.withColumn("time", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_months") - 1)))
-    return rows.select(*row_id, "time", *[c for s in sources for c in s.rows(age)])
+    return rows.select(*[F.col(c) if c in by else F.col("_row")[c].alias(c) for c in row_id], "time", *[c for s in sources for c in s.rows(age)])

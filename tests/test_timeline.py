@@ -61,3 +61,37 @@ def test_no_exchange_of_person_months(spark):
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     # The sources' own reductions by person and day, their union and the spans by person: nothing by month.
     assert exchanges and not any("_at#" in e or "time#" in e for e in exchanges)
+
+
+def test_span_columns_join_no_months(spark):
+    """What belongs to a span travels with it: nothing is joined or exchanged above the rows of the months, and equal spans stay apart."""
+    from cohortweave.plans.cohort import Sources, Study, time_varying
+
+    def empty(schema):
+        return spark.createDataFrame([], schema)
+
+    spans, sources = inputs(spark)
+    spans = spans.withColumn("end_date", F.col("start_date")).where("person_id = 1")
+    spans = spans.unionByName(spans.where("arm = 'B'"))
+    episodes = spark.createDataFrame([(1, "A", D(2020, 1, 31)), (1, "B", D(2020, 3, 1))], "person_id long, arm string, start_date date")
+    at = dt.datetime(2020, 2, 1)
+    vitals = spark.createDataFrame([(1, "Blood Pressure", at, None, 120.0, 80.0), (1, "blood pressure", at, None, 130.0, 70.0), (1, "blood pressure", at, None, 130.0, 75.0),
+                                    (1, "blood pressure", at, None, 90.0, 95.0), (1, "Weight", at, 180.04, None, None), (1, "weight", at, 180.06, None, None)],
+                                   "person_id long, kind string, ts timestamp_ntz, value double, systolic double, diastolic double")
+    stay = empty("person_id long, admit_ts timestamp_ntz, discharge_ts timestamp_ntz")
+    src = Sources(None, vitals, empty("person_id long, phenotype string, ts timestamp_ntz, value double"), None, None, None, None,
+                  empty("person_id long, rx_class string, start_date date, end_date date"), stay, stay, None, None, None,
+                  empty("person_id long, ts timestamp_ntz, value double"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = time_varying(spans, episodes, src, Study("2021-01-01"), ["A", "B"], {"statin": "statin_tv"})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[:plan.index("Generate explode(sequence(")]
+    assert "Join" not in above and "Exchange" not in above
+    got = [(r["arm"], r["time"], float(r["weight_tv"] or 0), r["sbp_tv"], r["dbp_tv"], r["crossover_date"]) for r in out.orderBy("arm", "time").collect()]
+    cross = D(2020, 3, 1)
+    assert got == [("A", 0, 0.0, None, None, cross), *[("A", t, 180.1, 130.0, 75.0, cross) for t in (1, 2, 3)],
+                   *[("B", t, 180.1, 130.0, 75.0, None) for t in (0, 0, 1, 1)]]
