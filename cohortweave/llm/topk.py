@@ -1,17 +1,18 @@
 """Exact top-k search over a bit-sliced index (operator 5).
 
 Components are integers.  The index stores, for each block of rows and each dimension, bit slices: bitmaps of the bits of
-(component - least component of the block).  A query's score is the sum of |q| times the component over its dimensions,
-taken from the top end for negative q, so that only sums of non-negative numbers remain and one constant for each query
-and block makes up the difference.  |q| is a sum of powers of two: the dimensions' slices are added at these places by
-carry-save adders of bitmap arithmetic until one number, in slices, is left for each row.
+(component - least component of the block).  A query's score is the sum of q times the component over its dimensions.  q is a
+sum and difference of powers of two: the dimensions' slices are added at these places, flipped where a power is taken off, so that
+only sums of non-negative numbers remain and one constant for each query and block makes up the difference.  Carry-save adders of
+bitmap arithmetic add up until one number, in slices, is left for each row.
 
 The best rows are then selected from the most significant slice downward: rows above for certain, and rows that may tie.
-Rows that tie at the boundary are resolved exactly, to the smallest ids.  Blocks are ranked on their own, and the ranked
-rows of all blocks meet in one window for each query.
+Rows that tie at the boundary are resolved exactly, to the smallest ids.  A task keeps each query's best rows over its
+blocks, and the ranked rows of all tasks meet in one window for each query.
 
-Queries are a stated set; query blocks meet index blocks by block number.  Index blocks are cut from the rows of a scan
-task, so a repeated id loads no task.
+Queries are a stated set.  The index is sliced and dealt once, the queries are; a task reads one part of either (``BLOCKS`` blocks,
+one by one, and the queries of one set), so that its memory does not grow with the table and no block is written again for the
+queries it meets.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; an id that repeats is one vector,
 the smallest one; null ids are dropped; vectors of other lengths than a query's are no candidates of it; components beyond
@@ -21,10 +22,11 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortweave.llm.common import staged
@@ -32,6 +34,8 @@ from cohortweave.llm.embed_dedup import one_per_id
 
 ROWS = 32768  # bitmaps of 512 words: long enough that an operation outweighs its call
 QUERIES = 256
+#: Components of a block and of a query set, blocks that a task reads.
+CELLS, QUERY_CELLS, BLOCKS = 1 << 22, 1 << 18, 64
 SAFE = 1 << 20
 
 
@@ -55,23 +59,46 @@ def slices(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return low, out
 
 
-def add(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
-    """Sum of bitmaps by place: three of a place become one, and a carry one place up; slices of the sum, lowest first."""
-    out, place = [], 0
-    while columns:
-        pile = columns.pop(place, [])
-        while len(pile) >= 3:
-            a, b, c = pile.pop(), pile.pop(), pile.pop()
-            ab = a ^ b
-            pile.insert(0, ab ^ c)
-            columns.setdefault(place + 1, []).append((a & b) | (ab & c))
-        if len(pile) == 2:
-            a, b = pile
-            pile = [a ^ b]
-            columns.setdefault(place + 1, []).append(a & b)
-        out.append(pile[0] if pile else None)
-        place += 1
-    return out
+class Adder:
+    """Adds bitmaps up by place: three of a place become one, and a carry one place up, a third of a pile at a time.
+
+    The piles and their temporary bitmaps stay in memory that all sums share.
+    """
+
+    def __init__(self, bitmaps: np.ndarray):
+        self.bitmaps, self.room = bitmaps, [np.empty((0, bitmaps.shape[1]), np.uint64)] * 3
+
+    def sum(self, rows: np.ndarray, places: np.ndarray) -> list[np.ndarray | None]:
+        """Slices, lowest first, of the sum of the bitmaps ``rows`` at ``places``."""
+        counts = np.bincount(places).tolist() if len(places) else []
+        held, first = [], 0
+        while len(held) < len(counts) or first:
+            held.append(first + (counts[len(held)] if len(held) < len(counts) else 0))
+            first = held[-1] // 2
+        if max(held, default=0) > len(self.room[0]):
+            self.room = [np.empty((max(held), self.bitmaps.shape[1]), np.uint64) for _ in range(3)]
+        rows, at, out, first = rows[np.argsort(places, kind="stable")], 0, [], 0
+        now, up, spare = self.room
+        for place, size in enumerate(held):  # the carries of the place below are the first of a pile
+            if size > first:
+                self.bitmaps.take(rows[at:at + size - first], axis=0, out=now[first:size], mode="clip")
+                at += size - first
+            pile, first = now[:size], 0
+            while (third := len(pile) // 3):
+                a, b, c, ab, carry = pile[:third], pile[third:2 * third], pile[2 * third:3 * third], spare[:third], up[first:first + third]
+                np.bitwise_xor(a, b, out=ab)
+                np.bitwise_and(ab, c, out=carry)
+                c ^= ab
+                a &= b
+                carry |= a
+                pile, first = pile[2 * third:], first + third
+            if len(pile) == 2:
+                np.bitwise_and(pile[0], pile[1], out=up[first])
+                pile[1] ^= pile[0]
+                pile, first = pile[1:], first + 1
+            out.append(pile[0].copy() if size else None)
+            now, up = up, now
+        return out
 
 
 def select(sum_slices: list[np.ndarray], k: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,30 +120,28 @@ def _bits(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of each query's best k rows of a block of whole numbers, in any order."""
-    low, planes = slices(x)
-    top = low + np.array([(1 << len(p)) - 1 for p in planes])
+def best(ids: np.ndarray, low: np.ndarray, planes: list[np.ndarray], query_ids: np.ndarray, queries: np.ndarray,
+         k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, scores) of each query's best k rows of a sliced block, in any order."""
+    sizes = np.array([len(p) for p in planes])
+    adder = Adder(np.concatenate([*planes, *(~p for p in planes)]))  # flipped from the middle on
+    dim, bit = np.repeat(np.arange(len(planes)), sizes), np.concatenate([np.arange(n) for n in sizes])
     words = planes[0].shape[1]
     everyone = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-    flipped = [~p for p in planes]
     for q_id, q in zip(query_ids.tolist(), queries, strict=True):
-        piles: dict[int, list[np.ndarray]] = {}
-        for d in np.flatnonzero(q).tolist():
-            value = int(q[d])
-            source = planes[d] if value > 0 else flipped[d]
-            value, shift = abs(value), 0
-            while value:
-                if value & 1:
-                    for bit, plane in enumerate(source):
-                        piles.setdefault(shift + bit, []).append(plane)
-                value >>= 1
-                shift += 1
+        # q as a difference of two numbers with as few powers of two as there can be (no two beside each other).
+        half = np.abs(q) >> 1
+        more = np.abs(q) + half
+        plus, minus = more & (half ^ more), half & (half ^ more)
+        plus, minus = np.where(q < 0, minus, plus), np.where(q < 0, plus, minus)
+        shifts = range(int(more.max()).bit_length())
+        taken = [(np.flatnonzero(part[dim] >> shift & 1), shift, flip) for part, flip in ((plus, 0), (minus, len(dim))) for shift in shifts]
+        rows, places = np.concatenate([on + flip for on, _, flip in taken] or [dim[:0]]), np.concatenate([bit[on] + shift for on, shift, _ in taken] or [bit[:0]])
         allowed = everyone
         if (own := np.flatnonzero(ids == q_id)).size:
             allowed = everyone.copy()
             allowed[own // 64] &= ~(np.uint64(1) << (own % 64).astype(np.uint64))
-        sums = add({p: pile for p, pile in sorted(piles.items())}) if piles else []
+        sums = adder.sum(rows, places)
         above, ties = select(sums, k, allowed)
         sure, maybe = _bits(above), _bits(ties)
         if len(maybe) > k - len(sure):
@@ -126,7 +151,7 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndar
         for place, plane in enumerate(sums):
             if plane is not None:
                 score += ((plane[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << place
-        base = int(np.where(q > 0, q * low, np.where(q < 0, q * top, 0)).sum())
+        base = int((q * low - minus * ((1 << sizes) - 1)).sum())
         yield q_id, ids[rows], score + base
 
 
@@ -138,53 +163,111 @@ def exact(ids: np.ndarray, x: list[list[int]], query_ids: list[int], queries: li
         yield q_id, np.array([i for _, i in scored], dtype=np.int64), np.array([-s for s, _ in scored], dtype=np.int64)
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """One row for each block of the index: dim, ids and components (bytes) of up to ``ROWS`` rows of one scan task."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+def unsliced(low: np.ndarray, planes: list[np.ndarray], n: int) -> np.ndarray:
+    """The whole numbers (rows x dimensions) that the slices stand for."""
+    out = np.empty((n, len(planes)), dtype=np.int64)
+    for d, own in enumerate(planes):
+        bits = np.unpackbits(own.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(np.int64)
+        out[:, d] = low[d] + (bits << np.arange(len(own))[:, None]).sum(axis=0)
+    return out
 
-        def block(dim: int) -> pd.DataFrame:
-            own = held.pop(dim)
-            ids = np.array([i for i, _ in own], dtype=np.int64)
-            return pd.DataFrame({"dim": [dim], "ids": [ids.tobytes()], "x": [np.concatenate([v for _, v in own]).tobytes()]})
 
-        for x in batches:
-            for i, v in zip(x["id"], x["v"], strict=True):
-                held.setdefault(len(v), []).append((i, np.asarray(v, dtype=np.float64)))
-                if len(held[len(v)]) == ROWS:
-                    yield block(len(v))
-        for dim in list(held):
-            yield block(dim)
+def _by_length(batches: Iterator[pa.RecordBatch], limit: Callable[[int], int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, components) of up to ``limit(dim)`` rows of one task and length."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    return rows.mapInPandas(run, "dim int, ids binary, x binary")
+    def cut(dim: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, x = (np.concatenate(parts) for parts in zip(*held.pop(dim)))
+        if len(ids) > size:
+            held[dim] = [(ids[size:], x[size:])]
+        return ids[:size], x[:size]
+
+    for batch in batches:
+        ids, v = batch.column("id").to_numpy(), batch.column("v")
+        lengths, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy()
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        for dim in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == dim)
+            held.setdefault(dim, []).append((ids[own], flat[first[own][:, None] + np.arange(dim)]))
+            while sum(len(i) for i, _ in held.get(dim, [])) >= limit(dim):
+                yield cut(dim, limit(dim))
+    for dim in list(held):
+        yield cut(dim, limit(dim))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """One row for each block of the index, cut from one task's rows: dim, ids, least values, bits of each dimension and the slices;
+    without bits, the components themselves, of a block beyond ``SAFE``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _by_length(batches, lambda dim: 2 * max(64, min(ROWS, CELLS // dim))):
+            low, bits, data = np.zeros(0, np.int64), b"", x.astype("<f8").tobytes()
+            if np.abs(x).max() < SAFE:
+                low, planes = slices(x.astype(np.int64))
+                bits, data = bytes(len(p) for p in planes), b"".join(p.tobytes() for p in planes)
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([x.shape[1]], pa.int32()), "ids": [ids.astype("<i8").tobytes()],
+                                              "low": [low.astype("<i8").tobytes()], "bits": [bits], "data": [data]})
+
+    return rows.mapInArrow(run, "dim int, ids binary, low binary, bits binary, data binary")
+
+
+def query_sets(rows: DataFrame) -> DataFrame:
+    """One row for each task's queries of one length: task, dim, ids and components (bytes)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, q in _by_length(batches, lambda dim: 2 * max(1, min(QUERIES, QUERY_CELLS // dim))):
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "dim": pa.array([q.shape[1]], pa.int32()),
+                                              "q_ids": [ids.astype("<i8").tobytes()], "q": [q.astype("<f8").tobytes()]})
+
+    return rows.mapInArrow(run, "task int, dim int, q_ids binary, q binary")
+
+
+def found_in(dim: int, ids: np.ndarray, low: np.ndarray, bits: bytes, data: bytes, q_ids: np.ndarray, q: np.ndarray,
+             k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, scores) of each query's best k rows of one written block."""
+    if bits:
+        ends, words = np.cumsum([0, *bits]), -(-len(ids) // 64)
+        whole = np.frombuffer(data, np.uint64).reshape(-1, words)
+        planes = [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        if np.abs(q).max() < SAFE:
+            return best(ids, low, planes, q_ids, q.astype(np.int64), k)
+        rows = unsliced(low, planes, len(ids)).tolist()
+    else:
+        rows = [[int(c) for c in v] for v in np.frombuffer(data, "<f8").reshape(len(ids), dim).tolist()]
+    return exact(ids, rows, q_ids.tolist(), [[int(c) for c in v] for v in q.tolist()], k)
 
 
 def search(vectors: DataFrame, is_query: Column, *, id_: str = "vec_id", column: str = "embedding", scale: int = 64, k: int = 20) -> DataFrame:
     """query_id, rank, id, score: the k best rows of every query by integer inner product, ties to the smaller id."""
     rows = staged(integers(vectors, id_, column, scale))
     asked = rows.where(is_query)
-    n = max(1, -(-asked.count() // QUERIES))
-    numbered = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("qb"), F.size("v").alias("dim"))
-    sets = numbered.groupBy("qb", "dim").agg(F.collect_list(F.struct("id", "v")).alias("asked"))  # about QUERIES rows each
-    index = blocks(rows.repartition(max(1, -(-rows.count() // ROWS)))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    both = index.join(sets, ["qb", "dim"]).repartition(F.xxhash64("qb", "ids"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tasks(of: DataFrame, size: int, cells: int) -> int:
+        n, whole = of.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()
+        return max(1, -(-n // size), -(-whole // cells))
+
+    n_blocks, n_sets = tasks(rows, ROWS, CELLS), tasks(asked, QUERIES, QUERY_CELLS)
+    # Both sides are dealt once; a task reads one part of either, so that no block is copied for the queries it meets.
+    index = blocks(rows.repartition(n_blocks)).repartition(max(1, -(-n_blocks // BLOCKS)))
+    sets = query_sets(asked.repartition(n_sets)).repartitionById(n_sets, F.col("task"))
+    both = index.join(sets.drop("task").hint("shuffle_replicate_nl"), "dim")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for dim, raw_ids, raw, queries in zip(batch["dim"], batch["ids"], batch["x"], batch["asked"], strict=True):
-                ids = np.frombuffer(raw_ids, dtype=np.int64)
-                x = np.frombuffer(raw, dtype=np.float64).reshape(len(ids), dim)
-                q_ids = np.array([q["id"] for q in queries], dtype=np.int64)
-                q = np.array([q["v"] for q in queries], dtype=np.float64)
-                if max(np.abs(x).max(), np.abs(q).max()) < SAFE:
-                    found = best(ids, x.astype(np.int64), q_ids, q.astype(np.int64), k)
-                else:
-                    found = exact(ids, [[int(c) for c in v] for v in x], q_ids.tolist(), [[int(c) for c in v] for v in q], k)
-                parts = [pd.DataFrame({"query_id": a, "id": b, "score": s}) for a, b, s in found if len(b)]
-                if parts:
-                    yield pd.concat(parts)
-
-    found = both.mapInPandas(run, "query_id long, id long, score long")
+            for i in range(batch.num_rows):  # one joined row at a time: a block is a megabyte or two
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                ids, low, q_ids = (np.frombuffer(row[name], "<i8") for name in ("ids", "low", "q_ids"))
+                q = np.frombuffer(row["q"], "<f8").reshape(len(q_ids), row["dim"])
+                for q_id, new, score in found_in(row["dim"], ids, low, row["bits"], row["data"], q_ids, q, k):
+                    if q_id in held:
+                        new, score = np.concatenate([held[q_id][0], new]), np.concatenate([held[q_id][1], score])
+                    order = np.lexsort((new, ~score))[:k]
+                    held[q_id] = new[order], score[order]
+        for q_id, (ids, score) in held.items():
+            if len(ids):
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(ids), q_id), pa.int64()), "id": pa.array(ids, pa.int64()),
+                                                  "score": pa.array(score, pa.int64())})
+
+    found = both.mapInArrow(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_), "score")

@@ -200,6 +200,33 @@ def test_topk(llm):
     assert topk.search(df.where("vec_id > 9999"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_topk_in_many_blocks(llm, monkeypatch):
+    """Queries of several sets meet blocks of several tasks, lengths and sizes; a block is not copied for each set that it meets."""
+    from cohortweave.llm import topk
+
+    for name, value in (("ROWS", 20), ("QUERIES", 3), ("BLOCKS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(c) for c in np.round(rng.normal(size=6 if i % 3 else 5), 1)]) for i in range(400)]
+    rows += [(500 + i, rows[20][1]) for i in range(60)] + [(580, [0.0] * 6), (600, [1e6] * 6), (601, [-1e6] * 5), (620, [2.0] * 4)]
+    found = topk.search(llm.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == sorted(brute_best(rows, 20))
+
+
+def test_slices_stand_for_their_numbers():
+    from cohortweave.llm import topk
+
+    rng = np.random.default_rng(9)
+    x, q = rng.integers(-30, 40, (150, 7)), rng.integers(-70, 70, (12, 7))
+    q[0], q[1] = 0, [1, -1, 3, -3, 7, -7, 11]
+    low, planes = topk.slices(x)
+    assert np.array_equal(topk.unsliced(low, planes, len(x)), x)
+    for i, ids, score in topk.best(np.arange(150) + 100, low, planes, np.arange(12), q, 5):
+        assert sorted(zip(-score, ids)) == sorted(zip(-(x @ q[i]), np.arange(150) + 100))[:5]
+
+
 # 7, tokens
 
 def test_bpe(llm, odd_docs):
